@@ -34,7 +34,7 @@ def henry_coefficient(spark, sf_dir) -> DataFrame:
 
 def headspace_gas(spark, sf_dir) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    return rounded(orders.select("o_orderkey", D.headspace_gas("o_totalprice").alias("cg")))
+    return rounded(orders.select("o_orderkey", D.headspace_gas("o_totalprice").alias("cg")), 9)
 
 
 def dissolved_ug_l(spark, sf_dir) -> DataFrame:
@@ -174,7 +174,7 @@ ORACLES = {
     "henry_coefficient": "SELECT DISTINCT l_quantity, "
     + ", ".join(f'round({henry_sql("l_quantity", g)}, 4) AS "h_{g}"' for g in GASES)
     + " FROM lineitem",
-    "headspace_gas": "SELECT o_orderkey, round(o_totalprice * 1e-6::DOUBLE * 2, 6) AS cg FROM orders",
+    "headspace_gas": "SELECT o_orderkey, round(o_totalprice * 1e-6::DOUBLE * 2, 9) AS cg FROM orders",
     "dissolved_ug_l": "SELECT l_orderkey, l_linenumber, "
     + ", ".join(
         f'round({dissolved_sql("l_extendedprice / 100", "l_quantity", g)}, 3) AS "ug_{g}"'

@@ -14,7 +14,6 @@ from catalog.common import (
     INDEXES,
     PPM,
     SURVEY,
-    VARIABLES,
     rounded,
     sql_case,
     survey,
@@ -33,6 +32,7 @@ from catalog.statistics import (
 from fieldstats import constants as K
 from fieldstats.plans import flows as P
 
+NET = ["l_extendedprice", "l_discount", "net", "l_tax"]
 FEATURES = {
     "DO": "DO", "NH": "NH4", "NO": "NO2", "COD": "COD",
     "Vel": "Velocity", "Depth": "Depth", "Tw": "t_w",
@@ -86,8 +86,11 @@ def flow_emission_share(spark, sf_dir) -> DataFrame:
 
 
 def flow_correlation(spark, sf_dir) -> DataFrame:
-    # One pair of the demo table is far below 0.05, the others are independent.
-    return rounded(P.flow_correlation(table(spark, sf_dir, "lineitem"), VARIABLES))
+    # Net price and price are dependent, most other pairs are not.
+    lines = table(spark, sf_dir, "lineitem").withColumn(
+        "net", F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    )
+    return rounded(P.flow_correlation(lines, NET))
 
 
 def flow_dissolved_by_river(spark, sf_dir) -> DataFrame:
@@ -352,8 +355,9 @@ ORACLES = {
       SELECT river, gas, round(flux_sum, 3) AS flux_sum, round(flux_area, 3) AS flux_area,
         round(flux_sum / sum(flux_sum) OVER (PARTITION BY gas), 3) AS fraction,
         round(flux_area * 100 / sum(flux_area) OVER (PARTITION BY gas), 3) AS area_percent FROM s""",
-    "flow_correlation": f"""WITH pearson AS ({pairs_sql("lineitem", _R)}), {_TESTED},
-      sp AS ({spearman_sql("lineitem")})
+    "flow_correlation": f"""WITH lines AS (
+        SELECT l_extendedprice, l_discount, l_tax, l_extendedprice * (1 - l_discount) AS net FROM lineitem),
+      pearson AS ({pairs_sql("lines", _R, NET)}), {_TESTED}, sp AS ({spearman_sql("lines", NET)})
       SELECT var_x, var_y, sp.n, round(sp.r, 6) AS r, round(p, 6) AS p
       FROM sp JOIN tested USING (var_x, var_y) WHERE p <= 0.05""",
     "flow_dissolved_by_river": f"""WITH {SURVEY}, long AS ({_DIS_LONG}),

@@ -12,9 +12,6 @@ from fieldstats.operators import correlation as C
 from fieldstats.operators import ranks as R
 from fieldstats.operators.columns import significant_only
 
-PAIRS = list(combinations(sorted(VARIABLES), 2))
-
-
 def corr_pairs(spark, sf_dir) -> DataFrame:
     return rounded(C.corr_pairs(gappy_lineitem(spark, sf_dir), VARIABLES))
 
@@ -99,10 +96,14 @@ def student_sql(t: str, df: str) -> str:
     return f"greatest(0, 1 - 2 * {norm} * {simpson(body, f'least(abs({t}), 40)')})"
 
 
-def pairs_sql(source: str, body: str) -> str:
+def _pairs(cols) -> list[tuple[str, str]]:
+    return list(combinations(sorted(cols), 2))
+
+
+def pairs_sql(source: str, body: str, cols=tuple(VARIABLES)) -> str:
     return " UNION ALL ".join(
         f"SELECT '{x}' AS var_x, '{y}' AS var_y, {body.format(x=x, y=y)} FROM {source}"
-        for x, y in PAIRS
+        for x, y in _pairs(cols)
     )
 
 
@@ -112,7 +113,7 @@ _TESTED = f"""tested AS (
     FROM (SELECT *, r * sqrt((n::DOUBLE - 2) / (1 - r * r)) AS t FROM pearson))"""
 
 
-def spearman_sql(source: str) -> str:
+def spearman_sql(source: str, cols=tuple(VARIABLES)) -> str:
     """Correlation of average ranks within the complete rows of each pair."""
 
     def mid(c: str) -> str:
@@ -124,7 +125,7 @@ def spearman_sql(source: str) -> str:
         f"""SELECT '{x}' AS var_x, '{y}' AS var_y, count(*) AS n, corr(a, b) AS r
             FROM (SELECT {mid(x)} AS a, {mid(y)} AS b FROM {source}
                   WHERE {x} IS NOT NULL AND {y} IS NOT NULL)"""
-        for x, y in PAIRS
+        for x, y in _pairs(cols)
     )
 
 

@@ -9,45 +9,58 @@ meant for result tables (one row per test), not for raw data.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _countdown(n: Column) -> Column:
     return F.sequence(n.cast("int"), F.lit(1), F.lit(-1))
 
 
+def _terms(size: Column) -> Column:
+    return F.lit(200.0) + F.lit(10.0) * F.sqrt(size)
+
+
 def log_gamma(x: Column) -> Column:
     """log Gamma(x) for x > 0: Stirling's series after a shift by eight."""
-    shift = F.lit(0.0)
-    for j in range(8):
-        shift = shift + F.log(x + F.lit(float(j)))
-    z = x + F.lit(8.0)
-    z2 = z * z
-    tail = (
-        F.lit(1 / 12) - (F.lit(1 / 360) - (F.lit(1 / 1260) - F.lit(1 / 1680) / z2) / z2) / z2
-    ) / z
-    return (z - F.lit(0.5)) * F.log(z) - z + F.lit(0.5 * math.log(2 * math.pi)) + tail - shift
 
+    def stirling(z: Column) -> Column:
+        z2 = z * z
+        tail = (
+            F.lit(1 / 12) - (F.lit(1 / 360) - (F.lit(1 / 1260) - F.lit(1 / 1680) / z2) / z2) / z2
+        ) / z
+        shift = F.lit(0.0)
+        for j in range(1, 9):
+            shift = shift + F.log(z - F.lit(float(j)))
+        return (z - F.lit(0.5)) * F.log(z) - z + F.lit(0.5 * math.log(2 * math.pi)) + tail - shift
 
-def _terms(size: Column) -> Column:
-    return F.lit(200.0) + F.lit(10.0) * F.sqrt(size)
+    return _let(x + F.lit(8.0), stirling)
 
 
 def upper_gamma(a: Column, x: Column) -> Column:
     """Regularised upper incomplete gamma function Q(a, x)."""
-    scale = F.exp(a * F.log(x) - x - log_gamma(a))
-    steps = _countdown(_terms(a))
-    series = F.aggregate(steps, F.lit(1.0), lambda s, i: F.lit(1.0) + x / (a + i) * s)
-    fraction = F.aggregate(
-        steps, F.lit(0.0), lambda s, i: -(i * (i - a)) / (x + 2 * i + F.lit(1.0) - a + s)
-    )
-    return (
-        F.when(x <= 0, F.lit(1.0))
-        .when(x < a + 1, F.lit(1.0) - scale * series / a)
-        .otherwise(scale / (x + F.lit(1.0) - a + fraction))
-    )
+
+    def tail(x: Column, a: Column) -> Column:
+        scale = F.exp(a * F.log(x) - x - log_gamma(a))
+        steps = _countdown(_terms(a))
+        series = F.aggregate(steps, F.lit(1.0), lambda s, i: F.lit(1.0) + x / (a + i) * s)
+        fraction = F.aggregate(
+            steps, F.lit(0.0), lambda s, i: -(i * (i - a)) / (x + 2 * i + F.lit(1.0) - a + s)
+        )
+        return (
+            F.when(x <= 0, F.lit(1.0))
+            .when(x < a + 1, F.lit(1.0) - scale * series / a)
+            .otherwise(scale / (x + F.lit(1.0) - a + fraction))
+        )
+
+    return _let(a, lambda a: _let(x, lambda x: tail(x, a)))
 
 
 def _beta_fraction(x: Column, a: Column, b: Column) -> Column:
@@ -66,18 +79,28 @@ def _beta_fraction(x: Column, a: Column, b: Column) -> Column:
 
 def lower_beta(x: Column, a: Column, b: Column) -> Column:
     """Regularised incomplete beta function I_x(a, b)."""
-    return (
-        F.when(x <= 0, F.lit(0.0))
-        .when(x >= 1, F.lit(1.0))
-        .when(x < (a + 1) / (a + b + 2), _beta_fraction(x, a, b))
-        .otherwise(F.lit(1.0) - _beta_fraction(F.lit(1.0) - x, b, a))
-    )
+
+    def value(x: Column, a: Column, b: Column) -> Column:
+        return (
+            F.when(x <= 0, F.lit(0.0))
+            .when(x >= 1, F.lit(1.0))
+            .when(x < (a + 1) / (a + b + 2), _beta_fraction(x, a, b))
+            .otherwise(F.lit(1.0) - _beta_fraction(F.lit(1.0) - x, b, a))
+        )
+
+    return _let(a, lambda a: _let(b, lambda b: _let(x, lambda x: value(x, a, b))))
 
 
 def normal_upper(z: Column) -> Column:
     """P(Z >= z) for a standard normal Z."""
-    half = upper_gamma(F.lit(0.5), z * z / 2) / 2
-    return F.when(z >= 0, half).otherwise(F.lit(1.0) - half)
+
+    def tail(z: Column) -> Column:
+        return _let(
+            upper_gamma(F.lit(0.5), z * z / 2) / 2,
+            lambda half: F.when(z >= 0, half).otherwise(F.lit(1.0) - half),
+        )
+
+    return _let(z, tail)
 
 
 def chi_square_upper(x: Column, df: Column) -> Column:
@@ -85,6 +108,17 @@ def chi_square_upper(x: Column, df: Column) -> Column:
     return upper_gamma(df / 2, x / 2)
 
 
+def _hill(t: Column, df: Column) -> Column:
+    a = df - F.lit(0.5)
+    b = F.lit(48.0) * a * a
+
+    def deviate(y: Column) -> Column:
+        top = ((F.lit(-0.4) * y - 3.3) * y - 24) * y - 85.5
+        return ((top / (F.lit(0.8) * y * y + 100 + b) + y + 3) / b + 1) * F.sqrt(y)
+
+    return _let(a * F.log1p(t * t / df), deviate)
+
+
 def student_two_sided(t: Column, df: Column) -> Column:
     """P(|T| >= |t|) for Student's t with ``df`` degrees of freedom.
 
@@ -92,12 +126,10 @@ def student_two_sided(t: Column, df: Column) -> Column:
     Hill's expansion (CACM algorithm 395), because the beta fraction would need
     ever more terms.
     """
-    exact = lower_beta(df / (df + t * t), df / 2, F.lit(0.5))
-    a = df - F.lit(0.5)
-    b = F.lit(48.0) * a * a
-    y = a * F.log1p(t * t / df)
-    z = (
-        ((F.lit(-0.4) * y - 3.3) * y - 24) * y - 85.5
-    ) / (F.lit(0.8) * y * y + 100 + b)
-    z = ((z + y + 3) / b + 1) * F.sqrt(y)
-    return F.when(df > 100000, F.lit(2.0) * normal_upper(z)).otherwise(exact)
+
+    def tail(t: Column) -> Column:
+        return F.when(df > 100000, F.lit(2.0) * normal_upper(_hill(t, df))).otherwise(
+            lower_beta(df / (df + t * t), df / 2, F.lit(0.5))
+        )
+
+    return _let(t, tail)

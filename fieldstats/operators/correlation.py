@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldstats.functions.tails import student_two_sided
-from fieldstats.operators.joins import join_stats
-from fieldstats.operators.positions import ROWS_PER_SEGMENT, number
+from fieldstats.operators.joins import hot_keys, salted_join
+from fieldstats.operators.positions import ROWS_PER_SEGMENT, locate, number
 from fieldstats.operators.ranks import rank_table
-from fieldstats.operators.reshape import to_long
 
 
 def _pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
@@ -47,89 +46,77 @@ def _pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return data.agg(*aggs).select(F.inline(F.array(*entries)))
 
 
-def _weighted_r(x: Column, y: Column, w: Column) -> Column:
-    """Correlation of centred columns with whole-number weights."""
-    xx, yy = F.sum(w * x * x), F.sum(w * y * y)
-    return F.when((xx > 0) & (yy > 0), F.sum(w * x * y) / F.sqrt(xx) / F.sqrt(yy))
-
-
 def _spearman(df: DataFrame, cols: Sequence[str], rows_per_segment: int) -> DataFrame:
+    """Pearson correlation of average ranks, ranked within each pair's complete rows.
+
+    A column is ranked once for all partners that have no missing values, and once
+    more for each partner that has: without gaps that is one ranking per column.
+    """
     pairs = _pairs(cols)
     data = _numbers(df, cols)
+    counts = data.agg(F.count(F.lit(1)), *[F.count(F.col(f"`{c}`")) for c in cols]).first()
+    gappy = {c for c, n in zip(cols, counts[1:]) if n < counts[0]}
+    # Rankings: (column, partner that must be present or None).
+    rankings = sorted(
+        {(c, d if d in gappy else None) for x, y in pairs for c, d in ((x, y), (y, x))},
+        key=str,
+    )
     # Equal rows become one row with a weight. Its id is a digest of its values, so
     # it is the same however often a task runs.
-    text = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("-")) for c in cols]
-    rows = (
-        data.groupBy(*cols)
-        .agg(F.count(F.lit(1)).alias("_w"))
-        .withColumn("_id", F.md5(F.concat_ws("|", *text)))
+    rows = data.groupBy(*cols).agg(F.count(F.lit(1)).alias("_w")).select(
+        F.xxhash64(*cols).alias("_id1"),
+        F.xxhash64(F.lit("second"), *cols).alias("_id2"),
+        "_w",
+        *cols,
+    )
+    entries = []
+    for i, (c, partner) in enumerate(rankings):
+        v = F.col(f"`{c}`")
+        if partner is not None:
+            v = F.when(F.col(f"`{partner}`").isNotNull(), v)
+        entries.append(F.struct(F.lit(i).alias("_ranking"), v.alias("_v")))
+    long = rows.select("_id1", "_id2", "_w", F.inline(F.array(*entries))).filter(
+        F.col("_v").isNotNull()
+    )
+    n_rows = counts[0] * len(rankings)
+    pos = locate(
+        long, ["_ranking"], "_v", weight="_w", n_rows=n_rows, rows_per_segment=rows_per_segment
     )
     centred = F.col("mid_rank") - (F.col("total") + F.lit(1)) / F.lit(2.0)
-    counts = data.agg(F.count(F.lit(1)), *[F.count(F.col(f"`{c}`")) for c in cols]).first()
-    if all(n == counts[0] for n in counts[1:]):
-        # Nothing is missing: one ranking per column serves all its pairs.
-        long = to_long(rows, ["_id", "_w"], cols, "_var", "_v")
-        ranks = rank_table(long, ["_var"], "_v", "_w", rows_per_segment)
-        scored = join_stats(long, ranks, ["_var", "_v"])
-        wide = scored.groupBy("_id").agg(
-            F.any_value("_w").alias("_w"),
-            *[
-                F.max(F.when(F.col("_var") == c, centred)).alias(f"_r{i}")
-                for i, c in enumerate(cols)
-            ],
-        )
-        at = {c: F.col(f"_r{i}") for i, c in enumerate(cols)}
-        w = F.col("_w").cast("double")
-        sums = wide.agg(
-            F.sum("_w").alias("n"),
-            *[_weighted_r(at[x], at[y], w).alias(f"r{i}") for i, (x, y) in enumerate(pairs)],
-        )
-        entries = [
+    ranks = rank_table(pos).select("_ranking", "_v", centred.alias("_rank"))
+    keys = ["_ranking", "_v"]
+    hot = hot_keys(pos.cells, keys, "n", F.lit(n_rows))
+    scored = salted_join(long, ranks, keys, ["_id1", "_id2"], hot)
+    wide = scored.groupBy("_id1", "_id2").agg(
+        F.max("_w").cast("double").alias("_w"),
+        *[
+            F.max(F.when(F.col("_ranking") == i, F.col("_rank"))).alias(f"_r{i}")
+            for i in range(len(rankings))
+        ],
+    )
+    w, aggs, out = F.col("_w"), [], []
+    for i, (x, y) in enumerate(pairs):
+        a = F.col(f"_r{rankings.index((x, y if y in gappy else None))}")
+        b = F.col(f"_r{rankings.index((y, x if x in gappy else None))}")
+        both = a.isNotNull() & b.isNotNull()
+        aggs += [
+            F.sum(F.when(both, w)).alias(f"n{i}"),
+            F.sum(w * a * b).alias(f"ab{i}"),
+            F.sum(F.when(both, w * a * a)).alias(f"aa{i}"),
+            F.sum(F.when(both, w * b * b)).alias(f"bb{i}"),
+        ]
+        spread = (F.col(f"aa{i}") > 0) & (F.col(f"bb{i}") > 0)
+        out.append(
             F.struct(
                 F.lit(x).alias("var_x"),
                 F.lit(y).alias("var_y"),
-                F.coalesce("n", F.lit(0).cast("long")).alias("n"),
-                F.col(f"r{i}").alias("r"),
-            )
-            for i, (x, y) in enumerate(pairs)
-        ]
-        return sums.select(F.inline(F.array(*entries)))
-
-    # Missing values: each pair ranks its own complete rows.
-    sides = []
-    for x, y in pairs:
-        both = F.col(f"`{x}`").isNotNull() & F.col(f"`{y}`").isNotNull()
-        for side, c in (("x", x), ("y", y)):
-            sides.append(
-                F.struct(
-                    F.lit(x).alias("var_x"),
-                    F.lit(y).alias("var_y"),
-                    F.lit(side).alias("_side"),
-                    F.when(both, F.col(f"`{c}`")).alias("_v"),
-                )
+                F.coalesce(f"n{i}", F.lit(0.0)).cast("long").alias("n"),
+                F.when(
+                    spread, F.col(f"ab{i}") / F.sqrt(f"aa{i}") / F.sqrt(f"bb{i}")
+                ).alias("r"),
             )
-    long = rows.select("_id", "_w", F.inline(F.array(*sides))).filter(F.col("_v").isNotNull())
-    strata = ["var_x", "var_y", "_side"]
-    ranks = rank_table(long, strata, "_v", "_w", rows_per_segment)
-    scored = join_stats(long, ranks, [*strata, "_v"])
-    both_sides = scored.groupBy("_id", "var_x", "var_y").agg(
-        F.any_value("_w").alias("_w"),
-        F.max(F.when(F.col("_side") == "x", centred)).alias("_rx"),
-        F.max(F.when(F.col("_side") == "y", centred)).alias("_ry"),
-    )
-    found = both_sides.groupBy("var_x", "var_y").agg(
-        F.sum("_w").alias("_n"),
-        _weighted_r(F.col("_rx"), F.col("_ry"), F.col("_w").cast("double")).alias("r"),
-    )
-    # A pair without a complete row still has its line.
-    every = df.groupBy().agg(F.count(F.lit(1)).alias("_rows")).select(
-        F.inline(
-            F.array(*[F.struct(F.lit(x).alias("var_x"), F.lit(y).alias("var_y")) for x, y in pairs])
         )
-    )
-    return every.join(found, ["var_x", "var_y"], "left").select(
-        "var_x", "var_y", F.coalesce("_n", F.lit(0).cast("long")).alias("n"), "r"
-    )
+    return wide.agg(*aggs).select(F.inline(F.array(*out)))
 
 
 def corr_pairs(
@@ -185,26 +172,36 @@ def corr_significant(
 
 
 def pair_regression(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Straight line of ``var_y`` on ``var_x`` for every pair, in one aggregate."""
+    """Straight line of ``var_y`` on ``var_x`` for every pair, in one aggregate.
+
+    Slope, intercept and r2 all follow from the means, variances and covariance of
+    the rows where both are present; a constant ``var_x`` has no line.
+    """
     pairs = _pairs(cols)
-    aggs = []
+    aggs, entries = [], []
     for i, (x, y) in enumerate(pairs):
         cx, cy = F.col(f"`{x}`"), F.col(f"`{y}`")
+        x_of, y_of = F.when(cy.isNotNull(), cx), F.when(cx.isNotNull(), cy)
         aggs += [
-            F.regr_count(cy, cx).alias(f"n{i}"),
-            F.regr_slope(cy, cx).alias(f"b{i}"),
-            F.regr_intercept(cy, cx).alias(f"a{i}"),
-            F.regr_r2(cy, cx).alias(f"r{i}"),
+            F.count(x_of).alias(f"n{i}"),
+            F.avg(x_of).alias(f"mx{i}"),
+            F.avg(y_of).alias(f"my{i}"),
+            F.var_pop(x_of).alias(f"vx{i}"),
+            F.var_pop(y_of).alias(f"vy{i}"),
+            F.covar_pop(cx, cy).alias(f"cv{i}"),
         ]
-    entries = [
-        F.struct(
-            F.lit(x).alias("var_x"),
-            F.lit(y).alias("var_y"),
-            F.col(f"n{i}").alias("n"),
-            _finite(F.col(f"b{i}")).alias("slope"),
-            _finite(F.col(f"a{i}")).alias("intercept"),
-            _finite(F.col(f"r{i}")).alias("r2"),
+        cov, vx, vy = F.col(f"cv{i}"), F.col(f"vx{i}"), F.col(f"vy{i}")
+        slope = F.when(vx > 0, cov / vx)
+        entries.append(
+            F.struct(
+                F.lit(x).alias("var_x"),
+                F.lit(y).alias("var_y"),
+                F.col(f"n{i}").alias("n"),
+                slope.alias("slope"),
+                (F.col(f"my{i}") - slope * F.col(f"mx{i}")).alias("intercept"),
+                F.when(
+                    (vx > 0) & (vy > 0), (cov / F.sqrt(vx) / F.sqrt(vy)) ** 2
+                ).alias("r2"),
+            )
         )
-        for i, (x, y) in enumerate(pairs)
-    ]
     return _numbers(df, cols).agg(*aggs).select(F.inline(F.array(*entries)))

@@ -15,8 +15,9 @@ from fieldstats.operators.positions import (
     locate,
     number,
     present,
-    quantile_columns,
+    quartile_columns,
     ranked_cells,
+    whole_group,
 )
 from fieldstats.operators.reshape import to_long
 
@@ -82,20 +83,33 @@ def box_stats(
             rows, quartiles = rows.withColumn("_all", F.lit(0)), quartiles.withColumn("_all", F.lit(0))
         keys = groups or ["_all"]
         joined = join_stats(rows, quartiles, keys)
-        carried = [c for c in ("n", "q1", "median", "q3", "mean")]
+        carried = ("n", "q1", "median", "q3", "mean")
         whiskers = joined.withColumn("_one", F.lit(1)).groupBy(*keys).agg(
-            *[F.any_value(c).alias(c) for c in carried], *_whisker_aggs(value, "_one")
+            *[F.max(c).alias(c) for c in carried], *_whisker_aggs(value, "_one")
         )
         return whiskers.select(*groups, *_BOX)
 
     pos = locate(df, groups, value, rows_per_segment=rows_per_segment)
+    cells = ranked_cells(pos)
+    mean = F.sum(F.col(value) * F.col("n")) / F.sum("n")
+    if pos.segments is None:
+        # A group fits one task: quartiles and fences are windows of the same pass.
+        every = whole_group(pos)
+        boxed = cells.withColumns(quartile_columns(value, lambda c: c.over(every)))
+        out = boxed.withColumns(_fences()).groupBy(*groups).agg(
+            F.max("total").alias("n"),
+            mean.alias("mean"),
+            *[F.max(c).alias(c) for c in ("q1", "median", "q3")],
+            *_whisker_aggs(value, "n"),
+        )
+        return (out if groups else out.filter(F.col("n") > 0)).select(*groups, *_BOX)
+
     quartiles = (
-        ranked_cells(pos)
-        .groupBy(*groups)
+        cells.groupBy(*groups)
         .agg(
             F.max("total").alias("_total"),
-            (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"),
-            *[c.alias(k) for k, c in quantile_columns("n", value).items()],
+            mean.alias("mean"),
+            *[c.alias(k) for k, c in quartile_columns(value).items()],
         )
         .withColumns(_fences())
     )
@@ -109,8 +123,8 @@ def box_stats(
     return (
         joined.groupBy(*groups)
         .agg(
-            F.any_value("_total").alias("_total"),
-            *[F.any_value(c).alias(c) for c in ("q1", "median", "q3", "mean")],
+            F.max("_total").alias("_total"),
+            *[F.max(c).alias(c) for c in ("q1", "median", "q3", "mean")],
             *_whisker_aggs(value, "n"),
         )
         .withColumnRenamed("_total", "n")
@@ -128,7 +142,7 @@ def box_outliers(
         .groupBy(*groups)
         .agg(
             F.max("total").alias("_rows"),
-            *[c.alias(k) for k, c in quantile_columns("n", value).items()],
+            *[c.alias(k) for k, c in quartile_columns(value).items()],
         )
         .withColumns(_fences())
         .select(*groups, "_rows", "_low", "_high")
@@ -221,7 +235,7 @@ def describe_numeric(
     quartiles = (
         ranked_cells(locate(long, ["variable"], "value", rows_per_segment=rows_per_segment))
         .groupBy("variable")
-        .agg(*[c.alias(k) for k, c in quantile_columns("n", "value").items()])
+        .agg(*[c.alias(k) for k, c in quartile_columns("value").items()])
     )
     return (
         _wide_moments(df, cols)

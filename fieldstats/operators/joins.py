@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +13,14 @@ from pyspark.sql import functions as F
 HOT_SHARE = 0.001
 
 
-def _null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in on:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+def _lookup_side(lookup: DataFrame, on: Sequence[str]) -> tuple[DataFrame, Column, list[str]]:
+    """The dictionary with renamed keys, the null-safe condition and those key names."""
+    names = {k: f"_lk_{k}" for k in on}
+    cond = reduce(
+        lambda a, b: a & b,
+        [F.col(f"`{k}`").eqNullSafe(F.col(f"`{r}`")) for k, r in names.items()],
+    )
+    return lookup.withColumnsRenamed(names), cond, list(names.values())
 
 
 def left_lookup(df: DataFrame, lookup: DataFrame, on: str | Sequence[str]) -> DataFrame:
@@ -26,11 +30,8 @@ def left_lookup(df: DataFrame, lookup: DataFrame, on: str | Sequence[str]) -> Da
     ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise.
     """
     on = [on] if isinstance(on, str) else list(on)
-    table = lookup.withColumnsRenamed({k: f"_lk_{k}" for k in on})
-    cond = F.lit(True)
-    for k in on:
-        cond = cond & F.col(f"`{k}`").eqNullSafe(F.col(f"`_lk_{k}`"))
-    return df.join(table, cond, "left").drop(*[f"_lk_{k}" for k in on])
+    table, cond, extra = _lookup_side(lookup, on)
+    return df.join(table, cond, "left").drop(*extra)
 
 
 def right_lookup(df: DataFrame, lookup: DataFrame, on: str | Sequence[str]) -> DataFrame:
@@ -42,12 +43,9 @@ def right_lookup(df: DataFrame, lookup: DataFrame, on: str | Sequence[str]) -> D
     the (distinct) keys in use.
     """
     on = [on] if isinstance(on, str) else list(on)
-    table = lookup.withColumnsRenamed({k: f"_lk_{k}" for k in on})
-    cond = F.lit(True)
-    for k in on:
-        cond = cond & F.col(f"`{k}`").eqNullSafe(F.col(f"`_lk_{k}`"))
-    matched = df.join(table, cond, "inner").drop(*[f"_lk_{k}" for k in on])
-    used = df.select(*on).distinct().withColumnsRenamed({k: f"_lk_{k}" for k in on})
+    table, cond, extra = _lookup_side(lookup, on)
+    matched = df.join(table, cond, "inner").drop(*extra)
+    used, _, _ = _lookup_side(df.select(*on).distinct(), on)
     unused = lookup.join(used, cond, "left_anti")
     return matched.unionByName(unused, allowMissingColumns=True).select(*matched.columns)
 
@@ -84,19 +82,62 @@ def align_by_key(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return _one_row_per_key(a, key).join(_one_row_per_key(b, key), key, "inner")
 
 
-def join_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str], n_col: str = "n") -> DataFrame:
+def hot_keys(counts: DataFrame, keys: Sequence[str], n_col: str, n_rows: Column) -> DataFrame:
+    """The keys that hold at least ``HOT_SHARE`` of ``n_rows`` rows.
+
+    There can be no more than 1 / ``HOT_SHARE`` of them, so they may be broadcast.
+    """
+    return counts.filter(F.col(n_col) >= n_rows * F.lit(HOT_SHARE)).select(*keys)
+
+
+def join_stats(
+    rows: DataFrame,
+    stats: DataFrame,
+    keys: Sequence[str],
+    n_col: str = "n",
+    n_rows: int | None = None,
+) -> DataFrame:
     """Inner join of data rows with one statistics row per key.
 
-    ``stats[n_col]`` is the number of data rows of the key. Keys that hold at least
-    ``HOT_SHARE`` of the data, at most 1 / ``HOT_SHARE`` of them, are broadcast, so
-    their rows never move; all other rows meet their statistics in a shuffle in
-    which no key is larger than that share.
+    ``stats[n_col]`` is the number of data rows of the key, and ``n_rows`` their sum,
+    or more, where it is known. The statistics of hot keys are broadcast, so their
+    rows never move; all other rows meet their statistics in a shuffle in which no
+    key is larger than ``HOT_SHARE``.
     """
     keys = list(keys)
-    total = stats.agg(F.sum(n_col)).scalar()
+    total = F.lit(n_rows) if n_rows is not None else stats.agg(F.sum(n_col)).scalar()
     is_hot = F.col(n_col) >= total * F.lit(HOT_SHARE)
-    hot = stats.filter(is_hot)
+    hot = F.broadcast(stats.filter(is_hot))
     cold = stats.filter(~is_hot)
-    from_hot = rows.join(F.broadcast(hot), keys, "inner")
-    from_cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, "inner")
+    from_hot = rows.join(hot, keys, "inner")
+    from_cold = rows.join(F.broadcast(stats.filter(is_hot).select(*keys)), keys, "left_anti").join(
+        cold, keys, "inner"
+    )
     return from_hot.unionByName(from_cold)
+
+
+def salted_join(
+    rows: DataFrame,
+    stats: DataFrame,
+    keys: Sequence[str],
+    row_id: Sequence[str],
+    hot: DataFrame,
+    parts: int = 64,
+) -> DataFrame:
+    """:func:`join_stats` in one pass, for rows that ``row_id`` tells apart.
+
+    Rows of a hot key are spread over ``parts`` by a hash of their id, and the
+    statistics of those keys (only) are repeated for each part. The hash depends on
+    nothing but the row, so a recomputed task sends it to the same place.
+    """
+    keys = list(keys)
+    mark = hot.select(*keys).withColumn("_hot", F.lit(True))
+    spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(*row_id), F.lit(parts)).cast("int"))
+    marked = rows.join(F.broadcast(mark), keys, "left").withColumn(
+        "_part", F.coalesce(spread, F.lit(0))
+    )
+    repeat = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1)))
+    repeated = stats.join(F.broadcast(mark), keys, "left").withColumn(
+        "_part", F.explode(F.coalesce(repeat, F.array(F.lit(0))))
+    )
+    return marked.drop("_hot").join(repeated.drop("_hot"), [*keys, "_part"], "inner").drop("_part")

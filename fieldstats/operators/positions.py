@@ -22,24 +22,27 @@ from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 # Rows that one task can sort comfortably; below it there is a single segment.
-ROWS_PER_SEGMENT = 2_000_000
+ROWS_PER_SEGMENT = 4_000_000
 MAX_SEGMENTS = 4096
 
 SEGMENT = "_segment"
 
 
 class Positions(NamedTuple):
-    """Counted values with their segment, and the segments with their offsets."""
+    """Counted values with their segment, and the segments with their offsets.
+
+    ``segments`` is None when the data is small enough for a single segment.
+    """
 
     cells: DataFrame  # groups, value, extra keys, n, _segment
-    segments: DataFrame  # groups, _segment, offset, total
+    segments: DataFrame | None  # groups, _segment, offset, total
     groups: list[str]
     value: str
-    n: str
+    n_rows: int  # no fewer than the rows counted
 
 
 def number(c: str) -> Column:
@@ -55,13 +58,13 @@ def present(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df
 
 
-def cut_points(rows: DataFrame, value: str, rows_per_segment: int = ROWS_PER_SEGMENT) -> list[float]:
+def cut_points(rows: DataFrame, value: str, n_rows: int, rows_per_segment: int) -> list[float]:
     """Quantiles of ``value`` that cut ``rows`` into segments of about that many rows.
 
-    One count, and beyond a single segment one pass of a quantile sketch; at most
+    Beyond a single segment this is one pass of a quantile sketch; at most
     ``MAX_SEGMENTS`` numbers reach the driver.
     """
-    wanted = min(MAX_SEGMENTS, math.ceil(rows.count() / rows_per_segment))
+    wanted = min(MAX_SEGMENTS, math.ceil(n_rows / rows_per_segment))
     if wanted <= 1:
         return []
     shares = [i / wanted for i in range(1, wanted)]
@@ -76,27 +79,31 @@ def locate(
     value: str,
     extra: Sequence[str] = (),
     weight: str | None = None,
+    n_rows: int | None = None,
     rows_per_segment: int = ROWS_PER_SEGMENT,
 ) -> Positions:
     """Count the values of each group and assign them to segments.
 
     Rows with a missing value, group or extra key are dropped. ``extra`` columns
     split the counts further without being part of the order; ``weight`` is a
-    column of whole-number row weights.
+    column of whole-number row weights. ``n_rows`` is the number of rows, or an upper
+    bound of it, where the caller knows it; otherwise they are counted.
     """
     groups, extra = list(groups), list(extra)
     picked = rows.withColumn(value, number(value)).select(
         *groups, *extra, value, (F.col(weight) if weight else F.lit(1)).cast("long").alias("n")
     )
     picked = present(picked, [*groups, *extra, value])
-    cuts = cut_points(picked.select(value), value, rows_per_segment)
+    if n_rows is None:
+        n_rows = picked.count()
+    cuts = cut_points(picked.select(value), value, n_rows, rows_per_segment)
     cells = picked.groupBy(*groups, *extra, value).agg(F.sum("n").alias("n"))
     if cuts:
         splits = [-math.inf, *cuts, math.inf]
         cells = Bucketizer(splits=splits, inputCol=value, outputCol=SEGMENT).transform(cells)
         cells = cells.withColumn(SEGMENT, F.col(SEGMENT).cast("int"))
     else:
-        cells = cells.withColumn(SEGMENT, F.lit(0))
+        return Positions(cells, None, groups, value, n_rows)
     sizes = cells.groupBy(*groups, SEGMENT).agg(F.sum("n").alias("size"))
     by_group = Window.partitionBy(*(groups or [F.lit(0)]))
     earlier = by_group.orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
@@ -106,7 +113,12 @@ def locate(
         F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"),
         F.sum("size").over(by_group).alias("total"),
     )
-    return Positions(cells, segments, groups, value, "n")
+    return Positions(cells, segments, groups, value, n_rows)
+
+
+def whole_group(pos: Positions) -> WindowSpec:
+    """All cells of a group; only for positions with a single segment."""
+    return Window.partitionBy(*(pos.groups or [F.lit(0)]))
 
 
 def ranked_cells(pos: Positions, tied: bool = False) -> DataFrame:
@@ -116,39 +128,48 @@ def ranked_cells(pos: Positions, tied: bool = False) -> DataFrame:
     number with this value, ``total`` the size of the group. Set ``tied`` when
     extra keys let one value occur in several cells.
     """
-    keys = [*pos.groups, SEGMENT]
+    if pos.segments is None:
+        keys = pos.groups or [F.lit(0)]
+    else:
+        keys = [*pos.groups, SEGMENT]
     inside = Window.partitionBy(*keys).orderBy(pos.value)
     if tied:
         # The default frame ends at the last cell with the same value.
-        cells = pos.cells.withColumns(
-            {
-                "_upto": F.sum(pos.n).over(inside),
-                "ties": F.sum(pos.n).over(Window.partitionBy(*keys, pos.value)),
-            }
+        upto = F.sum("n").over(inside)
+        ties = F.sum("n").over(Window.partitionBy(*keys, pos.value))
+    else:
+        upto = F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        ties = F.col("n")
+    cells = pos.cells.withColumns({"_upto": upto, "ties": ties})
+    if pos.segments is None:
+        cells = cells.withColumns(
+            {"total": F.sum("n").over(whole_group(pos)), "offset": F.lit(0)}
         )
     else:
-        rows = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cells = pos.cells.withColumns({"_upto": F.sum(pos.n).over(rows), "ties": F.col(pos.n)})
-    return (
-        cells.join(pos.segments, keys, "inner")
-        .withColumn("before", F.col("offset") + F.col("_upto") - F.col("ties"))
-        .drop("_upto", "offset")
+        cells = cells.join(pos.segments, keys, "inner")
+    return cells.withColumn("before", F.col("offset") + F.col("_upto") - F.col("ties")).drop(
+        "_upto", "offset"
     )
 
 
-def quantile_columns(pos_n: str = "n", value: str = "value") -> dict[str, Column]:
+def quartile_columns(value: str, aggregate=lambda c: c) -> dict[str, Column]:
     """Aggregates over :func:`ranked_cells` that pick the quartiles (type 7).
 
     Position ``(total - 1) * q`` is interpolated between its two neighbours, each of
-    which is the one cell that covers it.
+    which is the one cell that covers it. ``aggregate`` turns an aggregate into a
+    window expression where that is wanted.
     """
     out = {}
     for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
         spot = (F.col("total") - F.lit(1)) * F.lit(q)
-        upto = F.col("before") + F.col(pos_n)
+        upto = F.col("before") + F.col("n")
         low, high = F.floor(spot), F.ceil(spot)
-        lo_v = F.max(F.when((F.col("before") <= low) & (low < upto), F.col(value)))
-        hi_v = F.max(F.when((F.col("before") <= high) & (high < upto), F.col(value)))
-        part = F.max(spot - low)
+        lo_v = aggregate(
+            F.max(F.when((F.col("before") <= low) & (low < upto), F.col(value)))
+        )
+        hi_v = aggregate(
+            F.max(F.when((F.col("before") <= high) & (high < upto), F.col(value)))
+        )
+        part = aggregate(F.max(spot - low))
         out[name] = lo_v + (hi_v - lo_v) * part
     return out

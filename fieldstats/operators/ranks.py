@@ -4,28 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldstats.functions.tails import chi_square_upper, normal_upper
 from fieldstats.operators.joins import join_stats
-from fieldstats.operators.positions import ROWS_PER_SEGMENT, locate, number, present, ranked_cells
+from fieldstats.operators.positions import (
+    ROWS_PER_SEGMENT,
+    Positions,
+    locate,
+    number,
+    present,
+    ranked_cells,
+)
 
 
 def _mid_rank() -> Column:
     return F.col("before") + (F.col("ties") + F.lit(1)) / F.lit(2.0)
 
 
-def rank_table(
-    rows: DataFrame,
-    strata: Sequence[str],
-    value: str,
-    weight: str | None = None,
-    rows_per_segment: int = ROWS_PER_SEGMENT,
-) -> DataFrame:
+def rank_table(pos: Positions) -> DataFrame:
     """One row per stratum and distinct value: ``mid_rank``, ``n`` and ``total``."""
-    pos = locate(rows, strata, value, weight=weight, rows_per_segment=rows_per_segment)
-    return ranked_cells(pos).select(*strata, value, "n", "total", _mid_rank().alias("mid_rank"))
+    return ranked_cells(pos).select(
+        *pos.groups, pos.value, "n", "total", _mid_rank().alias("mid_rank")
+    )
 
 
 def mid_rank(
@@ -41,9 +43,11 @@ def mid_rank(
     """
     strata = list(strata)
     rows = present(df.withColumn("_v", number(value)), [*strata, "_v"])
-    ranks = rank_table(rows, strata, "_v", rows_per_segment=rows_per_segment)
-    ranks = ranks.select(*strata, "_v", F.col("n").alias("_n"), F.col("mid_rank").alias("_rank"))
-    joined = join_stats(rows, ranks, [*strata, "_v"], "_n")
+    pos = locate(rows, strata, "_v", rows_per_segment=rows_per_segment)
+    ranks = rank_table(pos).select(
+        *strata, "_v", F.col("n").alias("_n"), F.col("mid_rank").alias("_rank")
+    )
+    joined = join_stats(rows, ranks, [*strata, "_v"], "_n", pos.n_rows)
     return joined.select(*df.columns, F.col("_rank").alias(rank_col))
 
 
@@ -80,17 +84,6 @@ def _group_ranks(
     )
 
 
-def _stratum_terms(groups: DataFrame, strata: list[str]) -> DataFrame:
-    """Per stratum: rows, groups, tie term and between-group sum of squares."""
-    off_centre = F.col("mean_rank") - (F.col("total") + F.lit(1)) / F.lit(2.0)
-    return groups.groupBy(*strata).agg(
-        F.max("total").cast("double").alias("_N"),
-        F.count(F.lit(1)).alias("k"),
-        F.sum("_tie").alias("_ties"),
-        F.sum(F.col("n") * off_centre * off_centre).alias("_between"),
-    )
-
-
 def kruskal_wallis(
     df: DataFrame,
     strata: Sequence[str],
@@ -103,7 +96,17 @@ def kruskal_wallis(
     A stratum with a single group, or whose values are all tied, has a null H.
     """
     strata = list(strata)
-    terms = _stratum_terms(_group_ranks(df, strata, group, value, rows_per_segment), strata)
+    off_centre = F.col("mean_rank") - (F.col("total") + F.lit(1)) / F.lit(2.0)
+    terms = (
+        _group_ranks(df, strata, group, value, rows_per_segment)
+        .groupBy(*strata)
+        .agg(
+            F.max("total").cast("double").alias("_N"),
+            F.count(F.lit(1)).alias("k"),
+            F.sum("_tie").alias("_ties"),
+            F.sum(F.col("n") * off_centre * off_centre).alias("_between"),
+        )
+    )
     n = F.col("_N")
     spread = F.lit(1.0) - F.col("_ties") / (n * n * n - n)
     h = F.lit(12.0) / (n * (n + 1)) * F.col("_between") / spread
@@ -131,30 +134,33 @@ def dunn_test(
 
     One row per pair in alphabetical order: ``z`` (first minus second), the
     one-sided ``p`` and ``p_adjusted`` (``bonferroni``, or ``none``). The result has
-    k(k-1)/2 rows per stratum by definition; only the group table is paired.
+    k(k-1)/2 rows per stratum by definition. Only the table of groups is paired: each
+    of its rows meets the rows after it, in one pass over that table.
     """
     if adjust not in ("bonferroni", "none"):
         raise ValueError(f"unknown adjustment {adjust!r}")
     strata = list(strata)
     groups = _group_ranks(df, strata, group, value, rows_per_segment)
-    terms = _stratum_terms(groups, strata).drop("_between")
-    side = groups.select(*strata, group, "n", "mean_rank")
-    a = side.withColumnsRenamed({group: "group_a", "n": "_na", "mean_rank": "_ra"})
-    b = side.withColumnsRenamed({group: "group_b", "n": "_nb", "mean_rank": "_rb"})
-    if strata:
-        pairs = a.join(b, strata, "inner").filter(F.col("group_a") < F.col("group_b"))
-        pairs = pairs.join(terms, strata, "inner")
-    else:
-        pairs = a.join(b, F.col("group_a") < F.col("group_b"), "inner")
-        one = terms.agg(F.any_value(F.struct("_N", "k", "_ties"))).scalar()
-        pairs = pairs.select("*", *[one[c].alias(c) for c in ("_N", "k", "_ties")])
+    every = Window.partitionBy(*(strata or [F.lit(0)]))
+    later = every.orderBy(group).rowsBetween(1, Window.unboundedFollowing)
+    other = F.struct(F.col(group).alias("group_b"), F.col("n").alias("_nb"), F.col("mean_rank").alias("_rb"))
+    pairs = groups.select(
+        *strata,
+        F.col(group).alias("group_a"),
+        F.col("n").alias("_na"),
+        F.col("mean_rank").alias("_ra"),
+        F.max("total").over(every).cast("double").alias("_N"),
+        F.count(F.lit(1)).over(every).alias("_k"),
+        F.sum("_tie").over(every).alias("_ties"),
+        F.collect_list(other).over(later).alias("_others"),
+    ).select("*", F.inline("_others"))
     n = F.col("_N")
     spread = n * (n + 1) / 12 - F.col("_ties") / (F.lit(12.0) * (n - 1))
     per_pair = F.lit(1.0) / F.col("_na") + F.lit(1.0) / F.col("_nb")
     pairs = pairs.filter(F.col("_ties") < n * n * n - n).withColumn(
         "z", (F.col("_ra") - F.col("_rb")) / F.sqrt(spread * per_pair)
     )
-    tests = F.col("k") * (F.col("k") - 1) / F.lit(2.0)
+    tests = F.col("_k") * (F.col("_k") - 1) / F.lit(2.0)
     p = normal_upper(F.abs("z"))
     adjusted = F.least(F.lit(1.0), F.col("p") * tests) if adjust == "bonferroni" else F.col("p")
     return (

@@ -215,7 +215,7 @@ def contingency_share(df: DataFrame, x: str, fill: str) -> DataFrame:
     """
     counts = df.groupBy(x, fill).agg(F.count(F.lit(1)).alias("n"))
     rows_of_x = F.sum("n").over(Window.partitionBy(x))
-    total = df.agg(F.count(F.lit(1))).scalar()
+    total = counts.agg(F.sum("n")).scalar()
     return counts.withColumns({"share": F.col("n") / rows_of_x, "width": rows_of_x / total})
 
 
