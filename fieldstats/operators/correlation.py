@@ -23,27 +23,37 @@ def _numbers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*[number(c).alias(c) for c in cols])
 
 
-def _finite(c: Column) -> Column:
-    return F.when(F.isnan(c), None).otherwise(c)
+def _moments(i: int, x: str, y: str) -> list[Column]:
+    """Count, variances and covariance over the rows where both columns are present."""
+    cx, cy = F.col(f"`{x}`"), F.col(f"`{y}`")
+    x_of, y_of = F.when(cy.isNotNull(), cx), F.when(cx.isNotNull(), cy)
+    return [
+        F.count(x_of).alias(f"n{i}"),
+        F.var_pop(x_of).alias(f"vx{i}"),
+        F.var_pop(y_of).alias(f"vy{i}"),
+        F.covar_pop(cx, cy).alias(f"cv{i}"),
+    ]
+
+
+def _bounded_r(cov: Column, vx: Column, vy: Column) -> Column:
+    """Correlation; null for a constant column, never beyond 1 by rounding."""
+    r = cov / F.sqrt(vx) / F.sqrt(vy)
+    return F.when((vx > 0) & (vy > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def _pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     pairs = _pairs(cols)
-    data = _numbers(df, cols)
-    aggs = []
-    for i, (x, y) in enumerate(pairs):
-        both = F.col(f"`{x}`").isNotNull() & F.col(f"`{y}`").isNotNull()
-        aggs += [F.count_if(both).alias(f"n{i}"), F.corr(f"`{x}`", f"`{y}`").alias(f"r{i}")]
+    aggs = [a for i, (x, y) in enumerate(pairs) for a in _moments(i, x, y)]
     entries = [
         F.struct(
             F.lit(x).alias("var_x"),
             F.lit(y).alias("var_y"),
             F.col(f"n{i}").alias("n"),
-            F.when(F.col(f"n{i}") > 1, _finite(F.col(f"r{i}"))).alias("r"),
+            _bounded_r(F.col(f"cv{i}"), F.col(f"vx{i}"), F.col(f"vy{i}")).alias("r"),
         )
         for i, (x, y) in enumerate(pairs)
     ]
-    return data.agg(*aggs).select(F.inline(F.array(*entries)))
+    return _numbers(df, cols).agg(*aggs).select(F.inline(F.array(*entries)))
 
 
 def _spearman(df: DataFrame, cols: Sequence[str], rows_per_segment: int) -> DataFrame:
@@ -105,15 +115,12 @@ def _spearman(df: DataFrame, cols: Sequence[str], rows_per_segment: int) -> Data
             F.sum(F.when(both, w * a * a)).alias(f"aa{i}"),
             F.sum(F.when(both, w * b * b)).alias(f"bb{i}"),
         ]
-        spread = (F.col(f"aa{i}") > 0) & (F.col(f"bb{i}") > 0)
         out.append(
             F.struct(
                 F.lit(x).alias("var_x"),
                 F.lit(y).alias("var_y"),
                 F.coalesce(f"n{i}", F.lit(0.0)).cast("long").alias("n"),
-                F.when(
-                    spread, F.col(f"ab{i}") / F.sqrt(f"aa{i}") / F.sqrt(f"bb{i}")
-                ).alias("r"),
+                _bounded_r(F.col(f"ab{i}"), F.col(f"aa{i}"), F.col(f"bb{i}")).alias("r"),
             )
         )
     return wide.agg(*aggs).select(F.inline(F.array(*out)))
@@ -183,12 +190,9 @@ def pair_regression(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         cx, cy = F.col(f"`{x}`"), F.col(f"`{y}`")
         x_of, y_of = F.when(cy.isNotNull(), cx), F.when(cx.isNotNull(), cy)
         aggs += [
-            F.count(x_of).alias(f"n{i}"),
+            *_moments(i, x, y),
             F.avg(x_of).alias(f"mx{i}"),
             F.avg(y_of).alias(f"my{i}"),
-            F.var_pop(x_of).alias(f"vx{i}"),
-            F.var_pop(y_of).alias(f"vy{i}"),
-            F.covar_pop(cx, cy).alias(f"cv{i}"),
         ]
         cov, vx, vy = F.col(f"cv{i}"), F.col(f"vx{i}"), F.col(f"vy{i}")
         slope = F.when(vx > 0, cov / vx)
@@ -199,9 +203,7 @@ def pair_regression(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                 F.col(f"n{i}").alias("n"),
                 slope.alias("slope"),
                 (F.col(f"my{i}") - slope * F.col(f"mx{i}")).alias("intercept"),
-                F.when(
-                    (vx > 0) & (vy > 0), (cov / F.sqrt(vx) / F.sqrt(vy)) ** 2
-                ).alias("r2"),
+                (_bounded_r(cov, vx, vy) ** 2).alias("r2"),
             )
         )
     return _numbers(df, cols).agg(*aggs).select(F.inline(F.array(*entries)))

@@ -134,9 +134,10 @@ def ranked_cells(pos: Positions, tied: bool = False) -> DataFrame:
         keys = [*pos.groups, SEGMENT]
     inside = Window.partitionBy(*keys).orderBy(pos.value)
     if tied:
-        # The default frame ends at the last cell with the same value.
+        # Range frames: up to, and exactly, the cells with the same value.
+        same = inside.rangeBetween(Window.currentRow, Window.currentRow)
         upto = F.sum("n").over(inside)
-        ties = F.sum("n").over(Window.partitionBy(*keys, pos.value))
+        ties = F.sum("n").over(same)
     else:
         upto = F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         ties = F.col("n")

@@ -56,22 +56,24 @@ def _group_ranks(
 ) -> DataFrame:
     """Per stratum and group: size, mean rank, and the group's part of the tie term.
 
-    Twice the rank is a whole number and so is every term, hence exact decimal sums.
-    A tie of t values adds t^3 - t, that is t^2 - 1 for each of its rows.
+    Twice the rank is a whole number, so the rank sums are exact: in 64 bits as long
+    as the square of the row count fits, in decimals beyond. A tie of t values adds
+    t^3 - t, that is t^2 - 1 for each of its rows.
     """
     pos = locate(df, strata, value, extra=[group], rows_per_segment=rows_per_segment)
-    cells = ranked_cells(pos, tied=True)
-    whole = "decimal(38,0)"
-    twice = (F.lit(2) * F.col("before") + F.col("ties") + F.lit(1)).cast("decimal(19,0)")
-    n = F.col("n").cast("decimal(19,0)")
-    tie = F.col("ties").cast("decimal(19,0)")
+    whole = "long" if pos.n_rows < 2_000_000_000 else "decimal(38,0)"
+    n = F.col("n").cast("long" if whole == "long" else "decimal(19,0)")
+    twice = F.lit(2) * F.col("before") + F.col("ties") + F.lit(1)
+    twice = twice.cast("long" if whole == "long" else "decimal(19,0)")
+    ties = F.col("ties").cast("double")
     return (
-        cells.groupBy(*strata, group)
+        ranked_cells(pos, tied=True)
+        .groupBy(*strata, group)
         .agg(
             F.sum("n").alias("n"),
             F.max("total").alias("total"),
             F.sum((n * twice).cast(whole)).cast("double").alias("_twice"),
-            F.sum((n * (tie * tie - F.lit(1))).cast(whole)).cast("double").alias("_tie"),
+            F.sum(F.col("n") * (ties * ties - F.lit(1.0))).alias("_tie"),
         )
         .select(
             *strata,
