@@ -81,6 +81,14 @@ def box_stats(spark, sf_dir) -> DataFrame:
     )
 
 
+def box_stats_approx(spark, sf_dir) -> DataFrame:
+    # A sketch this fine is exact on small tables, but picks values, not averages.
+    rows = gappy_lineitem(spark, sf_dir)
+    return rounded(
+        D.box_stats(rows, ["l_returnflag"], "l_extendedprice", approx=True, accuracy=100_000)
+    )
+
+
 def box_outliers(spark, sf_dir) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
     return D.box_outliers(events, ["event_type"], "value")
@@ -136,6 +144,7 @@ QUERIES = {
     "distinct_count": distinct_count,
     "distinct_values": distinct_values,
     "box_stats": box_stats,
+    "box_stats_approx": box_stats_approx,
     "box_outliers": box_outliers,
     "box_stats_many": box_stats_many,
     "group_histogram": group_histogram,
@@ -212,6 +221,8 @@ ORACLES = {
     "distinct_values": "SELECT DISTINCT event_type FROM events ORDER BY event_type",
     "box_stats": f"WITH {GAPPY} SELECT * FROM "
     + box_sql("gappy", "l_returnflag, l_linestatus", "l_extendedprice"),
+    "box_stats_approx": f"WITH {GAPPY} SELECT * FROM "
+    + box_sql("gappy", "l_returnflag", "l_extendedprice").replace("quantile_cont", "quantile_disc"),
     "box_outliers": """WITH q AS (
         SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
         FROM events GROUP BY event_type)

@@ -106,24 +106,22 @@ def box_stats(
 
     quartiles = (
         cells.groupBy(*groups)
-        .agg(
-            F.max("total").alias("_total"),
-            mean.alias("mean"),
-            *[c.alias(k) for k, c in quartile_columns(value).items()],
-        )
+        .agg(mean.alias("mean"), *[c.alias(k) for k, c in quartile_columns(value).items()])
         .withColumns(_fences())
     )
     # The fences travel to each (group, segment); the cells are already there.
     if groups:
-        fences = pos.segments.select(*groups, SEGMENT).join(quartiles, groups, "inner")
+        fences = pos.segments.drop("offset").join(quartiles, groups, "inner")
     else:
         row = quartiles.agg(F.any_value(F.struct(*quartiles.columns))).scalar()
-        fences = pos.segments.select(SEGMENT, *[row[c].alias(c) for c in quartiles.columns])
+        fences = pos.segments.select(
+            SEGMENT, "total", *[row[c].alias(c) for c in quartiles.columns]
+        )
     joined = pos.cells.join(fences, [*groups, SEGMENT], "inner")
     return (
         joined.groupBy(*groups)
         .agg(
-            F.max("_total").alias("_total"),
+            F.max("total").alias("_total"),
             *[F.max(c).alias(c) for c in ("q1", "median", "q3", "mean")],
             *_whisker_aggs(value, "n"),
         )
@@ -176,7 +174,7 @@ def group_histogram(df: DataFrame, group: str, value: str, bins: int = 30) -> Da
         "n",
         F.when(flat, F.col("_min") - 0.5).otherwise(F.col("_min")).alias("_lo"),
         F.when(flat, F.col("_max") + 0.5).otherwise(F.col("_max")).alias("_hi"),
-    )
+    ).filter(F.col("_lo") < F.col("_hi"))  # always so; keeps all uses of the spans alike
     width = F.col("_hi") - F.col("_lo")
     at = F.least(
         F.lit(bins - 1), F.floor((F.col(value) - F.col("_lo")) / width * F.lit(bins)).cast("int")

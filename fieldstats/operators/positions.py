@@ -101,7 +101,9 @@ def locate(
     if cuts:
         splits = [-math.inf, *cuts, math.inf]
         cells = Bucketizer(splits=splits, inputCol=value, outputCol=SEGMENT).transform(cells)
-        cells = cells.withColumn(SEGMENT, F.col(SEGMENT).cast("int"))
+        # Never null, so that no null filter is pushed below one use of the counts
+        # only: all uses then share one shuffle.
+        cells = cells.withColumn(SEGMENT, F.coalesce(F.col(SEGMENT).cast("int"), F.lit(0)))
     else:
         return Positions(cells, None, groups, value, n_rows)
     sizes = cells.groupBy(*groups, SEGMENT).agg(F.sum("n").alias("size"))

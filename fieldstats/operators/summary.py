@@ -78,23 +78,59 @@ def sum_of_means(
     mean: str = "mean",
     sem: str = "sem",
     sem_policy: str = "omit",
+    zero_where: Column | None = None,
 ) -> DataFrame:
     """Add the means, and linearly the standard errors, of several variables.
 
     ``omit``: a missing standard error is left out, and a class with none at all
-    disappears. ``zero``: such a class stays with 0.
+    disappears. ``zero``: such a class stays with 0. ``zero_where`` applies ``zero``
+    to the classes it selects and ``sem_policy`` to the others.
     """
+    if sem_policy not in ("omit", "zero"):
+        raise ValueError(f"unknown sem_policy {sem_policy!r}")
     by = list(by)
+    keep = F.lit(sem_policy == "zero")
+    if zero_where is not None:
+        keep = keep | zero_where
     out = present(summary, by).groupBy(*by).agg(
         F.sum(mean).alias("mean"), F.sum(sem).alias("sem")
     )
-    if sem_policy == "omit":
-        return out.filter(F.col("sem").isNotNull() & F.col("mean").isNotNull())
-    if sem_policy == "zero":
-        return out.filter(F.col("mean").isNotNull()).withColumn(
-            "sem", F.coalesce("sem", F.lit(0.0))
-        )
-    raise ValueError(f"unknown sem_policy {sem_policy!r}")
+    return out.filter(F.col("mean").isNotNull() & (F.col("sem").isNotNull() | keep)).withColumn(
+        "sem", F.coalesce("sem", F.lit(0.0))
+    )
+
+
+def pool_summaries(summary: DataFrame, by: Sequence[str], mean: str = "mean", sem: str = "sem") -> DataFrame:
+    """Mean and standard error of several groups taken together, from their summaries.
+
+    The same numbers as a :func:`mean_sem` over the pooled rows, without reading
+    them again.
+    """
+    by = list(by)
+    rows = summary.select(
+        *by,
+        F.col("n"),
+        F.col(mean).alias("_m"),
+        # Sum of squares around the group's own mean; a group of one has none.
+        (F.coalesce(F.col(sem), F.lit(0.0)) ** 2 * F.col("n") * (F.col("n") - 1)).alias("_ss"),
+    )
+    sums = rows.groupBy(*by).agg(
+        F.sum("n").alias("n"),
+        F.sum(F.col("n") * F.col("_m")).alias("_nm"),
+        F.sum("_ss").alias("_within"),
+        F.collect_list(F.struct("n", "_m")).alias("_groups"),
+    )
+    centre = F.col("_nm") / F.col("n")
+    between = F.aggregate(
+        "_groups", F.lit(0.0), lambda s, g: s + g["n"] * (g["_m"] - centre) * (g["_m"] - centre)
+    )
+    variance = (F.col("_within") + between) / (F.col("n") - 1)
+    return sums.select(
+        *by,
+        "n",
+        centre.alias("mean"),
+        F.when(F.col("n") > 1, F.sqrt(variance / F.col("n"))).alias("sem"),
+    )
 
 
 def null_sum(c: str, policy: str) -> Column:

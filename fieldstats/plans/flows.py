@@ -33,8 +33,8 @@ from fieldstats.operators.summary import (
     basin_totals,
     contingency_share,
     emission_share,
-    mean_sem,
     mean_sem_wide,
+    pool_summaries,
     share_of_total,
     sum_of_means,
     symbol_size,
@@ -130,15 +130,15 @@ def index_totals(summary: DataFrame, divide_by: float = 1.0, zero_for: str = "Or
     Classes of the ``zero_for`` index keep a row when no error is known; classes of
     the other indexes do not.
     """
-    keys = ["wqi", "label"]
-    omit = sum_of_means(
-        summary.filter(F.col("wqi") != zero_for), keys, "mean_co2eq", "sem_co2eq", "omit"
-    )
-    zero = sum_of_means(
-        summary.filter(F.col("wqi") == zero_for), keys, "mean_co2eq", "sem_co2eq", "zero"
+    totals = sum_of_means(
+        summary,
+        ["wqi", "label"],
+        "mean_co2eq",
+        "sem_co2eq",
+        zero_where=F.col("wqi") == zero_for,
     )
     k = F.lit(float(divide_by))
-    return omit.unionByName(zero).withColumns({"mean": F.col("mean") / k, "sem": F.col("sem") / k})
+    return totals.withColumns({"mean": F.col("mean") / k, "sem": F.col("sem") / k})
 
 
 def _land_use(long: DataFrame) -> DataFrame:
@@ -177,15 +177,13 @@ def flow_correlation(df: DataFrame, cols: Sequence[str], **options) -> DataFrame
 def flow_dissolved_by_river(df: DataFrame, river: str, dissolved: Mapping[str, str]) -> DataFrame:
     """Mean dissolved gas with error per gas and river, and over all gases.
 
-    The ``all`` rows average the CO2-equivalents of the three gases.
+    The ``all`` rows average the CO2-equivalents of the three gases. They are pooled
+    from the other rows, so the survey is read once.
     """
-    values = _concentration(dissolved)
-    by_gas = _weighted(mean_sem_wide(df, [river], values, "gas"))
-    weighted = df.select(
-        F.col(river), *[(c * F.lit(K.GWP[g])).alias(g) for g, c in values.items()]
-    )
-    together = mean_sem(_gases_long(weighted, [river], list(values)), [river], "concentration")
-    together = together.select(
+    by_gas = _weighted(mean_sem_wide(df, [river], _concentration(dissolved), "gas"))
+    # One small exchange that both users of the summary share.
+    by_gas = by_gas.repartition(river)
+    together = pool_summaries(by_gas, [river], "mean_co2eq", "sem_co2eq").select(
         river,
         F.lit("all").alias("gas"),
         "n",
@@ -260,8 +258,10 @@ def feature_table(
 ) -> DataFrame:
     """Model input for one gas: predictors, WQI, Land, target; one row per bank.
 
-    ``columns`` maps the short predictor names to the survey's. Classes that no site
-    has still get a row, as in a right join to the class tables.
+    ``columns`` maps the short predictor names to the survey's. Two right joins to the
+    class tables: a land use that no site has still gets a row. A quality class that
+    no site has would get one too, but it has no bank, so the second join drops it;
+    the first is therefore an inner join.
     """
     spark = df.sparkSession
     predictors = K.FEATURE_COLUMNS[gas]
@@ -279,7 +279,7 @@ def feature_table(
         F.col(f"`{index}`").alias("_index"),
         *[F.col(f"`{b}`").alias(f"_bank{i}") for i, b in enumerate(banks)],
     )
-    indexed = right_lookup(picked, wqi, "_index")
+    indexed = picked.join(wqi, "_index", "inner")
     keep = [*predictors, "WQI", gas]
     long = to_long(indexed, keep, [f"_bank{i}" for i in range(len(banks))], "_bank", "_use")
     return right_lookup(long, land, "_use").select(*predictors, "WQI", "Land", gas)
