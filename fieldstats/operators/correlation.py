@@ -8,10 +8,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldstats.functions.domain import by_key
 from fieldstats.functions.tails import student_two_sided
 from fieldstats.operators.joins import hot_keys, salted_join
 from fieldstats.operators.positions import ROWS_PER_SEGMENT, locate, number
 from fieldstats.operators.ranks import rank_table
+from fieldstats.sources.io import lookup_table
 
 
 def _pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
@@ -23,16 +25,92 @@ def _numbers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*[number(c).alias(c) for c in cols])
 
 
-def _moments(i: int, x: str, y: str) -> list[Column]:
-    """Count, variances and covariance over the rows where both columns are present."""
-    cx, cy = F.col(f"`{x}`"), F.col(f"`{y}`")
-    x_of, y_of = F.when(cy.isNotNull(), cx), F.when(cx.isNotNull(), cy)
-    return [
-        F.count(x_of).alias(f"n{i}"),
-        F.var_pop(x_of).alias(f"vx{i}"),
-        F.var_pop(y_of).alias(f"vy{i}"),
-        F.covar_pop(cx, cy).alias(f"cv{i}"),
+def _profile(data: DataFrame, cols: Sequence[str]) -> tuple[int, set[str], dict[str, float]]:
+    """Row count, the columns with gaps, and the column means: one small aggregate."""
+    row = data.agg(
+        F.count(F.lit(1)),
+        *[F.count(F.col(f"`{c}`")) for c in cols],
+        *[F.avg(F.col(f"`{c}`")) for c in cols],
+    ).first()
+    counts, means = row[1 : 1 + len(cols)], row[1 + len(cols) :]
+    gappy = {c for c, n in zip(cols, counts) if n < row[0]}
+    return row[0], gappy, {c: m or 0.0 for c, m in zip(cols, means)}
+
+
+def _pair_sums(
+    data: DataFrame,
+    cols: Sequence[str],
+    gappy: set[str],
+    wanted: Sequence[tuple[str, str, str, str]],
+    weight: str | None = None,
+) -> DataFrame:
+    """Sums behind correlation and regression for pairs of columns.
+
+    ``wanted`` lists (column x, column y, var_x, var_y). Each row becomes one row per
+    column, next to all columns, and is summed in place: the partial aggregate keeps
+    one line per column, so nothing but those lines is shuffled, and the number of
+    sums grows with the columns, not with their pairs. Columns should be centred.
+    """
+    at = {c: i for i, c in enumerate(cols)}
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    x = F.col("_x")
+    keep = [F.col(f"`{c}`").alias(f"_c{i}") for c, i in at.items()]
+    lines = F.array(*[F.struct(F.lit(i).alias("_i"), F.col(f"`{c}`").alias("_x")) for c, i in at.items()])
+    long = data.select(*keep, w.alias("_w"), F.inline(lines)).filter(x.isNotNull())
+    names = ("n", "sx", "sxx", "lo", "hi")
+
+    def own(v: Column, w: Column) -> list[Column]:
+        return [F.sum(w), F.sum(w * v), F.sum(w * v * v), F.min(v), F.max(v)]
+
+    aggs = [c.alias(f"{k}_all") for k, c in zip(names, own(x, F.col("_w")))]
+    for c, j in at.items():
+        aggs.append(F.sum(F.col("_w") * x * F.col(f"_c{j}")).alias(f"sxy_{j}"))
+        if c in gappy:
+            here = F.col(f"_c{j}").isNotNull()
+            mine = own(F.when(here, x), F.when(here, F.col("_w")))
+            aggs += [v.alias(f"{k}_{j}") for k, v in zip(names, mine)]
+    partners = [
+        F.struct(
+            F.lit(j).alias("_j"),
+            *[F.col(f"{k}_{j if c in gappy else 'all'}").alias(k) for k in names],
+            F.col(f"sxy_{j}").alias("sxy"),
+        )
+        for c, j in at.items()
     ]
+    sums = long.groupBy("_i").agg(*aggs).select("_i", F.inline(F.array(*partners)))
+    # Bring (x, y) and (y, x) together; pairs without a common row stay, with n = 0.
+    table = lookup_table(
+        data.sparkSession,
+        [(at[x], at[y], vx, vy, 0) for x, y, vx, vy in wanted]
+        + [(at[y], at[x], vx, vy, 1) for x, y, vx, vy in wanted],
+        "_i int, _j int, var_x string, var_y string, _side int",
+    )
+    joined = table.join(sums, ["_i", "_j"], "left")
+    first, second = F.col("_side") == 0, F.col("_side") == 1
+    picked = joined.groupBy("var_x", "var_y").agg(
+        F.coalesce(F.max(F.when(first, F.col("n"))), F.lit(0.0)).alias("n"),
+        F.max(F.when(first, F.col("sxy"))).alias("sxy"),
+        *[F.max(F.when(first, F.col(k))).alias(f"{k}1") for k in names[1:]],
+        *[F.max(F.when(second, F.col(k))).alias(f"{k}2") for k in names[1:]],
+    )
+    n = F.nullif(F.col("n"), F.lit(0.0))
+
+    def spread(side: int) -> Column:
+        """Sum of squares around the mean; exactly 0 for a constant column."""
+        flat = F.col(f"lo{side}") == F.col(f"hi{side}")
+        around = F.col(f"sxx{side}") - F.col(f"sx{side}") * F.col(f"sx{side}") / n
+        return F.when(flat, F.lit(0.0)).otherwise(around)
+
+    return picked.select(
+        "var_x",
+        "var_y",
+        F.col("n").cast("long").alias("n"),
+        (F.col("sx1") / n).alias("mean_x"),
+        (F.col("sx2") / n).alias("mean_y"),
+        spread(1).alias("ss_x"),
+        spread(2).alias("ss_y"),
+        (F.col("sxy") - F.col("sx1") * F.col("sx2") / n).alias("s_xy"),
+    )
 
 
 def _bounded_r(cov: Column, vx: Column, vy: Column) -> Column:
@@ -41,19 +119,18 @@ def _bounded_r(cov: Column, vx: Column, vy: Column) -> Column:
     return F.when((vx > 0) & (vy > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
+def _column_sums(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict[str, float]]:
+    """Pair sums of columns centred on their means, and those means."""
+    data = _numbers(df, cols)
+    _, gappy, means = _profile(data, cols)
+    centred = data.select(*[(F.col(f"`{c}`") - F.lit(means[c])).alias(c) for c in cols])
+    return _pair_sums(centred, cols, gappy, [(x, y, x, y) for x, y in _pairs(cols)]), means
+
+
 def _pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    pairs = _pairs(cols)
-    aggs = [a for i, (x, y) in enumerate(pairs) for a in _moments(i, x, y)]
-    entries = [
-        F.struct(
-            F.lit(x).alias("var_x"),
-            F.lit(y).alias("var_y"),
-            F.col(f"n{i}").alias("n"),
-            _bounded_r(F.col(f"cv{i}"), F.col(f"vx{i}"), F.col(f"vy{i}")).alias("r"),
-        )
-        for i, (x, y) in enumerate(pairs)
-    ]
-    return _numbers(df, cols).agg(*aggs).select(F.inline(F.array(*entries)))
+    sums, _ = _column_sums(df, cols)
+    r = _bounded_r(F.col("s_xy"), F.col("ss_x"), F.col("ss_y"))
+    return sums.select("var_x", "var_y", "n", r.alias("r"))
 
 
 def _spearman(df: DataFrame, cols: Sequence[str], rows_per_segment: int) -> DataFrame:
@@ -64,8 +141,7 @@ def _spearman(df: DataFrame, cols: Sequence[str], rows_per_segment: int) -> Data
     """
     pairs = _pairs(cols)
     data = _numbers(df, cols)
-    counts = data.agg(F.count(F.lit(1)), *[F.count(F.col(f"`{c}`")) for c in cols]).first()
-    gappy = {c for c, n in zip(cols, counts[1:]) if n < counts[0]}
+    total, gappy, _ = _profile(data, cols)
     # Rankings: (column, partner that must be present or None).
     rankings = sorted(
         {(c, d if d in gappy else None) for x, y in pairs for c, d in ((x, y), (y, x))},
@@ -88,7 +164,7 @@ def _spearman(df: DataFrame, cols: Sequence[str], rows_per_segment: int) -> Data
     long = rows.select("_id1", "_id2", "_w", F.inline(F.array(*entries))).filter(
         F.col("_v").isNotNull()
     )
-    n_rows = counts[0] * len(rankings)
+    n_rows = total * len(rankings)
     pos = locate(
         long, ["_ranking"], "_v", weight="_w", n_rows=n_rows, rows_per_segment=rows_per_segment
     )
@@ -98,32 +174,25 @@ def _spearman(df: DataFrame, cols: Sequence[str], rows_per_segment: int) -> Data
     hot = hot_keys(pos.cells, keys, "n", F.lit(n_rows))
     scored = salted_join(long, ranks, keys, ["_id1", "_id2"], hot)
     wide = scored.groupBy("_id1", "_id2").agg(
-        F.max("_w").cast("double").alias("_w"),
+        F.max("_w").alias("_w"),
         *[
             F.max(F.when(F.col("_ranking") == i, F.col("_rank"))).alias(f"_r{i}")
             for i in range(len(rankings))
         ],
     )
-    w, aggs, out = F.col("_w"), [], []
-    for i, (x, y) in enumerate(pairs):
-        a = F.col(f"_r{rankings.index((x, y if y in gappy else None))}")
-        b = F.col(f"_r{rankings.index((y, x if x in gappy else None))}")
-        both = a.isNotNull() & b.isNotNull()
-        aggs += [
-            F.sum(F.when(both, w)).alias(f"n{i}"),
-            F.sum(w * a * b).alias(f"ab{i}"),
-            F.sum(F.when(both, w * a * a)).alias(f"aa{i}"),
-            F.sum(F.when(both, w * b * b)).alias(f"bb{i}"),
-        ]
-        out.append(
-            F.struct(
-                F.lit(x).alias("var_x"),
-                F.lit(y).alias("var_y"),
-                F.coalesce(f"n{i}", F.lit(0.0)).cast("long").alias("n"),
-                _bounded_r(F.col(f"ab{i}"), F.col(f"aa{i}"), F.col(f"bb{i}")).alias("r"),
-            )
+    # Both rankings of a pair cover the same rows, so no sum needs the other's gaps.
+    wanted = [
+        (
+            f"_r{rankings.index((x, y if y in gappy else None))}",
+            f"_r{rankings.index((y, x if x in gappy else None))}",
+            x,
+            y,
         )
-    return wide.agg(*aggs).select(F.inline(F.array(*out)))
+        for x, y in pairs
+    ]
+    sums = _pair_sums(wide, [f"_r{i}" for i in range(len(rankings))], set(), wanted, "_w")
+    r = _bounded_r(F.col("s_xy"), F.col("ss_x"), F.col("ss_y"))
+    return sums.select("var_x", "var_y", "n", r.alias("r"))
 
 
 def corr_pairs(
@@ -179,31 +248,16 @@ def corr_significant(
 
 
 def pair_regression(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Straight line of ``var_y`` on ``var_x`` for every pair, in one aggregate.
-
-    Slope, intercept and r2 all follow from the means, variances and covariance of
-    the rows where both are present; a constant ``var_x`` has no line.
-    """
-    pairs = _pairs(cols)
-    aggs, entries = [], []
-    for i, (x, y) in enumerate(pairs):
-        cx, cy = F.col(f"`{x}`"), F.col(f"`{y}`")
-        x_of, y_of = F.when(cy.isNotNull(), cx), F.when(cx.isNotNull(), cy)
-        aggs += [
-            *_moments(i, x, y),
-            F.avg(x_of).alias(f"mx{i}"),
-            F.avg(y_of).alias(f"my{i}"),
-        ]
-        cov, vx, vy = F.col(f"cv{i}"), F.col(f"vx{i}"), F.col(f"vy{i}")
-        slope = F.when(vx > 0, cov / vx)
-        entries.append(
-            F.struct(
-                F.lit(x).alias("var_x"),
-                F.lit(y).alias("var_y"),
-                F.col(f"n{i}").alias("n"),
-                slope.alias("slope"),
-                (F.col(f"my{i}") - slope * F.col(f"mx{i}")).alias("intercept"),
-                (_bounded_r(cov, vx, vy) ** 2).alias("r2"),
-            )
-        )
-    return _numbers(df, cols).agg(*aggs).select(F.inline(F.array(*entries)))
+    """Straight line of ``var_y`` on ``var_x`` for every pair; none for a constant ``var_x``."""
+    sums, means = _column_sums(df, cols)
+    slope = F.when(F.col("ss_x") > 0, F.col("s_xy") / F.col("ss_x"))
+    mean_x = F.col("mean_x") + by_key("var_x", means)
+    mean_y = F.col("mean_y") + by_key("var_y", means)
+    return sums.select(
+        "var_x",
+        "var_y",
+        "n",
+        slope.alias("slope"),
+        (mean_y - slope * mean_x).alias("intercept"),
+        (_bounded_r(F.col("s_xy"), F.col("ss_x"), F.col("ss_y")) ** 2).alias("r2"),
+    )
