@@ -196,30 +196,6 @@ def group_histogram(df: DataFrame, group: str, value: str, bins: int = 30) -> Da
     )
 
 
-def _wide_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Row counts and moments of each column: one aggregate over the wide table."""
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(cols):
-        v = number(c)
-        aggs += [
-            F.count(v).alias(f"n{i}"),
-            F.avg(v).alias(f"mean{i}"),
-            F.stddev_samp(v).alias(f"sd{i}"),
-            F.min(v).alias(f"min{i}"),
-            F.max(v).alias(f"max{i}"),
-        ]
-    entries = [
-        F.struct(
-            F.lit(c).alias("variable"),
-            F.col(f"n{i}").alias("count"),
-            (F.col("_rows") - F.col(f"n{i}")).alias("n_missing"),
-            *[F.col(f"{k}{i}").alias(k) for k in ("mean", "sd", "min", "max")],
-        )
-        for i, c in enumerate(cols)
-    ]
-    return df.agg(*aggs).select(F.inline(F.array(*entries)))
-
-
 def describe_numeric(
     df: DataFrame, cols: Sequence[str] | None = None, rows_per_segment: int = ROWS_PER_SEGMENT
 ) -> DataFrame:
@@ -235,9 +211,17 @@ def describe_numeric(
         .groupBy("variable")
         .agg(*[c.alias(k) for k, c in quartile_columns("value").items()])
     )
+    # Long rows exist only inside the task: each partial aggregate has one line per column.
+    moments = long.groupBy("variable").agg(
+        F.count("value").alias("count"),
+        (F.count(F.lit(1)) - F.count("value")).alias("n_missing"),
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("sd"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+    )
     return (
-        _wide_moments(df, cols)
-        .join(quartiles, "variable", "left")
+        moments.join(quartiles, "variable", "left")
         .select("variable", "count", "mean", "sd", "min", "q1", "median", "q3", "max", "n_missing")
     )
 

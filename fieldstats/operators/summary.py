@@ -13,6 +13,10 @@ from fieldstats.operators.positions import number, present
 from fieldstats.operators.reshape import to_long
 
 
+# Aggregates of more columns than this would leave generated code (100 buffer fields).
+MAX_WIDE = 12
+
+
 def _sem(n: Column, sd: Column) -> Column:
     return sd / F.sqrt(n)
 
@@ -44,13 +48,17 @@ def mean_sem_wide(
 ) -> DataFrame:
     """:func:`mean_sem` of several columns, named by the keys of ``cols``.
 
-    Same rows as ``to_long`` followed by ``mean_sem``, but the data is aggregated
-    while wide and only the summary is unpivoted, so input rows are not multiplied.
+    Same rows as ``to_long`` followed by ``mean_sem``, but up to ``MAX_WIDE`` columns
+    are aggregated while wide and only the summary is unpivoted, so input rows are not
+    multiplied.
     """
     groups = list(groups)
     values = {k: (F.col(c) if isinstance(c, str) else c) for k, c in cols.items()}
     rows = present(df.withColumns({f"_v{i}": v for i, v in enumerate(values.values())}), groups)
     rows = rows.select(*groups, *[number(f"_v{i}").alias(f"_v{i}") for i in range(len(values))])
+    if len(values) > MAX_WIDE:
+        lines = [F.struct(F.lit(k).alias(name), F.col(f"_v{i}").alias("_v")) for i, k in enumerate(values)]
+        return mean_sem(rows.select(*groups, F.inline(F.array(*lines))), [*groups, name], "_v")
     aggs = []
     for i in range(len(values)):
         v = F.col(f"_v{i}")

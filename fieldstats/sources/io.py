@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 # A lookup table is typed in by hand; anything longer belongs in a file.
-LOOKUP_MAX_ROWS = 10_000
+LOOKUP_MAX_ROWS = 100_000
 
 
 def read_survey(
