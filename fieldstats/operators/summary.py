@@ -292,21 +292,26 @@ def emission_share(
     """Per key and variable: sum, fraction of all sums, yearly amount and its percent.
 
     The yearly amount is ``sum * 365 * area``; one missing value makes the sum of its
-    key missing, and with it the shares of that variable.
+    key missing, and with it the shares of that variable. The totals are one row, read
+    as a scalar subquery, so the number of keys does not matter.
     """
     sums = group_sum(df, [by], cols, "strict")
-    long = to_long(sums, [by], cols, "variable", "flux_sum").withColumn(
-        "flux_area", F.col("flux_sum") * F.lit(K.DAYS_PER_YEAR) * by_key(by, areas)
-    )
-    every = Window.partitionBy("variable")
-
-    def strict_total(c: str) -> Column:
-        whole = F.count(F.lit(1)).over(every) == F.count(c).over(every)
-        return F.nullif(F.when(whole, F.sum(c).over(every)), F.lit(0.0))
-
-    return long.withColumns(
-        {
-            "fraction": F.col("flux_sum") / strict_total("flux_sum"),
-            "area_percent": F.col("flux_area") * 100 / strict_total("flux_area"),
-        }
+    per_area = F.lit(K.DAYS_PER_YEAR) * by_key(by, areas)
+    wide = sums.select(
+        by,
+        *[F.col(c).cast("double").alias(f"_s{i}") for i, c in enumerate(cols)],
+        *[(F.col(c) * per_area).alias(f"_a{i}") for i, c in enumerate(cols)],
     )
+    names = [f"_{k}{i}" for k in "sa" for i in range(len(cols))]
+    total = wide.agg(F.struct(*[null_sum(c, "strict").alias(c) for c in names])).scalar()
+    lines = [
+        F.struct(
+            F.lit(c).alias("variable"),
+            F.col(f"_s{i}").alias("flux_sum"),
+            F.col(f"_a{i}").alias("flux_area"),
+            (F.col(f"_s{i}") / F.nullif(total[f"_s{i}"], F.lit(0.0))).alias("fraction"),
+            (F.col(f"_a{i}") * 100 / F.nullif(total[f"_a{i}"], F.lit(0.0))).alias("area_percent"),
+        )
+        for i, c in enumerate(cols)
+    ]
+    return wide.select(by, F.inline(F.array(*lines)))
