@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldstats.llm import exact_dedup, mixing, sharding, url_filters
+from fieldstats.llm import exact_dedup, language_id, mixing, packing, sharding, url_filters
 from fieldstats.llm.common import table
 
 #: Fixed by the contract of op10: (host, path, verdict).
@@ -18,6 +18,13 @@ LISTED = [
 ]
 
 
+def tokenizer_path() -> str:
+    """The tokenizer file that op6's contract names; every executor has the package."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     rows = table(spark, sf_dir, "documents").select(
@@ -53,7 +60,29 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_minimum_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, "doc_id", "text", tokenizer_path()).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
+def op8_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = language_id.fold_of("doc_id", 4) == 2
+    model = language_id.fit(docs.filter(~held_out), "doc_id", "text", "lang")
+    return language_id.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), "doc_id", "text", model).drop("text")
+
+
 QUERIES = {
-    f.__name__: f for f in (op2_rendezvous_sharding, op5_exact_dedup, op7_source_mixing, op10_url_rules)
+    f.__name__: f
+    for f in (
+        op2_rendezvous_sharding,
+        op5_exact_dedup,
+        op6_minimum_slack_packing,
+        op7_source_mixing,
+        op8_language_ppm,
+        op10_url_rules,
+    )
 }
 ORACLES: dict[str, str] = {}
