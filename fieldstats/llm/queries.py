@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldstats.llm import exact_dedup, language_id, mixing, packing, sharding, url_filters
+from fieldstats.llm import exact_dedup, language_id, mixing, packing, sharding, substring_dedup, url_filters
 from fieldstats.llm.common import table
 
 #: Fixed by the contract of op10: (host, path, verdict).
@@ -51,6 +51,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad")
@@ -82,6 +86,7 @@ QUERIES = {
         op6_minimum_slack_packing,
         op7_source_mixing,
         op8_language_ppm,
+        op9_substring_dedup,
         op10_url_rules,
     )
 }
