@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldstats.llm import exact_dedup, language_id, mixing, packing, sharding, substring_dedup, url_filters
+from fieldstats.llm import (
+    exact_dedup,
+    language_id,
+    mixing,
+    near_vectors,
+    packing,
+    sharding,
+    substring_dedup,
+    url_filters,
+)
 from fieldstats.llm.common import table
 
 #: Fixed by the contract of op10: (host, path, verdict).
@@ -37,6 +46,10 @@ def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_groups(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return exact_dedup.exact_groups(docs, "doc_id", exact_dedup.normalised(F.col("text"))).withColumnRenamed(
@@ -82,6 +95,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op2_rendezvous_sharding,
+        op3_subspace_pigeonhole,
         op5_exact_dedup,
         op6_minimum_slack_packing,
         op7_source_mixing,
