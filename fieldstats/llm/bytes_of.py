@@ -102,7 +102,7 @@ def run_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     salted = words if not seed else mixed(words ^ U(seed))
     sums = np.zeros(len(words) + 1, U)
     np.cumsum(salted * _POWERS.upto(len(words)), out=sums[1:])
-    return mixed((sums[k:] - sums[:n]) * _INVERSES.upto(n) + U(k * 0xD6E8FEB86659FD93 % (1 << 64)))
+    return mixed((sums[k:] - sums[:n]) * _INVERSES.upto(n) + U(int(k) * 0xD6E8FEB86659FD93 % (1 << 64)))
 
 
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:

@@ -10,6 +10,7 @@ from fieldstats.llm import (
     language_id,
     mixing,
     near_vectors,
+    ngram_join,
     packing,
     sharding,
     substring_dedup,
@@ -34,6 +35,10 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_texts(table(spark, sf_dir, "documents"), "doc_id", "text", k=4, num=85, den=100)
+
+
 def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     rows = table(spark, sf_dir, "documents").select(
@@ -94,6 +99,7 @@ def op8_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_ngram_jaccard_join,
         op2_rendezvous_sharding,
         op3_subspace_pigeonhole,
         op5_exact_dedup,
