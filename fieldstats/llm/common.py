@@ -68,3 +68,13 @@ def running_start(
         .withColumn(name, F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
         .drop("_start")
     )
+
+
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that later expressions use as values.
+
+    Catalyst may write a column's expression into the expressions that use it, even
+    inside a function over array elements, where it would run once per element. What a
+    generator gives out is never written back.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))

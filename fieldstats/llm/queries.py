@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldstats.llm import (
     exact_dedup,
     language_id,
+    line_dedup,
     mixing,
     near_vectors,
     ngram_join,
@@ -55,6 +56,13 @@ def op3_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_groups(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
+def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, "doc_id", "text").select(
+        "doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256")
+    )
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return exact_dedup.exact_groups(docs, "doc_id", exact_dedup.normalised(F.col("text"))).withColumnRenamed(
@@ -102,6 +110,7 @@ QUERIES = {
         op1_ngram_jaccard_join,
         op2_rendezvous_sharding,
         op3_subspace_pigeonhole,
+        op4_line_chunks,
         op5_exact_dedup,
         op6_minimum_slack_packing,
         op7_source_mixing,
