@@ -135,10 +135,11 @@ def identify(df: DataFrame, id_col: str, text_col: str, model: Model) -> DataFra
     The language with the shortest code for the whole text wins, ties go to the first by
     name; ``score`` is its share among all languages' probabilities. Texts that are null or
     without a letter get ``und``, 0 and null, as all do when nothing was learned. Rows
-    stay as they are, extra columns too; columns named like the results are replaced.
+    stay as they are, extra columns too; columns named like the results are replaced, and
+    one named ``_letters`` is left out.
     """
     out = ["lang_pred", "score", "bits_per_byte"]
-    kept = [c for c in df.columns if c not in out]
+    kept = [c for c in df.columns if c not in (*out, "_letters")]
     rows = df.select(
         *[F.col(f"`{c}`") for c in kept],
         F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False)).alias("_letters"),

@@ -11,6 +11,7 @@ from fieldstats.llm.common import computed, hash_number
 ROLLING_LINES, MODULUS = 2, 3
 #: Lines with a word that a chunk needs to be removed.
 LEAST_LINES = 2
+_OWN = ("_id", "_xx", "_text", "_lines", "_hashes", "_ends", "_chunks", "_stay", "_gone")
 #: Factor between a line and the one before it in the rolling hash.
 _FACTOR = 31
 
@@ -65,8 +66,9 @@ def dedup_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Null texts stay null with 0 lines; an empty text is one line. Null ids rank behind all
     others. Rows that repeat an id and text are the same document and keep the same lines.
     A document may lose all lines; it stays with an empty text. Columns of ``df`` named
-    like the results are replaced.
+    like the results are replaced; those named in ``_OWN`` are left out.
     """
+    df = df.drop("n_lines", "n_removed", *_OWN)
     last = F.lit((1 << 63) - 1)
     keys = {
         "_id": F.coalesce(F.col(f"`{id_col}`").cast("long"), last),
@@ -100,7 +102,7 @@ def dedup_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         .groupBy("_id", "_xx")
         .agg(F.collect_set("k").alias("_gone"))
     )
-    kept = df.drop("n_lines", "n_removed").withColumns(keys).join(gone, ["_id", "_xx"], "left")
+    kept = df.withColumns(keys).join(gone, ["_id", "_xx"], "left")
     out = chunked(kept.withColumn("_text", F.col(f"`{text_col}`")))
     stay = F.filter("_chunks", lambda c: ~F.array_contains("_gone", c["k"]))
     cut = F.col("_gone").isNotNull()

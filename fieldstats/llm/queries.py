@@ -18,6 +18,7 @@ from fieldstats.llm import (
     url_filters,
 )
 from fieldstats.llm.common import table
+from fieldstats.llm.oracles import ORACLES
 
 #: Fixed by the contract of op10: (host, path, verdict).
 LISTED = [
@@ -104,6 +105,8 @@ def op8_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), "doc_id", "text", model).drop("text")
 
 
+__all__ = ["ORACLES", "QUERIES", "tokenizer_path"]
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -119,4 +122,3 @@ QUERIES = {
         op10_url_rules,
     )
 }
-ORACLES: dict[str, str] = {}

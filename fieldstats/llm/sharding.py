@@ -36,11 +36,12 @@ def shard_rows(df: DataFrame, keys: Sequence[str], weights: Sequence[float], gro
     ``grown`` lists the weights of shards added behind the present ones; without it
     ``grown_shard`` equals ``shard``. Rows with the same key, null keys too, share a
     shard and still get slots of their own. An empty table gives an empty table. Columns
-    of ``df`` with the names of the results are replaced.
+    of ``df`` with the names of the results are replaced; ``_key``, ``_bucket``, ``_start`` and
+    ``_n`` are left out.
     """
     key = as_key(*keys)
     placed = (
-        df.drop("shard", "slot", "grown_shard")
+        df.drop("shard", "slot", "grown_shard", "_key", "_bucket", "_start", "_n")
         .withColumn("_key", key)
         .withColumns(
             {
