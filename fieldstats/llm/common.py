@@ -66,7 +66,7 @@ def running_start(
     return (
         df.join(starts, keys)
         .withColumn(name, F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .drop("_start")
+        .select(*df.columns, name)
     )
 
 

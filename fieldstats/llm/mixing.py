@@ -52,7 +52,7 @@ def apportion(targets: DataFrame, house: str, seats: str, target: str = "target"
     """
     of_house = Window.partitionBy(house)
     n = F.count("*").over(of_house)
-    share = F.col(target) / F.sum(target).over(of_house)
+    share = F.try_divide(F.col(target), F.sum(target).over(of_house))
     spread = share * n / 2 + 1
     near = targets.withColumns({"_exact": F.coalesce(share * F.col(seats), F.lit(0.0)), "_spread": F.coalesce(spread, F.lit(0.0))}).withColumn(
         "_sure", F.greatest(F.lit(0).cast("long"), F.floor(F.col("_exact") - F.col("_spread")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -14,43 +15,52 @@ from pyspark.sql import functions as F
 from fieldstats.llm.common import as_key, hex_hash, running_start, settled
 
 #: Words a task remembers the tokens of; beyond it the memory starts anew.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 800_000
+#: Texts that are looked up together.
+_TOGETHER = 128
 #: Punctuation that, behind a letter or digit, is a token run of its own.
 _TAIL = b".,;:!?"
 
 
-class WordTokens(dict):
-    """Word -> its ids as little-endian 32-bit bytes, for tokenizers that drop white space.
+class WordTokens:
+    """Ids of texts as little-endian 32-bit bytes, for tokenizers that drop white space.
 
     Such a tokenizer never joins what white space separates, so a text's ids are its
-    words' ids one after the other. Case and trailing punctuation are taken off before
-    the tokenizer is asked, as it lower-cases and splits there itself; words that may hold
-    its special strings go to it as they are.
+    words' ids one after the other, and each word is asked for once as long as it is
+    remembered. Case and trailing punctuation are taken off first, as the tokenizer lower-cases
+    and splits there itself; words that may hold its special strings stay as they are.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED_WORDS:
-            self.clear()
+    @staticmethod
+    def _parts(word: bytes) -> tuple[bytes, bytes]:
         stem = word.rstrip(_TAIL)
-        if b"<" in word or not word.isascii() or not stem or not stem[-1:].isalnum():
-            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        elif len(stem) < len(word):
-            ids = self[stem] + self[word[len(stem) :]]
-        elif (small := word.lower()) != word:
-            ids = self[small]
-        else:
-            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
-        return ids
-
-    def ids(self, text: str | None) -> bytes:
-        return b"".join([self[w] for w in (text or "").encode().split()])
+        if b"<" in word or not word.isascii() or not stem[-1:].isalnum():
+            return word, b""
+        return stem.lower(), word[len(stem) :]
+
+    def _learn(self, words: set[bytes]) -> None:
+        known = self.known
+        parts = {w: self._parts(w) for w in words if w not in known}
+        new = [p for p in {p for pair in parts.values() for p in pair} if p not in known]
+        for part, found in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
+            known[part] = np.array(found.ids, "<u4").tobytes()
+        for word, (stem, tail) in parts.items():
+            known[word] = known[stem] + known[tail]
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.known) >= REMEMBERED_WORDS:
+            self.known.clear()
+        split = [(t or "").encode().split() for t in texts]
+        self._learn(set().union(*split))
+        get = self.known.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
 
 def token_pieces(
@@ -68,12 +78,14 @@ def token_pieces(
         words = WordTokens(tokenizer_path)
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
-            for i, text in enumerate(batch.column(1)):
-                ids = words.ids(text.as_py()) + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for column, value in zip(rows, (i, piece, at // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None)):
-                        column.append(value)
+            for first in range(0, batch.num_rows, _TOGETHER):
+                texts = batch.column(1).slice(first, _TOGETHER).to_pylist()
+                for i, ids in enumerate(words.ids(texts), first):
+                    ids += end
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        for column, value in zip(rows, (i, piece, at // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None)):
+                            column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(rows[0], pa.int32())),

@@ -35,7 +35,7 @@ def texts() -> list[tuple]:
             words[at] = word()
         rows.append((20 + i, " ".join(words), "en", "d"))
     rows += [(40 + i, base.upper() if i % 2 else base, "en", "d") for i in range(6)]
-    block = "\n".join(prose(8) for _ in range(9))
+    block = "\n".join(prose(8) for _ in range(30))
     for i in range(6):
         rows.append((60 + i, "\n".join([prose(6) for _ in range(i + 1)]) + "\n" + block + "\n" + prose(5), "de", "e"))
     rows += [(80, prose(60_000), "en", "a"), (81, "\n" * 50, "en", "a")]
