@@ -40,9 +40,28 @@ REVERSED_PAIRS = [
 NAME_PAIRS = [("bolt", "rod"), ("rod", "ring"), ("(red|blue) ", "coloured "), ("old", "aged")]
 
 
+LINE_TYPES = {
+    "l_orderkey": "bigint",
+    "l_partkey": "bigint",
+    "l_suppkey": "bigint",
+    "l_linenumber": "int",
+    "l_quantity": "double",
+    "l_extendedprice": "double",
+    "l_discount": "double",
+    "l_tax": "double",
+    "l_returnflag": "string",
+    "l_linestatus": "string",
+}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, or a local one where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fieldstats-")
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir")
+    if base is None:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="fieldstats-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -50,6 +69,19 @@ def read_survey(spark, sf_dir) -> DataFrame:
     return io.read_survey(spark, f"{sf_dir}/customer.parquet", CUSTOMER_SCHEMA, "parquet")
 
 
+def read_survey_csv(spark, sf_dir) -> DataFrame:
+    """Through a CSV file with gaps, in which one cell in seven is no number."""
+    path = shared_folder(spark)
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        "c_mktsegment",
+        F.when(F.col("c_custkey") % 7 == 0, F.lit("n.d.")).when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal").cast("string")).alias("c_acctbal"),
+    )
+    io.write_table(rows, path)
+    back = io.read_survey(spark, path, "c_custkey bigint, c_mktsegment string, c_acctbal double", bad_cells="keep")
+    return back.select("c_custkey", "c_mktsegment", "c_acctbal", F.col("_bad_line").isNotNull().alias("bad"))
+
+
 def write_table(spark, sf_dir) -> DataFrame:
     path = shared_folder(spark)
     rows = read_survey(spark, sf_dir).withColumn(
@@ -80,11 +112,7 @@ def preview_last(spark, sf_dir) -> DataFrame:
 
 
 def table_schema(spark, sf_dir) -> DataFrame:
-    return io.table_schema(
-        gappy_lineitem(spark, sf_dir).select(
-            "l_orderkey", "l_linenumber", "l_discount", "l_tax", "l_returnflag"
-        )
-    )
+    return io.table_schema(gappy_lineitem(spark, sf_dir).select(*LINE_TYPES))
 
 
 def select_cols(spark, sf_dir) -> DataFrame:
@@ -187,6 +215,7 @@ def long_twice(spark, sf_dir) -> DataFrame:
 
 QUERIES = {
     "read_survey": read_survey,
+    "read_survey_csv": read_survey_csv,
     "write_table": write_table,
     "lookup_table": lookup_table,
     "preview": preview,
@@ -231,13 +260,10 @@ ORACLES = {
     "preview": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 5",
     "preview_last": """SELECT o_orderkey, o_custkey, o_totalprice FROM orders
       ORDER BY o_orderkey DESC LIMIT 5""",
-    "table_schema": f"""WITH {GAPPY}
-      SELECT 0 AS position, 'l_orderkey' AS column_name, 'bigint' AS data_type,
-             count(l_orderkey) AS non_null FROM gappy
-      UNION ALL SELECT 1, 'l_linenumber', 'int', count(l_linenumber) FROM gappy
-      UNION ALL SELECT 2, 'l_discount', 'double', count(l_discount) FROM gappy
-      UNION ALL SELECT 3, 'l_tax', 'double', count(l_tax) FROM gappy
-      UNION ALL SELECT 4, 'l_returnflag', 'string', count(l_returnflag) FROM gappy""",
+    "table_schema": f"WITH {GAPPY} " + " UNION ALL ".join(
+        f"SELECT {i} AS position, '{c}' AS column_name, '{t}' AS data_type, count({c}) AS non_null FROM gappy"
+        for i, (c, t) in enumerate(LINE_TYPES.items())
+    ),
     "select_cols": "SELECT o_orderkey, o_totalprice FROM orders",
     "drop_cols": "SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders",
     "select_range": """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity,
@@ -276,3 +302,5 @@ ORACLES = {
       SELECT o_orderkey, variable, value, 'o_orderstatus' AS label, o_orderstatus AS category FROM m
       UNION ALL SELECT o_orderkey, variable, value, 'o_orderpriority', o_orderpriority FROM m""",
 }
+ORACLES["read_survey_csv"] = """SELECT c_custkey, c_mktsegment,
+  CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 THEN c_acctbal END AS c_acctbal, c_custkey % 7 = 0 AS bad FROM customer"""

@@ -23,9 +23,11 @@ def utm_to_latlon(spark, sf_dir) -> DataFrame:
 
 
 def henry_coefficient(spark, sf_dir) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select("l_quantity").distinct()
+    lines = table(spark, sf_dir, "lineitem")
     return rounded(
         lines.select(
+            "l_orderkey",
+            "l_linenumber",
             "l_quantity", *[D.henry_coefficient("l_quantity", g).alias(f"h_{g}") for g in GASES]
         ),
         4,
@@ -171,7 +173,7 @@ ORACLES = {
         "500000.0::DOUBLE + (c_custkey % 1201 - 600) * 100",
         "9600000.0::DOUBLE + (c_custkey % 997) * 150",
     ),
-    "henry_coefficient": "SELECT DISTINCT l_quantity, "
+    "henry_coefficient": "SELECT l_orderkey, l_linenumber, l_quantity, "
     + ", ".join(f'round({henry_sql("l_quantity", g)}, 4) AS "h_{g}"' for g in GASES)
     + " FROM lineitem",
     "headspace_gas": "SELECT o_orderkey, round(o_totalprice * 1e-6::DOUBLE * 2, 9) AS cg FROM orders",

@@ -25,6 +25,7 @@ from catalog.statistics import (
     _R,
     _TESTED,
     dunn_sql,
+    normal_upper_sql,
     pairs_sql,
     rank_groups_sql,
     spearman_sql,
@@ -48,8 +49,7 @@ def flow_clean(spark, sf_dir) -> DataFrame:
         (F.lit(500000.0) + (F.col("c_custkey") % 1201 - 600) * 100).alias("x"),
         (F.lit(9600000.0) + (F.col("c_custkey") % 997) * 150).alias("y"),
     )
-    clean = P.flow_clean(located, "x", "y", drop=["c_name", "x", "y"])
-    return rounded(clean.withColumn("c_custkey", F.col("c_custkey").cast("long")))
+    return rounded(P.flow_clean(located, "x", "y", drop=["c_name", "x", "y"], keys=["c_custkey"]))
 
 
 def flow_dissolved(spark, sf_dir) -> DataFrame:
@@ -133,14 +133,29 @@ def flow_oxygen_by_index(spark, sf_dir) -> DataFrame:
     return rounded(P.flow_oxygen_by_index(survey(spark, sf_dir), "DO", INDEXES))
 
 
+def flow_dissolved_by_index_kruskal(spark, sf_dir) -> DataFrame:
+    return rounded(P.dissolved_index_kruskal(survey(spark, sf_dir), INDEXES, DISSOLVED))
+
+
+def flow_dissolved_by_landuse_kruskal(spark, sf_dir) -> DataFrame:
+    return rounded(P.dissolved_landuse_kruskal(survey(spark, sf_dir), BANKS, DISSOLVED))
+
+
+def _boxes(flow, labels, columns, **options):
+    def query(spark, sf_dir) -> DataFrame:
+        boxes = flow(survey(spark, sf_dir), labels, columns, **options)
+        # Many of these quartiles end in a five at the last digit that is compared.
+        stats = ("q1", "median", "q3", "mean", "whisker_low", "whisker_high")
+        return rounded(boxes.withColumns({c: F.col(c) + 1e-9 for c in stats}))
+
+    return query
+
+
 def _features(gas: str):
     def query(spark, sf_dir) -> DataFrame:
-        rows = survey(spark, sf_dir)
-        # No site of the demo is of the best class or next to a factory.
-        rows = rows.filter((F.col("prati") != "Good Quality") | F.col("prati").isNull())
-        rows = rows.withColumn("lb", F.when(F.col("lb") != "Factory", F.col("lb"))).withColumn(
-            "rb", F.when(F.col("rb") != "Factory", F.col("rb"))
-        )
+        # No site of the demo is next to a factory: that class is recoded to mines.
+        uses = {c: F.when(F.col(c) == "Factory", "Mining").otherwise(F.col(c)) for c in ("lb", "rb")}
+        rows = survey(spark, sf_dir).withColumns(uses)
         return rounded(P.feature_table(rows, gas, FEATURES, "prati", ["lb", "rb"], DISSOLVED[gas]))
 
     return query
@@ -206,6 +221,20 @@ QUERIES = {
     "flow_dissolved_by_landuse": flow_dissolved_by_landuse,
     "flow_dissolved_by_landuse_totals": flow_dissolved_by_landuse_totals,
     "flow_dissolved_by_landuse_tests": flow_dissolved_by_landuse_tests,
+    "flow_dissolved_by_index_kruskal": flow_dissolved_by_index_kruskal,
+    "flow_dissolved_by_landuse_kruskal": flow_dissolved_by_landuse_kruskal,
+    "flow_flux_by_river_boxes": _boxes(P.boxes_by_river, "river", FLUX, order=list(AREAS)),
+    "flow_flux_by_river_boxes_co2eq": _boxes(
+        P.boxes_by_river, "river", FLUX, co2_equivalent=True, order=list(AREAS)
+    ),
+    "flow_flux_by_index_boxes": _boxes(P.boxes_by_index, INDEXES, FLUX),
+    "flow_flux_by_landuse_boxes": _boxes(P.boxes_by_landuse, BANKS, FLUX),
+    "flow_flux_by_bank_boxes": _boxes(P.boxes_by_landuse, BANKS, FLUX, by_bank=True),
+    "flow_dissolved_by_river_boxes": _boxes(
+        P.boxes_by_river, "river", DISSOLVED, dissolved=True, order=list(AREAS)
+    ),
+    "flow_dissolved_by_index_boxes": _boxes(P.boxes_by_index, INDEXES, DISSOLVED, dissolved=True),
+    "flow_dissolved_by_landuse_boxes": _boxes(P.boxes_by_landuse, BANKS, DISSOLVED, dissolved=True),
     "flow_oxygen_by_index": flow_oxygen_by_index,
     "feature_table": _features("CO2"),
     "feature_table_ch4": _features("CH4"),
@@ -302,8 +331,8 @@ def _feature_sql(gas: str) -> str:
     )
     return f"""WITH {SURVEY},
       r AS (SELECT {cols}, {DISSOLVED[gas]} AS target, prati,
-              CASE WHEN lb <> 'Factory' THEN lb END AS lb, CASE WHEN rb <> 'Factory' THEN rb END AS rb
-            FROM survey WHERE prati <> 'Good Quality' OR prati IS NULL),
+              CASE lb WHEN 'Factory' THEN 'Mining' ELSE lb END AS lb,
+              CASE rb WHEN 'Factory' THEN 'Mining' ELSE rb END AS rb FROM survey),
       q AS (SELECT r.*, w.wqi FROM r RIGHT JOIN (VALUES {wqi}) w(prati, wqi) ON r.prati = w.prati),
       b AS (SELECT * EXCLUDE (lb, rb), lb AS use FROM q UNION ALL SELECT * EXCLUDE (lb, rb), rb FROM q)
       SELECT {out}, wqi AS "WQI", land AS "Land", round(target, 6) AS "{gas}"
@@ -321,7 +350,54 @@ _FILLED = """filled AS (SELECT site, coalesce(t_w, (SELECT avg(t_w) FROM survey)
     coalesce(ppm_ch4, (SELECT avg(ppm_ch4) FROM survey)) AS ppm_ch4,
     coalesce(ppm_co2, (SELECT avg(ppm_co2) FROM survey)) AS ppm_co2 FROM survey)"""
 
+def _h_sql(keys: str, source: str, group: str) -> str:
+    on = " AND ".join(f"g.{k.strip()} = m.{k.strip()}" for k in keys.split(","))
+    own = ", ".join(f"g.{k.strip()}" for k in keys.split(","))
+    p = f"""CASE k - 1 WHEN 2 THEN exp(-h / 2) WHEN 4 THEN exp(-h / 2) * (1 + h / 2)
+      WHEN 3 THEN 2 * ({normal_upper_sql("sqrt(h)")}) + sqrt(2 * h / pi()) * exp(-h / 2) END"""
+    return f"""{rank_groups_sql(source, keys, group, "v")},
+      h AS (SELECT {own}, any_value(nn) AS nn, count(*) AS k,
+              12 / (any_value(nn) * (any_value(nn) + 1))
+                * sum(n * (rs / n - (nn + 1) / 2) * (rs / n - (nn + 1) / 2))
+                / (1 - any_value(tie) / (any_value(nn)**3 - any_value(nn))) AS h
+            FROM g JOIN m ON {on} GROUP BY {own})
+      SELECT {keys}, CAST(nn AS BIGINT) AS n, k, round(h, 6) AS h, k - 1 AS df, round({p}, 6) AS p FROM h"""
+
+
+def _box_query(keys: str, source: str, ordered: str, levels: list[str]) -> str:
+    return f"""WITH {SURVEY}, long AS ({source}), b AS (SELECT * FROM {box_sql("long", f"{keys}, gas", "v", " + 1e-9::DOUBLE")})
+      SELECT b.*, CAST(list_position({levels!r}, {ordered}) AS INTEGER) AS ord FROM b"""
+
+
+_FLUX_GWP = {g: f"({e}) * {K.GWP[g]!r}::DOUBLE" for g, e in _FLUX_MG.items()}
+_CLASSES = K.PRATI_LEVELS + K.OREGON_LEVELS
+
+
+def _river_boxes(measures: dict[str, str]) -> str:
+    source = " UNION ALL ".join(f"SELECT '{g}' AS gas, {e} AS v, river FROM survey" for g, e in measures.items())
+    return _box_query("river", source, "river", list(AREAS))
+
+
+def _use_boxes(measures: dict[str, str], keys: str = "land_use") -> str:
+    source = f"SELECT gas, v, wqi AS bank, {_USE} AS land_use FROM ({_long(measures, BANKS)})"
+    return _box_query(keys, source, "land_use", K.LAND_USE_LEVELS)
+
+
 ORACLES = {
+    "flow_dissolved_by_index_kruskal": f"""WITH {SURVEY}, long AS (
+        SELECT gas, v, wqi, {_CLASS} AS class FROM ({_long(_DISSOLVED, INDEXES)})),
+      {_h_sql("wqi, gas", "long", "class")}""",
+    "flow_dissolved_by_landuse_kruskal": f"""WITH {SURVEY}, long AS (
+        SELECT gas, v, {_USE} AS land_use FROM ({_long(_DISSOLVED, BANKS)})),
+      {_h_sql("gas", "long", "land_use")}""",
+    "flow_flux_by_river_boxes": _river_boxes(_FLUX_MG),
+    "flow_flux_by_river_boxes_co2eq": _river_boxes(_FLUX_GWP),
+    "flow_flux_by_index_boxes": _box_query("wqi, label", _long(_FLUX_MG, INDEXES), "label", _CLASSES),
+    "flow_flux_by_landuse_boxes": _use_boxes(_FLUX_MG),
+    "flow_flux_by_bank_boxes": _use_boxes(_FLUX_MG, "bank, land_use"),
+    "flow_dissolved_by_river_boxes": _river_boxes(_DISSOLVED),
+    "flow_dissolved_by_index_boxes": _box_query("wqi, label", _long(_DISSOLVED, INDEXES), "label", _CLASSES),
+    "flow_dissolved_by_landuse_boxes": _use_boxes(_DISSOLVED),
     "flow_clean": f"""SELECT u.c_custkey, round(coalesce(CASE WHEN u.c_custkey % 7 <> 0 THEN c_acctbal END,
         (SELECT avg(c_acctbal) FROM customer WHERE c_custkey % 7 <> 0)), 6) AS balance,
       lat AS latitude, lon AS longitude

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from catalog.common import GAPPY, gappy_lineitem, rounded
 from fieldstats.operators import missing as M
+from fieldstats.operators.summary import symbol_size
 
 COLS = ["l_quantity", "l_discount", "l_tax"]
 
@@ -29,16 +31,51 @@ def impute_mean(spark, sf_dir) -> DataFrame:
     return rounded(M.impute_mean(rows, ["l_discount", "l_tax"]))
 
 
+def _with_nan(spark, sf_dir) -> DataFrame:
+    """NaN where the other queries have null."""
+    rows = gappy_lineitem(spark, sf_dir)
+    return rows.withColumns({c: F.coalesce(F.col(c), F.lit(float("nan"))) for c in ("l_discount", "l_tax")})
+
+
+def missing_share_nan(spark, sf_dir) -> DataFrame:
+    return rounded(M.missing_share(_with_nan(spark, sf_dir), COLS))
+
+
+def missing_pattern_nan(spark, sf_dir) -> DataFrame:
+    return M.missing_pattern(_with_nan(spark, sf_dir), COLS)
+
+
+def margin_summary_nan(spark, sf_dir) -> DataFrame:
+    return rounded(M.margin_summary(_with_nan(spark, sf_dir), "l_discount", "l_tax"))
+
+
+def impute_mean_nan(spark, sf_dir) -> DataFrame:
+    rows = _with_nan(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_discount", "l_tax", "l_returnflag")
+    return rounded(M.impute_mean(rows, keep=["l_orderkey", "l_linenumber"]))
+
+
+def symbol_size_nan(spark, sf_dir) -> DataFrame:
+    rows = _with_nan(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_tax")
+    return rounded(symbol_size(rows, ["l_tax"]).drop("l_tax"))
+
+
 QUERIES = {
     "missing_pattern": missing_pattern,
     "missing_share": missing_share,
     "margin_summary": margin_summary,
     "impute_mean": impute_mean,
+    "missing_pattern_nan": missing_pattern_nan,
+    "missing_share_nan": missing_share_nan,
+    "margin_summary_nan": margin_summary_nan,
+    "impute_mean_nan": impute_mean_nan,
+    "symbol_size_nan": symbol_size_nan,
 }
 
 
-def box_sql(source: str, groups: str, value: str) -> str:
-    """Box statistics by ``quantile_cont``; ``source`` is a table expression."""
+def box_sql(source: str, groups: str, value: str, nudge: str = "") -> str:
+    """Box statistics by ``quantile_cont``; ``source`` is a table expression.
+
+    ``nudge`` is added before rounding, where values end in a five too often."""
     g = [x.strip() for x in groups.split(",")]
     on = " AND ".join(f"r.{x} = q.{x}" for x in g)
     cols = ", ".join(f"q.{x}" for x in g)
@@ -48,11 +85,11 @@ def box_sql(source: str, groups: str, value: str) -> str:
       q AS (SELECT {groups}, count(*) AS n, quantile_cont({value}, 0.25) AS q1,
                    quantile_cont({value}, 0.5) AS median, quantile_cont({value}, 0.75) AS q3,
                    avg({value}) AS mean FROM r GROUP BY {groups})
-      SELECT {cols}, any_value(q.n) AS n, round(any_value(q.q1), 6) AS q1,
-        round(any_value(q.median), 6) AS median, round(any_value(q.q3), 6) AS q3,
-        round(any_value(q.mean), 6) AS mean,
-        round(min(CASE WHEN {inside} THEN r.{value} END), 6) AS whisker_low,
-        round(max(CASE WHEN {inside} THEN r.{value} END), 6) AS whisker_high,
+      SELECT {cols}, any_value(q.n) AS n, round(any_value(q.q1){nudge}, 6) AS q1,
+        round(any_value(q.median){nudge}, 6) AS median, round(any_value(q.q3){nudge}, 6) AS q3,
+        round(any_value(q.mean){nudge}, 6) AS mean,
+        round(min(CASE WHEN {inside} THEN r.{value} END){nudge}, 6) AS whisker_low,
+        round(max(CASE WHEN {inside} THEN r.{value} END){nudge}, 6) AS whisker_high,
         CAST(sum(CASE WHEN {inside} THEN 0 ELSE 1 END) AS BIGINT) AS n_outliers
       FROM r JOIN q ON {on} GROUP BY {cols})"""
 
@@ -84,3 +121,7 @@ ORACLES = {
         round(coalesce(l_discount, (SELECT avg(l_discount) FROM gappy)), 6) AS l_discount,
         round(coalesce(l_tax, (SELECT avg(l_tax) FROM gappy)), 6) AS l_tax, l_returnflag FROM gappy""",
 }
+ORACLES |= {f"{k}_nan": ORACLES[k] for k in ("missing_pattern", "missing_share", "margin_summary", "impute_mean")}
+ORACLES["symbol_size_nan"] = f"""WITH {GAPPY}
+  SELECT l_orderkey, l_linenumber,
+    round(60 * sqrt(l_tax) / sqrt((SELECT max(l_tax) FROM gappy)), 6) AS l_tax_size FROM gappy"""

@@ -42,9 +42,10 @@ def inner_on_keys(spark, sf_dir) -> DataFrame:
 
 def align_by_key(spark, sf_dir) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
+    spent = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines"))
     return J.align_by_key(
         orders.select("o_orderkey", "o_totalprice"),
-        orders.select("o_orderkey", "o_orderstatus").filter(F.col("o_orderstatus") != "P"),
+        spent.withColumnRenamed("l_orderkey", "o_orderkey"),
         "o_orderkey",
     )
 
@@ -67,6 +68,6 @@ ORACLES = {
     "inner_on_keys": """SELECT o_custkey AS custkey, round(avg(o_totalprice), 6) AS amount_x,
       round(any_value(c_acctbal), 6) AS amount_y
       FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey""",
-    "align_by_key": """SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders
-      WHERE o_orderstatus <> 'P'""",
+    "align_by_key": """SELECT o_orderkey, o_totalprice, n_lines FROM orders
+      JOIN (SELECT l_orderkey, count(*) AS n_lines FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey""",
 }

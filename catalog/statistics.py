@@ -12,6 +12,11 @@ from fieldstats.operators import correlation as C
 from fieldstats.operators import ranks as R
 from fieldstats.operators.columns import significant_only
 
+# Small enough for dozens of segments on the test tables.
+SEGMENT_ROWS = 100
+CODES = {"l_quantity": 1, "l_extendedprice": 1, "l_discount": 100, "l_tax": 100}
+
+
 def corr_pairs(spark, sf_dir) -> DataFrame:
     return rounded(C.corr_pairs(gappy_lineitem(spark, sf_dir), VARIABLES))
 
@@ -28,6 +33,19 @@ def corr_test(spark, sf_dir) -> DataFrame:
     return rounded(C.corr_test(C.corr_pairs(gappy_lineitem(spark, sf_dir), VARIABLES)), t=4)
 
 
+def corr_pairs_spearman_coded(spark, sf_dir) -> DataFrame:
+    """Coded measures with gaps: many rows are equal but for what is missing."""
+    coded = {c: F.floor(F.col(c) * k) % 3 for c, k in CODES.items()}
+    rows = gappy_lineitem(spark, sf_dir).withColumns(coded)
+    rows = rows.withColumn("l_quantity", F.when(F.col("l_partkey") % 5 != 0, F.col("l_quantity")))
+    return rounded(C.corr_pairs(rows, VARIABLES, "spearman"))
+
+
+def corr_pairs_spearman_segmented(spark, sf_dir) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    return rounded(C.corr_pairs(lines, VARIABLES, "spearman", rows_per_segment=SEGMENT_ROWS))
+
+
 def corr_significant(spark, sf_dir) -> DataFrame:
     # At the tests' scale some of these pairs pass and some do not.
     return rounded(C.corr_significant(gappy_lineitem(spark, sf_dir), VARIABLES, alpha=0.5))
@@ -55,6 +73,16 @@ def dunn_test(spark, sf_dir) -> DataFrame:
     return rounded(R.dunn_test(_strata(spark, sf_dir), ["stratum"], "event_type", "value"))
 
 
+def kruskal_wallis_segmented(spark, sf_dir) -> DataFrame:
+    rows = _strata(spark, sf_dir)
+    return rounded(R.kruskal_wallis(rows, ["stratum"], "event_type", "value", rows_per_segment=SEGMENT_ROWS))
+
+
+def dunn_test_segmented(spark, sf_dir) -> DataFrame:
+    rows = _strata(spark, sf_dir)
+    return rounded(R.dunn_test(rows, ["stratum"], "event_type", "value", rows_per_segment=SEGMENT_ROWS))
+
+
 def significant(spark, sf_dir) -> DataFrame:
     tests = R.dunn_test(_strata(spark, sf_dir), ["stratum"], "event_type", "value")
     return rounded(significant_only(tests, "p", 0.3))
@@ -64,6 +92,10 @@ QUERIES = {
     "corr_pairs": corr_pairs,
     "corr_pairs_spearman": corr_pairs_spearman,
     "corr_pairs_spearman_gaps": corr_pairs_spearman_gaps,
+    "corr_pairs_spearman_coded": corr_pairs_spearman_coded,
+    "corr_pairs_spearman_segmented": corr_pairs_spearman_segmented,
+    "kruskal_wallis_segmented": kruskal_wallis_segmented,
+    "dunn_test_segmented": dunn_test_segmented,
     "corr_test": corr_test,
     "corr_significant": corr_significant,
     "corr_significant_mixed": corr_significant_mixed,
@@ -182,9 +214,12 @@ ORACLES = {
       FROM sp JOIN tested USING (var_x, var_y) WHERE p <= 0.5""",
     "pair_regression": f"""WITH {GAPPY}, fit AS ({pairs_sql("gappy",
         "CAST(regr_count({y}, {x}) AS BIGINT) AS n, regr_slope({y}, {x}) AS slope, "
-        "regr_intercept({y}, {x}) AS intercept, regr_r2({y}, {x}) AS r2")})
+        "regr_intercept({y}, {x}) AS intercept, regr_r2({y}, {x}) AS r2, "
+        "regr_sxx({y}, {x}) AS sxx, "
+        "sqrt(greatest(0, regr_syy({y}, {x}) - regr_sxy({y}, {x}) ** 2 / regr_sxx({y}, {x})) "
+        "/ (regr_count({y}, {x}) - 2)) AS res")})
       SELECT var_x, var_y, n, round(slope, 5) AS slope, round(intercept, 5) AS intercept,
-        round(r2, 5) AS r2 FROM fit""",
+        round(r2, 5) AS r2, round(res, 5) AS residual_sd, round(res / sqrt(sxx), 5) AS slope_se FROM fit""",
     "kruskal_wallis": f"""WITH {STRATA}, {rank_groups_sql("s", "stratum", "event_type", "value")},
       h AS (SELECT g.stratum, any_value(nn) AS nn, count(*) AS k,
               (12 / (any_value(nn) * (any_value(nn) + 1)) * sum(rs * rs / n) - 3 * (any_value(nn) + 1))
@@ -197,3 +232,11 @@ ORACLES = {
     "significant_only": f"""WITH {STRATA}, {rank_groups_sql("s", "stratum", "event_type", "value")},
       {dunn_sql("stratum")} SELECT stratum, {DUNN_COLUMNS} FROM dunn WHERE p <= 0.3""",
 }
+ORACLES["corr_pairs_spearman_segmented"] = ORACLES["corr_pairs_spearman"]
+ORACLES["kruskal_wallis_segmented"] = ORACLES["kruskal_wallis"]
+ORACLES["dunn_test_segmented"] = ORACLES["dunn_test"]
+ORACLES["corr_pairs_spearman_coded"] = f"""WITH {GAPPY}, coded AS (SELECT
+      {", ".join(f"CAST(floor({c} * {k}) AS BIGINT) % 3 AS {c}" for c, k in CODES.items() if c != "l_quantity")},
+      CASE WHEN l_partkey % 5 <> 0 THEN CAST(floor(l_quantity * {CODES["l_quantity"]}) AS BIGINT) % 3 END AS l_quantity
+      FROM gappy), sp AS ({spearman_sql("coded")})
+    SELECT var_x, var_y, n, round(r, 6) AS r FROM sp"""

@@ -63,18 +63,23 @@ def upper_gamma(a: Column, x: Column) -> Column:
     return _let(a, lambda a: _let(x, lambda x: tail(x, a)))
 
 
-def _beta_fraction(x: Column, a: Column, b: Column) -> Column:
+def _fraction(x: Column, a: Column, b: Column, terms: Column) -> Column:
+    """The continued fraction of the incomplete beta function, after ``terms`` terms."""
+
     def term(s: Column, j: Column) -> Column:
         m = F.floor(j / 2).cast("double")
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         return F.when(j % 2 == 0, even).otherwise(odd) / (F.lit(1.0) + s)
 
+    return F.lit(1.0) / (F.lit(1.0) + F.aggregate(_countdown(terms), F.lit(0.0), term))
+
+
+def _beta_fraction(x: Column, a: Column, b: Column) -> Column:
     log_front = (
         a * F.log(x) + b * F.log1p(-x) + log_gamma(a + b) - log_gamma(a) - log_gamma(b)
     )
-    tail = F.aggregate(_countdown(_terms(F.greatest(a, b))), F.lit(0.0), term)
-    return F.exp(log_front) / a / (F.lit(1.0) + tail)
+    return F.exp(log_front) / a * _fraction(x, a, b, _terms(F.greatest(a, b)))
 
 
 def lower_beta(x: Column, a: Column, b: Column) -> Column:
@@ -108,28 +113,35 @@ def chi_square_upper(x: Column, df: Column) -> Column:
     return upper_gamma(df / 2, x / 2)
 
 
-def _hill(t: Column, df: Column) -> Column:
-    a = df - F.lit(0.5)
-    b = F.lit(48.0) * a * a
-
-    def deviate(y: Column) -> Column:
-        top = ((F.lit(-0.4) * y - 3.3) * y - 24) * y - 85.5
-        return ((top / (F.lit(0.8) * y * y + 100 + b) + y + 3) / b + 1) * F.sqrt(y)
-
-    return _let(a * F.log1p(t * t / df), deviate)
+def _log_half_step(a: Column) -> Column:
+    """log Gamma(a + 1/2) - log Gamma(a) without the difference of two large numbers."""
+    shift = F.lit(0.0)
+    for j in range(8):
+        shift = shift + F.log1p(F.lit(0.5) / (a + F.lit(float(j))))
+    z = a + F.lit(8.0)
+    z2 = z * z
+    tail = (F.lit(1 / 8) - (F.lit(1 / 192) - (F.lit(1 / 640) - F.lit(17 / 14336) / z2) / z2) / z2) / z
+    return F.lit(0.5) * F.log(z) - tail - shift
 
 
 def student_two_sided(t: Column, df: Column) -> Column:
     """P(|T| >= |t|) for Student's t with ``df`` degrees of freedom.
 
-    Above 100,000 degrees of freedom t is first mapped to a normal deviate with
-    Hill's expansion (CACM algorithm 395), because the beta fraction would need
-    ever more terms.
+    The incomplete beta function written in the ratio t^2 / df. With one parameter at
+    1/2 its continued fraction is as short for many degrees of freedom as for few. The
+    relative error grows with them, to about 1e-8 at 1e8 and 1e-4 at 1e12.
     """
+    half, terms = F.lit(0.5), F.lit(400)
 
-    def tail(t: Column) -> Column:
-        return F.when(df > 100000, F.lit(2.0) * normal_upper(_hill(t, df))).otherwise(
-            lower_beta(df / (df + t * t), df / 2, F.lit(0.5))
+    def tail(ratio: Column, a: Column) -> Column:
+        x, y = F.lit(1.0) / (F.lit(1.0) + ratio), ratio / (F.lit(1.0) + ratio)
+        front = F.exp(
+            -(a + half) * F.log1p(ratio) + half * F.log(ratio) + _log_half_step(a) - F.lit(math.lgamma(0.5))
+        )
+        return (
+            F.when(ratio <= 0, F.lit(1.0))
+            .when(x < (a + 1) / (a + F.lit(2.5)), front / a * _fraction(x, a, half, terms))
+            .otherwise(F.lit(1.0) - front / half * _fraction(y, half, a, terms))
         )
 
-    return _let(t, tail)
+    return _let(t * t / df, lambda ratio: _let(df / 2, lambda a: tail(ratio, a)))

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from fieldstats.functions.domain import by_key
 from fieldstats.functions.tails import student_two_sided
-from fieldstats.operators.joins import hot_keys, salted_join
+from fieldstats.operators.joins import join_stats
 from fieldstats.operators.positions import ROWS_PER_SEGMENT, locate, number
 from fieldstats.operators.ranks import rank_table
-from fieldstats.sources.io import lookup_table
 
 
 def _pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
@@ -37,62 +36,63 @@ def _profile(data: DataFrame, cols: Sequence[str]) -> tuple[int, set[str], dict[
     return row[0], gappy, {c: m or 0.0 for c, m in zip(cols, means)}
 
 
-def _pair_sums(
-    data: DataFrame,
-    cols: Sequence[str],
-    gappy: set[str],
-    wanted: Sequence[tuple[str, str, str, str]],
-    weight: str | None = None,
-) -> DataFrame:
-    """Sums behind correlation and regression for pairs of columns.
+def _pair_sums(data: DataFrame, cols: Sequence[str], gappy: set[str]) -> DataFrame:
+    """Sums behind correlation and regression for all pairs of columns.
 
-    ``wanted`` lists (column x, column y, var_x, var_y). Each row becomes one row per
-    column, next to all columns, and is summed in place: the partial aggregate keeps
-    one line per column, so nothing but those lines is shuffled, and the number of
-    sums grows with the columns, not with their pairs. Columns should be centred.
+    Each row becomes one row per column, next to all columns, and is summed in place:
+    the partial aggregate keeps one line per column, so nothing but those lines is
+    shuffled, and the number of sums grows with the columns, not with their pairs.
+    Columns should be centred.
     """
-    at = {c: i for i, c in enumerate(cols)}
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    cols = sorted(cols)
     x = F.col("_x")
-    keep = [F.col(f"`{c}`").alias(f"_c{i}") for c, i in at.items()]
-    lines = F.array(*[F.struct(F.lit(i).alias("_i"), F.col(f"`{c}`").alias("_x")) for c, i in at.items()])
-    long = data.select(*keep, w.alias("_w"), F.inline(lines)).filter(x.isNotNull())
+    keep = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(cols)]
+    lines = F.array(*[F.struct(F.lit(i).alias("_i"), F.col(f"`{c}`").alias("_x")) for i, c in enumerate(cols)])
+    long = data.select(*keep, F.inline(lines)).filter(x.isNotNull())
     names = ("n", "sx", "sxx", "lo", "hi")
 
-    def own(v: Column, w: Column) -> list[Column]:
-        return [F.sum(w), F.sum(w * v), F.sum(w * v * v), F.min(v), F.max(v)]
+    def own(v: Column) -> list[Column]:
+        return [F.count(v).cast("double"), F.sum(v), F.sum(v * v), F.min(v), F.max(v)]
 
-    aggs = [c.alias(f"{k}_all") for k, c in zip(names, own(x, F.col("_w")))]
-    for c, j in at.items():
-        aggs.append(F.sum(F.col("_w") * x * F.col(f"_c{j}")).alias(f"sxy_{j}"))
+    aggs = [c.alias(f"{k}_all") for k, c in zip(names, own(x))]
+    for j, c in enumerate(cols):
+        aggs.append(F.sum(x * F.col(f"_c{j}")).alias(f"sxy_{j}"))
         if c in gappy:
-            here = F.col(f"_c{j}").isNotNull()
-            mine = own(F.when(here, x), F.when(here, F.col("_w")))
-            aggs += [v.alias(f"{k}_{j}") for k, v in zip(names, mine)]
+            aggs += [v.alias(f"{k}_{j}") for k, v in zip(names, own(F.when(F.col(f"_c{j}").isNotNull(), x)))]
     partners = [
         F.struct(
             F.lit(j).alias("_j"),
             *[F.col(f"{k}_{j if c in gappy else 'all'}").alias(k) for k in names],
             F.col(f"sxy_{j}").alias("sxy"),
         )
-        for c, j in at.items()
+        for j, c in enumerate(cols)
     ]
     sums = long.groupBy("_i").agg(*aggs).select("_i", F.inline(F.array(*partners)))
     # Bring (x, y) and (y, x) together; pairs without a common row stay, with n = 0.
-    table = lookup_table(
-        data.sparkSession,
-        [(at[x], at[y], vx, vy, 0) for x, y, vx, vy in wanted]
-        + [(at[y], at[x], vx, vy, 1) for x, y, vx, vy in wanted],
-        "_i int, _j int, var_x string, var_y string, _side int",
-    )
-    joined = table.join(sums, ["_i", "_j"], "left")
-    first, second = F.col("_side") == 0, F.col("_side") == 1
-    picked = joined.groupBy("var_x", "var_y").agg(
-        F.coalesce(F.max(F.when(first, F.col("n"))), F.lit(0.0)).alias("n"),
-        F.max(F.when(first, F.col("sxy"))).alias("sxy"),
-        *[F.max(F.when(first, F.col(k))).alias(f"{k}1") for k in names[1:]],
-        *[F.max(F.when(second, F.col(k))).alias(f"{k}2") for k in names[1:]],
+    first, second = F.col("_i") < F.col("_j"), F.col("_i") > F.col("_j")
+    low, high = F.least("_i", "_j").alias("_a"), F.greatest("_i", "_j").alias("_b")
+    picked = (
+        sums.filter(F.col("_i") != F.col("_j"))
+        .groupBy(low, high)
+        .agg(
+            F.max(F.when(first, F.col("n"))).alias("n"),
+            F.max(F.when(first, F.col("sxy"))).alias("sxy"),
+            *[F.max(F.when(first, F.col(k))).alias(f"{k}1") for k in names[1:]],
+            *[F.max(F.when(second, F.col(k))).alias(f"{k}2") for k in names[1:]],
+        )
     )
+    return _spreads(_all_pairs(data, len(cols)).join(picked, ["_a", "_b"], "left"), cols)
+
+
+def _all_pairs(data: DataFrame, k: int) -> DataFrame:
+    """The numbers (_a, _b), _a < _b, of all pairs of ``k`` columns."""
+    number = data.sparkSession.range(k * k)
+    a, b = F.floor(F.col("id") / k).cast("int"), (F.col("id") % k).cast("int")
+    return number.select(a.alias("_a"), b.alias("_b")).filter(F.col("_a") < F.col("_b"))
+
+
+def _spreads(sums: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Means, sums of squares and of products around the means, by column names."""
     n = F.nullif(F.col("n"), F.lit(0.0))
 
     def spread(side: int) -> Column:
@@ -101,10 +101,11 @@ def _pair_sums(
         around = F.col(f"sxx{side}") - F.col(f"sx{side}") * F.col(f"sx{side}") / n
         return F.when(flat, F.lit(0.0)).otherwise(around)
 
-    return picked.select(
-        "var_x",
-        "var_y",
-        F.col("n").cast("long").alias("n"),
+    names = F.array(*[F.lit(c) for c in cols])
+    return sums.select(
+        F.get(names, F.col("_a")).alias("var_x"),
+        F.get(names, F.col("_b")).alias("var_y"),
+        F.coalesce("n", F.lit(0.0)).cast("long").alias("n"),
         (F.col("sx1") / n).alias("mean_x"),
         (F.col("sx2") / n).alias("mean_y"),
         spread(1).alias("ss_x"),
@@ -124,7 +125,7 @@ def _column_sums(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict[st
     data = _numbers(df, cols)
     _, gappy, means = _profile(data, cols)
     centred = data.select(*[(F.col(f"`{c}`") - F.lit(means[c])).alias(c) for c in cols])
-    return _pair_sums(centred, cols, gappy, [(x, y, x, y) for x, y in _pairs(cols)]), means
+    return _pair_sums(centred, cols, gappy), means
 
 
 def _pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -138,22 +139,28 @@ def _spearman(df: DataFrame, cols: Sequence[str], rows_per_segment: int) -> Data
 
     A column is ranked once for all partners that have no missing values, and once
     more for each partner that has: without gaps that is one ranking per column.
+    Equal rows become one row with a weight, told apart by two digests of the values
+    and of which of them are missing. Each row's ranks then meet as one list, and only
+    the pairs that are wanted are summed, in the map task.
     """
+    cols = sorted(cols)
     pairs = _pairs(cols)
     data = _numbers(df, cols)
-    total, gappy, _ = _profile(data, cols)
+    _, gappy, _ = _profile(data, cols)
     # Rankings: (column, partner that must be present or None).
     rankings = sorted(
         {(c, d if d in gappy else None) for x, y in pairs for c, d in ((x, y), (y, x))},
-        key=str,
+        key=lambda r: (cols.index(r[0]), -1 if r[1] is None else cols.index(r[1])),
     )
-    # Equal rows become one row with a weight. Its id is a digest of its values, so
-    # it is the same however often a task runs.
-    rows = data.groupBy(*cols).agg(F.count(F.lit(1)).alias("_w")).select(
-        F.xxhash64(*cols).alias("_id1"),
-        F.xxhash64(F.lit("second"), *cols).alias("_id2"),
+    at = {r: i for i, r in enumerate(rankings)}
+    values = [F.col(f"`{c}`") for c in cols]
+    # A hash skips what is missing, so that is hashed as well.
+    mask = F.concat(*[F.when(v.isNull(), "0").otherwise("1") for v in values])
+    rows = data.groupBy(*values).agg(F.count(F.lit(1)).alias("_w")).select(
+        F.xxhash64(mask, *values).alias("_id1"),
+        F.xxhash64(F.lit("second"), *values, mask).alias("_id2"),
         "_w",
-        *cols,
+        *values,
     )
     entries = []
     for i, (c, partner) in enumerate(rankings):
@@ -164,33 +171,36 @@ def _spearman(df: DataFrame, cols: Sequence[str], rows_per_segment: int) -> Data
     long = rows.select("_id1", "_id2", "_w", F.inline(F.array(*entries))).filter(
         F.col("_v").isNotNull()
     )
-    n_rows = total * len(rankings)
-    pos = locate(
-        long, ["_ranking"], "_v", weight="_w", n_rows=n_rows, rows_per_segment=rows_per_segment
-    )
+    pos = locate(long, ["_ranking"], "_v", weight="_w", rows_per_segment=rows_per_segment)
     centred = F.col("mid_rank") - (F.col("total") + F.lit(1)) / F.lit(2.0)
     ranks = rank_table(pos).select("_ranking", "_v", centred.alias("_rank"))
-    keys = ["_ranking", "_v"]
-    hot = hot_keys(pos.cells, keys, "n", F.lit(n_rows))
-    scored = salted_join(long, ranks, keys, ["_id1", "_id2"], hot)
-    wide = scored.groupBy("_id1", "_id2").agg(
-        F.max("_w").alias("_w"),
-        *[
-            F.max(F.when(F.col("_ranking") == i, F.col("_rank"))).alias(f"_r{i}")
-            for i in range(len(rankings))
-        ],
+    scored = join_stats(long, ranks, ["_ranking", "_v"]).groupBy("_id1", "_id2").agg(
+        F.max("_w").cast("double").alias("_w"),
+        F.map_from_entries(F.collect_list(F.struct("_ranking", "_rank"))).alias("_ranks"),
     )
-    # Both rankings of a pair cover the same rows, so no sum needs the other's gaps.
-    wanted = [
-        (
-            f"_r{rankings.index((x, y if y in gappy else None))}",
-            f"_r{rankings.index((y, x if x in gappy else None))}",
-            x,
-            y,
-        )
+    number = {c: i for i, c in enumerate(cols)}
+    rank_of = lambda c, d: F.try_element_at("_ranks", F.lit(at[c, d if d in gappy else None]))
+    lines = [
+        F.struct(F.lit(number[x]).alias("_a"), F.lit(number[y]).alias("_b"), rank_of(x, y).alias("_x"), rank_of(y, x).alias("_y"))
         for x, y in pairs
     ]
-    sums = _pair_sums(wide, [f"_r{i}" for i in range(len(rankings))], set(), wanted, "_w")
+    w, x, y = F.col("_w"), F.col("_x"), F.col("_y")
+    # Both rankings of a pair cover the same rows.
+    sums = (
+        scored.select("_w", F.inline(F.array(*lines)))
+        .filter(x.isNotNull() & y.isNotNull())
+        .groupBy("_a", "_b")
+        .agg(
+            F.sum(w).alias("n"),
+            F.sum(w * x * y).alias("sxy"),
+            *[
+                f.alias(f"{k}{side}")
+                for side, v in ((1, x), (2, y))
+                for k, f in (("sx", F.sum(w * v)), ("sxx", F.sum(w * v * v)), ("lo", F.min(v)), ("hi", F.max(v)))
+            ],
+        )
+    )
+    sums = _spreads(_all_pairs(df, len(cols)).join(sums, ["_a", "_b"], "left"), cols)
     r = _bounded_r(F.col("s_xy"), F.col("ss_x"), F.col("ss_y"))
     return sums.select("var_x", "var_y", "n", r.alias("r"))
 
@@ -248,9 +258,15 @@ def corr_significant(
 
 
 def pair_regression(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Straight line of ``var_y`` on ``var_x`` for every pair; none for a constant ``var_x``."""
+    """Straight line of ``var_y`` on ``var_x`` for every pair; none for a constant ``var_x``.
+
+    ``residual_sd`` and ``slope_se`` are what a confidence band is drawn from: at x its
+    half width is t * residual_sd * sqrt(1 / n + (x - mean)^2 / ss_x). They need three rows.
+    """
     sums, means = _column_sums(df, cols)
     slope = F.when(F.col("ss_x") > 0, F.col("s_xy") / F.col("ss_x"))
+    left = F.greatest(F.lit(0.0), F.col("ss_y") - slope * F.col("s_xy"))
+    residual = F.when(F.col("n") > 2, F.sqrt(left / F.nullif(F.col("n") - 2, F.lit(0))))
     mean_x = F.col("mean_x") + by_key("var_x", means)
     mean_y = F.col("mean_y") + by_key("var_y", means)
     return sums.select(
@@ -259,5 +275,7 @@ def pair_regression(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         "n",
         slope.alias("slope"),
         (mean_y - slope * mean_x).alias("intercept"),
+        residual.alias("residual_sd"),
+        F.when(F.col("ss_x") > 0, residual / F.sqrt("ss_x")).alias("slope_se"),
         (_bounded_r(F.col("s_xy"), F.col("ss_x"), F.col("ss_y")) ** 2).alias("r2"),
     )

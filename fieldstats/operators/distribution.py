@@ -17,7 +17,6 @@ from fieldstats.operators.positions import (
     present,
     quartile_columns,
     ranked_cells,
-    whole_group,
 )
 from fieldstats.operators.reshape import to_long
 
@@ -32,8 +31,8 @@ def _fences() -> dict:
 def _whisker_aggs(value: str, n: str) -> list:
     inside = (F.col(value) >= F.col("_low")) & (F.col(value) <= F.col("_high"))
     return [
-        F.min(F.when(inside, F.col(value))).alias("whisker_low"),
-        F.max(F.when(inside, F.col(value))).alias("whisker_high"),
+        F.min(F.when(inside, F.col(value).cast("double"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col(value).cast("double"))).alias("whisker_high"),
         F.sum(F.when(inside, F.lit(0)).otherwise(F.col(n))).cast("long").alias("n_outliers"),
     ]
 
@@ -91,19 +90,7 @@ def box_stats(
 
     pos = locate(df, groups, value, rows_per_segment=rows_per_segment)
     cells = ranked_cells(pos)
-    mean = F.sum(F.col(value) * F.col("n")) / F.sum("n")
-    if pos.segments is None:
-        # A group fits one task: quartiles and fences are windows of the same pass.
-        every = whole_group(pos)
-        boxed = cells.withColumns(quartile_columns(value, lambda c: c.over(every)))
-        out = boxed.withColumns(_fences()).groupBy(*groups).agg(
-            F.max("total").alias("n"),
-            mean.alias("mean"),
-            *[F.max(c).alias(c) for c in ("q1", "median", "q3")],
-            *_whisker_aggs(value, "n"),
-        )
-        return (out if groups else out.filter(F.col("n") > 0)).select(*groups, *_BOX)
-
+    mean = F.sum(F.col(value).cast("double") * F.col("n")) / F.sum("n")
     quartiles = (
         cells.groupBy(*groups)
         .agg(mean.alias("mean"), *[c.alias(k) for k, c in quartile_columns(value).items()])
@@ -118,7 +105,7 @@ def box_stats(
             SEGMENT, "total", *[row[c].alias(c) for c in quartiles.columns]
         )
     joined = pos.cells.join(fences, [*groups, SEGMENT], "inner")
-    return (
+    boxes = (
         joined.groupBy(*groups)
         .agg(
             F.max("total").alias("_total"),
@@ -128,6 +115,7 @@ def box_stats(
         .withColumnRenamed("_total", "n")
         .select(*groups, *_BOX)
     )
+    return boxes if groups else boxes.filter(F.col("n") > 0)
 
 
 def box_outliers(
@@ -138,14 +126,11 @@ def box_outliers(
     quartiles = (
         ranked_cells(locate(df, groups, value, rows_per_segment=rows_per_segment))
         .groupBy(*groups)
-        .agg(
-            F.max("total").alias("_rows"),
-            *[c.alias(k) for k, c in quartile_columns(value).items()],
-        )
+        .agg(*[c.alias(k) for k, c in quartile_columns(value).items()])
         .withColumns(_fences())
-        .select(*groups, "_rows", "_low", "_high")
+        .select(*groups, "_low", "_high")
     )
-    joined = join_stats(df, quartiles, groups, "_rows")
+    joined = join_stats(df, quartiles, groups)
     outside = (number(value) < F.col("_low")) | (number(value) > F.col("_high"))
     return joined.filter(outside).select(*df.columns)
 

@@ -8,11 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds at least this share of all rows; there can be no more
-# than 1 / HOT_SHARE of them, which bounds what is broadcast.
-HOT_SHARE = 0.001
-
-
 def _lookup_side(lookup: DataFrame, on: Sequence[str]) -> tuple[DataFrame, Column, list[str]]:
     """The dictionary with renamed keys, the null-safe condition and those key names."""
     names = {k: f"_lk_{k}" for k in on}
@@ -82,62 +77,14 @@ def align_by_key(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return _one_row_per_key(a, key).join(_one_row_per_key(b, key), key, "inner")
 
 
-def hot_keys(counts: DataFrame, keys: Sequence[str], n_col: str, n_rows: Column) -> DataFrame:
-    """The keys that hold at least ``HOT_SHARE`` of ``n_rows`` rows.
-
-    There can be no more than 1 / ``HOT_SHARE`` of them, so they may be broadcast.
-    """
-    return counts.filter(F.col(n_col) >= n_rows * F.lit(HOT_SHARE)).select(*keys)
-
-
-def join_stats(
-    rows: DataFrame,
-    stats: DataFrame,
-    keys: Sequence[str],
-    n_col: str = "n",
-    n_rows: int | None = None,
-) -> DataFrame:
-    """Inner join of data rows with one statistics row per key.
-
-    ``stats[n_col]`` is the number of data rows of the key, and ``n_rows`` their sum,
-    or more, where it is known. The statistics of hot keys are broadcast, so their
-    rows never move; all other rows meet their statistics in a shuffle in which no
-    key is larger than ``HOT_SHARE``.
-    """
-    keys = list(keys)
-    total = F.lit(n_rows) if n_rows is not None else stats.agg(F.sum(n_col)).scalar()
-    is_hot = F.col(n_col) >= total * F.lit(HOT_SHARE)
-    hot = F.broadcast(stats.filter(is_hot))
-    cold = stats.filter(~is_hot)
-    from_hot = rows.join(hot, keys, "inner")
-    from_cold = rows.join(F.broadcast(stats.filter(is_hot).select(*keys)), keys, "left_anti").join(
-        cold, keys, "inner"
-    )
-    return from_hot.unionByName(from_cold)
-
-
-def salted_join(
-    rows: DataFrame,
-    stats: DataFrame,
-    keys: Sequence[str],
-    row_id: Sequence[str],
-    hot: DataFrame,
-    parts: int = 64,
-) -> DataFrame:
-    """:func:`join_stats` in one pass, for rows that ``row_id`` tells apart.
+def join_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join of data rows with one statistics row per key, in one pass over both.
 
-    Rows of a hot key are spread over ``parts`` by a hash of their id, and the
-    statistics of those keys (only) are repeated for each part. The hash depends on
-    nothing but the row, so a recomputed task sends it to the same place.
+    The keys are joined as one value, so both sides get an exchange of their own and
+    adaptive execution can split the rows of a hot key among tasks (repeating its one
+    statistics row), or broadcast the statistics when they turn out small.
     """
     keys = list(keys)
-    mark = hot.select(*keys).withColumn("_hot", F.lit(True))
-    spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(*row_id), F.lit(parts)).cast("int"))
-    marked = rows.join(F.broadcast(mark), keys, "left").withColumn(
-        "_part", F.coalesce(spread, F.lit(0))
-    )
-    repeat = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1)))
-    repeated = stats.join(F.broadcast(mark), keys, "left").withColumn(
-        "_part", F.explode(F.coalesce(repeat, F.array(F.lit(0))))
-    )
-    return marked.drop("_hot").join(repeated.drop("_hot"), [*keys, "_part"], "inner").drop("_part")
+    one = F.struct(*[F.col(f"`{k}`") for k in keys])
+    right = stats.withColumn("_join", one).drop(*keys)
+    return rows.withColumn("_join", one).join(right, "_join").drop("_join")

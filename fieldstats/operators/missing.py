@@ -1,4 +1,4 @@
-"""Missing data: patterns, shares, margins and mean imputation."""
+"""Missing data: patterns, shares, margins and mean imputation. NaN is missing."""
 
 from __future__ import annotations
 
@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldstats.operators.distribution import box_stats
+from fieldstats.operators.positions import filled
 
 
 def missing_pattern(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Distinct present (1) / missing (0) masks with their row counts."""
-    masks = {f"has_{c}": F.col(c).isNotNull().cast("int") for c in cols}
-    present = sum((F.col(m) for m in masks), F.lit(0))
+    masks = {f"has_{c}": filled(df, c).isNotNull().cast("int") for c in cols}
+    present = sum((F.col(f"`{m}`") for m in masks), F.lit(0))
     return (
         df.select(*[e.alias(m) for m, e in masks.items()])
-        .groupBy(*masks)
+        .groupBy(*[F.col(f"`{m}`") for m in masks])
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("n_missing", F.lit(len(cols)) - present)
     )
@@ -27,7 +28,7 @@ def missing_share(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Missing count and share of each column, most missing first."""
     sums = df.agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.count(F.col(c)).alias(f"_n{i}") for i, c in enumerate(cols)],
+        *[F.count(filled(df, c)).alias(f"_n{i}") for i, c in enumerate(cols)],
     )
     entries = [
         F.struct(F.lit(c).alias("variable"), (F.col("_rows") - F.col(f"_n{i}")).alias("n_missing"))
@@ -49,14 +50,14 @@ def margin_summary(df: DataFrame, x: str, y: str) -> DataFrame:
 
     Each row also carries how many rows miss x only, y only and both.
     """
-    status = F.when(F.col(y).isNull(), "missing").otherwise("present")
-    boxes = box_stats(df.select(F.col(x), status.alias("other")), ["other"], x)
-    miss_x, miss_y = F.col(x).isNull(), F.col(y).isNull()
+    no_x, no_y = filled(df, x).isNull(), filled(df, y).isNull()
+    status = F.when(no_y, "missing").otherwise("present")
+    boxes = box_stats(df.select(F.col(f"`{x}`"), status.alias("other")), ["other"], x)
     counts = df.agg(
         F.struct(
-            F.count_if(miss_x & ~miss_y).alias("x_only"),
-            F.count_if(~miss_x & miss_y).alias("y_only"),
-            F.count_if(miss_x & miss_y).alias("both"),
+            F.count_if(no_x & ~no_y).alias("x_only"),
+            F.count_if(~no_x & no_y).alias("y_only"),
+            F.count_if(no_x & no_y).alias("both"),
         )
     ).scalar()
     return boxes.select(
@@ -67,25 +68,30 @@ def margin_summary(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-def impute_mean(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Replace nulls of numeric columns by the column mean.
+def impute_mean(
+    df: DataFrame, cols: Sequence[str] | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Replace missing values of numeric columns by the column mean.
 
-    Integer columns become double; other columns are left alone. The means are one
-    row, read as a scalar subquery.
+    ``cols`` are all numeric columns where it is not given, without those in ``keep``.
+    They become double, as a mean is one; keys belong into ``keep``, where they stay
+    as they are, like columns of other types. The means are one row, read as a scalar
+    subquery.
     """
     numeric = [
         f.name
         for f in df.schema
-        if isinstance(f.dataType, T.NumericType) and (cols is None or f.name in cols)
+        if isinstance(f.dataType, T.NumericType)
+        and (f.name in cols if cols is not None else f.name not in keep)
     ]
     if not numeric:
         return df
     means = df.agg(
-        F.struct(*[F.avg(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(numeric)])
+        F.struct(*[F.avg(filled(df, c)).alias(f"m{i}") for i, c in enumerate(numeric)])
     ).scalar()
     return df.withColumns(
         {
-            c: F.coalesce(F.col(f"`{c}`").cast("double"), means[f"m{i}"])
+            c: F.coalesce(filled(df, c).cast("double"), means[f"m{i}"])
             for i, c in enumerate(numeric)
         }
     )

@@ -12,7 +12,7 @@ a given value. A plain window would sort a whole group in one task. Here
 
 The cut points are literals in the plan, so a recomputed task lands every row in the
 same segment as before. They only balance the work: any cut points give the same
-result.
+result, and data of any size takes the same path, a small table as one segment.
 """
 
 from __future__ import annotations
@@ -22,27 +22,25 @@ from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows that one task can sort comfortably; below it there is a single segment.
+# Rows that one task can sort comfortably.
 ROWS_PER_SEGMENT = 4_000_000
-MAX_SEGMENTS = 4096
+# Quantiles taken while the rows are counted.
+FIRST_QUANTILES = 1023
 
 SEGMENT = "_segment"
 
 
 class Positions(NamedTuple):
-    """Counted values with their segment, and the segments with their offsets.
-
-    ``segments`` is None when the data is small enough for a single segment.
-    """
+    """Counted values with their segment, and the segments with their offsets."""
 
     cells: DataFrame  # groups, value, extra keys, n, _segment
-    segments: DataFrame | None  # groups, _segment, offset, total
+    segments: DataFrame  # groups, _segment, offset, total
     groups: list[str]
     value: str
-    n_rows: int  # no fewer than the rows counted
 
 
 def number(c: str) -> Column:
@@ -51,6 +49,19 @@ def number(c: str) -> Column:
     return F.when(F.isnan(v), None).otherwise(v + F.lit(0.0))
 
 
+def sortable(df: DataFrame, c: str) -> Column:
+    """A column to rank by: integers and decimals as they are, all else as a number."""
+    exact = isinstance(df.schema[c].dataType, (T.IntegralType, T.DecimalType))
+    return F.col(f"`{c}`") if exact else number(c)
+
+
+def filled(df: DataFrame, c: str) -> Column:
+    """A column of any type in which NaN reads as missing."""
+    v = F.col(f"`{c}`")
+    floating = isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
+    return F.when(~F.isnan(v), v) if floating else v
+
+
 def present(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows in which all of ``cols`` are present."""
     for c in cols:
@@ -58,18 +69,26 @@ def present(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df
 
 
-def cut_points(rows: DataFrame, value: str, n_rows: int, rows_per_segment: int) -> list[float]:
+def cut_points(rows: DataFrame, value: str, rows_per_segment: int) -> list[float]:
     """Quantiles of ``value`` that cut ``rows`` into segments of about that many rows.
 
-    Beyond a single segment this is one pass of a quantile sketch; at most
-    ``MAX_SEGMENTS`` numbers reach the driver.
+    One pass counts the rows and sketches their quantiles, without a shuffle of rows. Where
+    those are too coarse a second sketch takes as many as there are segments. The driver
+    gets one number a segment.
     """
-    wanted = min(MAX_SEGMENTS, math.ceil(n_rows / rows_per_segment))
-    if wanted <= 1:
-        return []
-    shares = [i / wanted for i in range(1, wanted)]
-    accuracy = max(1000, 4 * wanted)
-    cuts = rows.agg(F.percentile_approx(value, shares, accuracy)).first()[0] or []
+    v = F.col(value).cast("double")
+
+    def sketch(parts: int) -> Column:
+        return F.percentile_approx(v, [i / parts for i in range(1, parts)], max(10_000, 4 * parts))
+
+    n_rows, cuts = rows.agg(F.count(F.lit(1)), sketch(FIRST_QUANTILES + 1)).first()
+    wanted = math.ceil(n_rows / rows_per_segment)
+    if wanted > FIRST_QUANTILES + 1:
+        cuts = rows.agg(sketch(wanted)).first()[0]
+    elif wanted > 1:
+        cuts = [cuts[i * (FIRST_QUANTILES + 1) // wanted - 1] for i in range(1, wanted)]
+    else:
+        cuts = []
     return sorted({float(c) for c in cuts if math.isfinite(c)})
 
 
@@ -79,33 +98,34 @@ def locate(
     value: str,
     extra: Sequence[str] = (),
     weight: str | None = None,
-    n_rows: int | None = None,
     rows_per_segment: int = ROWS_PER_SEGMENT,
+    cuts: Sequence[float] | None = None,
 ) -> Positions:
     """Count the values of each group and assign them to segments.
 
     Rows with a missing value, group or extra key are dropped. ``extra`` columns
     split the counts further without being part of the order; ``weight`` is a
-    column of whole-number row weights. ``n_rows`` is the number of rows, or an upper
-    bound of it, where the caller knows it; otherwise they are counted.
+    column of whole-number row weights. ``cuts`` are cut points that the caller
+    has; otherwise they are taken from the rows.
     """
     groups, extra = list(groups), list(extra)
-    picked = rows.withColumn(value, number(value)).select(
+    picked = rows.withColumn(value, sortable(rows, value)).select(
         *groups, *extra, value, (F.col(weight) if weight else F.lit(1)).cast("long").alias("n")
     )
     picked = present(picked, [*groups, *extra, value])
-    if n_rows is None:
-        n_rows = picked.count()
-    cuts = cut_points(picked.select(value), value, n_rows, rows_per_segment)
+    if cuts is None:
+        cuts = cut_points(picked.select(value), value, rows_per_segment)
     cells = picked.groupBy(*groups, *extra, value).agg(F.sum("n").alias("n"))
+    at = F.lit(0)
     if cuts:
         splits = [-math.inf, *cuts, math.inf]
-        cells = Bucketizer(splits=splits, inputCol=value, outputCol=SEGMENT).transform(cells)
+        cells = Bucketizer(splits=splits, inputCol="_at", outputCol=SEGMENT).transform(
+            cells.withColumn("_at", F.col(value).cast("double"))
+        ).drop("_at")
         # Never null, so that no null filter is pushed below one use of the counts
         # only: all uses then share one shuffle.
-        cells = cells.withColumn(SEGMENT, F.coalesce(F.col(SEGMENT).cast("int"), F.lit(0)))
-    else:
-        return Positions(cells, None, groups, value, n_rows)
+        at = F.coalesce(F.col(SEGMENT).cast("int"), F.lit(0))
+    cells = cells.withColumn(SEGMENT, at)
     sizes = cells.groupBy(*groups, SEGMENT).agg(F.sum("n").alias("size"))
     by_group = Window.partitionBy(*(groups or [F.lit(0)]))
     earlier = by_group.orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
@@ -115,12 +135,7 @@ def locate(
         F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"),
         F.sum("size").over(by_group).alias("total"),
     )
-    return Positions(cells, segments, groups, value, n_rows)
-
-
-def whole_group(pos: Positions) -> WindowSpec:
-    """All cells of a group; only for positions with a single segment."""
-    return Window.partitionBy(*(pos.groups or [F.lit(0)]))
+    return Positions(cells, segments, groups, value)
 
 
 def ranked_cells(pos: Positions, tied: bool = False) -> DataFrame:
@@ -130,10 +145,7 @@ def ranked_cells(pos: Positions, tied: bool = False) -> DataFrame:
     number with this value, ``total`` the size of the group. Set ``tied`` when
     extra keys let one value occur in several cells.
     """
-    if pos.segments is None:
-        keys = pos.groups or [F.lit(0)]
-    else:
-        keys = [*pos.groups, SEGMENT]
+    keys = [*pos.groups, SEGMENT]
     inside = Window.partitionBy(*keys).orderBy(pos.value)
     if tied:
         # Range frames: up to, and exactly, the cells with the same value.
@@ -144,12 +156,7 @@ def ranked_cells(pos: Positions, tied: bool = False) -> DataFrame:
         upto = F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         ties = F.col("n")
     cells = pos.cells.withColumns({"_upto": upto, "ties": ties})
-    if pos.segments is None:
-        cells = cells.withColumns(
-            {"total": F.sum("n").over(whole_group(pos)), "offset": F.lit(0)}
-        )
-    else:
-        cells = cells.join(pos.segments, keys, "inner")
+    cells = cells.join(pos.segments, keys, "inner")
     return cells.withColumn("before", F.col("offset") + F.col("_upto") - F.col("ties")).drop(
         "_upto", "offset"
     )
@@ -168,10 +175,10 @@ def quartile_columns(value: str, aggregate=lambda c: c) -> dict[str, Column]:
         upto = F.col("before") + F.col("n")
         low, high = F.floor(spot), F.ceil(spot)
         lo_v = aggregate(
-            F.max(F.when((F.col("before") <= low) & (low < upto), F.col(value)))
+            F.max(F.when((F.col("before") <= low) & (low < upto), F.col(value).cast("double")))
         )
         hi_v = aggregate(
-            F.max(F.when((F.col("before") <= high) & (high < upto), F.col(value)))
+            F.max(F.when((F.col("before") <= high) & (high < upto), F.col(value).cast("double")))
         )
         part = aggregate(F.max(spot - low))
         out[name] = lo_v + (hi_v - lo_v) * part

@@ -13,12 +13,16 @@ from fieldstats.operators.positions import (
     ROWS_PER_SEGMENT,
     Positions,
     locate,
-    number,
     present,
     ranked_cells,
+    sortable,
 )
 
 
+# Groups of a stratum that one task pairs with all others.
+GROUPS_PER_PART = 256
+
+
 def _mid_rank() -> Column:
     return F.col("before") + (F.col("ties") + F.lit(1)) / F.lit(2.0)
 
@@ -42,12 +46,12 @@ def mid_rank(
     Rows with a missing value or stratum are dropped.
     """
     strata = list(strata)
-    rows = present(df.withColumn("_v", number(value)), [*strata, "_v"])
+    rows = present(df.withColumn("_v", sortable(df, value)), [*strata, "_v"])
     pos = locate(rows, strata, "_v", rows_per_segment=rows_per_segment)
     ranks = rank_table(pos).select(
-        *strata, "_v", F.col("n").alias("_n"), F.col("mid_rank").alias("_rank")
+        *strata, "_v", F.col("mid_rank").alias("_rank")
     )
-    joined = join_stats(rows, ranks, [*strata, "_v"], "_n", pos.n_rows)
+    joined = join_stats(rows, ranks, [*strata, "_v"])
     return joined.select(*df.columns, F.col("_rank").alias(rank_col))
 
 
@@ -56,15 +60,12 @@ def _group_ranks(
 ) -> DataFrame:
     """Per stratum and group: size, mean rank, and the group's part of the tie term.
 
-    Twice the rank is a whole number, so the rank sums are exact: in 64 bits as long
-    as the square of the row count fits, in decimals beyond. A tie of t values adds
-    t^3 - t, that is t^2 - 1 for each of its rows.
+    Twice the rank is a whole number, so the rank sums are exact, in decimals. A tie
+    of t values adds t^3 - t, that is t^2 - 1 for each of its rows.
     """
     pos = locate(df, strata, value, extra=[group], rows_per_segment=rows_per_segment)
-    whole = "long" if pos.n_rows < 2_000_000_000 else "decimal(38,0)"
-    n = F.col("n").cast("long" if whole == "long" else "decimal(19,0)")
-    twice = F.lit(2) * F.col("before") + F.col("ties") + F.lit(1)
-    twice = twice.cast("long" if whole == "long" else "decimal(19,0)")
+    n = F.col("n").cast("decimal(18,0)")
+    twice = (F.lit(2) * F.col("before") + F.col("ties") + F.lit(1)).cast("decimal(19,0)")
     ties = F.col("ties").cast("double")
     return (
         ranked_cells(pos, tied=True)
@@ -72,7 +73,7 @@ def _group_ranks(
         .agg(
             F.sum("n").alias("n"),
             F.max("total").alias("total"),
-            F.sum((n * twice).cast(whole)).cast("double").alias("_twice"),
+            F.sum((n * twice).cast("decimal(38,0)")).cast("double").alias("_twice"),
             F.sum(F.col("n") * (ties * ties - F.lit(1.0))).alias("_tie"),
         )
         .select(
@@ -136,17 +137,15 @@ def dunn_test(
 
     One row per pair in alphabetical order: ``z`` (first minus second), the
     one-sided ``p`` and ``p_adjusted`` (``bonferroni``, or ``none``). The result has
-    k(k-1)/2 rows per stratum by definition. Only the table of groups is paired: each
-    of its rows meets the rows after it, in one pass over that table.
+    k(k-1)/2 rows per stratum by definition. Only the table of groups is paired, by a
+    join on the stratum in which one side is dealt out to parts of about
+    ``GROUPS_PER_PART`` groups and the other side repeated for each part.
     """
     if adjust not in ("bonferroni", "none"):
         raise ValueError(f"unknown adjustment {adjust!r}")
     strata = list(strata)
-    groups = _group_ranks(df, strata, group, value, rows_per_segment)
     every = Window.partitionBy(*(strata or [F.lit(0)]))
-    later = every.orderBy(group).rowsBetween(1, Window.unboundedFollowing)
-    other = F.struct(F.col(group).alias("group_b"), F.col("n").alias("_nb"), F.col("mean_rank").alias("_rb"))
-    pairs = groups.select(
+    groups = _group_ranks(df, strata, group, value, rows_per_segment).select(
         *strata,
         F.col(group).alias("group_a"),
         F.col("n").alias("_na"),
@@ -154,8 +153,17 @@ def dunn_test(
         F.max("total").over(every).cast("double").alias("_N"),
         F.count(F.lit(1)).over(every).alias("_k"),
         F.sum("_tie").over(every).alias("_ties"),
-        F.collect_list(other).over(later).alias("_others"),
-    ).select("*", F.inline("_others"))
+    )
+    parts = F.ceil(F.col("_k") / GROUPS_PER_PART)
+    first = groups.withColumn("_part", F.pmod(F.xxhash64("group_a"), parts))
+    second = groups.select(
+        *strata,
+        F.col("group_a").alias("group_b"),
+        F.col("_na").alias("_nb"),
+        F.col("_ra").alias("_rb"),
+        F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_part"),
+    )
+    pairs = first.join(second, [*strata, "_part"]).filter(F.col("group_a") < F.col("group_b"))
     n = F.col("_N")
     spread = n * (n + 1) / 12 - F.col("_ties") / (F.lit(12.0) * (n - 1))
     per_pair = F.lit(1.0) / F.col("_na") + F.lit(1.0) / F.col("_nb")

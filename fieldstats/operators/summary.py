@@ -9,14 +9,10 @@ from pyspark.sql import functions as F
 
 from fieldstats import constants as K
 from fieldstats.functions.domain import by_key, co2_equivalent, per_year
-from fieldstats.operators.positions import number, present
+from fieldstats.operators.positions import filled, number, present
 from fieldstats.operators.reshape import to_long
 
 
-# Aggregates of more columns than this would leave generated code (100 buffer fields).
-MAX_WIDE = 12
-
-
 def _sem(n: Column, sd: Column) -> Column:
     return sd / F.sqrt(n)
 
@@ -48,36 +44,14 @@ def mean_sem_wide(
 ) -> DataFrame:
     """:func:`mean_sem` of several columns, named by the keys of ``cols``.
 
-    Same rows as ``to_long`` followed by ``mean_sem``, but up to ``MAX_WIDE`` columns
-    are aggregated while wide and only the summary is unpivoted, so input rows are not
-    multiplied.
+    The rows become lines of (name, value) inside the map task, next to the partial
+    aggregate: what is shuffled is one line per group and column.
     """
     groups = list(groups)
     values = {k: (F.col(c) if isinstance(c, str) else c) for k, c in cols.items()}
     rows = present(df.withColumns({f"_v{i}": v for i, v in enumerate(values.values())}), groups)
-    rows = rows.select(*groups, *[number(f"_v{i}").alias(f"_v{i}") for i in range(len(values))])
-    if len(values) > MAX_WIDE:
-        lines = [F.struct(F.lit(k).alias(name), F.col(f"_v{i}").alias("_v")) for i, k in enumerate(values)]
-        return mean_sem(rows.select(*groups, F.inline(F.array(*lines))), [*groups, name], "_v")
-    aggs = []
-    for i in range(len(values)):
-        v = F.col(f"_v{i}")
-        aggs += [
-            F.count(v).alias(f"_n{i}"),
-            F.avg(v).alias(f"_m{i}"),
-            F.stddev_samp(v).alias(f"_s{i}"),
-        ]
-    entries = [
-        F.struct(
-            F.lit(k).alias(name),
-            F.col(f"_n{i}").alias("n"),
-            F.col(f"_m{i}").alias("mean"),
-            _sem(F.col(f"_n{i}"), F.col(f"_s{i}")).alias("sem"),
-        )
-        for i, k in enumerate(values)
-    ]
-    long = rows.groupBy(*groups).agg(*aggs).select(*groups, F.inline(F.array(*entries)))
-    return _with_limits(long.filter(F.col("n") > 0))
+    lines = [F.struct(F.lit(k).alias(name), number(f"_v{i}").alias("_v")) for i, k in enumerate(values)]
+    return mean_sem(rows.select(*groups, F.inline(F.array(*lines))), [*groups, name], "_v")
 
 
 def sum_of_means(
@@ -122,17 +96,18 @@ def pool_summaries(summary: DataFrame, by: Sequence[str], mean: str = "mean", se
         # Sum of squares around the group's own mean; a group of one has none.
         (F.coalesce(F.col(sem), F.lit(0.0)) ** 2 * F.col("n") * (F.col("n") - 1)).alias("_ss"),
     )
+    # Around the mean of everything, so that no group has to wait for its own centre.
+    shared = summary.agg(F.sum(F.col("n") * F.col(mean)) / F.sum("n")).scalar()
+    off = F.col("_m") - F.coalesce(shared, F.lit(0.0))
     sums = rows.groupBy(*by).agg(
         F.sum("n").alias("n"),
-        F.sum(F.col("n") * F.col("_m")).alias("_nm"),
+        F.sum(F.col("n") * off).alias("_off"),
+        F.sum(F.col("n") * off * off).alias("_off2"),
         F.sum("_ss").alias("_within"),
-        F.collect_list(F.struct("n", "_m")).alias("_groups"),
-    )
-    centre = F.col("_nm") / F.col("n")
-    between = F.aggregate(
-        "_groups", F.lit(0.0), lambda s, g: s + g["n"] * (g["_m"] - centre) * (g["_m"] - centre)
     )
-    variance = (F.col("_within") + between) / (F.col("n") - 1)
+    centre = F.coalesce(shared, F.lit(0.0)) + F.col("_off") / F.col("n")
+    between = F.greatest(F.lit(0.0), F.col("_off2") - F.col("_off") * F.col("_off") / F.col("n"))
+    variance = (F.col("_within") + between) / F.nullif(F.col("n") - 1, F.lit(0))
     return sums.select(
         *by,
         "n",
@@ -141,27 +116,27 @@ def pool_summaries(summary: DataFrame, by: Sequence[str], mean: str = "mean", se
     )
 
 
-def null_sum(c: str, policy: str) -> Column:
-    """Sum of a column under a null policy.
+def null_sum(v: Column, policy: str) -> Column:
+    """Sum of values under a null policy.
 
     ``omit``: nulls do not count. ``zero``: the same, but nothing sums to 0.
     ``strict``: one null makes the sum null.
     """
-    total = F.sum(c)
+    total = F.sum(v)
     if policy == "omit":
         return total
     if policy == "zero":
         return F.coalesce(total, F.lit(0))
     if policy == "strict":
-        return F.when(F.count(F.lit(1)) == F.count(c), total)
+        return F.when(F.count(F.lit(1)) == F.count(v), total)
     raise ValueError(f"unknown null policy {policy!r}")
 
 
 def group_sum(
     df: DataFrame, by: Sequence[str], cols: Sequence[str], null_policy: str = "strict"
 ) -> DataFrame:
-    """Sum of several columns per group; a missing group key is a group."""
-    return df.groupBy(*by).agg(*[null_sum(c, null_policy).alias(c) for c in cols])
+    """Sum of several columns per group; a missing group key is a group, NaN is missing."""
+    return df.groupBy(*by).agg(*[null_sum(filled(df, c), null_policy).alias(c) for c in cols])
 
 
 def add_co2_equivalent(
@@ -209,16 +184,17 @@ def symbol_size(
     """Marker size ``k * sqrt(z) / sqrt(max z)``.
 
     The maximum is taken per column, or over all columns with ``shared_max``; it is
-    read as a scalar subquery. Negative values have no size.
+    read as a scalar subquery. Negative and missing values have no size.
     """
-    tops = [F.max(c).cast("double") for c in cols]
+    tops = [F.max(number(c)) for c in cols]
     if shared_max:
         tops = [F.greatest(*tops) if len(tops) > 1 else tops[0]] * len(cols)
     top = df.agg(F.struct(*[t.alias(f"t{i}") for i, t in enumerate(tops)])).scalar()
 
     def size(i: int, c: str) -> Column:
-        ok = (F.col(c) >= 0) & (top[f"t{i}"] > 0)
-        return F.when(ok, F.lit(float(k)) * F.sqrt(c) / F.sqrt(top[f"t{i}"]))
+        v = number(c)
+        ok = (v >= 0) & (top[f"t{i}"] > 0)
+        return F.when(ok, F.lit(float(k)) * F.sqrt(v) / F.sqrt(top[f"t{i}"]))
 
     return df.withColumns({f"{c}{suffix}": size(i, c) for i, c in enumerate(cols)})
 
@@ -303,7 +279,7 @@ def emission_share(
         *[(F.col(c) * per_area).alias(f"_a{i}") for i, c in enumerate(cols)],
     )
     names = [f"_{k}{i}" for k in "sa" for i in range(len(cols))]
-    total = wide.agg(F.struct(*[null_sum(c, "strict").alias(c) for c in names])).scalar()
+    total = wide.agg(F.struct(*[null_sum(F.col(c), "strict").alias(c) for c in names])).scalar()
     lines = [
         F.struct(
             F.lit(c).alias("variable"),

@@ -24,7 +24,7 @@ from fieldstats.operators.correlation import corr_significant
 from fieldstats.operators.distribution import box_stats
 from fieldstats.operators.joins import right_lookup
 from fieldstats.operators.missing import impute_mean
-from fieldstats.operators.ranks import dunn_test
+from fieldstats.operators.ranks import dunn_test, kruskal_wallis
 from fieldstats.operators.recoding import order_levels, recode_exact
 from fieldstats.operators.reshape import to_long
 from fieldstats.operators.summary import (
@@ -76,12 +76,20 @@ def _class_names(df: DataFrame) -> DataFrame:
 
 
 def flow_clean(
-    df: DataFrame, easting: str, northing: str, drop: Sequence[str] = (), zone: int = 17
+    df: DataFrame,
+    easting: str,
+    northing: str,
+    drop: Sequence[str] = (),
+    zone: int = 17,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Latitude and longitude from UTM, unused columns dropped, numeric gaps filled."""
+    """Latitude and longitude from UTM, unused columns dropped, numeric gaps filled.
+
+    ``keys`` are numeric columns that only name a row and stay as they are.
+    """
     lat, lon = utm_to_latlon(easting, northing, zone)
     located = df.withColumns({"latitude": lat, "longitude": lon})
-    return impute_mean(drop_cols(located, drop))
+    return impute_mean(drop_cols(located, drop), keep=keys)
 
 
 def flow_dissolved(df: DataFrame, temp: str, ppm: Mapping[str, str]) -> DataFrame:
@@ -241,6 +249,80 @@ def dissolved_landuse_tests(
     return dunn_test(gases, ["gas"], "land_use", "concentration", **options)
 
 
+def dissolved_index_kruskal(
+    df: DataFrame, indexes: Mapping[str, str], dissolved: Mapping[str, str], **options
+) -> DataFrame:
+    """Kruskal-Wallis test over the classes of each index, per gas."""
+    long = _labels_long(df, _concentration(dissolved), indexes, "wqi", "label")
+    gases = _gases_long(_class_names(long), ["wqi", "water_quality"], list(dissolved))
+    return kruskal_wallis(gases, ["wqi", "gas"], "water_quality", "concentration", **options)
+
+
+def dissolved_landuse_kruskal(
+    df: DataFrame, banks: Mapping[str, str], dissolved: Mapping[str, str], **options
+) -> DataFrame:
+    """Kruskal-Wallis test over land-use classes per gas, both banks together."""
+    long = _land_use(_labels_long(df, _concentration(dissolved), banks, "bank", "land_use"))
+    return kruskal_wallis(
+        _gases_long(long, ["land_use"], list(dissolved)), ["gas"], "land_use", "concentration", **options
+    )
+
+
+def _boxes(long: DataFrame, keys: Sequence[str], gases: Sequence[str], co2_equivalent: bool, **options) -> DataFrame:
+    """Box statistics per key and gas of measures that stand side by side."""
+    if co2_equivalent:
+        long = long.withColumns({g: F.col(g) * F.lit(K.GWP[g]) for g in gases})
+    return box_stats(_gases_long(long, keys, gases), [*keys, "gas"], "concentration", **options)
+
+
+def _measures(columns: Mapping[str, str], dissolved: bool) -> dict[str, Column]:
+    return _concentration(columns) if dissolved else _mass(columns)
+
+
+def boxes_by_river(
+    df: DataFrame,
+    river: str,
+    columns: Mapping[str, str],
+    dissolved: bool = False,
+    co2_equivalent: bool = False,
+    order: Sequence[str] = K.TRIBUTARY_ORDER,
+    **options,
+) -> DataFrame:
+    """Boxes of the fluxes (or dissolved gases) per river and gas, rivers in order."""
+    measures = _measures(columns, dissolved)
+    wide = df.select(F.col(f"`{river}`").alias("river"), *[c.alias(g) for g, c in measures.items()])
+    return order_levels(_boxes(wide, ["river"], list(columns), co2_equivalent, **options), "river", order)
+
+
+def boxes_by_index(
+    df: DataFrame,
+    indexes: Mapping[str, str],
+    columns: Mapping[str, str],
+    dissolved: bool = False,
+    co2_equivalent: bool = False,
+    **options,
+) -> DataFrame:
+    """Boxes per index, class and gas, classes in order."""
+    long = _labels_long(df, _measures(columns, dissolved), indexes, "wqi", "label")
+    boxes = _boxes(long, ["wqi", "label"], list(columns), co2_equivalent, **options)
+    return order_levels(boxes, "label", K.PRATI_LEVELS + K.OREGON_LEVELS)
+
+
+def boxes_by_landuse(
+    df: DataFrame,
+    banks: Mapping[str, str],
+    columns: Mapping[str, str],
+    dissolved: bool = False,
+    co2_equivalent: bool = False,
+    by_bank: bool = False,
+    **options,
+) -> DataFrame:
+    """Boxes per land-use class and gas, classes in order; ``by_bank`` for each bank apart."""
+    long = _land_use(_labels_long(df, _measures(columns, dissolved), banks, "bank", "land_use"))
+    keys = ["bank", "land_use"] if by_bank else ["land_use"]
+    return order_levels(_boxes(long, keys, list(columns), co2_equivalent, **options), "land_use", K.LAND_USE_LEVELS)
+
+
 def flow_oxygen_by_index(df: DataFrame, oxygen: str, indexes: Mapping[str, str], **options) -> DataFrame:
     """Box statistics of dissolved oxygen per index and class, classes in order."""
     long = _labels_long(df, {"DO": F.col(oxygen)}, indexes, "wqi", "label")

@@ -10,25 +10,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-# A lookup table is typed in by hand; anything longer belongs in a file.
-LOOKUP_MAX_ROWS = 100_000
+from fieldstats.operators.positions import filled
 
 
 def read_survey(
-    spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv"
+    spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv", bad_cells: str = "fail"
 ) -> DataFrame:
     """Read a survey with an explicit schema.
 
     CSV files have a header, ``NA`` means missing and dates are ``dd/MM/yyyy``.
     Parquet files are projected to the columns of ``schema`` and cast to its types.
+    A CSV cell that its type cannot hold ends the read; with ``bad_cells="keep"`` it
+    becomes null and the whole line is in the column ``_bad_line``.
     """
     if fmt == "csv":
+        if bad_cells not in ("fail", "keep"):
+            raise ValueError(f"unknown treatment of bad cells {bad_cells!r}")
+        if isinstance(schema, str):
+            schema = T.StructType.fromDDL(schema)
+        if bad_cells == "keep":
+            schema = T.StructType([*schema, T.StructField("_bad_line", T.StringType())])
         return (
             spark.read.schema(schema)
+            .option("mode", "FAILFAST" if bad_cells == "fail" else "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "_bad_line")
             .option("header", True)
             .option("nullValue", "NA")
             .option("dateFormat", "dd/MM/yyyy")
-            .option("enforceSchema", False)
+            .option("enforceSchema", bad_cells == "keep")
             .csv(path)
         )
     df = spark.read.format(fmt).load(path)
@@ -52,8 +61,6 @@ def lookup_table(spark: SparkSession, rows: Sequence[Sequence], schema: T.Struct
     The rows become a local relation, whose size Catalyst knows exactly, so a join
     with it is broadcast without a hint.
     """
-    if len(rows) > LOOKUP_MAX_ROWS:
-        raise ValueError(f"a lookup table holds at most {LOOKUP_MAX_ROWS} rows; write it to a file")
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     arrow_schema = to_arrow_schema(schema)
@@ -63,9 +70,9 @@ def lookup_table(spark: SparkSession, rows: Sequence[Sequence], schema: T.Struct
 
 
 def table_schema(df: DataFrame) -> DataFrame:
-    """One row per column: position, name, type and number of non-null values."""
+    """One row per column: position, name, type and number of values that are not missing."""
     names = df.columns
-    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(names)])
+    counts = df.agg(*[F.count(filled(df, c)).alias(f"c{i}") for i, c in enumerate(names)])
     entries = [
         F.struct(
             F.lit(i).alias("position"),
