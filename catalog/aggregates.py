@@ -67,6 +67,11 @@ def contingency_share(spark, sf_dir) -> DataFrame:
     return rounded(S.contingency_share(orders, "o_orderpriority", "o_orderstatus"))
 
 
+def category_counts(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    return S.category_counts(rows, "l_returnflag", ["l_linestatus", "l_linenumber", "l_quantity"])
+
+
 def distinct_count(spark, sf_dir) -> DataFrame:
     return S.distinct_count(table(spark, sf_dir, "events"), "user_id")
 
@@ -178,6 +183,7 @@ QUERIES = {
     "variable_summary": variable_summary,
     "share_of_total": share_of_total,
     "emission_share": emission_share,
+    "category_counts": category_counts,
     "mid_rank": mid_ranks,
     "mid_rank_segmented": mid_rank_segmented,
 }
@@ -291,3 +297,11 @@ ORACLES = {
 }
 ORACLES["box_stats_segmented"] = ORACLES["box_stats"]
 ORACLES["mid_rank_segmented"] = ORACLES["mid_rank"]
+ORACLES["category_counts"] = " UNION ALL ".join(
+    f"SELECT l_returnflag, '{c}' AS variable, {as_text} AS category, count(*) AS n FROM lineitem GROUP BY 1, 3"
+    for c, as_text in (
+        ("l_linestatus", "l_linestatus"),
+        ("l_linenumber", "CAST(l_linenumber AS VARCHAR)"),
+        ("l_quantity", "CAST(CAST(l_quantity AS DECIMAL(12, 1)) AS VARCHAR)"),
+    )
+)

@@ -188,6 +188,10 @@ def site_values_tributary(spark, sf_dir) -> DataFrame:
     return rounded(P.site_values(sites, "c_custkey", "lat", "lon", "balance", where=one))
 
 
+def site_values_many(spark, sf_dir) -> DataFrame:
+    return rounded(P.site_values_many(_sites(spark, sf_dir), "c_custkey", "lat", "lon", ["balance", "nation"]))
+
+
 def site_gwp_values(spark, sf_dir) -> DataFrame:
     gases = {"CO2": "balance", "CH4": "nation"}
     return rounded(P.site_gwp_values(_sites(spark, sf_dir), "c_custkey", "lat", "lon", gases))
@@ -242,6 +246,7 @@ QUERIES = {
     "flow_landuse_mosaic": flow_landuse_mosaic,
     "site_values": site_values,
     "site_values_tributary": site_values_tributary,
+    "site_values_many": site_values_many,
     "site_gwp_values": site_gwp_values,
     "site_gas_values": site_gas_values,
 }
@@ -474,6 +479,12 @@ ORACLES = {
         round(sum(n) OVER (PARTITION BY river) / (SELECT count(*) FROM long)::DOUBLE, 6) AS width FROM c""",
     "site_values": _site_values("true"),
     "site_values_tributary": _site_values("c_mktsegment = 'BUILDING'"),
+    "site_values_many": f"WITH {_SITES} " + " UNION ALL ".join(
+        f"""SELECT site, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, '{v}' AS variable,
+          round({v}, 6) AS value, round(60 * sqrt({v}) / sqrt((SELECT max({v}) FROM sites)), 6) AS size
+        FROM sites WHERE {v} IS NOT NULL"""
+        for v in ("balance", "nation")
+    ),
     "site_gwp_values": _site_gases(100, 28),
     "site_gas_values": _site_gases(400, 1),
 }

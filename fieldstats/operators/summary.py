@@ -227,6 +227,13 @@ def category_count(df: DataFrame, col: str, facet: str | None = None) -> DataFra
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+def category_counts(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
+    """:func:`category_count` of several columns in one job, named in ``variable``."""
+    lines = [F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").cast("string").alias("category")) for c in cols]
+    long = df.select(F.col(f"`{group}`"), F.inline(F.array(*lines)))
+    return long.groupBy(F.col(f"`{group}`"), "variable", "category").agg(F.count(F.lit(1)).alias("n"))
+
+
 def contingency_share(df: DataFrame, x: str, fill: str) -> DataFrame:
     """Two-way table with the share inside each ``x`` and the share of ``x`` in all.
 

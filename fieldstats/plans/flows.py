@@ -24,6 +24,7 @@ from fieldstats.operators.correlation import corr_significant
 from fieldstats.operators.distribution import box_stats
 from fieldstats.operators.joins import right_lookup
 from fieldstats.operators.missing import impute_mean
+from fieldstats.operators.positions import number
 from fieldstats.operators.ranks import dunn_test, kruskal_wallis
 from fieldstats.operators.recoding import order_levels, recode_exact
 from fieldstats.operators.reshape import to_long
@@ -399,6 +400,24 @@ def site_values(
     )
 
 
+def site_values_many(
+    df: DataFrame, site: str, lat: str, lon: str, variables: Sequence[str], k: float = 60.0
+) -> DataFrame:
+    """:func:`site_values` of several variables in one job, each on its own scale."""
+    places = {"site": site, "latitude": lat, "longitude": lon}
+    sized = symbol_size(df, variables, k)
+    lines = [
+        F.struct(
+            F.lit(v).alias("variable"),
+            number(v).alias("value"),
+            F.col(f"`{v}_size`").alias("size"),
+        )
+        for v in variables
+    ]
+    feed = sized.select(*[F.col(f"`{c}`").alias(n) for n, c in places.items()], F.inline(F.array(*lines)))
+    return feed.filter(F.col("value").isNotNull())
+
+
 def site_gwp_values(
     df: DataFrame,
     site: str,
