@@ -22,6 +22,11 @@ _TOGETHER = 128
 _TAIL = b".,;:!?"
 
 
+def _all_letters(word: bytes) -> bool:
+    text = word.decode()
+    return text.isalpha() and text.lower().isalpha()
+
+
 class WordTokens:
     """Ids of texts as little-endian 32-bit bytes, for tokenizers that drop white space.
 
@@ -37,22 +42,51 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     @staticmethod
     def _parts(word: bytes) -> tuple[bytes, bytes]:
+        """Stem and trailing punctuation, where the tokenizer is sure to cut there."""
         stem = word.rstrip(_TAIL)
-        if b"<" in word or not word.isascii() or not stem[-1:].isalnum():
+        if b"<" in word:
             return word, b""
-        return stem.lower(), word[len(stem) :]
+        if word.isascii():
+            return (stem.lower(), word[len(stem) :]) if stem[-1:].isalnum() else (word, b"")
+        return (stem, word[len(stem) :]) if _all_letters(stem) else (word, b"")
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_line(self, words: list[bytes]) -> None:
+        """Words of letters in one call; the ids that end a word tell them apart."""
+        ids = self._encode([b" ".join(words).decode()])[0]
+        ends = (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()
+        blob = ids.tobytes()
+        if len(ends) == len(words) and ends[-1] == len(blob):
+            self.known.update(zip(words, [blob[a:b] for a, b in zip([0, *ends], ends)]))
 
     def _learn(self, words: set[bytes]) -> None:
         known = self.known
-        parts = {w: self._parts(w) for w in words if w not in known}
-        new = [p for p in {p for pair in parts.values() for p in pair} if p not in known]
-        for part, found in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
-            known[part] = np.array(found.ids, "<u4").tobytes()
-        for word, (stem, tail) in parts.items():
-            known[word] = known[stem] + known[tail]
+        letters, rest, made = [], [], []
+        for word in words:
+            if word not in known:
+                if word.isalpha() and word.islower():
+                    letters.append(word)
+                else:
+                    made.append((word, *self._parts(word)))
+        have = set(letters)
+        for part in {p for _, *parts in made for p in parts}:
+            if part not in known and part not in have:
+                (letters if part.isalpha() or not part.isascii() and _all_letters(part) else rest).append(part)
+        for at in range(0, len(letters), _TOGETHER):
+            self._learn_line(letters[at : at + _TOGETHER])
+        rest += [p for p in letters if p not in known]
+        for part, found in zip(rest, self._encode([p.decode() for p in rest])):
+            known[part] = found.tobytes()
+        for word, stem, tail in made:
+            known[word] = known[stem] + known[tail] if tail else known[stem]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) >= REMEMBERED_WORDS:
