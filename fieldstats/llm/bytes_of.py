@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 500_000
 U = np.uint64
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +72,41 @@ def running_start(
     )
 
 
+class IdFilter:
+    """A Bloom filter of ids with a fixed number of bits.
+
+    It lets every id of the table pass, and few others while that table is small; with so
+    many ids that it fills up, it lets more pass, and whoever uses it still compares ids
+    exactly. The driver and the tasks hold its bits, never the ids.
+    """
+
+    BITS, HASHES = 1 << 26, 4
+
+    def __init__(self, ids: DataFrame, column: str) -> None:
+        words = (
+            ids.select(F.explode(self._places(F.col(column))).alias("bit"))
+            .groupBy(F.shiftright("bit", 5).alias("word"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("bits"))
+            .toArrow()
+        )
+        self.words = np.zeros(self.BITS // 32, np.uint32)
+        self.words[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+
+    def _places(self, value: Column) -> Column:
+        return F.array(*[F.pmod(F.xxhash64(F.lit(i), value), F.lit(self.BITS)) for i in range(self.HASHES)])
+
+    def may_hold(self, value: Column) -> Column:
+        """False for values that are certainly none of the ids."""
+        words, hashes = self.words, self.HASHES
+
+        @F.pandas_udf("boolean")
+        def test(places: pd.Series) -> pd.Series:
+            bits = np.concatenate([np.zeros(0, np.int64), *places.to_numpy()]).reshape(-1, hashes)
+            return pd.Series((words[bits >> 5] >> (bits & 31).astype(np.uint32) & np.uint32(1)).astype(bool).all(1))
+
+        return test(self._places(value))
+
+
 def computed(df: DataFrame, **columns: Column) -> DataFrame:
     """Adds columns that later expressions use as values.
 

@@ -52,3 +52,26 @@ def components(edges: DataFrame) -> DataFrame:
         state = new
     member = now.select(F.col("a").alias("id"), F.col("b").alias("component_id"))
     return member.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct())
+
+
+def joined(parts: DataFrame, edges: DataFrame) -> DataFrame:
+    """``parts`` (of ``components``) with more edges (a, b).
+
+    Only the components that an edge brings together are worked on; ids that ``parts`` does
+    not have are their own so far.
+    """
+    own = lambda c: parts.select(F.col("id").alias(c), F.col("component_id").alias(f"_{c}"))
+    between = settled(
+        edges.join(own("a"), "a", "left")
+        .join(own("b"), "b", "left")
+        .select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+        .filter("a != b")
+    )
+    if between.isEmpty():
+        return parts
+    merged = components(between).select(F.col("id").alias("_root"), F.col("component_id").alias("_to"))
+    # Roots that were alone are in no row of parts yet.
+    ids = parts.unionByName(merged.select(F.col("_root").alias("id"), F.col("_root").alias("component_id"))).distinct()
+    return settled(
+        ids.join(merged, ids["component_id"] == merged["_root"], "left").select("id", F.coalesce("_to", "component_id").alias("component_id"))
+    )

@@ -7,19 +7,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldstats.llm.bytes_of import as_signed, mixed, run_hashes, text_pieces, word_hashes
-from fieldstats.llm.common import settled
-from fieldstats.llm.components import components
+from fieldstats.llm.common import IdFilter, settled
+from fieldstats.llm.components import components, joined
 from fieldstats.llm.count_tree import CountTree
 
 U = np.uint64
-#: Groups that shingles are hashed into: coordinates of a count vector.
-GROUPS = 256
+#: Groups that shingles are hashed into: coordinates of a count vector; and finer groups of
+#: which only the parity of the count is kept.
+GROUPS, PARITIES = 64, 2_048
 #: Members of a cell that one task compares with as many others.
 CHUNK = 2_048
+#: Keys that one task brings together, and keys that a task holds before it gives them out.
+KEYS_PER_BUCKET, _KEYS_AT_ONCE = 500_000, 500_000
+#: Members of a cell in one row.
+_MEMBERS = 1_000
 #: Upper ends of the size classes grow by this factor.
 _GROWTH = 1.5
 
@@ -94,53 +99,146 @@ def cell_keys(shingles: np.ndarray, threshold: Threshold) -> np.ndarray:
     return np.concatenate(keys) if keys else shingles[:0]
 
 
-def survey_sets(rows: DataFrame, k: int, threshold: Threshold) -> DataFrame:
-    """Per row of (``_id``, ``_text``): set size, digest of the set, and its cells' keys."""
+def survey_sets(rows: DataFrame, k: int) -> DataFrame:
+    """Per row of (``_id``, ``_text``): set size and a 128-bit digest of the set."""
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = U(0xA24BAED4963EE407)
         for batch in batches:
-            n, one, two, keys = [], [], [], []
+            n, one, two = [], [], []
             for _, s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
-                one.append(int(as_signed(mixed(s).sum(keepdims=True))[0]))
-                two.append(int(as_signed(mixed(s * weight + U(1)).sum(keepdims=True))[0]))
-                keys.append(as_signed(cell_keys(s, threshold)))
-            edges = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+                one.append(_digest(s))
+                two.append(int(as_signed(mixed(s * U(0xA24BAED4963EE407) + U(1)).sum(keepdims=True))[0]))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(n, pa.int64()),
-                    pa.array(one, pa.int64()),
-                    pa.array(two, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))),
-                ],
-                names=["_id", "n", "_one", "_two", "keys"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())],
+                names=["_id", "n", "_one", "_two"],
             )
 
-    return rows.select("_id", "_text").mapInArrow(survey, "_id long, n long, _one long, _two long, keys array<long>")
+    return rows.select("_id", "_text").mapInArrow(survey, "_id long, n long, _one long, _two long")
 
 
-def points(rows: DataFrame, k: int) -> DataFrame:
-    """Per row of (``_id``, ``_text``): set size, shingle hashes and count vector, as bytes."""
+def _digest(shingles: np.ndarray) -> int:
+    return int(as_signed(mixed(shingles).sum(keepdims=True))[0])
+
+
+def set_cells(rows: DataFrame, k: int, threshold: Threshold, buckets: int) -> DataFrame:
+    """(``cell``, ``size``, ``one``): the members, by digest, of cells with several sets.
+
+    ``cell`` stands for all the cells that have these ``size`` members.
+
+    A key is dealt to one of ``buckets`` by its upper bits; a task gives out, per bucket, one
+    block of 11 bytes a key: 40 bits that tell keys of a bucket apart and 48 bits of the set's
+    digest. Where such bits of different keys or sets agree, that only brings sets
+    together that are compared in vain. Sets that a batch holds several times are given out
+    once.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: set[int] = set()
+            ones, keys, many = [], [], 0
+            for row, s in shingle_sets(batch.column(0), k):
+                one = _digest(s)
+                if one not in seen:
+                    seen.add(one)
+                    own = cell_keys(s, threshold)
+                    ones.append(np.full(len(own), one))
+                    keys.append(own)
+                    many += len(own)
+                if many and (many > _KEYS_AT_ONCE or row == batch.num_rows - 1):
+                    yield _blocks(np.concatenate(keys), np.concatenate(ones), buckets)
+                    ones, keys, many = [], [], 0
+
+    def meet(bucket: pa.Table) -> pa.Table:
+        bytes_ = np.frombuffer(b"".join(x.as_buffer() for x in bucket.column("block")), np.uint8).reshape(-1, 11)
+        pairs = np.zeros((2, len(bytes_), 8), np.uint8)
+        pairs[0, :, :5], pairs[1, :, :6] = bytes_[:, :5], bytes_[:, 5:]
+        keys, ones = pairs.view(U)[:, :, 0]
+        order = np.lexsort((ones, keys))
+        keys, ones = keys[order], ones[order]
+        new = np.r_[True, (keys[1:] != keys[:-1]) | (ones[1:] != ones[:-1])]
+        keys, ones = keys[new], ones[new]
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        size = np.diff(np.r_[starts, len(keys)])
+        cell = np.add.reduceat(mixed(ones), starts) * U(3) + size.astype(U)
+        # One cell of each membership, and those with a single set left out.
+        _, once = np.unique(cell, return_index=True)
+        once = once[size[once] > 1]
+        raw = ones.view(np.uint8).reshape(-1, 8)[:, :6]
+        rows = [
+            (int(as_signed(cell[i : i + 1])[0]), int(size[i]), part, raw[at : min(at + _MEMBERS, starts[i] + size[i])].tobytes())
+            for i in once
+            for part, at in enumerate(range(starts[i], starts[i] + size[i], _MEMBERS))
+        ]
+        columns = list(zip(*rows)) or [[], [], [], []]
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("cell", "size", "part", "ones"), columns, types)})
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members = [_wide(x.as_buffer(), 6) for x in batch.column(2)]
+            many = np.array([len(m) for m in members], np.int64)
+            columns = [np.repeat(batch.column(i).to_numpy(), many) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(
+                [*map(pa.array, columns), pa.array(np.concatenate([np.zeros(0, np.int64), *members]))], names=["cell", "size", "one"]
+            )
+
+    dealt = rows.select("_text").mapInArrow(deal, "bucket long, block binary")
+    cells = dealt.groupBy("bucket").applyInArrow(meet, "cell long, size long, part int, ones binary")
+    once = cells.groupBy("cell", "size", "part").agg(F.any_value("ones").alias("ones"))
+    return once.select("cell", "size", "ones").mapInArrow(told, "cell long, size long, one long")
+
+
+def _wide(packed: pa.Buffer, bytes_each: int) -> np.ndarray:
+    out = np.zeros((len(packed) // bytes_each, 8), np.uint8)
+    out[:, :bytes_each] = np.frombuffer(packed, np.uint8).reshape(-1, bytes_each)
+    return out.view(np.int64)[:, 0]
+
+
+def _blocks(keys: np.ndarray, ones: np.ndarray, buckets: int) -> pa.RecordBatch:
+    bucket = (((keys >> U(32)) * U(buckets)) >> U(32)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    block = np.empty((len(keys), 11), np.uint8)
+    block[:, :5] = keys[order].view(np.uint8).reshape(-1, 8)[:, :5]
+    block[:, 5:] = ones[order].view(np.uint8).reshape(-1, 8)[:, :6]
+    bucket = bucket[order]
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    edges = np.r_[starts, len(bucket)].astype(np.int32) * 11
+    blob = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(block)])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), blob], names=["bucket", "block"])
+
+
+def points(rows: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
+    """Per row of ``wanted`` (``_id`` and more): set size, shingle hashes, count vector and
+    parities, as bytes.
+
+    The texts themselves are not shuffled: a filter of the wanted ids goes to them, and only
+    what passes is reduced to its set and meets the ids exactly.
+    """
 
     def point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sets, counts = [], [], []
+            n, sets, counts, parity = [], [], [], []
             for _, s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
                 sets.append(s.tobytes())
                 counts.append(np.bincount((s % U(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes())
+                fine = np.bincount(((s >> U(20)) % U(PARITIES)).astype(np.int64), minlength=PARITIES)
+                parity.append(np.packbits(fine & 1).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(counts, pa.binary())],
-                names=["_id", "n", "shingles", "counts"],
+                [batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (sets, counts, parity))],
+                names=["_id", "n", "shingles", "counts", "parity"],
             )
 
-    return rows.select("_id", "_text").mapInArrow(point, "_id long, n long, shingles binary, counts binary")
+    passing = rows.filter(IdFilter(wanted, "_id").may_hold(F.col("_id"))).select("_id", "_text")
+    return passing.mapInArrow(point, "_id long, n long, shingles binary, counts binary, parity binary").join(wanted, "_id")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
-    """The pairs (a, b) whose sets are similar; count vectors rule most others out first."""
+def similar(pairs: DataFrame, threshold: Threshold) -> DataFrame:
+    """The pairs (a, b) whose sets ``_x`` and ``_y`` are similar.
+
+    Count vectors rule most others out before the shingles are compared.
+    """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,16 +255,22 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFra
                     good[i] = len(np.intersect1d(x, y, assume_unique=True)) >= need
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], names=["a", "b"])
 
+    return pairs.select("a", "b", "_x", "_y").mapInArrow(check, "a long, b long")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
+    """The similar ones of pairs (a, b)."""
     x = sets.select(F.col("_id").alias("a"), F.col("shingles").alias("_x"))
     y = sets.select(F.col("_id").alias("b"), F.col("shingles").alias("_y"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "_x", "_y").mapInArrow(check, "a long, b long")
+    return similar(pairs.join(y, "b").join(x, "a"), threshold)
 
 
 def tree_pairs(members: DataFrame, threshold: Threshold) -> DataFrame:
     """Pairs (a, b) of a cell, in different components, that the count vectors allow.
 
-    ``members`` has ``key``, ``size`` (of the cell), ``_id``, ``part`` (component so far), ``n``
-    and ``counts``. A cell of more than ``CHUNK`` members is cut in chunks by hash; each two of
+    ``members`` has ``key``, ``size`` (of the cell), ``_id``, ``part`` (component so far), ``n``,
+    ``counts`` and ``parity``. What the tree leaves is bounded once more: sets differ in at
+    least as many shingles as groups have counts of unlike parity. A cell of more than ``CHUNK`` members is cut in chunks by hash; each two of
     them meet in a task of their own.
     """
     chunks = F.ceil(F.col("size") / CHUNK)
@@ -174,7 +278,7 @@ def tree_pairs(members: DataFrame, threshold: Threshold) -> DataFrame:
         members.withColumn("_chunk", F.pmod(F.xxhash64("_id"), chunks))
         .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
         .withColumn("tile", F.least("_chunk", "_other") * 1_000_000 + F.greatest("_chunk", "_other"))
-        .select("key", "tile", "_chunk", "_id", "part", "n", "counts")
+        .select("key", "tile", "_chunk", "_id", "part", "n", "counts", "parity")
     )
 
     def search(tile: pa.Table) -> pa.Table:
@@ -185,6 +289,13 @@ def tree_pairs(members: DataFrame, threshold: Threshold) -> DataFrame:
         low, high = divmod(tile.column("tile")[0].as_py(), 1_000_000)
         x, y = tree.pairs(threshold)
         fit = part[x] != part[y]
+        x, y = x[fit], y[fit]
+        bits = np.frombuffer(b"".join(v.as_py() for v in tile.column("parity")), U).reshape(len(ids), -1)
+        fit = np.zeros(len(x), bool)
+        for at in range(0, len(x), 50_000):
+            i, j = x[at : at + 50_000], y[at : at + 50_000]
+            unlike = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+            fit[at : at + 50_000] = unlike <= size[i] + size[j] - 2 * threshold.shared(size[i], size[j])
         if low != high:
             fit &= chunk[x] != chunk[y]
         x, y = ids[x[fit]], ids[y[fit]]
@@ -207,50 +318,52 @@ def near_texts(
        in, so a cell holds at most a small share of the rows even when a third of all texts
        are copies of one.
     3. In each cell the smallest id is compared with the others: bounded by the summed
-       minima of their count vectors, then verified on the shingles. That connects most groups.
+       minima of their count vectors, then verified on the shingles; first each text with the
+       smallest id that any of its cells has, then what is still in different components.
+       That connects most groups.
     4. Cells whose members are still in different components are searched by an R-tree over
        count vectors for pairs of different components, and what it finds is verified.
 
     Null texts have no words; texts without words have size 0 and link with nothing. Rows with a
-    null id get a size, a null component and no links. Rows that repeat an id are taken for
-    one text each, linked through that id. Empty tables give empty results.
+    null id get a size, a null component and no links. Ids are taken for unique: rows that repeat an id and a text
+    are copies of each other. Empty tables give empty results.
     """
     threshold = Threshold(num, den)
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    survey = settled(survey_sets(rows, k, threshold))
-    by_set = F.concat_ws(":", "n", F.hex("_one"), F.hex("_two"))
+    survey = settled(survey_sets(rows, k))
     full = survey.filter((F.col("n") > 0) & F.col("_id").isNotNull())
-    folds = full.groupBy("n", "_one", "_two").agg(F.min("_id").alias("rep")).select(by_set.alias("_set"), "rep")
-    member = settled(
-        full.withColumn("_set", by_set)
-        .join(folds, "_set")
-        .select("_id", "n", "rep", F.when(F.col("_id") == F.col("rep"), F.col("keys")).alias("keys"))
-    )
-    of_cell = Window.partitionBy("key")
-    cells = settled(
-        member.filter(F.col("keys").isNotNull())
-        .select("_id", F.explode("keys").alias("key"))
-        .withColumns({"low": F.min("_id").over(of_cell), "size": F.count("*").over(of_cell)})
-        .filter(F.col("size") > 1)
-    )
-    stars = settled(
-        cells.filter(F.col("low") < F.col("_id")).select(F.col("low").alias("a"), F.col("_id").alias("b")).distinct()
-    )
-    wanted = stars.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    sets = settled(points(wanted.join(rows, "_id"), k))
-    linked = settled(verified(stars, sets, threshold))
+    folds = settled(full.groupBy("n", "_one", "_two").agg(F.min("_id").alias("rep")))
+    total = full.agg(F.sum("n")).first()[0] or 0
+    buckets = 1 + int(total * 4 * (den - num) / (den + num) / KEYS_PER_BUCKET)
+    found = set_cells(rows.filter(F.col("_id").isNotNull()), k, threshold, buckets)
+    short = folds.select(F.col("_one").bitwiseAND(F.lit((1 << 48) - 1)).alias("one"), F.col("rep").alias("_id"))
+    members = settled(found.join(short, "one").select("cell", "size", "_id"))
+    lows = members.groupBy("cell").agg(F.min("_id").alias("a")).select((F.col("cell") + 0).alias("_cell"), "a")
+    cells = members.join(lows, F.col("cell") == F.col("_cell")).select("a", F.col("_id").alias("b")).filter("a < b")
+    stars = settled(cells.distinct())
+    first = stars.groupBy("b").agg(F.min("a").alias("a"))
+    nodes = stars.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    wanted = settled(nodes.join(first.select(F.col("b").alias("_id"), "a"), "_id", "left"))
+    sets = settled(points(rows, k, wanted))
+    centres = sets.join(wanted.select(F.col("a").alias("_id")).distinct(), "_id", "left_semi")
+    pairs = sets.filter(F.col("a").isNotNull()).select("a", F.col("_id").alias("b"), F.col("shingles").alias("_y"))
+    linked = similar(pairs.join(centres.select(F.col("_id").alias("a"), F.col("shingles").alias("_x")), "a"), threshold)
     parts = components(linked)
-
-    crowded = cells.filter(F.col("size") > 2)
-    same = crowded.groupBy("key").agg(
-        F.first("low").alias("low"), F.first("size").alias("size"), F.sum(F.xxhash64("_id").cast("decimal(38,0)")).alias("h")
+    root = lambda c: parts.select(F.col("id").alias(c), F.col("component_id").alias(f"_{c}"))
+    apart = (
+        stars.join(first.select("a", "b"), ["a", "b"], "left_anti")
+        .join(root("a"), "a", "left")
+        .join(root("b"), "b", "left")
+        .filter(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
+        .select("a", "b")
     )
-    once = same.groupBy("low", "size", "h").agg(F.min("key").alias("key")).select((F.col("key") + 0).alias("_key"))
+    parts = joined(parts, verified(apart, sets, threshold))
+
+    crowded = members.filter(F.col("size") > 2)
     placed = settled(
-        crowded.join(once, F.col("key") == F.col("_key"))
-        .select("key", "size", "_id")
-        .join(parts.withColumnRenamed("id", "_id"), "_id", "left")
-        .select("key", "size", "_id", F.coalesce("component_id", "_id").alias("part"))
+        crowded.join(parts.withColumnRenamed("id", "_id"), "_id", "left").select(
+            F.col("cell").alias("key"), "size", "_id", F.coalesce("component_id", "_id").alias("part")
+        )
     )
     mixed_cells = (
         placed.groupBy("key")
@@ -259,13 +372,15 @@ def near_texts(
         .select((F.col("key") + 0).alias("_key"))
     )
     open_members = placed.join(mixed_cells, F.col("key") == F.col("_key")).drop("_key")
-    found = tree_pairs(open_members.join(sets.select("_id", "n", "counts"), "_id"), threshold)
-    more = verified(found.join(stars, ["a", "b"], "left_anti"), sets, threshold)
-    copies = member.filter(F.col("_id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("_id").alias("b"))
-    whole = components(linked.unionByName(more).unionByName(copies)).withColumnRenamed("id", "_id")
+    found = tree_pairs(open_members.join(sets.select("_id", "n", "counts", "parity"), "_id"), threshold)
+    more = verified(found.join(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"), sets, threshold)
+    whole = joined(parts, more).withColumnRenamed("id", "rep")
+    by_set = F.concat_ws(":", "n", F.hex("_one"), F.hex("_two"))
+    named = folds.join(whole, "rep", "left").select(by_set.alias("_set"), F.coalesce("component_id", "rep").alias("component_id"))
+    alone = F.when(F.col("_id").isNotNull() & (F.col("n") > 0), by_set)
     return (
-        survey.select("_id", "n")
-        .join(whole, "_id", "left")
+        survey.select("_id", "n", alone.alias("_set"))
+        .join(named, "_set", "left")
         .select(
             F.col("_id").cast(df.schema[id_col].dataType).alias(id_col),
             F.col("n").alias("n_shingles"),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldstats.llm.bytes_of import as_signed, run_hashes, sliding_minimum, text_pieces, word_hashes
-from fieldstats.llm.common import settled
+from fieldstats.llm.common import IdFilter, settled
 
 #: Counters of the sketch. It is kept sparse, so width costs nothing; the expected share of
 #: windows flagged in vain is (number of anchors) / width.
@@ -174,13 +174,14 @@ def remove_repeats(
     )
     cells = folded.filter(F.col("cells").isNotNull()).select("_id", "_xx", F.explode("cells").alias("_cell"))
     sketch = cells.groupBy("_cell").agg(F.count("*").alias("_estimate")).filter(F.col("_estimate") > 1)
-    flagged = (
+    flagged = settled(
         cells.withColumn("_look", F.col("_cell") + 0)
         .join(sketch.select((F.col("_cell") + 0).alias("_look")), "_look")
         .groupBy("_id", "_xx")
         .agg(F.collect_list("_cell").alias("cells"))
     )
-    with_text = settled(flagged.join(rows, ["_id", "_xx"]).dropDuplicates(["_id", "_xx"]))
+    passing = rows.filter(IdFilter(flagged, "_id").may_hold(F.col("_id")))
+    with_text = settled(flagged.join(passing, ["_id", "_xx"]).dropDuplicates(["_id", "_xx"]))
     windows = flagged_windows(with_text, window, anchor, width)
     groups = (
         windows.groupBy("_h1", "_h2")
