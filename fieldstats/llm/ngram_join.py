@@ -259,12 +259,18 @@ def similar(pairs: DataFrame, threshold: Threshold) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
-    """The similar ones of pairs (a, b)."""
-    x = sets.select(F.col("_id").alias("a"), F.col("shingles").alias("_x"))
-    y = sets.select(F.col("_id").alias("b"), F.col("shingles").alias("_y"))
+    """The similar ones of pairs (a, b); only sets that a pair may need are shuffled."""
+    pairs = settled(pairs)
+    some = _needed(sets, pairs.select(F.explode(F.array("a", "b")).alias("_id")))
+    x = some.select(F.col("_id").alias("a"), F.col("shingles").alias("_x"))
+    y = some.select(F.col("_id").alias("b"), F.col("shingles").alias("_y"))
     return similar(pairs.join(y, "b").join(x, "a"), threshold)
 
 
+def _needed(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    return sets.filter(IdFilter(ids, "_id").may_hold(F.col("_id")))
+
+
 def tree_pairs(members: DataFrame, threshold: Threshold) -> DataFrame:
     """Pairs (a, b) of a cell, in different components, that the count vectors allow.
 
@@ -345,7 +351,7 @@ def near_texts(
     nodes = stars.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
     wanted = settled(nodes.join(first.select(F.col("b").alias("_id"), "a"), "_id", "left"))
     sets = settled(points(rows, k, wanted))
-    centres = sets.join(wanted.select(F.col("a").alias("_id")).distinct(), "_id", "left_semi")
+    centres = _needed(sets, first.select(F.col("a").alias("_id")))
     pairs = sets.filter(F.col("a").isNotNull()).select("a", F.col("_id").alias("b"), F.col("shingles").alias("_y"))
     linked = similar(pairs.join(centres.select(F.col("_id").alias("a"), F.col("shingles").alias("_x")), "a"), threshold)
     parts = components(linked)
