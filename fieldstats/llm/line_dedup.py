@@ -1,4 +1,4 @@
-"""Repeated runs of lines, cut at content-defined places and compared byte by byte."""
+"""Repeated runs of lines: cut at content-defined places, or found whole line by line."""
 
 from __future__ import annotations
 
@@ -12,6 +12,9 @@ ROLLING_LINES, MODULUS = 2, 3
 #: Lines with a word that a chunk needs to be removed.
 LEAST_LINES = 2
 _OWN = ("_id", "_xx", "_text", "_lines", "_hashes", "_ends", "_chunks", "_stay", "_gone")
+_RUNS_OWN = (*_OWN, "_filled", "_pairs")
+#: A line that holds a word.
+_WORDY = r"[^\x20\x09-\x0D]"
 #: Factor between a line and the one before it in the rolling hash.
 _FACTOR = 31
 
@@ -47,13 +50,21 @@ def chunked(texts: DataFrame) -> DataFrame:
             k.alias("k"),
             start.alias("start"),
             (end - start + 1).alias("many"),
-            F.size(F.filter(own, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).alias("filled"),
+            F.size(F.filter(own, lambda x: x.rlike(_WORDY))).alias("filled"),
             F.array_join(own, "\n").alias("content"),
         )
 
     return computed(ends, _chunks=F.transform("_ends", chunk)).drop("_hashes", "_ends")
 
 
+def _keys(id_col: str, text_col: str) -> dict[str, Column]:
+    """What tells a document apart; null ids rank behind all others."""
+    return {
+        "_id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1)),
+        "_xx": F.xxhash64(F.col(f"`{text_col}`")),
+    }
+
+
 def dedup_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``df`` with repeated chunks cut out of ``text_col``; adds ``n_lines``, ``n_removed``.
 
@@ -67,13 +78,12 @@ def dedup_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     others. Rows that repeat an id and text are the same document and keep the same lines.
     A document may lose all lines; it stays with an empty text. Columns of ``df`` named
     like the results are replaced; those named in ``_OWN`` are left out.
+
+    A run at whose edges foreign lines share a chunk keeps these edges, and a run without a
+    whole chunk stays; ``dedup_runs`` removes them too.
     """
     df = df.drop("n_lines", "n_removed", *_OWN)
-    last = F.lit((1 << 63) - 1)
-    keys = {
-        "_id": F.coalesce(F.col(f"`{id_col}`").cast("long"), last),
-        "_xx": F.xxhash64(F.col(f"`{text_col}`")),
-    }
+    keys = _keys(id_col, text_col)
     texts = df.select(*[v.alias(k) for k, v in keys.items()], F.col(f"`{text_col}`").alias("_text"))
     chunks = (
         chunked(texts)
@@ -115,3 +125,76 @@ def dedup_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             text_col: F.when(cut, F.array_join(F.transform("_stay", lambda c: c["content"]), "\n")).otherwise(F.col("_text")),
         }
     ).drop("_id", "_xx", "_gone", "_text", "_lines", "_chunks", "_stay")
+
+
+def dedup_runs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``df`` without the lines of repeated runs; adds ``n_lines``, ``n_removed``.
+
+    A run is two or more lines with a word and the lines without one between them. It is
+    repeated if an earlier place (document by id, then place in it) has the same bytes.
+    Each two neighbouring lines with a word are a seed; equal seeds side by side are a
+    match extended line by line, so a run goes up to its edges, whatever stands around it,
+    and the earliest copy of every line stays. Where a pair overlaps its own first copy
+    (a line three times in a row), the line of that copy stays.
+
+    Seeds are shuffled as SHA-256 digests without their text. Seeds of one digest that
+    differ in length or in another hash end the query. Nulls, empty texts, repeated rows
+    and columns are handled as in ``dedup_lines``.
+    """
+    df = df.drop("n_lines", "n_removed", *_RUNS_OWN)
+    keys = _keys(id_col, text_col)
+    texts = df.select(*[v.alias(k) for k, v in keys.items()], F.col(f"`{text_col}`").alias("_text"))
+    lines = computed(texts.filter(F.col("_text").isNotNull()), _lines=F.split("_text", "\n", -1)).drop("_text")
+    wordy = F.filter(
+        F.transform("_lines", lambda x, i: F.when(x.rlike(_WORDY), i)), lambda i: i.isNotNull()
+    )
+    filled = computed(lines, _filled=wordy).filter(F.size("_filled") >= LEAST_LINES)
+
+    def pair(start: Column, k: Column) -> Column:
+        end = F.get("_filled", k + 1)
+        content = F.array_join(F.slice("_lines", start + 1, end - start + 1), "\n")
+        return F.struct(k.alias("k"), start.alias("start"), end.alias("end"), content.alias("content"))
+
+    pairs = (
+        computed(filled, _pairs=F.transform(F.slice("_filled", F.lit(1), F.size("_filled") - 1), pair))
+        .select("_id", "_xx", F.explode("_pairs").alias("p"))
+        .select("_id", "_xx", "p.k", "p.start", "p.end", F.unhex(F.sha2("p.content", 256)).alias("_digest"),
+                F.octet_length("p.content").alias("_bytes"), F.xxhash64("p.content").alias("_check"))
+    )
+    place = F.struct("_id", "_xx", "k")
+    alike = (F.col("_least") == F.col("_most")) & (F.col("_short") == F.col("_long"))
+    repeated = (
+        pairs.groupBy("_digest")
+        .agg(
+            F.min(place).alias("_first"),
+            F.max(place).alias("_last"),
+            *[f(c).alias(n) for f, c, n in ((F.min, "_check", "_least"), (F.max, "_check", "_most"), (F.min, "_bytes", "_short"), (F.max, "_bytes", "_long"))],
+        )
+        .filter(F.col("_first") < F.col("_last"))
+        .select(
+            F.concat("_digest", F.unhex(F.lit(""))).alias("_key"),
+            F.when(alike, F.col("_first"))
+            .otherwise(F.raise_error(F.lit("two seeds share a digest")).cast("struct<_id:bigint,_xx:bigint,k:int>"))
+            .alias("_first"),
+        )
+    )
+    first = F.col("_first")
+    own = (first["_id"] == F.col("_id")) & (first["_xx"] == F.col("_xx")) & (first["k"] == F.col("k") - 1)
+    gone = (
+        pairs.select("_id", "_xx", "k", "start", "end", F.concat("_digest", F.unhex(F.lit(""))).alias("_key"))
+        .join(repeated, "_key")
+        .filter(place > first)
+        .groupBy("_id", "_xx")
+        .agg(F.collect_set(F.struct((F.col("start") + own.cast("int")).alias("start"), "end")).alias("_gone"))
+    )
+    out = computed(df.withColumns(keys).join(gone, ["_id", "_xx"], "left"), _lines=F.split(F.col(f"`{text_col}`"), "\n", -1))
+    places = F.flatten(F.transform("_gone", lambda g: F.sequence(g["start"], g["end"])))
+    out = computed(out, _stay=F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), places))
+    cut = F.col("_gone").isNotNull()
+    return out.withColumns(
+        {
+            "n_lines": F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(F.size("_lines")),
+            "n_removed": F.when(cut, F.size("_lines") - F.size("_stay")).otherwise(F.lit(0)),
+            text_col: F.when(cut, F.array_join(F.transform("_stay", lambda i: F.get("_lines", i)), "\n")).otherwise(F.col(f"`{text_col}`")),
+        }
+    ).drop("_id", "_xx", "_gone", "_lines", "_stay")

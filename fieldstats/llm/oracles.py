@@ -71,6 +71,21 @@ SELECT doc_id, sum(many)::INT AS n_lines, coalesce(sum(many) FILTER (WHERE gone)
        sha256(coalesce(string_agg(content, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS text_sha256
 FROM g GROUP BY doc_id"""
 
+OP4_RUNS = f"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i, ls, ls[i] AS line FROM d, unnest(range(1, len(ls) + 1)) AS u(i)),
+f AS (SELECT doc_id, i, ls, row_number() OVER w AS k, lead(i) OVER w AS j FROM l
+      WHERE regexp_matches(line, {WORDS}) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT doc_id, k, i, j, array_to_string(ls[i:j], chr(10)) AS content FROM f WHERE j IS NOT NULL),
+s AS (SELECT *, first_value(doc_id) OVER w AS doc, first_value(k) OVER w AS spot FROM p
+      WINDOW w AS (PARTITION BY content ORDER BY doc_id, k)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i + (doc = doc_id AND spot = k - 1)::INT, j + 1)) AS i FROM s
+         WHERE doc <> doc_id OR spot <> k),
+g AS (SELECT l.doc_id, l.i, line, gone.i IS NOT NULL AS gone FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.i = l.i)
+SELECT doc_id, count(*)::INT AS n_lines, (count(*) FILTER (WHERE gone))::INT AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS text_sha256
+FROM g GROUP BY doc_id"""
+
 OP5 = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
            FROM documents)
@@ -116,6 +131,7 @@ ORACLES = {
     "op2_rendezvous_sharding": OP2,
     "op3_subspace_pigeonhole": OP3,
     "op4_line_chunks": OP4,
+    "op4_line_runs": OP4_RUNS,
     "op5_exact_dedup": OP5,
     "op7_source_mixing": OP7,
     "op9_substring_dedup": OP9,

@@ -64,6 +64,13 @@ def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_runs(docs, "doc_id", "text").select(
+        "doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256")
+    )
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return exact_dedup.exact_groups(docs, "doc_id", exact_dedup.normalised(F.col("text"))).withColumnRenamed(
@@ -114,6 +121,7 @@ QUERIES = {
         op2_rendezvous_sharding,
         op3_subspace_pigeonhole,
         op4_line_chunks,
+        op4_line_runs,
         op5_exact_dedup,
         op6_minimum_slack_packing,
         op7_source_mixing,

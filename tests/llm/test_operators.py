@@ -242,6 +242,40 @@ def test_line_dedup(docs, rows, none):
     assert line_dedup.dedup_lines(none, "doc_id", "text").count() == 0
 
 
+def _runs(texts):
+    """What is left of texts, by a plain search of earlier pairs of lines with a word."""
+    seen, out = {}, []
+    for at, text in enumerate(texts):
+        lines = text.split("\n")
+        filled, gone = [i for i, x in enumerate(lines) if words(x)], set()
+        for k, (i, j) in enumerate(zip(filled, filled[1:])):
+            first = seen.setdefault(tuple(lines[i : j + 1]), (at, k))
+            if first != (at, k):
+                gone |= set(range(i + (first == (at, k - 1)), j + 1))
+        out.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
+    return out
+
+
+def test_line_runs_go_up_to_their_edges(spark, docs, rows, none):
+    draw = np.random.default_rng(11)
+    prose = lambda n: [" ".join(map(str, draw.integers(0, 10**6, 5))) for _ in range(n)]
+    passages = [prose(2 + i % 4) for i in range(40)]
+    texts = ["\n".join(x) for x in passages]
+    around = [(prose(3), prose(3)) for _ in passages]
+    texts += ["\n".join([*a, *p, *b]) for p, (a, b) in zip(passages, around)]
+    left = ["\n".join([*a, *b]) for a, b in around]
+    texts += ["x 1\n \ny 2\nz", "w\nx 1\n \ny 2\n\nv", "na\nna\nna\nna\nna", "once\n\n", "a b\nc\na b\nc\na b\nc", ""]
+    left = texts[:40] + left + [texts[80], "w\n\nv", "na\nna", "once\n\n", "a b\nc", ""]
+    assert _runs(texts) == left
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(99, None, "x")], "doc_id long, text string, _pairs string")
+    got = {r.doc_id: r for r in line_dedup.dedup_runs(df.repartition(5), "doc_id", "text").collect()}
+    assert [got[i].text for i in range(len(texts))] == left
+    assert (got[99].text, got[99].n_lines, got[99].n_removed) == (None, 0, 0)
+    assert sum(r.n_removed for r in got.values()) == sum(len(p) for p in passages) + 3 + 3 + 4
+    assert len(line_dedup.dedup_runs(docs, "doc_id", "text").collect()) == len(rows)
+    assert line_dedup.dedup_runs(none, "doc_id", "text").count() == 0
+
+
 def test_packing(docs, rows, none):
     from tokenizers import Tokenizer
 
