@@ -359,6 +359,22 @@ def test_mixing(docs, rows, none):
     assert mixing.mix_sources(docs, "doc_id", "source", F.lit(0), [1], 1.5).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_small_sources_are_taken_to_their_targets(spark):
+    """A block of goal / 100,000 holds 75,000 words here, more than some sources."""
+    big = [(i, "big", 50_000_000) for i in range(60)] + [(100 + i, "huge", 50_000_000) for i in range(40)]
+    small = [(1_000 * (k + 1) + i, f"s{k:02}", n // 10) for k, n in enumerate([30, 900, 15_000, 15_000, 50_000, 80_000]) for i in range(10)]
+    df = spark.createDataFrame([*big, *small], "id long, source string, n long")
+    got = mixing.mix_sources(df, "id", "source", F.col("n"), [3, 1, 2], 1.5).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        assert 0 <= r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert len(target) == 8
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= max(3, 0.015 * t), (s, taken[s], t)
+
+
 def test_apportion_gives_highest_quotients(spark):
     draw = np.random.default_rng(8)
     rows, want = [], {}
