@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldstats.llm.common import WORD, hash_number, hex_hash, as_key, running_start, settled
+from fieldstats.llm.common import WORD, computed, hash_number, hex_hash, as_key, running_start, settled
 
 #: Hexadecimal digits of the buckets a source is laid out in.
 BUCKET_DIGITS = 3
@@ -113,12 +113,13 @@ def mix_sources(
     blocks: int = 100_000,
     seed: str = "mix",
 ) -> DataFrame:
-    """One row per document: id, size, ``source_size``, ``target``, ``taken``, ``place``.
+    """One row per document: id, size, ``source_size``, ``target``, ``taken``, ``shards``, ``place``.
 
     A source's documents lie end to end in an order hashed from seed and id. That line is
-    cut in equal blocks; the quota's blocks are taken from a seeded block on, round and
-    round, so none is taken more than ``repeats`` times, and a document at a cut is taken
-    in part. Everything depends on ids, sizes and the seed only: reruns agree.
+    cut in equal blocks; from a seeded block on, round and round, each shard in turn takes
+    the blocks of its quota, so none is taken more than ``repeats`` times, and a document at
+    a cut is taken in part. ``shards`` holds (shard, taken) of the shards that take words of
+    the document; ``taken`` is their sum. Everything depends on ids, sizes and the seed only: reruns agree.
 
     Null sources are a source of their own, last in order; null sizes count as 0; rows
     that repeat an id are documents of their own. An empty table, or one without words,
@@ -132,23 +133,21 @@ def mix_sources(
         ).withColumn("_hash", hex_hash(as_key("_id"), seed))
     )
     targets = settled(source_targets(sized, weights, share, repeats))
-    taken = (
+    cap = F.col("source_size") * repeats
+    upto = F.sum("quota").over(Window.partitionBy("place").orderBy("shard"))
+    arcs = (
         block_quotas(targets, shards, blocks)
+        .withColumn("_to", F.least(upto * F.col("block"), cap))
         .groupBy("_source", "place", "source_size", "target", "block")
-        .agg(F.sum("quota").alias("quota"))
-        .withColumn("_all", F.least(F.col("quota") * F.col("block"), F.col("source_size") * repeats))
+        .agg(F.array_sort(F.collect_list(F.struct("shard", "_to"))).alias("_arcs"))
         .withColumn("_length", F.greatest(F.col("source_size"), F.lit(1)))
-        .select(
-            "_source",
-            "place",
-            "source_size",
-            "target",
-            F.expr("_all div _length").alias("_rounds"),
-            (F.col("_all") % F.col("_length")).alias("_rest"),
-            (hash_number(hex_hash(F.col("place").cast("string"), seed)) % F.ceil(F.col("_length") / F.col("block")) * F.col("block")).alias("_from"),
+        .withColumn(
+            "_from",
+            hash_number(hex_hash(F.col("place").cast("string"), seed)) % F.ceil(F.col("_length") / F.col("block")) * F.col("block"),
         )
+        .drop("block")
     )
-    known = sized.join(taken, sized["_source"].eqNullSafe(taken["_source"])).drop(taken["_source"])
+    known = sized.join(arcs, sized["_source"].eqNullSafe(arcs["_source"])).drop(arcs["_source"])
     laid = running_start(
         known.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS)),
         ["place"],
@@ -157,15 +156,24 @@ def mix_sources(
         F.col("_size"),
         "_at",
     )
-    end, stop = F.col("_at") + F.col("_size"), F.col("_from") + F.col("_rest")
-    ahead = F.greatest(F.lit(0), F.least(end, stop) - F.greatest("_at", "_from"))
-    around = F.greatest(F.lit(0), F.least(end, stop - F.col("source_size")) - F.col("_at"))
+
+    def before(stop: Column) -> Column:
+        """Words of the document among the first ``stop`` of its source's line, round and round."""
+        rounds = F.floor(stop / F.col("_length"))
+        return rounds * F.col("_size") + F.greatest(F.lit(0), F.least(stop - rounds * F.col("_length") - F.col("_at"), F.col("_size")))
+
+    def of_shard(arc: Column, i: Column) -> Column:
+        start = F.coalesce(F.get("_arcs", i - 1)["_to"], F.lit(0))
+        return F.struct(arc["shard"].alias("shard"), (before(F.col("_from") + arc["_to"]) - before(F.col("_from") + start)).alias("taken"))
+
+    laid = computed(laid, _shards=F.filter(F.transform("_arcs", of_shard), lambda x: x["taken"] > 0))
     return laid.select(
         F.col("_id").alias(id_col),
         F.col("_size").alias("size"),
         "source_size",
         "target",
-        (F.col("_rounds") * F.col("_size") + ahead + around).alias("taken"),
+        F.aggregate("_shards", F.lit(0).cast("long"), lambda a, x: a + x["taken"]).alias("taken"),
+        F.col("_shards").alias("shards"),
         F.col("_source").alias(source_col),
         "place",
     )

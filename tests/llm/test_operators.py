@@ -375,6 +375,19 @@ def test_small_sources_are_taken_to_their_targets(spark):
         assert abs(taken[s] - t) <= max(3, 0.015 * t), (s, taken[s], t)
 
 
+def test_shards_take_their_quotas(spark):
+    rows = [(1_000 * s + i, f"s{s}", 1 + (7 * i + s) % 90) for s in range(3) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, source string, n long")
+    got = mixing.mix_sources(df, "id", "source", F.col("n"), [3, 1, 2], 1.5, shards=4).collect()
+    target, taken = {r.source: r.target for r in got}, Counter()
+    for r in got:
+        assert r.taken == sum(x.taken for x in r.shards) and all(x.taken > 0 for x in r.shards)
+        taken.update({(r.source, x.shard): x.taken for x in r.shards})
+    assert set(taken) == {(s, k) for s in target for k in range(4)}
+    for (s, _), n in taken.items():
+        assert abs(n - target[s] / 4) <= 3
+
+
 def test_apportion_gives_highest_quotients(spark):
     draw = np.random.default_rng(8)
     rows, want = [], {}
