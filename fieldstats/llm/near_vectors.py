@@ -25,12 +25,11 @@ _STRIP, _PAIRS = 512, 100_000
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``_id``, ``vector`` and its ``_key`` for vectors that can link.
 
-    Left out: null ids, null and zero vectors, those with a null or non-finite component,
-    and those of another length than the most frequent one.
+    Left out: null ids, null and zero vectors, and those with a null or non-finite component.
     """
     v = F.col("vector")
     zero = F.lit(0).cast(vectors.schema[vector_col].dataType.elementType)
-    rows = (
+    return (
         vectors.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{vector_col}`").alias("vector"))
         .filter(
             F.col("_id").isNotNull()
@@ -38,10 +37,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
             & F.exists(v, lambda x: x != 0)
         )
         .withColumn("vector", F.transform(v, lambda x: x + zero))
-    )
-    length = rows.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").first()
-    return rows.filter(F.size("vector") == (length["n"] if length else 0)).withColumn(
-        "_key", F.sha2(F.col("vector").cast("string"), 256)
+        .withColumn("_key", F.sha2(F.col("vector").cast("string"), 256))
     )
 
 
@@ -209,7 +205,9 @@ def near_groups(
 
     Equal vectors are folded first and linked by count; the rest goes through
     ``linked_tiles``, where candidates of each block are verified by cosine in double
-    precision. Every pair with ``cosine`` or more is found, whatever the rotation. Rows that
+    precision. Every pair with ``cosine`` or more is found, whatever the rotation. Only
+    vectors of the same length can link, so each length with two different vectors has its
+    own rotation and tiles, one length after the other. Rows that
     ``usable`` leaves out link with nothing and are their own component; a row that
     repeats id and vector counts as one more copy. An empty table gives an empty table.
     """
@@ -217,20 +215,25 @@ def near_groups(
     folded = settled(
         known.groupBy("vector").agg(F.min("_id").alias("rep"), F.count("*").alias("copies"), F.min("_key").alias("_key"))
     )
-    sample = (
-        folded.orderBy(hex_hash(as_key("rep"), "rotation")).limit(ROTATION_SAMPLE).select("vector").toArrow().column("vector")
-    )
     plain = vectors.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{vector_col}`").alias("vector"))
-    if not len(sample):
-        groups = folded.select("_key", "rep", "copies", F.lit(0).cast("long").alias("n"), F.col("rep").alias("component_id"))
+    links = parts = None
+    for length in [r["length"] for r in folded.groupBy(F.size("vector").alias("length")).count().orderBy("length").collect() if r["count"] > 1]:
+        reps = folded.filter(F.size("vector") == length)
+        sample = (
+            reps.orderBy(hex_hash(as_key("rep"), "rotation")).limit(ROTATION_SAMPLE).select("vector").toArrow().column("vector")
+        )
+        found = settled(linked_tiles(reps, Rotation(_units(sample), cosine, block), tile))
+        own = F.lit(length).alias("length")
+        linked = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n")).select(own, "rep", "n")
+        joined = components(found.filter(F.col("a") != F.col("b")).select("a", "b")).select(own, F.col("id").alias("rep"), "component_id")
+        links, parts = (linked, joined) if links is None else (links.unionByName(linked), parts.unionByName(joined))
+    groups = folded.select("_key", "rep", "copies", F.size("vector").alias("length"))
+    if links is None:
+        groups = groups.withColumns({"n": F.lit(0).cast("long"), "component_id": F.col("rep")})
     else:
-        found = settled(linked_tiles(folded, Rotation(_units(sample), cosine, block), tile))
-        links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-        parts = components(found.filter(F.col("a") != F.col("b")).select("a", "b")).withColumnRenamed("id", "rep")
         groups = (
-            folded.select("_key", "rep", "copies")
-            .join(links, "rep", "left")
-            .join(parts, "rep", "left")
+            groups.join(links, ["length", "rep"], "left")
+            .join(parts, ["length", "rep"], "left")
             .select("_key", "rep", "copies", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component_id", "rep").alias("component_id"))
         )
     zero = F.lit(0).cast(vectors.schema[vector_col].dataType.elementType)

@@ -207,6 +207,24 @@ def test_near_vectors(spark, block, tile):
             assert r.kept == (r.vec_id == r.component_id)
 
 
+def test_near_vectors_of_each_length(spark):
+    draw = np.random.default_rng(5)
+    rows, want = [], {}
+    for at, (length, many) in enumerate([(24, 40), (7, 12), (3, 6), (1, 4)]):
+        base = draw.normal(size=length) + 3
+        for i in range(many):
+            near = i % 2 == 0
+            rows.append((100 * at + i, [float(x) for x in base * (1 + i)] if near else [0.0] * length))
+            want[100 * at + i] = (many // 2 - 1, 100 * at) if near else (0, 100 * at + i)
+    rows += [(900, [1.0, 2.0]), (901, [1.0, 2.0]), (902, [2.0] * 9), (0, [2.0] * 9)]
+    want |= {900: (1, 900), 901: (1, 900), 902: (1, 0)}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = near_vectors.near_groups(df, "vec_id", "embedding").collect()
+    assert len(got) == len(rows)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got if r.vec_id} == {i: w for i, w in want.items() if i}
+    assert sorted(r.n_links for r in got if r.vec_id == 0) == [1, 19]
+
+
 def test_near_vectors_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert near_vectors.near_groups(df, "vec_id", "embedding").count() == 0
