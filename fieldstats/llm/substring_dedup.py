@@ -1,4 +1,4 @@
-"""Repeated word windows across documents, found behind a count-min prefilter."""
+"""Repeated word windows across documents, found behind a grouping of anchor hashes."""
 
 from __future__ import annotations
 
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from fieldstats.llm.bytes_of import as_signed, run_hashes, sliding_minimum, text_pieces, word_hashes
 from fieldstats.llm.common import IdFilter, settled
 
-#: Counters of the sketch. It is kept sparse, so width costs nothing; the expected share of
-#: windows flagged in vain is (number of anchors) / width.
+#: Anchor hashes are taken modulo this and grouped exactly, in place of a count-min sketch; the
+#: expected share of windows flagged in vain is (number of anchors) / width.
 SKETCH_WIDTH = 1 << 44
 #: Words of an anchor, at most the window's.
 ANCHOR_WORDS = 20
