@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from fieldstats.llm.common import settled
 
 BAD = "label=bad"
+#: Labelled URLs that a rule needs at least.
+MIN_ROWS = 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,7 +40,7 @@ def url_tokens(url: Column) -> Column:
 
 
 def mine_rules(
-    labelled: DataFrame, min_support: float, min_confidence: float, min_rows: int = 20
+    labelled: DataFrame, min_support: float, min_confidence: float, min_rows: int = MIN_ROWS
 ) -> DataFrame:
     """Rules (``tokens`` -> bad): ``rule_id``, ``tokens``, ``key``, ``confidence``, ``support``.
 
@@ -84,6 +86,21 @@ def mine_rules(
     return rules.join(covered, "rule_id", "left_anti").join(keyed, "rule_id")
 
 
+def host_rules(labelled: DataFrame, min_confidence: float, min_rows: int = MIN_ROWS) -> DataFrame:
+    """Whole hosts that are bad: ``host`` and ``host_rule``, whatever their share of the labels.
+
+    ``labelled`` has ``host`` and the boolean ``bad``. Hosts are counted exactly, so the same
+    evidence is a rule in a table of any size.
+    """
+    return (
+        labelled.filter(F.col("host") != "")
+        .groupBy("host")
+        .agg(F.count_if("bad").alias("_bad"), F.count("*").alias("_all"))
+        .filter((F.col("_bad") >= min_rows) & (F.col("_bad") >= F.col("_all") * min_confidence))
+        .select("host", F.concat(F.lit("host="), "host").alias("host_rule"))
+    )
+
+
 def match_rules(pages: DataFrame, id_col: str, rules: DataFrame) -> DataFrame:
     """Ids whose tokens hold all tokens of some rule: id and ``mined_rule``, the first by name.
 
@@ -123,19 +140,24 @@ def judge_urls(
     none fits, a mined rule blocks and everything else is allowed. Null or odd URLs have
     empty host and path, no tokens, and are allowed; pages without a label and labels
     without a page are left out of the mining; null labels too. Without labels nothing
-    is mined. Rows that repeat an id get their own verdicts; the mined rule is the id's.
+    is mined. Rows that repeat an id get their own verdicts; the rule of tokens is the id's.
+    Where no rule of tokens, which need a share of the labels, fits, the whole host's does.
     """
     url = F.col(f"`{url_col}`")
     seen = pages.select(F.col(f"`{id_col}`").alias("_id"), url.alias("_url"))
     tokens = seen.select("_id", url_tokens(F.col("_url")).alias("tokens"))
+    hosts = seen.select("_id", host_of(F.col("_url")).alias("host"))
     marks = labels.select(F.col(f"`{id_col}`").alias("_id"), "bad").filter(F.col("bad").isNotNull())
     rules = settled(mine_rules(tokens.join(marks, "_id"), min_support, min_confidence))
     mined = match_rules(tokens, "_id", rules)
+    by_host = settled(host_rules(hosts.join(marks, "_id"), min_confidence))
     parts = seen.withColumns({"host": host_of(F.col("_url")), "path": path_of(F.col("_url"))})
     rule, verdict = listed_rule(F.col("host"), F.col("path"), listed)
     return (
         parts.withColumns({"rule": rule, "verdict": verdict})
         .join(mined, "_id", "left")
+        .join(by_host, "host", "left")
+        .withColumn("mined_rule", F.coalesce("mined_rule", "host_rule"))
         .select(
             F.col("_id").alias(id_col),
             "host",

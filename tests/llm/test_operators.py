@@ -539,3 +539,13 @@ def test_urls(spark):
     assert url_filters.judge_urls(pages.limit(0), "page_id", "url", labels, LISTED).count() == 0
     unlabelled = url_filters.judge_urls(pages, "page_id", "url", labels.limit(0), LISTED)
     assert unlabelled.filter("mined_rule is not null").count() == 0
+
+
+def test_rare_bad_hosts_are_mined_in_large_tables(spark):
+    url = lambda i: "http://rare.bad.org/a" if i < 199 else "http://mixed.biz/b" if i < 240 else "http://few.info/c" if i < 259 else f"http://h{i % 97}.net/p{i}"
+    bad = lambda i: i < 198 or 199 <= i < 219 or 240 <= i < 259
+    pages = spark.createDataFrame([(i, url(i)) for i in range(40_000)] + [(50_000, "http://rare.bad.org/new")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, bad(i)) for i in range(40_000)], "page_id long, bad boolean")
+    got = url_filters.judge_urls(pages, "page_id", "url", labels, []).filter("verdict = 'block'").collect()
+    assert {r.page_id for r in got} == {*range(199), 50_000}
+    assert {r.mined_rule for r in got} == {"host=rare.bad.org"}
