@@ -1,6 +1,6 @@
 """The queries that SQL can express, as DuckDB SQL over the same tables.
 
-Not here: packing and language ID (a tokenizer, a trained model) and URL rules (mined
+Not here: both packings and language ID (a tokenizer, a trained model) and URL rules (mined
 item sets); tests/llm compares them with plain versions.
 """
 
@@ -126,6 +126,85 @@ k AS (SELECT kept.doc_id, string_agg(word, ' ' ORDER BY kept.i) AS t, count(*) A
 SELECT w.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN k USING (doc_id)"""
 
+def _more(label: str, cost: str, letter: str) -> str:
+    """A label (seven digits of cost, then the audit) after one more edit."""
+    return f"lpad((substr({label}, 1, 7)::INTEGER + {cost})::VARCHAR, 7, '0') || substr({label}, 8) || '{letter}'"
+
+
+def _next_labels() -> str:
+    """Labels of the four states after one turn ``x[1]``, and after the inserts behind it."""
+    extra, live = "CASE WHEN x[1] BETWEEN 'A' AND 'Z' THEN 3 ELSE 0 END", "x[1] <> 'x'"
+
+    def state(i: int, before: list[int], initial: str, rerole: bool) -> str:
+        ways = [_more(f"l[{i}]", "4", "D")]
+        for b in before:
+            if rerole:
+                ways.append(f"CASE WHEN {live} THEN {_more(f'l[{b}]', f'3 + {extra}', 'R')} END")
+            ways.append(f"CASE WHEN lower(x[1]) = '{initial}' THEN {_more(f'l[{b}]', extra, 'K')} END")
+        return f"least({', '.join(ways)})"
+
+    turn = f"[{_more('l[1]', '4', 'D')}, {state(2, [1], 's', False)}, {state(3, [1, 2, 4], 'u', True)}, {state(4, [3], 'a', True)}]"
+    return f"list_transform([{turn}], lambda n: {_INSERTS.replace('l[', 'n[')})[1]"
+
+
+_AS_USER = f"least(l[3], {_more('l[1]', '3', 'I')}, {_more('l[2]', '3', 'I')}, {_more('l[4]', '3', 'I')})"
+_INSERTS = f"list_transform([{_AS_USER}], lambda u: [l[1], l[2], u, least(l[4], {_more('u', '3', 'I')})])[1]"
+
+#: The edit lattice by plain dynamic programming, one turn after the other.
+OP12 = f"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+             lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t),
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+h AS (SELECT c.* EXCLUDE (k), xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+             list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])::BIGINT)),
+             lambda a, b: xor(t[(xor(a, b) % 256) + 1], a // 256))) % 20 AS draw FROM c, crc),
+d AS (SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+             CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM h, unnest(range(CASE WHEN draw = 3 THEN 2 ELSE 1 END)) WHERE draw <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+             regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS body FROM d),
+f AS (SELECT *, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS ini,
+             CASE WHEN body = '' THEN 'blank'
+                  WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                  WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM o),
+g AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'x' WHEN fault = 'truncated' THEN upper(ini) ELSE ini END AS letter,
+             lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM f),
+p AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+             count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+             count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+             list_reduce(list_prepend(['0000000', '9000000', '0000003I', '0000006II'], list(['' || letter] ORDER BY i)),
+                         lambda l, x: {_next_labels()}) AS l FROM g GROUP BY conv_id),
+b AS (SELECT * EXCLUDE (l), substr(least(l[1], l[4]), 1, 7)::BIGINT AS cost, substr(least(l[1], l[4]), 8) AS audit FROM p),
+e AS (SELECT conv_id, j, audit[j] AS edit, sum((audit[j] <> 'I')::INTEGER) OVER (PARTITION BY conv_id ORDER BY j) AS i
+      FROM b, unnest(range(1, length(audit) + 1)) AS u(j)),
+m AS (SELECT e.conv_id, e.j, e.edit, g.role, g.text, row_number() OVER (PARTITION BY e.conv_id ORDER BY e.j) AS place,
+             (first_value(e.edit = 'K' AND g.ini = 's') OVER (PARTITION BY e.conv_id ORDER BY e.j))::INTEGER AS led
+      FROM e LEFT JOIN g ON e.edit <> 'I' AND g.conv_id IS NOT DISTINCT FROM e.conv_id AND g.i = e.i WHERE e.edit <> 'D'),
+r AS (SELECT conv_id, string_agg((CASE WHEN edit = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END)
+             || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS lines FROM m GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+OP13 = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor, a.label = b.label AS same, b.vec_id AS id, list_inner_product(a.v, b.v)::BIGINT AS score
+      FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor, id, score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) AS place
+      FROM s WHERE same QUALIFY place <= 5),
+n AS (SELECT p.anchor, p.place, p.id AS positive, p.score AS goal, s.id, s.score,
+             row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY s.score DESC, s.id) AS rank
+      FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+      QUALIFY rank <= 3)
+SELECT anchor AS anchor_id, positive AS positive_id, rank::INTEGER AS rank, id AS negative_id,
+       goal AS positive_score, score AS negative_score FROM n"""
+
 ORACLES = {
     "op1_ngram_jaccard_join": OP1,
     "op2_rendezvous_sharding": OP2,
@@ -135,4 +214,6 @@ ORACLES = {
     "op5_exact_dedup": OP5,
     "op7_source_mixing": OP7,
     "op9_substring_dedup": OP9,
+    "op12_edit_lattice_repair": OP12,
+    "op13_residue_negatives": OP13,
 }

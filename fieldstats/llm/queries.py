@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldstats.llm import (
+    conversation_repair,
     exact_dedup,
+    hard_negatives,
     language_id,
     line_dedup,
     mixing,
@@ -16,6 +18,7 @@ from fieldstats.llm import (
     sharding,
     substring_dedup,
     url_filters,
+    vector_packing,
 )
 from fieldstats.llm.common import table
 from fieldstats.llm.oracles import ORACLES
@@ -30,11 +33,11 @@ LISTED = [
 ]
 
 
-def tokenizer_path() -> str:
-    """The tokenizer file that op6's contract names; every executor has the package."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """The tokenizer file that a contract names; every executor has the package."""
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +115,23 @@ def op8_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), "doc_id", "text", model).drop("text")
 
 
+def op11_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return vector_packing.pack_texts(docs, "doc_id", "text", tokenizer_path("byte_bpe_50k.json"))
+
+
+def op12_edit_lattice_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    damaged = conversation_repair.damage(turns, "conv_id", "turn", "role", "text")
+    return conversation_repair.repair(damaged, turns.select(F.col("conv_id").alias("conv"))).withColumnRenamed("conv", "conv_id")
+
+
+def op13_residue_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.col("label")
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (own + 1) % 10).otherwise(own))
+    return hard_negatives.mine(rows, "vec_id", "embedding", "label", F.col("vec_id") % 50 == 0)
+
+
 __all__ = ["ORACLES", "QUERIES", "tokenizer_path"]
 
 QUERIES = {
@@ -128,5 +148,8 @@ QUERIES = {
         op8_language_ppm,
         op9_substring_dedup,
         op10_url_rules,
+        op11_vector_packing,
+        op12_edit_lattice_repair,
+        op13_residue_negatives,
     )
 }
