@@ -16,7 +16,7 @@ from fieldstats.llm.common import settled
 
 #: Examples that one task packs together; what is left over in its last bin is all it wastes.
 TOGETHER = 8_192
-#: Texts that are tokenised together.
+#: Texts whose pieces are sent on together.
 _TEXTS = 128
 
 
@@ -175,10 +175,9 @@ def _remainders(
         tokens = ByteTokens.of(path)
         for batch in batches:
             for first in range(0, batch.num_rows, _TEXTS):
-                texts = batch.column(1).slice(first, _TEXTS).to_pylist()
                 rows: list[list] = [[], [], [], [], [], []]
-                for i, ids in enumerate(tokens.ids([t or "" for t in texts]), first):
-                    ids += end
+                for i, text in enumerate(batch.column(1).slice(first, _TEXTS), first):
+                    ids = tokens.ids(text.as_py() or "") + end
                     for at in range(0, len(ids), 4 * capacity):
                         part = ids[at : at + 4 * capacity]
                         n = len(part) // 4

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -29,14 +30,20 @@ ODD = [
 ]
 
 
-def test_stretches_tokenise_like_whole_texts():
-    tokens = ByteTokens(BYTE_BPE)
-    given = ODD + [t or "" for _, t, *_ in texts()]
-    assert tokens.by_stretch
-    for _ in range(2):  # unknown, then remembered
-        assert tokens.ids(given) == tokens._encode(given)
+def test_ids_are_those_of_the_tokenizer():
+    tokens, draw = ByteTokens(BYTE_BPE), random.Random(2)
+    assert tokens.merged_by_number is not None
+    given = ODD + [t or "" for _, t, *_ in texts()] + ["x" * 70_000, " \n" * 30_000, "ab " * 30_000]
+    # Every kind of character next to every other.
+    every = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 97 == 0)]
+    draw.shuffle(every)
+    given += ["".join(draw.choices(every, k=40)) + draw.choice([" ", "\n", "a", "1", "'s"]) for _ in range(3_000)]
+    assigned = [c for c in every if unicodedata.category(c) != "Cn"]
+    given += ["a" + c + " " + c + "1" + c + "\n" for c in assigned]
+    for text in given:
+        assert tokens.ids(text) == tokens.whole(text), text[:50]
     other = ByteTokens(tokenizer_path())
-    assert not other.by_stretch and other.ids(ODD) == other._encode(ODD)
+    assert other.merged_by_number is None and [other.ids(t) for t in ODD] == [other.whole(t) for t in ODD]
 
 
 def test_fill_keeps_every_limit():
@@ -81,7 +88,7 @@ def test_pack_texts(spark, limits, together):
     docs = frame(spark, rows).withColumn("start", F.lit(5)).withColumn("_row", F.lit("x"))
     got = vector_packing.pack_texts(docs, "doc_id", "text", BYTE_BPE, limits, together=together, keep_ids=True).collect()
     tokens = ByteTokens(BYTE_BPE)
-    whole = sorted((-1 if i is None else i, tokens._encode([t or ""])[0] + np.array([1], "<u4").tobytes()) for i, t, *_ in rows)
+    whole = sorted((-1 if i is None else i, tokens.whole(t or "") + np.array([1], "<u4").tobytes()) for i, t, *_ in rows)
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in got:
         assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
