@@ -3,16 +3,19 @@
 Medians, quartiles and ranks all need to know how many values of a group lie below
 a given value. A plain window would sort a whole group in one task. Here
 
-1. rows become (group, value, count), which collapses ties before any sort;
-2. the value axis is cut at row quantiles, so each (group, segment) holds at most
-   about ``1 / segments`` of all rows, however the groups are sized;
+1. rows become (group, value, count) in one pass over the input, which collapses ties
+   before any sort; these cells are kept, and all that follows reads them;
+2. the value axis is cut at quantiles of the cells, so each (group, segment) holds a
+   bounded number of them, however the groups are sized;
 3. a running sum is taken inside each (group, segment);
 4. the totals of the earlier segments, at most one row per group and segment, are
    added by a join that finds the counts already partitioned by its key.
 
-The cut points are literals in the plan, so a recomputed task lands every row in the
-same segment as before. They only balance the work: any cut points give the same
-result, and data of any size takes the same path, a small table as one segment.
+Cut points come from a tree of sketches: each task sketches its cells, ``FAN`` sketches are
+merged by one task, and so on up. A few hundred coarse cuts are numbers in the plan; where a
+coarse stretch still holds too much, it is cut again by sketches of its own, and these cuts
+are a small table, joined by stretch. They only balance the work: any cut points give the
+same result, and data of any size takes the same path, a small table as one segment.
 """
 
 from __future__ import annotations
@@ -21,15 +24,21 @@ import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Rows that one task can sort comfortably.
+from fieldstats.kept import kept
+
+# Cells that one task can sort comfortably.
 ROWS_PER_SEGMENT = 4_000_000
-# Quantiles taken while the rows are counted.
-FIRST_QUANTILES = 1023
+# Stretches that the first cuts make, at most, and segments that each can be cut into.
+COARSE, FINE = 256, 1_024
+# Sketches that one task merges, and their size (ranks within about 0.2 %).
+FAN = 256
+SKETCH_K = 4_096
 
 SEGMENT = "_segment"
 
@@ -69,27 +78,85 @@ def present(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df
 
 
-def cut_points(rows: DataFrame, value: str, rows_per_segment: int) -> list[float]:
-    """Quantiles of ``value`` that cut ``rows`` into segments of about that many rows.
+def sketch_tree(rows: DataFrame, value: str, by: Sequence[str] = (), k: int = SKETCH_K) -> DataFrame:
+    """One quantile sketch (``sketch``, a KLL sketch of doubles) of the finite values per key.
 
-    One pass counts the rows and sketches their quantiles, without a shuffle of rows. Where
-    those are too coarse a second sketch takes as many as there are segments. The driver
-    gets one number a segment.
+    Tasks sketch what they read, then up to ``FAN`` sketches are merged at a time: by 256
+    and by 65,536 neighbouring tasks, then for the whole key. No task reads more than
+    ``FAN`` sketches of a key as long as the input has fewer than ``FAN`` ** 3 tasks.
     """
+    by = list(by)
     v = F.col(value).cast("double")
+    parts = rows.filter(F.abs(v) < F.lit(math.inf)).select(*by, v.alias("_v"), F.spark_partition_id().alias("_part"))
+    near = F.floor(F.col("_part") / FAN).alias("_part")
+    level = parts.groupBy(*by, near).agg(F.kll_sketch_agg_double("_v", k).alias("sketch"))
+    level = level.groupBy(*by, near).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+    return level.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_quantiles(sketch: Column, grid: int) -> Column:
+    """The ``grid - 1`` values at the ranks 1 / grid, 2 / grid ... of a sketch."""
+    return F.kll_sketch_get_quantile_double(sketch, F.lit(np.arange(1, grid) / grid))
+
+
+def _thinned(cuts: Column, grid: int, wanted: Column) -> Column:
+    """Of the cuts by ``grid``, those that make ``wanted`` parts, without repeats."""
+    wanted = F.greatest(F.least(wanted, F.lit(grid)), F.lit(1))
+    at = F.filter(F.sequence(F.lit(0), wanted - 1), lambda i: i > 0)
+    return F.array_distinct(F.transform(at, lambda i: F.get(cuts, F.floor(i * grid / wanted).cast("int") - 1)))
+
+
+def _stretch(value: Column, cuts: Column, most: int) -> Column:
+    """How many of the ascending ``cuts`` (fewer than ``most``) are not above ``value``, by halving."""
+    steps = F.array(*[F.lit(1 << i) for i in range(most.bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) <= value, at + step).otherwise(at))
+
+
+def segmented(cells: DataFrame, value: str, size: int) -> DataFrame:
+    """``cells`` (kept) with their segment of about ``size`` cells, numbered in order."""
+    at = F.lit(0).cast("long")
+    n = cells.count()
+    if n <= size:
+        return cells.withColumn(SEGMENT, at)
+    wanted = math.ceil(n / size)
+    top = sketch_tree(cells, value).select(_thinned(sketch_quantiles(F.col("sketch"), COARSE), COARSE, F.lit(wanted)))
+    coarse = sorted(top.first()[0] or [])
+    if coarse:
+        splits = [-math.inf, *coarse, math.inf]
+        cells = Bucketizer(splits=splits, inputCol="_at", outputCol=SEGMENT).transform(
+            cells.withColumn("_at", F.col(value).cast("double"))
+        ).drop("_at")
+        # Never null, so that no null filter is pushed below one use of the counts
+        # only: all uses then share one shuffle.
+        at = F.coalesce(F.col(SEGMENT).cast("long"), at)
+    cells = cells.withColumn(SEGMENT, at)
+    if wanted <= COARSE:
+        return cells
+    # Stretches that still hold too much are cut again.
+    per_stretch = F.ceil(F.kll_sketch_get_n_double("sketch") / size).cast("int")
+    fine = kept(
+        sketch_tree(cells, value, [SEGMENT]).select(
+            SEGMENT, _thinned(sketch_quantiles(F.col("sketch"), FINE), FINE, per_stretch).alias("_cuts")
+        )
+    )
+    found = cells.join(fine.withColumnRenamed(SEGMENT, "_in"), F.col(SEGMENT) == F.col("_in"), "left")
+    inner = F.coalesce(_stretch(F.col(value).cast("double"), F.col("_cuts"), FINE), F.lit(0))
+    return found.withColumn(SEGMENT, F.col(SEGMENT) * FINE + inner).drop("_in", "_cuts")
 
-    def sketch(parts: int) -> Column:
-        return F.percentile_approx(v, [i / parts for i in range(1, parts)], max(10_000, 4 * parts))
 
-    n_rows, cuts = rows.agg(F.count(F.lit(1)), sketch(FIRST_QUANTILES + 1)).first()
-    wanted = math.ceil(n_rows / rows_per_segment)
-    if wanted > FIRST_QUANTILES + 1:
-        cuts = rows.agg(sketch(wanted)).first()[0]
-    elif wanted > 1:
-        cuts = [cuts[i * (FIRST_QUANTILES + 1) // wanted - 1] for i in range(1, wanted)]
-    else:
-        cuts = []
-    return sorted({float(c) for c in cuts if math.isfinite(c)})
+def counted(
+    rows: DataFrame, groups: Sequence[str], value: str, extra: Sequence[str] = (), weight: str | None = None
+) -> DataFrame:
+    """The distinct values of each group (and extra key) with their count ``n``.
+
+    Rows with a missing value, group or extra key are dropped. ``weight`` is a column of
+    whole-number row weights.
+    """
+    keys = [*groups, *extra, value]
+    picked = rows.withColumn(value, sortable(rows, value)).select(
+        *keys, (F.col(weight) if weight else F.lit(1)).cast("long").alias("n")
+    )
+    return present(picked, keys).groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
 def locate(
@@ -99,33 +166,14 @@ def locate(
     extra: Sequence[str] = (),
     weight: str | None = None,
     rows_per_segment: int = ROWS_PER_SEGMENT,
-    cuts: Sequence[float] | None = None,
 ) -> Positions:
     """Count the values of each group and assign them to segments.
 
-    Rows with a missing value, group or extra key are dropped. ``extra`` columns
-    split the counts further without being part of the order; ``weight`` is a
-    column of whole-number row weights. ``cuts`` are cut points that the caller
-    has; otherwise they are taken from the rows.
+    The input is read once, into cells that are kept (see :func:`counted`). ``extra``
+    columns split the counts further without being part of the order.
     """
-    groups, extra = list(groups), list(extra)
-    picked = rows.withColumn(value, sortable(rows, value)).select(
-        *groups, *extra, value, (F.col(weight) if weight else F.lit(1)).cast("long").alias("n")
-    )
-    picked = present(picked, [*groups, *extra, value])
-    if cuts is None:
-        cuts = cut_points(picked.select(value), value, rows_per_segment)
-    cells = picked.groupBy(*groups, *extra, value).agg(F.sum("n").alias("n"))
-    at = F.lit(0)
-    if cuts:
-        splits = [-math.inf, *cuts, math.inf]
-        cells = Bucketizer(splits=splits, inputCol="_at", outputCol=SEGMENT).transform(
-            cells.withColumn("_at", F.col(value).cast("double"))
-        ).drop("_at")
-        # Never null, so that no null filter is pushed below one use of the counts
-        # only: all uses then share one shuffle.
-        at = F.coalesce(F.col(SEGMENT).cast("int"), F.lit(0))
-    cells = cells.withColumn(SEGMENT, at)
+    groups = list(groups)
+    cells = segmented(kept(counted(rows, groups, value, extra, weight)), value, rows_per_segment)
     sizes = cells.groupBy(*groups, SEGMENT).agg(F.sum("n").alias("size"))
     by_group = Window.partitionBy(*(groups or [F.lit(0)]))
     earlier = by_group.orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)

@@ -56,14 +56,14 @@ def mid_rank(
 
 
 def _group_ranks(
-    df: DataFrame, strata: list[str], group: str, value: str, rows_per_segment: int
+    df: DataFrame, strata: list[str], group: str, value: str, rows_per_segment: int, weight: str | None
 ) -> DataFrame:
     """Per stratum and group: size, mean rank, and the group's part of the tie term.
 
     Twice the rank is a whole number, so the rank sums are exact, in decimals. A tie
     of t values adds t^3 - t, that is t^2 - 1 for each of its rows.
     """
-    pos = locate(df, strata, value, extra=[group], rows_per_segment=rows_per_segment)
+    pos = locate(df, strata, value, extra=[group], weight=weight, rows_per_segment=rows_per_segment)
     n = F.col("n").cast("decimal(18,0)")
     twice = (F.lit(2) * F.col("before") + F.col("ties") + F.lit(1)).cast("decimal(19,0)")
     ties = F.col("ties").cast("double")
@@ -93,15 +93,16 @@ def kruskal_wallis(
     group: str,
     value: str,
     rows_per_segment: int = ROWS_PER_SEGMENT,
+    weight: str | None = None,
 ) -> DataFrame:
     """Kruskal-Wallis H with tie correction per stratum.
 
-    A stratum with a single group, or whose values are all tied, has a null H.
+    ``weight`` names a column of whole numbers: how many equal rows a row stands for. A stratum with a single group, or whose values are all tied, has a null H.
     """
     strata = list(strata)
     off_centre = F.col("mean_rank") - (F.col("total") + F.lit(1)) / F.lit(2.0)
     terms = (
-        _group_ranks(df, strata, group, value, rows_per_segment)
+        _group_ranks(df, strata, group, value, rows_per_segment, weight)
         .groupBy(*strata)
         .agg(
             F.max("total").cast("double").alias("_N"),
@@ -132,6 +133,7 @@ def dunn_test(
     value: str,
     adjust: str = "bonferroni",
     rows_per_segment: int = ROWS_PER_SEGMENT,
+    weight: str | None = None,
 ) -> DataFrame:
     """Dunn's comparison of every two groups of a stratum.
 
@@ -139,13 +141,14 @@ def dunn_test(
     one-sided ``p`` and ``p_adjusted`` (``bonferroni``, or ``none``). The result has
     k(k-1)/2 rows per stratum by definition. Only the table of groups is paired, by a
     join on the stratum in which one side is dealt out to parts of about
-    ``GROUPS_PER_PART`` groups and the other side repeated for each part.
+    ``GROUPS_PER_PART`` groups and the other side repeated for each part. ``weight`` is
+    that of :func:`kruskal_wallis`.
     """
     if adjust not in ("bonferroni", "none"):
         raise ValueError(f"unknown adjustment {adjust!r}")
     strata = list(strata)
     every = Window.partitionBy(*(strata or [F.lit(0)]))
-    groups = _group_ranks(df, strata, group, value, rows_per_segment).select(
+    groups = _group_ranks(df, strata, group, value, rows_per_segment, weight).select(
         *strata,
         F.col(group).alias("group_a"),
         F.col("n").alias("_na"),

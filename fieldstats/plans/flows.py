@@ -62,6 +62,31 @@ def _labels_long(
     return to_long(wide, list(measures), list(labels), name, value)
 
 
+def _folded_long(
+    df: DataFrame, measures: Mapping[str, Column], labels: Mapping[str, Column], name: str, value: str
+) -> DataFrame:
+    """Rows (gas, concentration, label column, label, n) for rank tests.
+
+    Equal measurements under equal labels are counted while the labels are still side by
+    side, with partial counts in the map task; only what differs is repeated for each label.
+    """
+    wide = df.select(*[c.alias(g) for g, c in measures.items()], *[c.alias(k) for k, c in labels.items()])
+    long = _gases_long(wide, list(labels), list(measures)).withColumn("concentration", number("concentration"))
+    known = long.filter(F.col("concentration").isNotNull())
+    cells = known.groupBy(*[F.col(f"`{k}`") for k in labels], "gas", "concentration").agg(F.count(F.lit(1)).alias("n"))
+    return to_long(cells, ["gas", "concentration", "n"], list(labels), name, value)
+
+
+def _index_cells(df: DataFrame, indexes: Mapping[str, str], dissolved: Mapping[str, str]) -> DataFrame:
+    labels = {k: F.col(c) for k, c in indexes.items()}
+    return _class_names(_folded_long(df, _concentration(dissolved), labels, "wqi", "label"))
+
+
+def _landuse_cells(df: DataFrame, banks: Mapping[str, str], dissolved: Mapping[str, str]) -> DataFrame:
+    labels = {k: F.col(c) for k, c in banks.items()}
+    return _land_use(_folded_long(df, _concentration(dissolved), labels, "bank", "land_use"))
+
+
 def _gases_long(wide: DataFrame, keys: Sequence[str], gases: Sequence[str]) -> DataFrame:
     return to_long(wide, keys, gases, "gas", "concentration")
 
@@ -215,9 +240,8 @@ def dissolved_index_tests(
     df: DataFrame, indexes: Mapping[str, str], dissolved: Mapping[str, str], **options
 ) -> DataFrame:
     """Dunn's test between the classes of each index, per gas."""
-    long = _labels_long(df, _concentration(dissolved), indexes, "wqi", "label")
-    gases = _gases_long(_class_names(long), ["wqi", "water_quality"], list(dissolved))
-    return dunn_test(gases, ["wqi", "gas"], "water_quality", "concentration", **options)
+    cells = _index_cells(df, indexes, dissolved)
+    return dunn_test(cells, ["wqi", "gas"], "water_quality", "concentration", weight="n", **options)
 
 
 def dissolved_index_significant(
@@ -245,28 +269,24 @@ def dissolved_landuse_tests(
     df: DataFrame, banks: Mapping[str, str], dissolved: Mapping[str, str], **options
 ) -> DataFrame:
     """Dunn's test between land-use classes per gas, both banks together."""
-    long = _land_use(_labels_long(df, _concentration(dissolved), banks, "bank", "land_use"))
-    gases = _gases_long(long, ["land_use"], list(dissolved))
-    return dunn_test(gases, ["gas"], "land_use", "concentration", **options)
+    cells = _landuse_cells(df, banks, dissolved)
+    return dunn_test(cells, ["gas"], "land_use", "concentration", weight="n", **options)
 
 
 def dissolved_index_kruskal(
     df: DataFrame, indexes: Mapping[str, str], dissolved: Mapping[str, str], **options
 ) -> DataFrame:
     """Kruskal-Wallis test over the classes of each index, per gas."""
-    long = _labels_long(df, _concentration(dissolved), indexes, "wqi", "label")
-    gases = _gases_long(_class_names(long), ["wqi", "water_quality"], list(dissolved))
-    return kruskal_wallis(gases, ["wqi", "gas"], "water_quality", "concentration", **options)
+    cells = _index_cells(df, indexes, dissolved)
+    return kruskal_wallis(cells, ["wqi", "gas"], "water_quality", "concentration", weight="n", **options)
 
 
 def dissolved_landuse_kruskal(
     df: DataFrame, banks: Mapping[str, str], dissolved: Mapping[str, str], **options
 ) -> DataFrame:
     """Kruskal-Wallis test over land-use classes per gas, both banks together."""
-    long = _land_use(_labels_long(df, _concentration(dissolved), banks, "bank", "land_use"))
-    return kruskal_wallis(
-        _gases_long(long, ["land_use"], list(dissolved)), ["gas"], "land_use", "concentration", **options
-    )
+    cells = _landuse_cells(df, banks, dissolved)
+    return kruskal_wallis(cells, ["gas"], "land_use", "concentration", weight="n", **options)
 
 
 def _boxes(long: DataFrame, keys: Sequence[str], gases: Sequence[str], co2_equivalent: bool, **options) -> DataFrame:
