@@ -108,6 +108,25 @@ def box_stats_approx(spark, sf_dir) -> DataFrame:
     )
 
 
+def box_stats_sketch(spark, sf_dir) -> DataFrame:
+    """Quartiles of merged sketches, taken per nation first."""
+    customers = table(spark, sf_dir, "customer")
+    parts = D.quantile_sketches(customers, ["c_mktsegment", "c_nationkey"], "c_acctbal")
+    return D.sketched_quartiles(D.merge_quantile_sketches(parts, ["c_mktsegment"]))
+
+
+def distinct_count_sketch(spark, sf_dir) -> DataFrame:
+    """Distinct counts of merged sketches, taken per line status first."""
+    lines = table(spark, sf_dir, "lineitem")
+    parts = S.distinct_sketches(lines, ["l_returnflag", "l_linestatus"], "l_discount")
+    return S.sketched_distinct(S.merge_distinct_sketches(parts, ["l_returnflag"]))
+
+
+def mean_sem_dotted(spark, sf_dir) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").withColumnsRenamed({"l_returnflag": "l.flag", "l_extendedprice": "l.price"})
+    return rounded(S.mean_sem(lines, ["l.flag"], "l.price"))
+
+
 def box_stats_segmented(spark, sf_dir) -> DataFrame:
     rows = gappy_lineitem(spark, sf_dir)
     boxes = D.box_stats(rows, ["l_returnflag", "l_linestatus"], "l_extendedprice", rows_per_segment=100)
@@ -175,6 +194,9 @@ QUERIES = {
     "distinct_values": distinct_values,
     "box_stats": box_stats,
     "box_stats_approx": box_stats_approx,
+    "box_stats_sketch": box_stats_sketch,
+    "distinct_count_sketch": distinct_count_sketch,
+    "mean_sem_dotted": mean_sem_dotted,
     "box_stats_segmented": box_stats_segmented,
     "box_outliers": box_outliers,
     "box_stats_many": box_stats_many,
@@ -254,6 +276,14 @@ ORACLES = {
     "distinct_values": "SELECT DISTINCT event_type FROM events ORDER BY event_type",
     "box_stats": f"WITH {GAPPY} SELECT * FROM "
     + box_sql("gappy", "l_returnflag, l_linestatus", "l_extendedprice"),
+    "box_stats_sketch": """SELECT c_mktsegment, count(c_acctbal) AS n, quantile_disc(c_acctbal, 0.25) AS q1,
+        quantile_disc(c_acctbal, 0.5) AS median, quantile_disc(c_acctbal, 0.75) AS q3 FROM customer GROUP BY 1""",
+    "distinct_count_sketch": "SELECT l_returnflag, count(DISTINCT l_discount) AS n_distinct FROM lineitem GROUP BY 1",
+    "mean_sem_dotted": """SELECT l_returnflag AS "l.flag", count(*) AS n, round(avg(l_extendedprice), 6) AS mean,
+        round(stddev_samp(l_extendedprice) / sqrt(count(*)), 6) AS sem,
+        round(avg(l_extendedprice) - stddev_samp(l_extendedprice) / sqrt(count(*)), 6) AS lower,
+        round(avg(l_extendedprice) + stddev_samp(l_extendedprice) / sqrt(count(*)), 6) AS upper
+        FROM lineitem GROUP BY 1""",
     "box_stats_approx": """SELECT l_returnflag, count(*) AS n, true AS q1, true AS median, true AS q3
       FROM lineitem GROUP BY 1""",
     "box_outliers": """WITH q AS (

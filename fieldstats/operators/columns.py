@@ -8,11 +8,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldstats.names import any_names
 
+
+@any_names
 def select_cols(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+@any_names
 def drop_cols(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.drop(*names)
 
@@ -26,6 +30,7 @@ def columns_between(df: DataFrame, first: str, last: str) -> list[str]:
     return names[start : stop + 1]
 
 
+@any_names
 def select_range(df: DataFrame, first: str, last: str) -> DataFrame:
     return select_cols(df, columns_between(df, first, last))
 
@@ -37,6 +42,7 @@ def rename_cols(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(dict(mapping))
 
 
+@any_names
 def reorder_cols(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """The same columns in another order."""
     if sorted(order) != sorted(df.columns):
@@ -44,6 +50,7 @@ def reorder_cols(df: DataFrame, order: Sequence[str]) -> DataFrame:
     return select_cols(df, order)
 
 
+@any_names
 def cast_category(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Treat columns as categories: trimmed text."""
     return df.withColumns({n: F.trim(F.col(f"`{n}`").cast("string")) for n in names})
@@ -53,16 +60,19 @@ def filter_rows(df: DataFrame, condition: Column | str) -> DataFrame:
     return df.filter(condition)
 
 
+@any_names
 def complete_cases(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows in which every one of ``cols`` is present."""
     return df.dropna(subset=list(cols))
 
 
+@any_names
 def significant_only(tests: DataFrame, p_col: str = "p_adjusted", alpha: float = 0.05) -> DataFrame:
     """Test rows at or under ``alpha``; a missing p is not significant."""
     return tests.filter(F.col(p_col) <= F.lit(alpha))
 
 
+@any_names
 def sort_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Ascending global sort, for final output only."""
     return df.orderBy(*keys)

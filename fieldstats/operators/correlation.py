@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fieldstats.functions.domain import by_key
 from fieldstats.functions.tails import student_two_sided
 from fieldstats.kept import kept
+from fieldstats.names import any_names
 from fieldstats.operators.joins import join_stats
 from fieldstats.operators.positions import ROWS_PER_SEGMENT, locate, number
 from fieldstats.operators.ranks import rank_table
@@ -267,6 +268,7 @@ def _spearman(rows: DataFrame, cols: Sequence[str], rows_per_segment: int) -> Da
     return sums.select("var_x", "var_y", "n", r.alias("r"))
 
 
+@any_names
 def corr_pairs(
     df: DataFrame,
     cols: Sequence[str],
@@ -285,6 +287,7 @@ def corr_pairs(
     raise ValueError(f"unknown method {method!r}")
 
 
+@any_names
 def corr_test(pairs: DataFrame) -> DataFrame:
     """Two-sided test of each correlation: ``t`` with ``n - 2`` degrees of freedom."""
     r, n = F.col("r"), F.col("n").cast("double")
@@ -297,6 +300,7 @@ def corr_test(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("t", t).withColumn("p", p)
 
 
+@any_names
 def corr_significant(
     df: DataFrame,
     cols: Sequence[str],
@@ -323,6 +327,7 @@ def corr_significant(
     return tested.filter(F.col("p") <= F.lit(alpha)).select("var_x", "var_y", "n", "r", "p")
 
 
+@any_names
 def pair_regression(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Straight line of ``var_y`` on ``var_x`` for every pair; none for a constant ``var_x``.
 

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldstats.kept import kept
+from fieldstats.names import any_names
 from fieldstats.operators.joins import join_stats
 from fieldstats.operators.positions import (
     ROWS_PER_SEGMENT,
     SEGMENT,
+    SKETCH_K,
+    counted,
     locate,
     number,
     present,
@@ -59,6 +64,7 @@ def _approx_quartiles(rows: DataFrame, groups: list[str], value: str, accuracy:
     )
 
 
+@any_names
 def box_stats(
     df: DataFrame,
     groups: Sequence[str],
@@ -118,6 +124,34 @@ def box_stats(
     return boxes if groups else boxes.filter(F.col("n") > 0)
 
 
+@any_names
+def quantile_sketches(df: DataFrame, groups: Sequence[str], value: str, k: int = SKETCH_K) -> DataFrame:
+    """One mergeable sketch of the values per group: groups, ``n``, ``sketch`` (binary).
+
+    Missing values and groups are dropped. A sketch has a fixed size by ``k``, may be
+    written to a table, and is exact up to about ``k`` values; beyond, ranks are within
+    about 2.3 / k ** 0.9 of n.
+    """
+    groups = list(groups)
+    rows = present(df.select(*groups, number(value).alias(value)), [*groups, value])
+    return rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(value, k).alias("sketch"))
+
+
+@any_names
+def merge_quantile_sketches(sketches: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Sketches of parts (sites, days, files) as one per coarser group, without the rows."""
+    return sketches.groupBy(*groups).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+@any_names
+def sketched_quartiles(sketches: DataFrame) -> DataFrame:
+    """Adds ``q1``, ``median`` and ``q3``: values of the data whose rank is within the sketch's error."""
+    at = F.kll_sketch_get_quantile_double("sketch", F.lit(np.array([0.25, 0.5, 0.75])))
+    found = sketches.withColumn("_q", at)
+    return found.withColumns({name: F.col("_q")[i] for i, name in enumerate(("q1", "median", "q3"))}).drop("sketch", "_q")
+
+
+@any_names
 def box_outliers(
     df: DataFrame, groups: Sequence[str], value: str, rows_per_segment: int = ROWS_PER_SEGMENT
 ) -> DataFrame:
@@ -135,6 +169,7 @@ def box_outliers(
     return joined.filter(outside).select(*df.columns)
 
 
+@any_names
 def box_stats_many(
     df: DataFrame, groups: Sequence[str], cols: Sequence[str], **options
 ) -> DataFrame:
@@ -143,15 +178,17 @@ def box_stats_many(
     return box_stats(long, ["variable", *groups], "value", **options)
 
 
+@any_names
 def group_histogram(df: DataFrame, group: str, value: str, bins: int = 30) -> DataFrame:
     """Equal-width histogram of each group over its own range.
 
     The largest value falls in the last bin; a constant group spans half a unit to
     each side. Empty bins are listed with a count of zero.
     """
-    rows = present(df.select(group, number(value).alias(value)), [group, value])
+    # The source is read once: what differs is counted and kept, and gives spans and bins.
+    rows = kept(counted(df.select(group, number(value).alias(value)), [group], value))
     spans = rows.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"), F.min(value).alias("_min"), F.max(value).alias("_max")
+        F.sum("n").alias("n"), F.min(value).alias("_min"), F.max(value).alias("_max")
     )
     flat = F.col("_min") == F.col("_max")
     spans = spans.select(
@@ -164,15 +201,15 @@ def group_histogram(df: DataFrame, group: str, value: str, bins: int = 30) -> Da
     at = F.least(
         F.lit(bins - 1), F.floor((F.col(value) - F.col("_lo")) / width * F.lit(bins)).cast("int")
     )
-    counted = (
-        join_stats(rows, spans, [group])
+    per_bin = (
+        join_stats(rows.withColumnRenamed("n", "_n"), spans, [group])
         .groupBy(group, at.alias("bin"))
-        .agg(F.count(F.lit(1)).alias("count"))
+        .agg(F.sum("_n").alias("count"))
     )
     edges = spans.select(
         group, "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
     )
-    return edges.join(counted, [group, "bin"], "left").select(
+    return edges.join(per_bin, [group, "bin"], "left").select(
         group,
         "bin",
         (F.col("_lo") + width * F.col("bin") / bins).alias("low"),
@@ -181,6 +218,7 @@ def group_histogram(df: DataFrame, group: str, value: str, bins: int = 30) -> Da
     )
 
 
+@any_names
 def describe_numeric(
     df: DataFrame, cols: Sequence[str] | None = None, rows_per_segment: int = ROWS_PER_SEGMENT
 ) -> DataFrame:
@@ -211,6 +249,7 @@ def describe_numeric(
     )
 
 
+@any_names
 def variable_summary(df: DataFrame, col: str, **options) -> DataFrame:
     """Minimum, quartiles, mean, maximum and number missing of one column."""
     return describe_numeric(df, [col], **options).select(

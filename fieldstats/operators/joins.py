@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldstats.names import any_names
+
 def _lookup_side(lookup: DataFrame, on: Sequence[str]) -> tuple[DataFrame, Column, list[str]]:
     """The dictionary with renamed keys, the null-safe condition and those key names."""
     names = {k: f"_lk_{k}" for k in on}
@@ -18,6 +20,7 @@ def _lookup_side(lookup: DataFrame, on: Sequence[str]) -> tuple[DataFrame, Colum
     return lookup.withColumnsRenamed(names), cond, list(names.values())
 
 
+@any_names
 def left_lookup(df: DataFrame, lookup: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """Left join to a dictionary in which a missing key matches a missing key.
 
@@ -29,6 +32,7 @@ def left_lookup(df: DataFrame, lookup: DataFrame, on: str | Sequence[str]) -> Da
     return df.join(table, cond, "left").drop(*extra)
 
 
+@any_names
 def right_lookup(df: DataFrame, lookup: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """Right join to a dictionary.
 
@@ -45,6 +49,7 @@ def right_lookup(df: DataFrame, lookup: DataFrame, on: str | Sequence[str]) -> D
     return matched.unionByName(unused, allowMissingColumns=True).select(*matched.columns)
 
 
+@any_names
 def inner_on_keys(
     a: DataFrame, b: DataFrame, keys: Sequence[str], suffixes: tuple[str, str] = ("_x", "_y")
 ) -> DataFrame:
@@ -68,6 +73,7 @@ def _one_row_per_key(df: DataFrame, key: str) -> DataFrame:
     return grouped.withColumn(key, checked).drop("_rows").select(*df.columns)
 
 
+@any_names
 def align_by_key(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Put two tables side by side, one row of each per key.
 

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldstats.names import any_names
 from fieldstats.operators.distribution import box_stats
 from fieldstats.operators.positions import filled
 
 
+@any_names
 def missing_pattern(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Distinct present (1) / missing (0) masks with their row counts."""
     masks = {f"has_{c}": filled(df, c).isNotNull().cast("int") for c in cols}
@@ -24,6 +26,7 @@ def missing_pattern(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
+@any_names
 def missing_share(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Missing count and share of each column, most missing first."""
     sums = df.agg(
@@ -45,6 +48,7 @@ def missing_share(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
+@any_names
 def margin_summary(df: DataFrame, x: str, y: str) -> DataFrame:
     """Distribution of ``x`` where ``y`` is missing and where it is present.
 
@@ -68,6 +72,7 @@ def margin_summary(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
+@any_names
 def impute_mean(
     df: DataFrame, cols: Sequence[str] | None = None, keep: Sequence[str] = ()
 ) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldstats.functions.tails import chi_square_upper, normal_upper
+from fieldstats.names import any_names
 from fieldstats.operators.joins import join_stats
 from fieldstats.operators.positions import (
     ROWS_PER_SEGMENT,
@@ -34,6 +35,7 @@ def rank_table(pos: Positions) -> DataFrame:
     )
 
 
+@any_names
 def mid_rank(
     df: DataFrame,
     strata: Sequence[str],
@@ -87,6 +89,7 @@ def _group_ranks(
     )
 
 
+@any_names
 def kruskal_wallis(
     df: DataFrame,
     strata: Sequence[str],
@@ -126,6 +129,7 @@ def kruskal_wallis(
     )
 
 
+@any_names
 def dunn_test(
     df: DataFrame,
     strata: Sequence[str],

@@ -7,9 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldstats.names import any_names
 from fieldstats.sources.io import lookup_table
 
 
+@any_names
 def recode_exact(
     df: DataFrame,
     col: str,
@@ -30,6 +32,7 @@ def recode_exact(
     return joined.withColumn(into, F.coalesce(F.col("_to"), other)).drop("_from", "_to")
 
 
+@any_names
 def order_levels(
     df: DataFrame,
     col: str,

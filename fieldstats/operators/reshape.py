@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldstats.names import any_names
 
+
+@any_names
 def to_long(
     df: DataFrame,
     ids: Sequence[str],
@@ -25,6 +28,7 @@ def to_long(
     return df.select(*ids, *values).unpivot(list(ids), list(values), name, value)
 
 
+@any_names
 def to_long_twice(
     df: DataFrame,
     measure_cols: Sequence[str],

@@ -6,9 +6,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldstats import constants as K
 from fieldstats.functions.domain import by_key, co2_equivalent, per_year
+from fieldstats.names import any_names
 from fieldstats.operators.positions import filled, number, present
 from fieldstats.operators.reshape import to_long
 
@@ -23,6 +25,7 @@ def _with_limits(df: DataFrame) -> DataFrame:
     )
 
 
+@any_names
 def mean_sem(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Count, mean, standard error and error-bar limits per group.
 
@@ -39,6 +42,7 @@ def mean_sem(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     return _with_limits(out if groups else out.filter(F.col("n") > 0))
 
 
+@any_names
 def mean_sem_wide(
     df: DataFrame, groups: Sequence[str], cols: Mapping[str, Column | str], name: str = "variable"
 ) -> DataFrame:
@@ -54,6 +58,7 @@ def mean_sem_wide(
     return mean_sem(rows.select(*groups, F.inline(F.array(*lines))), [*groups, name], "_v")
 
 
+@any_names
 def sum_of_means(
     summary: DataFrame,
     by: Sequence[str],
@@ -82,6 +87,7 @@ def sum_of_means(
     )
 
 
+@any_names
 def pool_summaries(summary: DataFrame, by: Sequence[str], mean: str = "mean", sem: str = "sem") -> DataFrame:
     """Mean and standard error of several groups taken together, from their summaries.
 
@@ -132,6 +138,7 @@ def null_sum(v: Column, policy: str) -> Column:
     raise ValueError(f"unknown null policy {policy!r}")
 
 
+@any_names
 def group_sum(
     df: DataFrame, by: Sequence[str], cols: Sequence[str], null_policy: str = "strict"
 ) -> DataFrame:
@@ -139,6 +146,7 @@ def group_sum(
     return df.groupBy(*by).agg(*[null_sum(filled(df, c), null_policy).alias(c) for c in cols])
 
 
+@any_names
 def add_co2_equivalent(
     df: DataFrame, gas_col: str, value_cols: Sequence[str], suffix: str = "_co2eq"
 ) -> DataFrame:
@@ -146,6 +154,7 @@ def add_co2_equivalent(
     return df.withColumns({f"{c}{suffix}": co2_equivalent(c, gas_col) for c in value_cols})
 
 
+@any_names
 def to_co2_equivalent(
     df: DataFrame, gas_col: str, value_col: str, gwp: Mapping[str, float] = K.GWP
 ) -> DataFrame:
@@ -153,6 +162,7 @@ def to_co2_equivalent(
     return df.withColumn(value_col, F.col(value_col) * by_key(gas_col, gwp))
 
 
+@any_names
 def from_co2_equivalent(
     df: DataFrame, gas_col: str, value_col: str, gwp: Mapping[str, float] = K.GWP
 ) -> DataFrame:
@@ -160,6 +170,7 @@ def from_co2_equivalent(
     return df.withColumn(value_col, F.col(value_col) / by_key(gas_col, gwp))
 
 
+@any_names
 def annual_emission(
     df: DataFrame,
     key: str,
@@ -173,11 +184,13 @@ def annual_emission(
     )
 
 
+@any_names
 def rescale(df: DataFrame, cols: Sequence[str], k: float) -> DataFrame:
     """Divide columns by a constant."""
     return df.withColumns({c: F.col(c) / F.lit(float(k)) for c in cols})
 
 
+@any_names
 def symbol_size(
     df: DataFrame, cols: Sequence[str], k: float = 60.0, shared_max: bool = False, suffix: str = "_size"
 ) -> DataFrame:
@@ -199,6 +212,7 @@ def symbol_size(
     return df.withColumns({f"{c}{suffix}": size(i, c) for i, c in enumerate(cols)})
 
 
+@any_names
 def overall_mean_sem(
     df: DataFrame,
     gas_col: str,
@@ -212,6 +226,7 @@ def overall_mean_sem(
     return basin_totals(mean_sem(df, [gas_col], value_col), gas_col, areas)
 
 
+@any_names
 def basin_totals(summary: DataFrame, gas_col: str, areas: Mapping[str, float]) -> DataFrame:
     """CO2-equivalents of mean and SEM, and both per year over the whole area."""
     area = float(sum(areas.values()))
@@ -221,12 +236,14 @@ def basin_totals(summary: DataFrame, gas_col: str, areas: Mapping[str, float]) -
     )
 
 
+@any_names
 def category_count(df: DataFrame, col: str, facet: str | None = None) -> DataFrame:
     """Rows per category, optionally within facets."""
     keys = [facet, col] if facet else [col]
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+@any_names
 def category_counts(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
     """:func:`category_count` of several columns in one job, named in ``variable``."""
     lines = [F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").cast("string").alias("category")) for c in cols]
@@ -234,6 +251,7 @@ def category_counts(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame
     return long.groupBy(F.col(f"`{group}`"), "variable", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
+@any_names
 def contingency_share(df: DataFrame, x: str, fill: str) -> DataFrame:
     """Two-way table with the share inside each ``x`` and the share of ``x`` in all.
 
@@ -246,17 +264,45 @@ def contingency_share(df: DataFrame, x: str, fill: str) -> DataFrame:
     return counts.withColumns({"share": F.col("n") / rows_of_x, "width": rows_of_x / total})
 
 
+@any_names
 def distinct_count(df: DataFrame, col: str, approx: bool = False) -> DataFrame:
     """Number of distinct non-null values."""
     count = F.approx_count_distinct(col) if approx else F.count_distinct(F.col(col))
     return df.agg(count.alias("n_distinct")).withColumn("variable", F.lit(col))
 
 
+@any_names
+def distinct_sketches(df: DataFrame, groups: Sequence[str], col: str, lg_k: int = 12) -> DataFrame:
+    """One mergeable sketch of the distinct non-null values per group: groups, ``sketch`` (binary).
+
+    NaN is missing. Counts from it are within a few times 1 / 2 ** (lg_k / 2), and right or
+    nearly so for few values. Parts to be merged must have the column as the same type.
+    """
+    value = filled(df, col)
+    if not isinstance(df.schema[col].dataType, (T.IntegralType, T.StringType, T.BinaryType)):
+        value = (number(col) if isinstance(df.schema[col].dataType, (T.DoubleType, T.FloatType)) else value).cast("string")
+    return df.groupBy(*groups).agg(F.hll_sketch_agg(value, F.lit(lg_k)).alias("sketch"))
+
+
+@any_names
+def merge_distinct_sketches(sketches: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Sketches of parts as one per coarser group; values that parts share count once."""
+    return sketches.groupBy(*groups).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+@any_names
+def sketched_distinct(sketches: DataFrame) -> DataFrame:
+    """The sketches' counts as ``n_distinct``."""
+    return sketches.withColumn("n_distinct", F.hll_sketch_estimate("sketch")).drop("sketch")
+
+
+@any_names
 def distinct_values(df: DataFrame, col: str) -> DataFrame:
     """The distinct non-null values, one per row, in order."""
     return df.filter(F.col(col).isNotNull()).select(col).distinct().orderBy(col)
 
 
+@any_names
 def share_of_total(
     df: DataFrame, by: Sequence[str], value: str, extra: Sequence[str] = (), suffix: str = "_pct"
 ) -> DataFrame:
@@ -269,6 +315,7 @@ def share_of_total(
     return df.withColumns({f"{c}{suffix}": F.col(c) * 100 / total for c in (value, *extra)})
 
 
+@any_names
 def emission_share(
     df: DataFrame, by: str, cols: Sequence[str], areas: Mapping[str, float] = K.AREAS
 ) -> DataFrame:

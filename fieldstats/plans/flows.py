@@ -19,6 +19,7 @@ from fieldstats.functions.domain import (
     molar_to_mass_flux,
     utm_to_latlon,
 )
+from fieldstats.names import any_names
 from fieldstats.operators.columns import complete_cases, drop_cols, significant_only
 from fieldstats.operators.correlation import corr_significant
 from fieldstats.operators.distribution import box_stats
@@ -101,6 +102,7 @@ def _class_names(df: DataFrame) -> DataFrame:
     return recode_exact(df, "label", names, into="water_quality")
 
 
+@any_names
 def flow_clean(
     df: DataFrame,
     easting: str,
@@ -118,6 +120,7 @@ def flow_clean(
     return impute_mean(drop_cols(located, drop), keep=keys)
 
 
+@any_names
 def flow_dissolved(df: DataFrame, temp: str, ppm: Mapping[str, str]) -> DataFrame:
     """Headspace readings to dissolved gas: N2O and CH4 in ug/L, CO2 in ppm."""
     filled = impute_mean(df, [temp, *ppm.values()])
@@ -128,6 +131,7 @@ def flow_dissolved(df: DataFrame, temp: str, ppm: Mapping[str, str]) -> DataFram
     return filled.withColumns(out)
 
 
+@any_names
 def flow_flux_by_river(
     df: DataFrame, river: str, flux: Mapping[str, str], areas: Mapping[str, float] = K.AREAS
 ) -> DataFrame:
@@ -142,6 +146,7 @@ def flow_flux_by_river(
     return share_of_total(yearly, ["gas"], "mean_gg_yr", ["sem_gg_yr"])
 
 
+@any_names
 def flow_flux_overall(
     df: DataFrame, flux: Mapping[str, str], areas: Mapping[str, float] = K.AREAS
 ) -> DataFrame:
@@ -149,6 +154,7 @@ def flow_flux_overall(
     return basin_totals(mean_sem_wide(df, [], _mass(flux), "gas"), "gas", areas)
 
 
+@any_names
 def flow_flux_by_index(
     df: DataFrame, indexes: Mapping[str, str], flux: Mapping[str, str]
 ) -> DataFrame:
@@ -158,6 +164,7 @@ def flow_flux_by_index(
     return _class_names(_weighted(summary))
 
 
+@any_names
 def index_totals(summary: DataFrame, divide_by: float = 1.0, zero_for: str = "Oregon Index") -> DataFrame:
     """CO2-equivalent means and errors added over gases, per index and class.
 
@@ -179,6 +186,7 @@ def _land_use(long: DataFrame) -> DataFrame:
     return recode_exact(long, "land_use", K.LAND_USE_CLASS)
 
 
+@any_names
 def flow_flux_by_landuse(
     df: DataFrame, banks: Mapping[str, str], flux: Mapping[str, str]
 ) -> DataFrame:
@@ -187,6 +195,7 @@ def flow_flux_by_landuse(
     return _weighted(mean_sem_wide(long, ["land_use"], {g: g for g in flux}, "gas"))
 
 
+@any_names
 def landuse_totals(summary: DataFrame, divide_by: float = 1.0) -> DataFrame:
     """CO2-equivalent means and errors added over gases, per land-use class."""
     k = F.lit(float(divide_by))
@@ -194,6 +203,7 @@ def landuse_totals(summary: DataFrame, divide_by: float = 1.0) -> DataFrame:
     return out.withColumns({"mean": F.col("mean") / k, "sem": F.col("sem") / k})
 
 
+@any_names
 def flow_emission_share(
     df: DataFrame, river: str, flux: Mapping[str, str], areas: Mapping[str, float] = K.AREAS
 ) -> DataFrame:
@@ -203,11 +213,13 @@ def flow_emission_share(
     return emission_share(wide, river, list(mass), areas).withColumnRenamed("variable", "gas")
 
 
+@any_names
 def flow_correlation(df: DataFrame, cols: Sequence[str], **options) -> DataFrame:
     """Spearman correlations that pass a Pearson significance test."""
     return corr_significant(df, cols, method="spearman", p_method="pearson", **options)
 
 
+@any_names
 def flow_dissolved_by_river(df: DataFrame, river: str, dissolved: Mapping[str, str]) -> DataFrame:
     """Mean dissolved gas with error per gas and river, and over all gases.
 
@@ -227,6 +239,7 @@ def flow_dissolved_by_river(df: DataFrame, river: str, dissolved: Mapping[str, s
     return by_gas.unionByName(together, allowMissingColumns=True)
 
 
+@any_names
 def flow_dissolved_by_index(
     df: DataFrame, indexes: Mapping[str, str], dissolved: Mapping[str, str]
 ) -> DataFrame:
@@ -236,6 +249,7 @@ def flow_dissolved_by_index(
     return _class_names(_weighted(summary))
 
 
+@any_names
 def dissolved_index_tests(
     df: DataFrame, indexes: Mapping[str, str], dissolved: Mapping[str, str], **options
 ) -> DataFrame:
@@ -244,6 +258,7 @@ def dissolved_index_tests(
     return dunn_test(cells, ["wqi", "gas"], "water_quality", "concentration", weight="n", **options)
 
 
+@any_names
 def dissolved_index_significant(
     df: DataFrame,
     indexes: Mapping[str, str],
@@ -257,6 +272,7 @@ def dissolved_index_significant(
     )
 
 
+@any_names
 def flow_dissolved_by_landuse(
     df: DataFrame, banks: Mapping[str, str], dissolved: Mapping[str, str]
 ) -> DataFrame:
@@ -265,6 +281,7 @@ def flow_dissolved_by_landuse(
     return _weighted(mean_sem_wide(long, ["land_use"], {g: g for g in dissolved}, "gas"))
 
 
+@any_names
 def dissolved_landuse_tests(
     df: DataFrame, banks: Mapping[str, str], dissolved: Mapping[str, str], **options
 ) -> DataFrame:
@@ -273,6 +290,7 @@ def dissolved_landuse_tests(
     return dunn_test(cells, ["gas"], "land_use", "concentration", weight="n", **options)
 
 
+@any_names
 def dissolved_index_kruskal(
     df: DataFrame, indexes: Mapping[str, str], dissolved: Mapping[str, str], **options
 ) -> DataFrame:
@@ -281,6 +299,7 @@ def dissolved_index_kruskal(
     return kruskal_wallis(cells, ["wqi", "gas"], "water_quality", "concentration", weight="n", **options)
 
 
+@any_names
 def dissolved_landuse_kruskal(
     df: DataFrame, banks: Mapping[str, str], dissolved: Mapping[str, str], **options
 ) -> DataFrame:
@@ -300,6 +319,7 @@ def _measures(columns: Mapping[str, str], dissolved: bool) -> dict[str, Column]:
     return _concentration(columns) if dissolved else _mass(columns)
 
 
+@any_names
 def boxes_by_river(
     df: DataFrame,
     river: str,
@@ -315,6 +335,7 @@ def boxes_by_river(
     return order_levels(_boxes(wide, ["river"], list(columns), co2_equivalent, **options), "river", order)
 
 
+@any_names
 def boxes_by_index(
     df: DataFrame,
     indexes: Mapping[str, str],
@@ -329,6 +350,7 @@ def boxes_by_index(
     return order_levels(boxes, "label", K.PRATI_LEVELS + K.OREGON_LEVELS)
 
 
+@any_names
 def boxes_by_landuse(
     df: DataFrame,
     banks: Mapping[str, str],
@@ -344,6 +366,7 @@ def boxes_by_landuse(
     return order_levels(_boxes(long, keys, list(columns), co2_equivalent, **options), "land_use", K.LAND_USE_LEVELS)
 
 
+@any_names
 def flow_oxygen_by_index(df: DataFrame, oxygen: str, indexes: Mapping[str, str], **options) -> DataFrame:
     """Box statistics of dissolved oxygen per index and class, classes in order."""
     long = _labels_long(df, {"DO": F.col(oxygen)}, indexes, "wqi", "label")
@@ -351,6 +374,7 @@ def flow_oxygen_by_index(df: DataFrame, oxygen: str, indexes: Mapping[str, str],
     return order_levels(boxes, "label", K.PRATI_LEVELS + K.OREGON_LEVELS)
 
 
+@any_names
 def feature_table(
     df: DataFrame,
     gas: str,
@@ -388,12 +412,14 @@ def feature_table(
     return right_lookup(long, land, "_use").select(*predictors, "WQI", "Land", gas)
 
 
+@any_names
 def flow_landuse_mosaic(df: DataFrame, river: str, banks: Mapping[str, str]) -> DataFrame:
     """Land-use classes of both banks per river, with shares."""
     long = _labels_long(df, {"river": F.col(river)}, banks, "bank", "land_use")
     return contingency_share(_land_use(long), "river", "land_use")
 
 
+@any_names
 def site_values(
     df: DataFrame,
     site: str,
@@ -420,6 +446,7 @@ def site_values(
     )
 
 
+@any_names
 def site_values_many(
     df: DataFrame, site: str, lat: str, lon: str, variables: Sequence[str], k: float = 60.0
 ) -> DataFrame:
@@ -438,6 +465,7 @@ def site_values_many(
     return feed.filter(F.col("value").isNotNull())
 
 
+@any_names
 def site_gwp_values(
     df: DataFrame,
     site: str,
