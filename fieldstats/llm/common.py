@@ -73,27 +73,29 @@ def running_start(
 
 
 class IdFilter:
-    """A Bloom filter of ids with a fixed number of bits.
+    """A Bloom filter of ids, with 16 bits for each of them.
 
-    It lets every id of the table pass, and few others while that table is small; with so
-    many ids that it fills up, it lets more pass, and whoever uses it still compares ids
-    exactly. The driver and the tasks hold its bits, never the ids.
+    It lets every id of the table pass, and about one of 400 others; whoever uses it still
+    compares ids exactly. The driver and the tasks hold its bits, never the ids: at most
+    2^28, which beyond 16 million ids lets more others pass (one of 7 with 64 million).
     """
 
-    BITS, HASHES = 1 << 26, 4
+    MOST_BITS, HASHES = 1 << 28, 4
 
     def __init__(self, ids: DataFrame, column: str) -> None:
+        self.bits = min(self.MOST_BITS, max(1 << 16, 1 << (16 * ids.count()).bit_length()))
         words = (
             ids.select(F.explode(self._places(F.col(column))).alias("bit"))
             .groupBy(F.shiftright("bit", 5).alias("word"))
             .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("bits"))
             .toArrow()
         )
-        self.words = np.zeros(self.BITS // 32, np.uint32)
-        self.words[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+        held = np.zeros(self.bits // 32, np.uint32)
+        held[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+        self.words = ids.sparkSession.sparkContext.broadcast(held)
 
     def _places(self, value: Column) -> Column:
-        return F.array(*[F.pmod(F.xxhash64(F.lit(i), value), F.lit(self.BITS)) for i in range(self.HASHES)])
+        return F.array(*[F.pmod(F.xxhash64(F.lit(i), value), F.lit(self.bits)) for i in range(self.HASHES)])
 
     def may_hold(self, value: Column) -> Column:
         """False for values that are certainly none of the ids."""
@@ -101,8 +103,9 @@ class IdFilter:
 
         @F.pandas_udf("boolean")
         def test(places: pd.Series) -> pd.Series:
+            held = words.value
             bits = np.concatenate([np.zeros(0, np.int64), *places.to_numpy()]).reshape(-1, hashes)
-            return pd.Series((words[bits >> 5] >> (bits & 31).astype(np.uint32) & np.uint32(1)).astype(bool).all(1))
+            return pd.Series((held[bits >> 5] >> (bits & 31).astype(np.uint32) & np.uint32(1)).astype(bool).all(1))
 
         return test(self._places(value))
 

@@ -45,8 +45,9 @@ class Threshold:
             x *= _GROWTH
         self.ends = ends
         self.differ = [2 * e * (den - num) // (den + num) for e in ends]
-        #: Blocks of a class: more than the sets can differ in, and some to spare for empty ones.
-        self.blocks = [d + 3 + d // 32 for d in self.differ]
+        #: Blocks of a class: so many more than sets can differ in that next to no set has too
+        #: many empty ones, whose keys hold nothing and are shared by unlike sets.
+        self.blocks = [d + 3 + d // 4 for d in self.differ]
 
     def classes(self, size: int) -> list[int]:
         """The own class of a set of this size and those that larger similar sets can have."""
@@ -341,7 +342,9 @@ def near_texts(
     folds = settled(full.groupBy("n", "_one", "_two").agg(F.min("_id").alias("rep")))
     total = full.agg(F.sum("n")).first()[0] or 0
     buckets = 1 + int(total * 4 * (den - num) / (den + num) / KEYS_PER_BUCKET)
-    found = set_cells(rows.filter(F.col("_id").isNotNull()), k, threshold, buckets)
+    # Copies stay at home: one text of each set is dealt.
+    standing = rows.filter(F.col("_id").isNotNull() & IdFilter(folds, "rep").may_hold(F.col("_id")))
+    found = set_cells(standing, k, threshold, buckets)
     short = folds.select(F.col("_one").bitwiseAND(F.lit((1 << 48) - 1)).alias("one"), F.col("rep").alias("_id"))
     members = settled(found.join(short, "one").select("cell", "size", "_id"))
     lows = members.groupBy("cell").agg(F.min("_id").alias("a")).select((F.col("cell") + 0).alias("_cell"), "a")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 
 from fieldstats.llm.common import as_key, hex_hash, running_start, settled
 
-#: Words a task remembers the tokens of; beyond it the memory starts anew.
+#: Words a Python worker remembers the tokens of; beyond it those not met for long are forgotten.
 REMEMBERED_WORDS = 800_000
+#: Fixed by the tokenizer files that :class:`WordTokens` can take word by word.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts that are looked up together.
 _TOGETHER = 128
 #: Punctuation that, behind a letter or digit, is a token run of its own.
@@ -33,15 +36,36 @@ class WordTokens:
     Such a tokenizer never joins what white space separates, so a text's ids are its
     words' ids one after the other, and each word is asked for once as long as it is
     remembered. Case and trailing punctuation are taken off first, as the tokenizer lower-cases
-    and splits there itself; words that may hold its special strings stay as they are.
+    and splits there itself; words that may hold its special strings stay as they are. Where
+    the tokenizer's file asks for another normalisation or other cuts, texts are encoded whole.
     """
 
+    _of: dict[str, WordTokens] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordTokens:
+        """The one of this Python worker, so that its later tasks know what it has learned."""
+        if path not in cls._of:
+            cls._of[path] = cls(path)
+        return cls._of[path]
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        rules = json.loads(self.tokenizer.to_str())
+        steps = [n["type"] for n in (rules["normalizer"] or {}).get("normalizers", [])]
+        cuts = (rules["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        self.by_word = (
+            steps == ["NFC", "Replace", "Lowercase"]
+            and cuts.get("type") == "Split"
+            and cuts["pattern"] == {"Regex": _WORDS}
+            and cuts["behavior"] == "Removed"
+            and rules["model"].get("end_of_word_suffix") == "</w>"
+        )
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -89,10 +113,15 @@ class WordTokens:
             known[word] = known[stem] + known[tail] if tail else known[stem]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) >= REMEMBERED_WORDS:
-            self.known.clear()
+        if not self.by_word:
+            return [x.tobytes() for x in self._encode([t or "" for t in texts])]
+        if len(self.known) >= REMEMBERED_WORDS // 2:
+            self.known, self.older = {}, self.known
         split = [(t or "").encode().split() for t in texts]
-        self._learn(set().union(*split))
+        words = set().union(*split)
+        if self.older:
+            self.known.update({w: self.older[w] for w in words.difference(self.known) if w in self.older})
+        self._learn(words)
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
@@ -109,7 +138,7 @@ def token_pieces(
     kind = df.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(tokenizer_path)
+        words = WordTokens.of(tokenizer_path)
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
             for first in range(0, batch.num_rows, _TOGETHER):
