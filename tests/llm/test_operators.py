@@ -503,6 +503,30 @@ def test_remove_repeats(docs, rows, window, anchor, width):
         assert (r.n_words, r.n_removed, r.kept_sha256) in want[r.doc_id], r.doc_id
 
 
+def test_remove_repeats_in_small_parts(docs, rows, monkeypatch):
+    """Sketches given out early and merged in levels, and every group with a share hot."""
+    for name, value in {"COUNTED_AT_ONCE": 200, "MERGED_AT_ONCE": 2, "STRETCH_ANCHORS": 500, "HOT_SHARE": 20}.items():
+        monkeypatch.setattr(substring_dedup, name, value)
+    test_remove_repeats(docs, rows, 10, 4, None)
+
+
+@pytest.mark.parametrize("together", [2, 256])
+def test_sketch_never_underestimates(spark, monkeypatch, together):
+    monkeypatch.setattr(substring_dedup, "MERGED_AT_ONCE", together)
+    monkeypatch.setattr(substring_dedup, "STRETCH_ANCHORS", 700)
+    draw = np.random.default_rng(21)
+    once, often = draw.integers(0, 1 << 63, (2, 3_000)).tolist()
+    sets = [(i, [*once[30 * i : 30 * i + 30], *(often[j] for j in range(i % 3, 3_000, 30)), often[0]]) for i in range(100)]
+    held = spark.createDataFrame(sets, "id long, cells array<long>").repartition(9)
+    counts = Counter(x for _, own in sets for x in set(own))
+    sketch = substring_dedup.Sketch(sum(len(own) for _, own in sets))
+    repeated = sketch.merged(sketch.of_partitions(held), 8)
+    asked = spark.createDataFrame([(x,) for x in counts], "anchor long").withColumn("_block", sketch.block_of(F.col("anchor")))
+    above = {r.anchor for r in asked.join(repeated, "_block").filter(sketch.above_one("anchor")).collect()}
+    assert above >= {x for x, n in counts.items() if n > 1}
+    assert len(above & set(once)) < 30
+
+
 def test_remove_repeats_of_nothing(none):
     assert substring_dedup.remove_repeats(none, "doc_id", "text").count() == 0
 
