@@ -39,34 +39,64 @@ def url_tokens(url: Column) -> Column:
     )
 
 
+def few_token_rules(labelled: DataFrame, counts: DataFrame, min_confidence: float, min_rows: int) -> DataFrame:
+    """Rules of one or two tokens: ``tokens``, ``bad`` and ``all`` rows, counted exactly.
+
+    ``labelled`` has ``_row``, ``tokens`` and ``bad``; ``counts`` has ``_token``, ``_bad`` and ``_all``. The same
+    rows are a rule in a table of any size. Pairs are made of tokens with ``min_rows`` bad rows that
+    are no rules themselves: others are in no pair that counts, or in covered ones only.
+    """
+    sure = F.col("_bad") >= F.col("_all") * min_confidence
+    often = counts.filter(F.col("_bad") >= min_rows)
+    single = often.filter(sure).select(F.array("_token").alias("tokens"), F.col("_bad").alias("bad"), F.col("_all").alias("all"))
+    open_ = (
+        labelled.select("_row", "bad", F.explode("tokens").alias("_token"))
+        .join(often.filter(~sure).select("_token"), "_token")
+        .groupBy("_row", "bad")
+        .agg(F.array_sort(F.collect_list("_token")).alias("_open"))
+    )
+    after = lambda i: F.slice("_open", i + 2, F.size("_open"))
+    pairs = F.flatten(F.transform("_open", lambda x, i: F.transform(after(i), lambda y: F.array(x, y))))
+    pair = (
+        open_.select("bad", F.explode(pairs).alias("tokens"))
+        .groupBy("tokens")
+        .agg(F.count_if("bad").alias("bad"), F.count("*").alias("all"))
+        .filter((F.col("bad") >= min_rows) & (F.col("bad") >= F.col("all") * min_confidence))
+    )
+    return single.unionByName(pair)
+
+
 def mine_rules(
     labelled: DataFrame, min_support: float, min_confidence: float, min_rows: int = MIN_ROWS
 ) -> DataFrame:
     """Rules (``tokens`` -> bad): ``rule_id``, ``tokens``, ``key``, ``confidence``, ``support``.
 
-    ``labelled`` has ``tokens`` and the boolean ``bad``. FP-growth counts each token
-    combination with the label; rules below confidence or support (a share, and at
-    least ``min_rows`` labelled URLs) go, and so do those whose part already is a rule (they match nothing else). ``key`` is the token of
-    the rule that fewest labelled URLs have, the one it is looked up by.
+    ``labelled`` has ``tokens`` and the boolean ``bad``. FP-growth counts token combinations of any
+    length with the label; they need ``min_support`` of the rows, and at least ``min_rows``. Combinations
+    of one or two tokens need ``min_rows`` only (``few_token_rules``). Rules below ``min_confidence``
+    go, and so do those whose part already is a rule (they match nothing else). ``key`` is the
+    token of the rule that fewest labelled URLs have, the one it is looked up by.
     """
-    baskets = settled(
-        labelled.select(
-            F.when(F.col("bad"), F.array_append("tokens", BAD)).otherwise(F.col("tokens")).alias("items")
-        ).filter(F.size("items") > 0)
+    rows = settled(
+        labelled.filter(F.size("tokens") > 0).select(F.monotonically_increasing_id().alias("_row"), "tokens", "bad")
     )
-    support = min(1.0, max(min_support, min_rows / max(1, baskets.count())))
+    items = F.when(F.col("bad"), F.array_append("tokens", BAD)).otherwise(F.col("tokens"))
+    baskets, n = rows.select(items.alias("items")), max(1, rows.count())
+    support = min(1.0, max(min_support, min_rows / n))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
-    rules = settled(
-        model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD))).select(
-            F.concat_ws("\x1f", F.array_sort("antecedent")).alias("rule_id"),
-            F.array_sort("antecedent").alias("tokens"),
-            "confidence",
-            "support",
-        )
+    counts = settled(
+        rows.select("bad", F.explode("tokens").alias("_token"))
+        .groupBy("_token")
+        .agg(F.count_if("bad").alias("_bad"), F.count("*").alias("_all"))
+    )
+    named = lambda tokens: [F.concat_ws("\x1f", F.array_sort(tokens)).alias("rule_id"), F.array_sort(tokens).alias("tokens")]
+    few = few_token_rules(rows, counts, min_confidence, min_rows).select(
+        *named("tokens"), (F.col("bad") / F.col("all")).alias("confidence"), (F.col("bad") / n).alias("support")
     )
-    single = model.freqItemsets.filter(F.size("items") == 1).select(
-        F.element_at("items", 1).alias("_token"), F.col("freq").alias("_freq")
+    many = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BAD))) & (F.size("antecedent") > 2)).select(
+        *named("antecedent"), "confidence", "support"
     )
+    rules = settled(few.unionByName(many))
     longer, shorter = rules.select("rule_id", "tokens", F.explode("tokens").alias("_token")), rules
     covered = (
         longer.join(
@@ -79,9 +109,9 @@ def mine_rules(
     )
     keyed = (
         longer.select("rule_id", "_token")
-        .join(single, "_token")
+        .join(counts, "_token")
         .groupBy("rule_id")
-        .agg(F.min(F.struct("_freq", "_token"))["_token"].alias("key"))
+        .agg(F.min(F.struct("_all", "_token"))["_token"].alias("key"))
     )
     return rules.join(covered, "rule_id", "left_anti").join(keyed, "rule_id")
 
@@ -141,7 +171,8 @@ def judge_urls(
     empty host and path, no tokens, and are allowed; pages without a label and labels
     without a page are left out of the mining; null labels too. Without labels nothing
     is mined. Rows that repeat an id get their own verdicts; the rule of tokens is the id's.
-    Where no rule of tokens, which need a share of the labels, fits, the whole host's does.
+    A rule of the whole host is named before one of tokens. Of two equally long listed rules
+    that fit, the later one in ``listed`` decides.
     """
     url = F.col(f"`{url_col}`")
     seen = pages.select(F.col(f"`{id_col}`").alias("_id"), url.alias("_url"))
@@ -157,7 +188,7 @@ def judge_urls(
         parts.withColumns({"rule": rule, "verdict": verdict})
         .join(mined, "_id", "left")
         .join(by_host, "host", "left")
-        .withColumn("mined_rule", F.coalesce("mined_rule", "host_rule"))
+        .withColumn("mined_rule", F.coalesce("host_rule", "mined_rule"))
         .select(
             F.col("_id").alias(id_col),
             "host",

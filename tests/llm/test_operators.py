@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -573,3 +574,51 @@ def test_rare_bad_hosts_are_mined_in_large_tables(spark):
     got = url_filters.judge_urls(pages, "page_id", "url", labels, []).filter("verdict = 'block'").collect()
     assert {r.page_id for r in got} == {*range(199), 50_000}
     assert {r.mined_rule for r in got} == {"host=rare.bad.org"}
+
+
+def plain_rules(rows, share, confidence, least):
+    """Token sets -> (bad rows, rows) of all that are rules and hold no smaller rule."""
+    seen, bad = Counter(), Counter()
+    for tokens, is_bad in rows:
+        for size in range(1, len(tokens) + 1):
+            for part in combinations(sorted(tokens), size):
+                seen[part] += 1
+                bad[part] += is_bad
+    enough = lambda x: bad[x] >= (least if len(x) < 3 else max(least, share * len(rows)))
+    found = {x for x in seen if enough(x) and bad[x] >= confidence * seen[x]}
+    return {x: (bad[x], seen[x]) for x in found if not any(set(y) < set(x) for y in found)}
+
+
+@pytest.mark.parametrize("size", [1_000, 40_000])
+def test_mined_rules_against_a_plain_miner(spark, size):
+    """1,000 random URLs, the same rules of up to two tokens whether 39,000 others stand beside or not."""
+    draw = np.random.default_rng(31)
+    names = [f"p:{x}" for x in "abcdefghij"]
+    rows = []
+    for i in range(1_000):
+        tokens = set(draw.choice(names, draw.integers(1, 7), replace=False).tolist())
+        rows.append((sorted(tokens), bool(draw.random() < (0.9 if {"p:a", "p:b"} <= tokens or {"p:c", "p:d", "p:e"} <= tokens else 0.1))))
+    rows += [([f"p:{i}", f"h:{i % 7}"], False) for i in range(size - len(rows))]
+    want = plain_rules(rows, 0.005, 0.6, 20)
+    assert ("p:a", "p:b") in want and (("p:c", "p:d", "p:e") in want) == (size == 1_000)
+    frame = spark.createDataFrame(rows, "tokens array<string>, bad boolean").repartition(5)
+    rules = url_filters.mine_rules(frame, 0.005, 0.6)
+    got = {tuple(r.tokens): r for r in rules.collect()}
+    assert got.keys() == want.keys()
+    seen = Counter(t for tokens, _ in rows for t in tokens)
+    for tokens, r in got.items():
+        assert r.confidence == pytest.approx(want[tokens][0] / want[tokens][1])
+        assert r.support == pytest.approx(want[tokens][0] / size)
+        assert r.key == min(tokens, key=lambda t: (seen[t], t))
+    pages = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows[:1_500])], "page_id long, tokens array<string>")
+    matched = {r.page_id: r.mined_rule for r in url_filters.match_rules(pages, "page_id", rules).collect()}
+    fits = {i: min(("\x1f".join(x) for x in want if set(x) <= set(t)), default=None) for i, (t, _) in enumerate(rows[:1_500])}
+    assert matched == {i: x for i, x in fits.items() if x}
+
+
+def test_equally_long_listed_rules(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/x/")], "page_id long, url string")
+    labels = spark.createDataFrame([], "page_id long, bad boolean")
+    for listed in ([("a.com", "/x", "block"), ("com", "/x/", "allow"), ("a.com", "/", "allow")], [("a.com", "/x", "allow"), ("a.com", "/x", "block")]):
+        got = url_filters.judge_urls(pages, "page_id", "url", labels, listed).collect()
+        assert (got[0].rule, got[0].verdict) == ("a.com/x", "block")
