@@ -23,6 +23,8 @@ GROUPS, PARITIES = 64, 2_048
 CHUNK = 2_048
 #: Keys that one task brings together, and keys that a task holds before it gives them out.
 KEYS_PER_BUCKET, _KEYS_AT_ONCE = 500_000, 500_000
+#: Bytes of shingle sets that a task holds before it gives them out.
+_SET_BYTES_AT_ONCE = 4_000_000
 #: Members of a cell in one row.
 _MEMBERS = 1_000
 #: Upper ends of the size classes grow by this factor.
@@ -217,19 +219,27 @@ def points(rows: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
     what passes is reduced to its set and meets the ids exactly.
     """
 
+    def given(ids: pa.Array, n: list, sets: list, counts: list, parity: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (sets, counts, parity))],
+            names=["_id", "n", "shingles", "counts", "parity"],
+        )
+
     def point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, sets, counts, parity = [], [], [], []
-            for _, s in shingle_sets(batch.column(1), k):
+            first = held = 0
+            for row, s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
                 sets.append(s.tobytes())
                 counts.append(np.bincount((s % U(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes())
                 fine = np.bincount(((s >> U(20)) % U(PARITIES)).astype(np.int64), minlength=PARITIES)
                 parity.append(np.packbits(fine & 1).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (sets, counts, parity))],
-                names=["_id", "n", "shingles", "counts", "parity"],
-            )
+                held += s.nbytes
+                if held >= _SET_BYTES_AT_ONCE or row == batch.num_rows - 1:
+                    yield given(batch.column(0).slice(first, len(n)), n, sets, counts, parity)
+                    n, sets, counts, parity = [], [], [], []
+                    first, held = row + 1, 0
 
     passing = rows.filter(IdFilter(wanted, "_id").may_hold(F.col("_id"))).select("_id", "_text")
     return passing.mapInArrow(point, "_id long, n long, shingles binary, counts binary, parity binary").join(wanted, "_id")

@@ -76,6 +76,15 @@ def test_near_texts_in_chunks(docs, rows, monkeypatch):
         assert r.doc_id is None or r.component_id == groups.root(r.doc_id)
 
 
+def test_points_given_out_in_small_batches(spark, monkeypatch):
+    texts = [(i, " ".join(f"w{(i * 7 + j) % 50}" for j in range(i % 9 * 5))) for i in range(60)]
+    held = spark.createDataFrame(texts, "_id long, _text string").coalesce(1)
+    wanted = spark.createDataFrame([(i,) for i in range(0, 60, 2)], "_id long")
+    whole = sorted(ngram_join.points(held, 5, wanted).collect())
+    monkeypatch.setattr(ngram_join, "_SET_BYTES_AT_ONCE", 300)
+    assert sorted(ngram_join.points(held, 5, wanted).collect()) == whole and len(whole) == 30
+
+
 def test_near_texts_search_links_what_stars_miss(spark):
     """1 - 2 - 3 is a chain whose ends are not similar; 0 is near none but shares cells."""
     base = [f"w{i}" for i in range(400)]
