@@ -6,127 +6,229 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldstats.llm.bytes_of import text_pieces
-from fieldstats.llm.common import as_key, hash_number, hex_hash
+from fieldstats.llm.common import as_key, hash_number, hex_hash, settled
 
 #: Labelled documents a language is learned from, at most about so many, chosen by hash.
 SAMPLE_PER_LANGUAGE = 4_000
+#: Bytes of the longest context.
+ORDER = 4
+#: Entries (a context and a byte behind it) of a language's tree, of all orders together.
+MOST_ENTRIES = 200_000
+#: Codes whose lengths a task remembers, and bytes worked on at once.
+REMEMBERED, STEP = 200_000, 500_000
 UNKNOWN = "und"
 #: Contexts before the first byte.
 _START = 10
 
 
-def _trigrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Each byte with the two before it as one number; a text begins after two line breaks."""
-    now = data.astype(np.int64)
-    one, two = np.empty_like(now), np.empty_like(now)
-    one[1:], two[2:] = now[:-1], now[:-2]
-    starts = offsets[:-1][offsets[:-1] < offsets[1:]]
-    one[starts] = two[starts] = _START
-    two[starts[starts + 1 < len(now)] + 1] = _START
-    return (two << 16) | (one << 8) | now
+def _low(code: np.ndarray, many: int) -> np.ndarray:
+    """The last ``many`` bytes of each code."""
+    return code & ((1 << 8 * many) - 1)
 
 
-def count_contexts(labelled: DataFrame) -> DataFrame:
-    """``lang``, ``code`` (two context bytes and a byte) and ``n`` over the texts."""
+def context_codes(data: np.ndarray, starts: np.ndarray, order: int, at: int, stop: int) -> np.ndarray:
+    """The bytes from ``at`` to ``stop``, each with the ``order`` before it in its text as one number.
+
+    ``starts`` are the places where texts begin; a text begins after line breaks.
+    """
+    places = np.arange(at, stop)
+    age = places - starts[np.searchsorted(starts, places, side="right") - 1]
+    code = data[at:stop].astype(np.int64)
+    for k in range(1, order + 1):
+        before = np.full(stop - at, _START, np.int64)
+        before[max(0, k - at) :] = data[max(at - k, 0) : max(stop - k, 0)]
+        code |= np.where(age >= k, before, _START) << (8 * k)
+    return code
+
+
+def _starts(offsets: np.ndarray) -> np.ndarray:
+    return offsets[:-1][offsets[:-1] < offsets[1:]]
+
+
+def count_contexts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
+    """``lang``, ``level``, ``code`` (``level`` context bytes and a byte) and ``n`` over the texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
-            names, codes, counts = [], [], []
             for lang in sorted(set(langs)):
                 texts = batch.column(1).filter(pa.array(langs == lang))
-                for _, data, offsets in text_pieces(texts):
-                    code, n = np.unique(_trigrams(data, offsets), return_counts=True)
-                    names += [lang] * len(code)
-                    codes.append(code)
-                    counts.append(n)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(names, pa.string()),
-                    pa.array(np.concatenate([np.zeros(0, np.int64), *codes])),
-                    pa.array(np.concatenate([np.zeros(0, np.int64), *counts])),
-                ],
-                names=["lang", "code", "n"],
-            )
+                for _, data, offsets in text_pieces(texts, STEP):
+                    for at in range(0, len(data), STEP):
+                        codes = context_codes(data, _starts(offsets), order, at, min(len(data), at + STEP))
+                        code, n = np.unique(codes, return_counts=True)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(n)], names=["lang", "code", "n"]
+                        )
+
+    longest = (
+        labelled.select("lang", "text")
+        .mapInArrow(count, "lang string, code long, n long")
+        .groupBy("lang", "code")
+        .agg(F.sum("n").alias("n"))
+    )
+    levels = F.array(
+        *[F.struct(F.lit(d).alias("level"), F.col("code").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("code")) for d in range(order + 1)]
+    )
+    return longest.select("lang", "n", F.inline(levels)).groupBy("lang", "level", "code").agg(F.sum("n").alias("n"))
+
+
+def commonest(counts: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:
+    """The entries of each language with the largest counts, at most ``most`` of them.
 
-    return labelled.select("lang", "text").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(
-        F.sum("n").alias("n")
+    All of a count stay or none, by the histogram of counts. A shorter context has counted
+    at least what a longer one has, so what is kept is a tree: with each entry its suffixes.
+    """
+    below = Window.partitionBy("lang").orderBy(F.desc("n"))
+    least = (
+        counts.groupBy("lang", "n")
+        .agg(F.count("*").alias("many"))
+        .withColumn("many", F.sum("many").over(below))
+        .filter(F.col("many") <= most)
+        .groupBy("lang")
+        .agg(F.min("n").alias("least"))
     )
+    return counts.join(least, "lang").filter(F.col("n") >= F.col("least")).drop("least")
 
 
-def _costs(counts: np.ndarray, unseen: int) -> np.ndarray:
-    """Bits of each symbol behind each two symbols, from counts[a, b, c] of one language.
+class ContextTree:
+    """Frozen byte contexts of one language, up to ``order`` bytes, with method C escapes.
 
-    Escapes as in method C: a context with N counts of q symbols gives n / (N + q) to a
-    symbol it has and q / (N + q) to the escape to the next shorter context, in which
-    the symbols already tried are left out. Behind the empty context each remaining byte
-    value is as likely; the last symbol stands for the ``unseen`` byte values.
+    A context with N counts of q bytes gives n / (N + q) to a byte that it has and q / (N + q)
+    to the escape to the next shorter context, in which the bytes of the longer one are left
+    out. Contexts that were never seen are passed without cost. Behind the empty context each
+    remaining byte value is as likely. Only contexts that occur are held: per level the
+    sorted contexts with their sums, and the sorted entries with their counts.
     """
-    size = counts.shape[0]
-    orders = [counts, np.broadcast_to(counts.sum(0), counts.shape), np.broadcast_to(counts.sum((0, 1)), counts.shape)]
-    open_ = np.ones(counts.shape, bool)
-    chance = np.ones((size, size, 1))
-    cost = np.zeros(counts.shape, np.float32)
-    for level in orders:
-        here = np.where(open_, level, 0)
-        total, kinds = here.sum(2, keepdims=True), (here > 0).sum(2, keepdims=True)
-        known = here > 0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            cost = np.where(known, -np.log2(chance * here / (total + kinds)), cost)
-            chance = np.where(total > 0, chance * kinds / (total + kinds), chance)
-        open_ &= ~known
-    weight = np.ones(size)
-    weight[-1] = max(unseen, 1)
-    rest = (open_ * weight).sum(2, keepdims=True)
-    return np.where(open_, -np.log2(chance / np.maximum(rest, 1)), cost).astype(np.float32)
+
+    def __init__(self, level: np.ndarray, code: np.ndarray, n: np.ndarray, order: int) -> None:
+        self.order = order
+        self.codes, self.counts, self.contexts, self.total, self.kinds = [], [], [], [], []
+        #: What is left of the next shorter context behind an escape: its counts and its bytes.
+        self.left, self.left_kinds = [], []
+        for d in range(order + 1):
+            own = level == d
+            by_code = np.argsort(code[own])
+            codes, counts = code[own][by_code].astype(np.int64), n[own][by_code].astype(np.int64)
+            contexts, first = np.unique(codes >> 8, return_index=True)
+            total = np.add.reduceat(counts, first) if len(first) else counts
+            kinds = np.diff(np.append(first, len(codes)))
+            if d and len(codes):
+                tried = np.add.reduceat(self.counts[-1][_find(self.codes[-1], _low(codes, d))], first)
+                parent = _find(self.contexts[-1], _low(contexts, d - 1))
+                self.left.append(self.total[-1][parent] - tried)
+                self.left_kinds.append(self.kinds[-1][parent] - kinds)
+            elif d:
+                self.left.append(counts)
+                self.left_kinds.append(counts)
+            self.codes.append(codes)
+            self.counts.append(counts)
+            self.contexts.append(contexts)
+            self.total.append(total)
+            self.kinds.append(kinds)
+
+    def bits(self, codes: np.ndarray) -> np.ndarray:
+        """Exact code length of each byte behind its context."""
+        out = np.zeros(len(codes))
+        rows, longer = np.arange(len(codes)), np.full(len(codes), -1)
+        for d in range(self.order, -1, -1):
+            if not len(self.codes[d]):
+                continue
+            here = codes[rows]
+            node, entry = _find(self.contexts[d], _low(here >> 8, d)), _find(self.codes[d], _low(here, d + 1))
+            total, kinds = self.total[d][node], self.kinds[d][node]
+            if d < self.order and len(self.codes[d + 1]):
+                behind = longer >= 0
+                total = np.where(behind, self.left[d][longer], total)
+                kinds = np.where(behind, self.left_kinds[d][longer], kinds)
+            hit, escape = entry >= 0, (entry < 0) & (node >= 0) & (total > 0)
+            out[rows[hit]] += np.log2((total + kinds)[hit] / self.counts[d][entry[hit]])
+            out[rows[escape]] += np.log2((total + kinds)[escape] / kinds[escape])
+            rows, longer = rows[~hit], node[~hit]
+        seen = len(self.codes[0])
+        out[rows] += np.log2(max(256 - seen, 1))
+        return out
+
+
+def _find(ordered: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of each wanted number in an array in order without repeats, or -1."""
+    at = np.minimum(np.searchsorted(ordered, wanted), len(ordered) - 1)
+    return np.where(ordered[at] == wanted, at, -1)
 
 
 class Model:
-    """Frozen statistics; the table of code lengths is built where it is used."""
-
-    def __init__(self, rows: list[tuple[str, int, int]]) -> None:
-        self.languages = sorted({r[0] for r in rows})
-        at = {x: i for i, x in enumerate(self.languages)}
-        self.lang = np.array([at[r[0]] for r in rows], np.int16)
-        self.code = np.array([r[1] for r in rows], np.int32)
-        self.n = np.array([r[2] for r in rows], np.float64)
-
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """Symbol of each byte value, and bits[a, b, c, language]."""
-        seen = np.unique(np.concatenate([self.code & 255, self.code >> 8 & 255, self.code >> 16]))
-        size = len(seen) + 1
-        symbol = np.full(256, size - 1, np.int64)
-        symbol[seen] = np.arange(len(seen))
-        bits = np.empty((size, size, size, len(self.languages)), np.float32)
-        for k in range(len(self.languages)):
-            own = self.lang == k
-            counts = np.zeros((size, size, size))
-            code = self.code[own]
-            np.add.at(counts, (symbol[code >> 16], symbol[code >> 8 & 255], symbol[code & 255]), self.n[own])
-            bits[..., k] = _costs(counts, 256 - len(seen))
-        return symbol, bits.reshape(size**3, -1)
-
-
-def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
+    """One tree per language, from columns (lang, level, code, n)."""
+
+    def __init__(self, langs: np.ndarray, level: np.ndarray, code: np.ndarray, n: np.ndarray, order: int = ORDER) -> None:
+        self.order = order
+        self.languages, which = np.unique(np.asarray(langs, str), return_inverse=True)
+        self.languages = self.languages.tolist()
+        self.trees = [ContextTree(level[which == i], code[which == i], n[which == i], order) for i in range(len(self.languages))]
+
+
+class Lengths:
+    """Code lengths of texts in each language of a model; lengths of common codes are remembered."""
+
+    def __init__(self, model: Model, most: int = REMEMBERED) -> None:
+        self.model, self.most = model, most
+        self.codes, self.bits = np.zeros(0, np.int64), np.zeros((0, len(model.languages)))
+
+    def of_codes(self, codes: np.ndarray) -> np.ndarray:
+        """bits[code, language] of distinct codes in order."""
+        at = _find(self.codes, codes) if len(self.codes) else np.full(len(codes), -1)
+        new = codes[at < 0]
+        bits = np.stack([tree.bits(new) for tree in self.model.trees], 1)
+        out = np.empty((len(codes), bits.shape[1]))
+        out[at >= 0], out[at < 0] = self.bits[at[at >= 0]], bits
+        if len(self.codes) + len(new) > self.most:
+            self.codes, self.bits = codes[: self.most], out[: self.most]
+        elif len(new):
+            places = np.searchsorted(self.codes, new)
+            self.codes, self.bits = np.insert(self.codes, places, new), np.insert(self.bits, places, bits, 0)
+        return out
+
+    def add(self, data: np.ndarray, offsets: np.ndarray, into: np.ndarray, step: int = STEP) -> None:
+        """Adds to ``into`` the bits of each text in each language, ``step`` bytes at a time."""
+        starts, rows = _starts(offsets), np.flatnonzero(offsets[:-1] < offsets[1:])
+        for at in range(0, len(data), step):
+            stop = min(len(data), at + step)
+            codes, which = np.unique(context_codes(data, starts, self.model.order, at, stop), return_inverse=True)
+            bits = self.of_codes(codes)
+            a, b = np.searchsorted(starts, at, side="right") - 1, np.searchsorted(starts, stop)
+            edges = np.maximum(starts[a:b], at) - at
+            for k in range(bits.shape[1]):
+                into[rows[a:b], k] += np.add.reduceat(bits[which, k], edges)
+
+
+def fit(
+    df: DataFrame,
+    id_col: str,
+    text_col: str,
+    lang_col: str,
+    sample_per_language: int = SAMPLE_PER_LANGUAGE,
+    order: int = ORDER,
+    most_entries: int = MOST_ENTRIES,
+) -> Model:
     """Statistics of at most about ``sample_per_language`` documents a language, by hash.
 
-    Null languages and null texts teach nothing. The driver gets one count a language,
-    and one row per language and byte triple that the sample holds.
+    Null languages and null texts teach nothing. Whole texts are counted; of the counts,
+    the ``most_entries`` commonest of a language are kept. The driver gets one count a
+    language and these entries: with 100 languages, 20 million of about 30 bytes. Each Python
+    worker holds as much.
     """
     known = df.select(
-        F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")
+        F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")
     ).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    shares = df.sparkSession.createDataFrame([(r["lang"], min(1.0, sample_per_language / r["n"])) for r in counts], "lang string, share double")
     draw = hash_number(hex_hash(as_key("_id"), "language")) / F.lit(float(2**52))
-    chosen = F.lit(False)
-    for lang, n in counts.items():
-        chosen = F.when(F.col("lang") == lang, draw < F.lit(min(1.0, sample_per_language / n))).otherwise(chosen)
-    rows = count_contexts(known.filter(chosen)).collect()
-    return Model([(r["lang"], r["code"], r["n"]) for r in rows])
+    chosen = known.join(shares, "lang").filter(draw < F.col("share"))
+    kept = commonest(settled(count_contexts(chosen, order)), most_entries).toArrow()
+    return Model(*[kept.column(c).to_numpy() for c in ("lang", "level", "code", "n")], order)
 
 
 def identify(df: DataFrame, id_col: str, text_col: str, model: Model) -> DataFrame:
@@ -146,21 +248,22 @@ def identify(df: DataFrame, id_col: str, text_col: str, model: Model) -> DataFra
     )
     place = kept.index(text_col)
 
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol = bits = None
+        model = shared.value
+        lengths = Lengths(model) if model.languages else None
         for batch in batches:
-            if symbol is None and model.languages:
-                symbol, bits = model.table()
             letters = batch.column(len(kept)).to_numpy(zero_copy_only=False).astype(bool)
-            if not model.languages:
+            if lengths is None:
                 letters[:] = False
             length = np.zeros((batch.num_rows, max(1, len(model.languages))))
             size = np.zeros(batch.num_rows, np.int64)
-            for first, data, offsets in text_pieces(batch.column(place), 500_000):
+            for first, data, offsets in text_pieces(batch.column(place), STEP):
                 many = len(offsets) - 1
                 size[first : first + many] = np.diff(offsets)
-                if bits is not None and len(data):
-                    code_lengths(data, offsets, symbol, bits, length[first : first + many])
+                if lengths is not None and len(data):
+                    lengths.add(data, offsets, length[first : first + many])
             best = length.argmin(1)
             least = length[np.arange(len(best)), best]
             score = 1 / np.exp2(np.maximum(least[:, None] - length, -1000)).sum(1)
@@ -180,24 +283,6 @@ def identify(df: DataFrame, id_col: str, text_col: str, model: Model) -> DataFra
     return rows.mapInArrow(judge, f"{schema}, lang_pred string, score double, bits_per_byte double")
 
 
-def code_lengths(data: np.ndarray, offsets: np.ndarray, symbol: np.ndarray, bits: np.ndarray, into: np.ndarray, step: int = 500_000) -> None:
-    """Adds to ``into`` the bits of each text in each language, ``step`` bytes at a time."""
-    side = round(len(bits) ** (1 / 3))
-    now = symbol[data]
-    one, two = np.empty_like(now), np.empty_like(now)
-    one[1:], two[2:] = now[:-1], now[:-2]
-    starts = offsets[:-1][offsets[:-1] < offsets[1:]]
-    rows = np.flatnonzero(offsets[:-1] < offsets[1:])
-    one[starts] = two[starts] = symbol[_START]
-    two[starts[starts + 1 < len(now)] + 1] = symbol[_START]
-    index = (two * side + one) * side + now
-    for at in range(0, len(index), step):
-        stop = min(len(index), at + step)
-        a, b = np.searchsorted(starts, at, side="right") - 1, np.searchsorted(starts, stop)
-        edges = np.maximum(starts[a:b], at) - at
-        into[rows[a:b]] += np.add.reduceat(bits[index[at:stop]].astype(np.float64), edges, axis=0)
-
-
 def fold_of(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``."""
     return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % folds

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -450,43 +451,56 @@ def test_language(spark, docs, rows, none):
     assert {r.lang_pred for r in language_id.identify(docs, "doc_id", "text", nothing).collect()} == {"und"}
 
 
-def test_code_lengths_are_exact():
-    """Against a plain run of the model over each byte."""
-    draw = np.random.default_rng(10)
-    taught = bytes(draw.choice(list(b"abcab "), 200).astype(np.uint8))
-    text = b"abz caab\xff  ba"
-    offsets = np.array([0, len(taught)])
-    codes, n = np.unique(language_id._trigrams(np.frombuffer(taught, np.uint8), offsets), return_counts=True)
-    model = language_id.Model([("x", int(c), int(k)) for c, k in zip(codes, n)])
-    symbol, bits = model.table()
-    got = np.zeros((2, 1))
-    language_id.code_lengths(np.frombuffer(text + b"a", np.uint8), np.array([0, len(text), len(text) + 1]), symbol, bits, got, step=5)
-
-    def counts(context):
-        own = Counter()
-        for code, k in zip(codes.tolist(), n.tolist()):
-            triple = bytes([code >> 16, code >> 8 & 255, code & 255])
-            if triple[2 - len(context) : 2] == context:
-                own[triple[2]] += k
-        return own
-
-    def cost(before, byte):
-        tried, chance = set(), 1.0
-        for size in (2, 1, 0):
-            own = {b: k for b, k in counts(before[2 - size :]).items() if b not in tried}
-            total = sum(own.values())
-            if byte in own:
-                return -np.log2(chance * own[byte] / (total + len(own)))
-            if total:
-                chance *= len(own) / (total + len(own))
-            tried |= set(own)
-        return -np.log2(chance / (256 - len(tried)))
-
-    want = []
-    for part in (text, b"a"):
-        held = b"\n\n" + part
-        want.append(sum(cost(held[i : i + 2], held[i + 2]) for i in range(len(part))))
-    assert got[:, 0] == pytest.approx(want, rel=1e-5)
+def _plain_code_length(entries, before, byte, order):
+    """Bits of a byte by the rules of method C with exclusion; entries: level -> (bytes -> count)."""
+    tried, chance = set(), 1.0
+    for size in range(order, -1, -1):
+        context = before[len(before) - size :]
+        own = {k[-1]: n for k, n in entries[size].items() if k[:-1] == context and k[-1] not in tried}
+        total = sum(own.values())
+        if byte in own:
+            return -np.log2(chance * own[byte] / (total + len(own)))
+        if total:
+            chance *= len(own) / (total + len(own))
+        tried |= set(own)
+    return -np.log2(chance / (256 - len(tried)))
+
+
+@pytest.mark.parametrize(("order", "most"), [(0, 10**6), (2, 10**6), (4, 10**6), (4, 60)])
+def test_code_lengths_are_exact(spark, order, most):
+    """Trees and code lengths against a plain run of the model over each byte."""
+    draw = random.Random(10)
+    taught = {
+        lang: ["".join(draw.choice(letters) for _ in range(draw.randint(0, 90))) for _ in range(12)]
+        for lang, letters in (("x", "abcab "), ("y", "abbbd\u00e9 "))
+    }
+    rows = [(lang, text) for lang, several in taught.items() for text in [*several, several[0]]]
+    counts = language_id.count_contexts(spark.createDataFrame(rows, "lang string, text string"), order)
+    kept = language_id.commonest(counts, most).collect()
+    model = language_id.Model(*[np.array(c) for c in zip(*[(r.lang, r.level, r.code, r.n) for r in kept])], order)
+    assert model.languages == ["x", "y"]
+    texts = [b"abz caab\xff  ba", b"a", b"", "bd\u00e9 \u00e9abab ab ab".encode() * 3]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    want = np.zeros((len(texts), 2))
+    for k, lang in enumerate(model.languages):
+        entries = [Counter() for _ in range(order + 1)]
+        for text in [t for x, t in rows if x == lang]:
+            padded = b"\n" * order + text.encode()
+            for i in range(order, len(padded)):
+                for size in range(order + 1):
+                    entries[size][padded[i - size : i + 1]] += 1
+        by_count = Counter(n for level in entries for n in level.values())
+        least = min(n for n in by_count if sum(v for m, v in by_count.items() if m >= n) <= most)
+        entries = [{c: n for c, n in level.items() if n >= least} for level in entries]
+        assert sum(map(len, entries)) == sum(r.lang == lang for r in kept) <= most
+        for i, text in enumerate(texts):
+            padded = b"\n" * order + text
+            want[i, k] = sum(_plain_code_length(entries, padded[:at], padded[at], order) for at in range(order, len(padded)))
+    lengths = language_id.Lengths(model, most=20)
+    for step in (5, 7, 10**6):
+        got = np.zeros((len(texts), 2))
+        lengths.add(data, offsets, got, step)
+        assert np.allclose(got, want)
 
 
 @pytest.mark.parametrize("window,anchor,width", [(50, 20, 1 << 44), (10, 4, 1 << 44), (10, 4, 64)])
