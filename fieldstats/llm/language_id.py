@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldstats.llm.bytes_of import text_pieces
 from fieldstats.llm.common import as_key, hash_number, hex_hash, settled
+from fieldstats.sources.io import lookup_table
 
 #: Labelled documents a language is learned from, at most about so many, chosen by hash.
 SAMPLE_PER_LANGUAGE = 4_000
@@ -224,7 +225,8 @@ def fit(
         F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")
     ).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
-    shares = df.sparkSession.createDataFrame([(r["lang"], min(1.0, sample_per_language / r["n"])) for r in counts], "lang string, share double")
+    # A local relation, whose size is known: it is broadcast, and the texts are not shuffled.
+    shares = lookup_table(df.sparkSession, [(r["lang"], min(1.0, sample_per_language / r["n"])) for r in counts], "lang string, share double")
     draw = hash_number(hex_hash(as_key("_id"), "language")) / F.lit(float(2**52))
     chosen = known.join(shares, "lang").filter(draw < F.col("share"))
     kept = commonest(settled(count_contexts(chosen, order)), most_entries).toArrow()
