@@ -14,7 +14,7 @@ LONG = 20_000
 _SPACES = re.compile(r"\s{%d}" % LONG)
 
 
-def _byte_of() -> dict[str, int]:
+def byte_characters() -> dict[str, int]:
     """The character that a byte-level vocabulary writes for each byte, and back.
 
     Printable Latin-1 characters stand for themselves, the others for those from 256 on.
@@ -59,7 +59,7 @@ class ByteTokens:
         made = [a + b for a, b in (m.split(" ") if isinstance(m, str) else m for m in model["merges"])]
         numbered = sorted(model["vocab"].items(), key=lambda x: x[1])
         tokens = [token for token, _ in numbered if token not in self.added]
-        byte_of = _byte_of()
+        byte_of = byte_characters()
         if {*tokens[:256]} != {*byte_of} or tokens[256:] != made:
             return None
         import tiktoken

@@ -4,126 +4,123 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldstats.llm.byte_tokens import LONG, byte_characters
 from fieldstats.llm.common import as_key, hex_hash, running_start, settled
 
-#: Words a Python worker remembers the tokens of; beyond it those not met for long are forgotten.
-REMEMBERED_WORDS = 800_000
-#: Fixed by the tokenizer files that :class:`WordTokens` can take word by word.
-_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Texts that are looked up together.
+#: Fixed by the tokenizer files whose parts of words :class:`WordTokens` merges by number.
+_WORDS, _END = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "</w>"
+#: The same cuts where all white space is blanks; what is left between them are letters.
+_CUT = regex.compile(r"'(?:s|t|re|ve|m|ll|d)|\p{N}|[^ \p{L}\p{N}]+")
+#: White space other than the blank, of the characters that are not odd.
+_GAPS = "\t\n\x0b\x0c\r\x85\xa0"
+#: Characters on whose case, kind or composition versions of Unicode could disagree.
+_ODD = re.compile("[^\x00-\u02ff\u0300-\u036f\u0400-\u0481\u048a-\u052f\u2010-\u2027\u2030-\u205e\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5]")
+#: Texts that are encoded before their pieces are cut.
 _TOGETHER = 128
-#: Punctuation that, behind a letter or digit, is a token run of its own.
-_TAIL = b".,;:!?"
-
-
-def _all_letters(word: bytes) -> bool:
-    text = word.decode()
-    return text.isalpha() and text.lower().isalpha()
 
 
 class WordTokens:
-    """Ids of texts as little-endian 32-bit bytes, for tokenizers that drop white space.
-
-    Such a tokenizer never joins what white space separates, so a text's ids are its
-    words' ids one after the other, and each word is asked for once as long as it is
-    remembered. Case and trailing punctuation are taken off first, as the tokenizer lower-cases
-    and splits there itself; words that may hold its special strings stay as they are. Where
-    the tokenizer's file asks for another normalisation or other cuts, texts are encoded whole.
+    """Ids of texts as little-endian 32-bit bytes, for tokenizers of lower-cased words.
+
+    ``tokenizers`` reads the file and is what the ids are defined by. Such a tokenizer never
+    joins what white space separates, lower-cases, and cuts words at digits and punctuation;
+    the last byte of each part is a symbol of its own. Where the file says this and that tokens
+    are numbered in the order of their merges, both of which is checked, parts are merged by
+    number with the same vocabulary, by ``tiktoken``: a blank behind each part stands for
+    its end. Nothing is remembered from text to text. A text goes to ``tokenizers`` whole if it
+    holds an added token, a very long word or a character beyond ``_ODD``, and so does
+    every text where the file says anything else.
     """
 
     _of: dict[str, WordTokens] = {}
 
     @classmethod
     def of(cls, path: str) -> WordTokens:
-        """The one of this Python worker, so that its later tasks know what it has learned."""
+        """The one of this Python worker, which its later tasks find ready."""
         if path not in cls._of:
             cls._of[path] = cls(path)
         return cls._of[path]
 
     def __init__(self, path: str) -> None:
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        self.added = [t["content"] for t in rules["added_tokens"]]
+        self.merged_by_number = self._ranked(rules)
+
+    @cached_property
+    def tokenizer(self):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        rules = json.loads(self.tokenizer.to_str())
-        steps = [n["type"] for n in (rules["normalizer"] or {}).get("normalizers", [])]
-        cuts = (rules["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
-        self.by_word = (
-            steps == ["NFC", "Replace", "Lowercase"]
-            and cuts.get("type") == "Split"
-            and cuts["pattern"] == {"Regex": _WORDS}
-            and cuts["behavior"] == "Removed"
-            and rules["model"].get("end_of_word_suffix") == "</w>"
-        )
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    @staticmethod
-    def _parts(word: bytes) -> tuple[bytes, bytes]:
-        """Stem and trailing punctuation, where the tokenizer is sure to cut there."""
-        stem = word.rstrip(_TAIL)
-        if b"<" in word:
-            return word, b""
-        if word.isascii():
-            return (stem.lower(), word[len(stem) :]) if stem[-1:].isalnum() else (word, b"")
-        return (stem, word[len(stem) :]) if _all_letters(stem) else (word, b"")
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn_line(self, words: list[bytes]) -> None:
-        """Words of letters in one call; the ids that end a word tell them apart."""
-        ids = self._encode([b" ".join(words).decode()])[0]
-        ends = (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()
-        blob = ids.tobytes()
-        if len(ends) == len(words) and ends[-1] == len(blob):
-            self.known.update(zip(words, [blob[a:b] for a, b in zip([0, *ends], ends)]))
-
-    def _learn(self, words: set[bytes]) -> None:
-        known = self.known
-        letters, rest, made = [], [], []
-        for word in words:
-            if word not in known:
-                if word.isalpha() and word.islower():
-                    letters.append(word)
-                else:
-                    made.append((word, *self._parts(word)))
-        have = set(letters)
-        for part in {p for _, *parts in made for p in parts}:
-            if part not in known and part not in have:
-                (letters if part.isalpha() or not part.isascii() and _all_letters(part) else rest).append(part)
-        for at in range(0, len(letters), _TOGETHER):
-            self._learn_line(letters[at : at + _TOGETHER])
-        rest += [p for p in letters if p not in known]
-        for part, found in zip(rest, self._encode([p.decode() for p in rest])):
-            known[part] = found.tobytes()
-        for word, stem, tail in made:
-            known[word] = known[stem] + known[tail] if tail else known[stem]
+        return Tokenizer.from_file(self.path)
+
+    def _ranked(self, rules: dict):
+        model = rules["model"]
+        steps = (rules["normalizer"] or {}).get("normalizers", [])
+        cuts = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+        options = ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")
+        if (
+            model["type"] != "BPE"
+            or any(model.get(o) for o in options)
+            or model.get("end_of_word_suffix") != _END
+            or [n["type"] for n in steps] != ["NFC", "Replace", "Lowercase"]
+            or (steps[1]["pattern"], steps[1]["content"]) != ({"Regex": r"\s+"}, " ")
+            or [c["type"] for c in cuts] != ["Split", "ByteLevel"]
+            or (cuts[0]["pattern"], cuts[0]["behavior"], cuts[0]["invert"]) != ({"Regex": _WORDS}, "Removed", True)
+            or cuts[1]["add_prefix_space"]
+            or cuts[1].get("use_regex", True)
+            or any(t.get("normalized") for t in rules["added_tokens"])
+        ):
+            return None
+        made = [a + b for a, b in (m.split(" ") if isinstance(m, str) else m for m in model["merges"])]
+        numbered = sorted(model["vocab"].items(), key=lambda x: x[1])
+        tokens = [token for token, _ in numbered if token not in self.added]
+        byte_of = byte_characters()
+        if {*tokens[:512]} != {*byte_of, *(c + _END for c in byte_of)} or tokens[512:] != made:
+            return None
+        import tiktoken
+
+        ranks = {
+            bytes(byte_of[c] for c in token.removesuffix(_END)) + b" " * token.endswith(_END): number
+            for token, number in numbered
+            if token not in self.added
+        }
+        return tiktoken.Encoding("ranked", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+
+    def _is_plain(self, text: str) -> bool:
+        if any(t in text for t in self.added):
+            return False
+        if not text.isascii() and _ODD.search(text):
+            return False
+        return len(text) < LONG or max(map(len, text.split()), default=0) < LONG
+
+    def _ids(self, text: str) -> bytes:
+        if not (self.merged_by_number and self._is_plain(text)):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        text = text.lower()
+        for gap in _GAPS:
+            text = text.replace(gap, " ")
+        return array("I", self.merged_by_number.encode_ordinary(_CUT.sub(r" \g<0> ", text) + " ")).tobytes()
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        if not self.by_word:
-            return [x.tobytes() for x in self._encode([t or "" for t in texts])]
-        if len(self.known) >= REMEMBERED_WORDS // 2:
-            self.known, self.older = {}, self.known
-        split = [(t or "").encode().split() for t in texts]
-        words = set().union(*split)
-        if self.older:
-            self.known.update({w: self.older[w] for w in words.difference(self.known) if w in self.older})
-        self._learn(words)
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return [self._ids(t or "") for t in texts]
 
 
 def token_pieces(

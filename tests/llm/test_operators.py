@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -344,6 +346,34 @@ def test_words_tokenise_like_whole_texts():
         assert np.frombuffer(memory.ids([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_are_merged_by_number_and_not_remembered():
+    memory = packing.WordTokens(tokenizer_path())
+    assert memory.merged_by_number is not None
+    held = set(vars(memory))
+    of = lambda text: memory.tokenizer.encode(text, add_special_tokens=False).ids
+    got = lambda text: np.frombuffer(memory.ids([text])[0], "<u4").tolist()
+    plain = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000)]) if memory._is_plain(c)]
+    assert len(plain) > 20_000
+    for at in range(0, len(plain), 40):
+        text = " ".join(f"a{c}b {c}{c} A{c}\u0301.{c}5{c}'s" for c in plain[at : at + 40])
+        assert got(text) == of(text), ascii(text)
+    for text in ("", " ", "x" * 30_000, "ΣΑΣ Σ.", "a<|endoftext|>B", "ﬁ ² ½ \U0001d400 \u1e9e", "don't 'there j'm'appelle it's'd"):
+        assert got(text) == of(text), ascii(text[:50])
+    assert not memory._is_plain("x" * 30_000) and not memory._is_plain("a<|endoftext|>") and not memory._is_plain("ΣΑΣ")
+    assert set(vars(memory)) - held == {"tokenizer"}
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    rules = json.loads(Path(tokenizer_path()).read_text(encoding="utf-8"))
+    rules["model"]["merges"][:2] = rules["model"]["merges"][1::-1]
+    changed = tmp_path / "swapped.json"
+    changed.write_text(json.dumps(rules), encoding="utf-8")
+    memory = packing.WordTokens(str(changed))
+    assert memory.merged_by_number is None
+    text = "In the thin inner thing, 3 others"
+    assert np.frombuffer(memory.ids([text])[0], "<u4").tolist() == memory.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_fullest_is_the_best_sum():
     draw = np.random.default_rng(6)
     for _ in range(60):
