@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -85,7 +86,7 @@ class IdFilter:
     def __init__(self, ids: DataFrame, column: str) -> None:
         self.bits = min(self.MOST_BITS, max(1 << 16, 1 << (16 * ids.count()).bit_length()))
         words = (
-            ids.select(F.explode(self._places(F.col(column))).alias("bit"))
+            ids.select(F.explode(self.places(F.col(column))).alias("bit"))
             .groupBy(F.shiftright("bit", 5).alias("word"))
             .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("bits"))
             .toArrow()
@@ -94,20 +95,40 @@ class IdFilter:
         held[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
         self.words = ids.sparkSession.sparkContext.broadcast(held)
 
-    def _places(self, value: Column) -> Column:
+    def places(self, value: Column) -> Column:
+        """Where the bits of a value are, for ``passing``."""
         return F.array(*[F.pmod(F.xxhash64(F.lit(i), value), F.lit(self.bits)) for i in range(self.HASHES)])
 
+    def _test(self) -> Callable[[np.ndarray], np.ndarray]:
+        words, hashes = self.words, self.HASHES
+
+        def test(places: np.ndarray) -> np.ndarray:
+            bits = places.reshape(-1, hashes)
+            return (words.value[bits >> 5] >> (bits & 31).astype(np.uint32) & np.uint32(1)).astype(bool).all(1)
+
+        return test
+
     def may_hold(self, value: Column) -> Column:
         """False for values that are certainly none of the ids."""
-        words, hashes = self.words, self.HASHES
+        test = self._test()
 
         @F.pandas_udf("boolean")
-        def test(places: pd.Series) -> pd.Series:
-            held = words.value
-            bits = np.concatenate([np.zeros(0, np.int64), *places.to_numpy()]).reshape(-1, hashes)
-            return pd.Series((held[bits >> 5] >> (bits & 31).astype(np.uint32) & np.uint32(1)).astype(bool).all(1))
+        def tested(places: pd.Series) -> pd.Series:
+            return pd.Series(test(np.concatenate([np.zeros(0, np.int64), *places.to_numpy()])))
+
+        return tested(self.places(value))
+
+    def passing(self) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        """For use in a task's own function, so that it needs no second Python worker: the rows of
+        a batch whose last column, ``places`` of a value, says that it may be an id; without it."""
+        test = self._test()
+
+        def passed(batch: pa.RecordBatch) -> pa.RecordBatch:
+            fit = test(batch.column(batch.num_columns - 1).flatten().to_numpy())
+            batch = batch.select(range(batch.num_columns - 1))
+            return batch if fit.all() else batch.filter(pa.array(fit))
 
-        return test(self._places(value))
+        return passed
 
 
 def computed(df: DataFrame, **columns: Column) -> DataFrame:

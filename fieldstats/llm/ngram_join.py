@@ -124,9 +124,11 @@ def _digest(shingles: np.ndarray) -> int:
     return int(as_signed(mixed(shingles).sum(keepdims=True))[0])
 
 
-def set_cells(rows: DataFrame, k: int, threshold: Threshold, buckets: int) -> DataFrame:
+def set_cells(rows: DataFrame, k: int, threshold: Threshold, buckets: int, dealt_ids: IdFilter | None = None) -> DataFrame:
     """(``cell``, ``size``, ``one``): the members, by digest, of cells with several sets.
 
+    With ``dealt_ids`` only rows whose ``_id`` it may hold are dealt.
+
     ``cell`` stands for all the cells that have these ``size`` members.
 
     A key is dealt to one of ``buckets`` by its upper bits; a task gives out, per bucket, one
@@ -136,8 +138,10 @@ def set_cells(rows: DataFrame, k: int, threshold: Threshold, buckets: int) -> Da
     once.
     """
 
+    passed = dealt_ids.passing() if dealt_ids else lambda batch: batch
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(passed, batches):
             seen: set[int] = set()
             ones, keys, many = [], [], 0
             for row, s in shingle_sets(batch.column(0), k):
@@ -186,7 +190,8 @@ def set_cells(rows: DataFrame, k: int, threshold: Threshold, buckets: int) -> Da
                 [*map(pa.array, columns), pa.array(np.concatenate([np.zeros(0, np.int64), *members]))], names=["cell", "size", "one"]
             )
 
-    dealt = rows.select("_text").mapInArrow(deal, "bucket long, block binary")
+    places = [dealt_ids.places(F.col("_id"))] if dealt_ids else []
+    dealt = rows.select("_text", *places).mapInArrow(deal, "bucket long, block binary")
     cells = dealt.groupBy("bucket").applyInArrow(meet, "cell long, size long, part int, ones binary")
     once = cells.groupBy("cell", "size", "part").agg(F.any_value("ones").alias("ones"))
     return once.select("cell", "size", "ones").mapInArrow(told, "cell long, size long, one long")
@@ -211,38 +216,64 @@ def _blocks(keys: np.ndarray, ones: np.ndarray, buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), blob], names=["bucket", "block"])
 
 
-def points(rows: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """Per row of ``wanted`` (``_id`` and more): set size, shingle hashes, count vector and
-    parities, as bytes.
+def points(rows: DataFrame, k: int, wanted: DataFrame, whole: bool = True) -> DataFrame:
+    """Per row of ``wanted`` (``_id`` and more): set size, shingle hashes (if ``whole``), count
+    vector and parities, as bytes.
 
     The texts themselves are not shuffled: a filter of the wanted ids goes to them, and only
     what passes is reduced to its set and meets the ids exactly.
     """
+    names = ["_id", "n", *(["shingles"] if whole else []), "counts", "parity"]
+    wanted_ids = IdFilter(wanted, "_id")
+    passed = wanted_ids.passing()
 
     def given(ids: pa.Array, n: list, sets: list, counts: list, parity: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [ids, pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (sets, counts, parity))],
-            names=["_id", "n", "shingles", "counts", "parity"],
-        )
+        blobs = [pa.array(x, pa.binary()) for x in ([sets] if whole else []) + [counts, parity]]
+        return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), *blobs], names=names)
 
     def point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(passed, batches):
             n, sets, counts, parity = [], [], [], []
             first = held = 0
             for row, s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
-                sets.append(s.tobytes())
+                if whole:
+                    sets.append(s.tobytes())
+                    held += s.nbytes
                 counts.append(np.bincount((s % U(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes())
                 fine = np.bincount(((s >> U(20)) % U(PARITIES)).astype(np.int64), minlength=PARITIES)
                 parity.append(np.packbits(fine & 1).tobytes())
-                held += s.nbytes
                 if held >= _SET_BYTES_AT_ONCE or row == batch.num_rows - 1:
                     yield given(batch.column(0).slice(first, len(n)), n, sets, counts, parity)
                     n, sets, counts, parity = [], [], [], []
                     first, held = row + 1, 0
 
-    passing = rows.filter(IdFilter(wanted, "_id").may_hold(F.col("_id"))).select("_id", "_text")
-    return passing.mapInArrow(point, "_id long, n long, shingles binary, counts binary, parity binary").join(wanted, "_id")
+    kinds = {"_id": "long", "n": "long"}
+    schema = ", ".join(f"{c} {kinds.get(c, 'binary')}" for c in names)
+    return rows.select("_id", "_text", wanted_ids.places(F.col("_id"))).mapInArrow(point, schema).join(wanted, "_id")
+
+
+def allowed(pairs: DataFrame, vectors: DataFrame, threshold: Threshold) -> DataFrame:
+    """The pairs (a, b) that sizes, count vectors and parities do not rule out.
+
+    Similar sets share at least ``need`` shingles, so the minima of their counts sum up to that,
+    and groups with counts of unlike parity are no more than the sets differ in.
+    """
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = lambda i, kind: np.frombuffer(b"".join(x.as_buffer() for x in batch.column(i)), kind).reshape(batch.num_rows, -1)
+            n, m = batch.column(2).to_numpy(), batch.column(5).to_numpy()
+            need = threshold.shared(n, m)
+            fit = np.minimum(n, m) >= need
+            if batch.num_rows:
+                fit &= np.minimum(table(3, np.uint32), table(6, np.uint32)).sum(1, dtype=np.int64) >= need
+                fit &= np.bitwise_count(table(4, U) ^ table(7, U)).sum(1, dtype=np.int64) <= n + m - 2 * need
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(fit)) for c in batch.columns[:2]], names=["a", "b"])
+
+    side = lambda c, end: vectors.select(F.col("_id").alias(c), *[F.col(x).alias(f"_{x}{end}") for x in ("n", "counts", "parity")])
+    met = pairs.join(side("b", 2), "b").join(side("a", 1), "a")
+    return met.select("a", "b", *[f"_{x}{end}" for end in (1, 2) for x in ("n", "counts", "parity")]).mapInArrow(bound, "a long, b long")
 
 
 def similar(pairs: DataFrame, threshold: Threshold) -> DataFrame:
@@ -278,6 +309,10 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFra
     return similar(pairs.join(y, "b").join(x, "a"), threshold)
 
 
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+
+
 def _needed(sets: DataFrame, ids: DataFrame) -> DataFrame:
     return sets.filter(IdFilter(ids, "_id").may_hold(F.col("_id")))
 
@@ -335,9 +370,9 @@ def near_texts(
        in, so a cell holds at most a small share of the rows even when a third of all texts
        are copies of one.
     3. In each cell the smallest id is compared with the others: bounded by the summed
-       minima of their count vectors, then verified on the shingles; first each text with the
-       smallest id that any of its cells has, then what is still in different components.
-       That connects most groups.
+       minima of their count vectors and by parities, then, if these allow it, verified on the
+       shingles; first each text with the smallest id that is left to it, then what is still
+       in different components. That connects most groups.
     4. Cells whose members are still in different components are searched by an R-tree over
        count vectors for pairs of different components, and what it finds is verified.
 
@@ -353,24 +388,22 @@ def near_texts(
     total = full.agg(F.sum("n")).first()[0] or 0
     buckets = 1 + int(total * 4 * (den - num) / (den + num) / KEYS_PER_BUCKET)
     # Copies stay at home: one text of each set is dealt.
-    standing = rows.filter(F.col("_id").isNotNull() & IdFilter(folds, "rep").may_hold(F.col("_id")))
-    found = set_cells(standing, k, threshold, buckets)
+    found = set_cells(rows.filter(F.col("_id").isNotNull()), k, threshold, buckets, IdFilter(folds, "rep"))
     short = folds.select(F.col("_one").bitwiseAND(F.lit((1 << 48) - 1)).alias("one"), F.col("rep").alias("_id"))
     members = settled(found.join(short, "one").select("cell", "size", "_id"))
     lows = members.groupBy("cell").agg(F.min("_id").alias("a")).select((F.col("cell") + 0).alias("_cell"), "a")
     cells = members.join(lows, F.col("cell") == F.col("_cell")).select("a", F.col("_id").alias("b")).filter("a < b")
     stars = settled(cells.distinct())
-    first = stars.groupBy("b").agg(F.min("a").alias("a"))
-    nodes = stars.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    wanted = settled(nodes.join(first.select(F.col("b").alias("_id"), "a"), "_id", "left"))
-    sets = settled(points(rows, k, wanted))
-    centres = _needed(sets, first.select(F.col("a").alias("_id")))
-    pairs = sets.filter(F.col("a").isNotNull()).select("a", F.col("_id").alias("b"), F.col("shingles").alias("_y"))
-    linked = similar(pairs.join(centres.select(F.col("_id").alias("a"), F.col("shingles").alias("_x")), "a"), threshold)
+    # Whole sets are fetched only for pairs that the small vectors allow.
+    vectors = settled(points(rows, k, settled(_ids(stars)), whole=False))
+    near = settled(allowed(stars, vectors, threshold))
+    sets = settled(points(rows, k, settled(_ids(near))))
+    first = near.groupBy("b").agg(F.min("a").alias("a"))
+    linked = verified(first.select("a", "b"), sets, threshold)
     parts = components(linked)
     root = lambda c: parts.select(F.col("id").alias(c), F.col("component_id").alias(f"_{c}"))
     apart = (
-        stars.join(first.select("a", "b"), ["a", "b"], "left_anti")
+        near.join(first.select("a", "b"), ["a", "b"], "left_anti")
         .join(root("a"), "a", "left")
         .join(root("b"), "b", "left")
         .filter(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
@@ -391,8 +424,9 @@ def near_texts(
         .select((F.col("key") + 0).alias("_key"))
     )
     open_members = placed.join(mixed_cells, F.col("key") == F.col("_key")).drop("_key")
-    found = tree_pairs(open_members.join(sets.select("_id", "n", "counts", "parity"), "_id"), threshold)
-    more = verified(found.join(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"), sets, threshold)
+    found = tree_pairs(open_members.join(vectors, "_id"), threshold)
+    found = settled(found.join(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"))
+    more = verified(found, settled(points(rows, k, settled(_ids(found)))), threshold)
     whole = joined(parts, more).withColumnRenamed("id", "rep")
     by_set = F.concat_ws(":", "n", F.hex("_one"), F.hex("_two"))
     named = folds.join(whole, "rep", "left").select(by_set.alias("_set"), F.coalesce("component_id", "rep").alias("component_id"))

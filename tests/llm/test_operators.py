@@ -307,6 +307,23 @@ def test_line_runs_go_up_to_their_edges(spark, docs, rows, none):
     assert line_dedup.dedup_runs(none, "doc_id", "text").count() == 0
 
 
+def test_small_vectors_rule_out_no_similar_pair(spark):
+    draw = random.Random(4)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(w if draw.random() > i / 400 else f"x{draw.randrange(10**6)}" for w in base) for i in range(40)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "_id long, _text string")
+    pairs = spark.createDataFrame(list(combinations(range(40), 2)), "a long, b long")
+    threshold = ngram_join.Threshold(85, 100)
+    ids = rows.select("_id")
+    vectors = ngram_join.points(rows, 4, ids, whole=False)
+    assert vectors.columns == ["_id", "n", "counts", "parity"]
+    got = {tuple(r) for r in ngram_join.allowed(pairs, vectors, threshold).collect()}
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)} for t in texts]
+    similar = {(a, b) for a, b in combinations(range(40), 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert similar and similar <= got and len(got) < 200
+    assert ngram_join.allowed(pairs.limit(0), vectors, threshold).count() == 0
+
+
 def test_packing(docs, rows, none):
     from tokenizers import Tokenizer
 
