@@ -307,6 +307,31 @@ def test_line_runs_go_up_to_their_edges(spark, docs, rows, none):
     assert line_dedup.dedup_runs(none, "doc_id", "text").count() == 0
 
 
+def test_runs_start_from_content_defined_chunks(spark, monkeypatch):
+    draw = np.random.default_rng(12)
+    line = lambda: draw.choice(["a", "b b", "c", " ", "", "d\te", "\x0b", "f"])
+    passages = [[f"{line()}{line()} {i}" if draw.random() < 0.7 else line() for i in range(draw.integers(2, 9))] for _ in range(12)]
+    texts = []
+    for _ in range(150):
+        parts = [passages[draw.integers(12)] if draw.random() < 0.5 else [line() for _ in range(draw.integers(1, 6))] for _ in range(4)]
+        texts.append("\n".join(x for p in parts for x in p))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = []
+    whole = line_dedup.repeated_chunks
+    monkeypatch.setattr(line_dedup, "repeated_chunks", lambda rows: found.append(whole(rows)) or found[-1])
+    got = {r.doc_id: r.text for r in line_dedup.dedup_runs(df.repartition(3), "doc_id", "text").collect()}
+    assert [got[i] for i in range(len(texts))] == _runs(texts)
+    # The chunks that go whole are real ones: from word to word, held by an earlier place.
+    (chunks,) = found
+    spans = chunks.collect()
+    assert len(spans) > 50
+    for r in spans:
+        own = texts[r._id].split("\n")[r.start : r.end + 1]
+        assert own[0].split() and own[-1].split() and sum(bool(x.split()) for x in own) >= line_dedup.LEAST_LINES
+        run = "\n".join(own)
+        assert any(f"\n{run}\n" in f"\n{t}\n" for t in texts[: r._id]) or texts[r._id].count(run) > 1
+
+
 def test_small_vectors_rule_out_no_similar_pair(spark):
     draw = random.Random(4)
     base = [f"w{i}" for i in range(300)]
