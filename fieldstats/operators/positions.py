@@ -34,6 +34,8 @@ from fieldstats.kept import kept
 
 # Cells that one task can sort comfortably.
 ROWS_PER_SEGMENT = 4_000_000
+# Segments that are made where a task would hold more than SMALLEST cells with fewer.
+LEAST, SMALLEST = 64, 65_536
 # Stretches that the first cuts make, at most, and segments that each can be cut into.
 COARSE, FINE = 256, 1_024
 # Sketches that one task merges, and their size (ranks within about 0.2 %).
@@ -112,10 +114,14 @@ def _stretch(value: Column, cuts: Column, most: int) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) <= value, at + step).otherwise(at))
 
 
-def segmented(cells: DataFrame, value: str, size: int) -> DataFrame:
-    """``cells`` (kept) with their segment of about ``size`` cells, numbered in order."""
+def segmented(cells: DataFrame, value: str, size: int, least: int = 1) -> DataFrame:
+    """``cells`` (kept) with their segment of about ``size`` cells, numbered in order.
+
+    There are at least ``least`` segments, unless they would hold fewer than ``SMALLEST``.
+    """
     at = F.lit(0).cast("long")
     n = cells.count()
+    size = min(size, max(math.ceil(n / least), SMALLEST))
     if n <= size:
         return cells.withColumn(SEGMENT, at)
     wanted = math.ceil(n / size)

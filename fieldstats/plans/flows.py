@@ -19,6 +19,7 @@ from fieldstats.functions.domain import (
     molar_to_mass_flux,
     utm_to_latlon,
 )
+from fieldstats.kept import kept
 from fieldstats.names import any_names
 from fieldstats.operators.columns import complete_cases, drop_cols, significant_only
 from fieldstats.operators.correlation import corr_significant
@@ -26,7 +27,7 @@ from fieldstats.operators.distribution import box_stats
 from fieldstats.operators.joins import right_lookup
 from fieldstats.operators.missing import impute_mean
 from fieldstats.operators.positions import number
-from fieldstats.operators.ranks import dunn_test, kruskal_wallis
+from fieldstats.operators.ranks import dunn_test_by_label, kruskal_wallis_by_label
 from fieldstats.operators.recoding import order_levels, recode_exact
 from fieldstats.operators.reshape import to_long
 from fieldstats.operators.summary import (
@@ -44,6 +45,9 @@ from fieldstats.operators.summary import (
 from fieldstats.sources.io import lookup_table
 
 
+_CLASS_NAMES = {**{p: p for p in K.PRATI_LEVELS}, **K.OREGON_TO_PRATI}
+
+
 def _mass(flux: Mapping[str, str]) -> dict[str, Column]:
     return {gas: molar_to_mass_flux(c, gas) for gas, c in flux.items()}
 
@@ -63,29 +67,35 @@ def _labels_long(
     return to_long(wide, list(measures), list(labels), name, value)
 
 
-def _folded_long(
-    df: DataFrame, measures: Mapping[str, Column], labels: Mapping[str, Column], name: str, value: str
+def _folded(
+    df: DataFrame, measures: Mapping[str, Column], labels: Mapping[str, str], classes: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """Rows (gas, concentration, label column, label, n) for rank tests.
+    """Cells (labels side by side, gas, concentration, n) for rank tests and boxes, kept.
 
-    Equal measurements under equal labels are counted while the labels are still side by
-    side, with partial counts in the map task; only what differs is repeated for each label.
+    Equal measurements under equal labels are counted, with partial counts in the map task.
+    ``classes`` replaces the labels first.
     """
-    wide = df.select(*[c.alias(g) for g, c in measures.items()], *[c.alias(k) for k, c in labels.items()])
+    wide = df.select(*[c.alias(g) for g, c in measures.items()], *[F.col(c).alias(k) for k, c in labels.items()])
+    for k in labels if classes else ():
+        wide = recode_exact(wide, k, classes)
+    names = [F.col(f"`{k}`") for k in labels]
     long = _gases_long(wide, list(labels), list(measures)).withColumn("concentration", number("concentration"))
-    known = long.filter(F.col("concentration").isNotNull())
-    cells = known.groupBy(*[F.col(f"`{k}`") for k in labels], "gas", "concentration").agg(F.count(F.lit(1)).alias("n"))
-    return to_long(cells, ["gas", "concentration", "n"], list(labels), name, value)
+    known = long.filter(F.col("concentration").isNotNull() & F.coalesce(*names).isNotNull())
+    return kept(known.groupBy(*names, "gas", "concentration").agg(F.count(F.lit(1)).alias("n")))
 
 
-def _index_cells(df: DataFrame, indexes: Mapping[str, str], dissolved: Mapping[str, str]) -> DataFrame:
-    labels = {k: F.col(c) for k, c in indexes.items()}
-    return _class_names(_folded_long(df, _concentration(dissolved), labels, "wqi", "label"))
+def _index_test(test, df: DataFrame, indexes: Mapping[str, str], dissolved: Mapping[str, str], **options) -> DataFrame:
+    """A rank test between the classes of each index, per gas."""
+    cells = _folded(df, _concentration(dissolved), indexes, _CLASS_NAMES)
+    sides = {k: [k] for k in indexes}
+    return test(cells, ["gas"], sides, "wqi", "water_quality", "concentration", **options)
 
 
-def _landuse_cells(df: DataFrame, banks: Mapping[str, str], dissolved: Mapping[str, str]) -> DataFrame:
-    labels = {k: F.col(c) for k, c in banks.items()}
-    return _land_use(_folded_long(df, _concentration(dissolved), labels, "bank", "land_use"))
+def _landuse_test(test, df: DataFrame, banks: Mapping[str, str], dissolved: Mapping[str, str], **options) -> DataFrame:
+    """A rank test between land-use classes per gas, a site once for each bank."""
+    cells = _folded(df, _concentration(dissolved), banks, K.LAND_USE_CLASS)
+    sides = {"both": list(banks)}
+    return test(cells, ["gas"], sides, "bank", "land_use", "concentration", **options).drop("bank")
 
 
 def _gases_long(wide: DataFrame, keys: Sequence[str], gases: Sequence[str]) -> DataFrame:
@@ -98,8 +108,7 @@ def _weighted(summary: DataFrame) -> DataFrame:
 
 def _class_names(df: DataFrame) -> DataFrame:
     """Add the common class name: Oregon classes under their Prati names."""
-    names = {**{p: p for p in K.PRATI_LEVELS}, **K.OREGON_TO_PRATI}
-    return recode_exact(df, "label", names, into="water_quality")
+    return recode_exact(df, "label", _CLASS_NAMES, into="water_quality")
 
 
 @any_names
@@ -254,8 +263,7 @@ def dissolved_index_tests(
     df: DataFrame, indexes: Mapping[str, str], dissolved: Mapping[str, str], **options
 ) -> DataFrame:
     """Dunn's test between the classes of each index, per gas."""
-    cells = _index_cells(df, indexes, dissolved)
-    return dunn_test(cells, ["wqi", "gas"], "water_quality", "concentration", weight="n", **options)
+    return _index_test(dunn_test_by_label, df, indexes, dissolved, **options)
 
 
 @any_names
@@ -286,8 +294,7 @@ def dissolved_landuse_tests(
     df: DataFrame, banks: Mapping[str, str], dissolved: Mapping[str, str], **options
 ) -> DataFrame:
     """Dunn's test between land-use classes per gas, both banks together."""
-    cells = _landuse_cells(df, banks, dissolved)
-    return dunn_test(cells, ["gas"], "land_use", "concentration", weight="n", **options)
+    return _landuse_test(dunn_test_by_label, df, banks, dissolved, **options)
 
 
 @any_names
@@ -295,8 +302,7 @@ def dissolved_index_kruskal(
     df: DataFrame, indexes: Mapping[str, str], dissolved: Mapping[str, str], **options
 ) -> DataFrame:
     """Kruskal-Wallis test over the classes of each index, per gas."""
-    cells = _index_cells(df, indexes, dissolved)
-    return kruskal_wallis(cells, ["wqi", "gas"], "water_quality", "concentration", weight="n", **options)
+    return _index_test(kruskal_wallis_by_label, df, indexes, dissolved, **options)
 
 
 @any_names
@@ -304,8 +310,7 @@ def dissolved_landuse_kruskal(
     df: DataFrame, banks: Mapping[str, str], dissolved: Mapping[str, str], **options
 ) -> DataFrame:
     """Kruskal-Wallis test over land-use classes per gas, both banks together."""
-    cells = _landuse_cells(df, banks, dissolved)
-    return kruskal_wallis(cells, ["gas"], "land_use", "concentration", weight="n", **options)
+    return _landuse_test(kruskal_wallis_by_label, df, banks, dissolved, **options)
 
 
 def _boxes(long: DataFrame, keys: Sequence[str], gases: Sequence[str], co2_equivalent: bool, **options) -> DataFrame:

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldstats.functions.tails import student_two_sided
+from fieldstats.kept import kept
 from fieldstats.operators import columns as C
 from fieldstats.operators import joins as J
+from fieldstats.operators import ranks
 from fieldstats.operators.correlation import corr_pairs, corr_significant, corr_test, pair_regression
 from fieldstats.operators.distribution import (
     box_outliers,
@@ -22,6 +24,7 @@ from fieldstats.operators.distribution import (
     variable_summary,
 )
 from fieldstats.operators.missing import impute_mean, margin_summary, missing_pattern, missing_share
+from fieldstats.operators.positions import SEGMENT
 from fieldstats.operators.ranks import dunn_test, kruskal_wallis, mid_rank
 from fieldstats.operators.reshape import to_long
 from fieldstats.operators.summary import (
@@ -508,3 +511,23 @@ def test_regression_errors(spark):
     sd = math.sqrt((left**2).sum() / 3)
     assert r["residual_sd"] == pytest.approx(sd)
     assert r["slope_se"] == pytest.approx(sd / math.sqrt(((np.array(x) - np.mean(x)) ** 2).sum()))
+
+
+@pytest.mark.parametrize("size", [1_000_000, 30])
+def test_labels_side_by_side_are_tested_like_long_rows(spark, size):
+    rows = [(f"p{i % 3}" if i % 7 else None, f"q{i * i % 4}" if i % 5 else None, "AB"[i % 2], float(i * 37 % 101), 1 + i % 3) for i in range(400)]
+    cells = spark.createDataFrame(rows, "`a x` string, b string, gas string, v double, n long")
+    sides = {"first": ["a x"], "second": ["b"], "both": ["a x", "b"]}
+    lines = [(side, r[("a x", "b").index(c)], *r[2:]) for r in rows for side, columns in sides.items() for c in columns]
+    long = spark.createDataFrame(lines, "side string, label string, gas string, v double, n long")
+    for many, one in ((ranks.dunn_test_by_label, ranks.dunn_test), (ranks.kruskal_wallis_by_label, ranks.kruskal_wallis)):
+        got = many(kept(cells), ["gas"], sides, "side", "label", "v", rows_per_segment=size)
+        want = one(long, ["side", "gas"], "label", "v", weight="n")
+        assert got.columns == want.columns
+        for g, w in zip(sorted(map(tuple, got.collect()), key=str), sorted(map(tuple, want.collect()), key=str), strict=True):
+            assert g == pytest.approx(w)
+
+
+def test_dunn_sorts_its_cells_once(messy):
+    plan = ranks.dunn_test(messy, [], "g", "v", rows_per_segment=50)._jdf.queryExecution().optimizedPlan().toString()
+    assert SEGMENT not in plan and "Window" in plan
