@@ -13,15 +13,16 @@ from fieldstats.kept import kept
 from fieldstats.names import any_names
 from fieldstats.operators.joins import join_stats
 from fieldstats.operators.positions import (
+    COARSE,
+    QUARTILES,
     ROWS_PER_SEGMENT,
-    SEGMENT,
     SKETCH_K,
     counted,
+    light,
     locate,
     number,
     present,
-    quartile_columns,
-    ranked_cells,
+    quartiles,
 )
 from fieldstats.operators.reshape import to_long
 
@@ -72,56 +73,51 @@ def box_stats(
     approx: bool = False,
     accuracy: int = 10_000,
     rows_per_segment: int = ROWS_PER_SEGMENT,
+    weight: str | None = None,
+    folded: bool = False,
 ) -> DataFrame:
     """Box-plot statistics of ``value`` per group.
 
     Quartiles interpolate linearly (type 7); whiskers are the most extreme values
     within 1.5 interquartile ranges of the box; what lies beyond is an outlier.
     Missing values and groups are dropped. ``approx`` takes the quartiles from a
-    sketch instead and never shuffles values.
+    sketch instead and never shuffles values. ``weight`` is a column of whole-number row
+    weights; ``folded`` says that the rows are kept cells (see :func:`locate`).
     """
     groups = list(groups)
     if approx:
+        if weight:
+            raise ValueError("approx takes no weight")
         rows = present(df.select(*groups, number(value).alias(value)), [*groups, value])
-        quartiles = _approx_quartiles(rows, groups, value, accuracy).withColumns(_fences())
+        fences = _approx_quartiles(rows, groups, value, accuracy).withColumns(_fences())
         if not groups:
-            rows, quartiles = rows.withColumn("_all", F.lit(0)), quartiles.withColumn("_all", F.lit(0))
+            rows, fences = rows.withColumn("_all", F.lit(0)), fences.withColumn("_all", F.lit(0))
         keys = groups or ["_all"]
-        joined = join_stats(rows, quartiles, keys)
+        joined = join_stats(rows, fences, keys)
         carried = ("n", "q1", "median", "q3", "mean")
         whiskers = joined.withColumn("_one", F.lit(1)).groupBy(*keys).agg(
             *[F.max(c).alias(c) for c in carried], *_whisker_aggs(value, "_one")
         )
         return whiskers.select(*groups, *_BOX)
 
-    pos = locate(df, groups, value, rows_per_segment=rows_per_segment)
-    cells = ranked_cells(pos)
+    keys = groups or ["_all"]
+    rows = df if groups else df.withColumn("_all", F.lit(0))
+    pos = locate(rows, keys, value, weight=weight, rows_per_segment=rows_per_segment, least=COARSE, folded=folded)
     mean = F.sum(F.col(value).cast("double") * F.col("n")) / F.sum("n")
-    quartiles = (
-        cells.groupBy(*groups)
-        .agg(mean.alias("mean"), *[c.alias(k) for k, c in quartile_columns(value).items()])
-        .withColumns(_fences())
-    )
-    # The fences travel to each (group, segment); the cells are already there.
-    if groups:
-        fences = pos.segments.drop("offset").join(quartiles, groups, "inner")
-    else:
-        row = quartiles.agg(F.any_value(F.struct(*quartiles.columns))).scalar()
-        fences = pos.segments.select(
-            SEGMENT, "total", *[row[c].alias(c) for c in quartiles.columns]
-        )
-    joined = pos.cells.join(fences, [*groups, SEGMENT], "inner")
+    fences = light(quartiles(pos, _mean=mean, _sorted=F.sum("n")).withColumns(_fences()))
     boxes = (
-        joined.groupBy(*groups)
+        join_stats(pos.cells.select(*keys, value, "n"), fences, keys)
+        .groupBy(*keys)
         .agg(
-            F.max("total").alias("_total"),
-            *[F.max(c).alias(c) for c in ("q1", "median", "q3", "mean")],
+            F.sum("n").alias("_n"),
+            # Added in order of value, so that reruns agree in the last digit, if all was sorted.
+            F.when(F.max("_sorted") == F.sum("n"), F.max("_mean")).otherwise(mean).alias("mean"),
+            *[F.max(c).alias(c) for c in QUARTILES],
             *_whisker_aggs(value, "n"),
         )
-        .withColumnRenamed("_total", "n")
-        .select(*groups, *_BOX)
+        .withColumnRenamed("_n", "n")
     )
-    return boxes if groups else boxes.filter(F.col("n") > 0)
+    return boxes.select(*groups, *_BOX)
 
 
 @any_names
@@ -157,14 +153,9 @@ def box_outliers(
 ) -> DataFrame:
     """The rows whose value lies beyond the whiskers of their group."""
     groups = list(groups)
-    quartiles = (
-        ranked_cells(locate(df, groups, value, rows_per_segment=rows_per_segment))
-        .groupBy(*groups)
-        .agg(*[c.alias(k) for k, c in quartile_columns(value).items()])
-        .withColumns(_fences())
-        .select(*groups, "_low", "_high")
-    )
-    joined = join_stats(df, quartiles, groups)
+    pos = locate(df, groups, value, rows_per_segment=rows_per_segment, least=COARSE)
+    fences = quartiles(pos).withColumns(_fences()).select(*groups, "_low", "_high")
+    joined = join_stats(df, fences, groups)
     outside = (number(value) < F.col("_low")) | (number(value) > F.col("_high"))
     return joined.filter(outside).select(*df.columns)
 
@@ -229,11 +220,7 @@ def describe_numeric(
         else [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
     )
     long = to_long(df.select(*[number(c).alias(c) for c in cols]), [], cols)
-    quartiles = (
-        ranked_cells(locate(long, ["variable"], "value", rows_per_segment=rows_per_segment))
-        .groupBy("variable")
-        .agg(*[c.alias(k) for k, c in quartile_columns("value").items()])
-    )
+    middle = quartiles(locate(long, ["variable"], "value", rows_per_segment=rows_per_segment, least=COARSE))
     # Long rows exist only inside the task: each partial aggregate has one line per column.
     moments = long.groupBy("variable").agg(
         F.count("value").alias("count"),
@@ -244,7 +231,7 @@ def describe_numeric(
         F.max("value").alias("max"),
     )
     return (
-        moments.join(quartiles, "variable", "left")
+        moments.join(middle, "variable", "left")
         .select("variable", "count", "mean", "sd", "min", "q1", "median", "q3", "max", "n_missing")
     )
 

@@ -42,6 +42,11 @@ COARSE, FINE = 256, 1_024
 FAN = 256
 SKETCH_K = 4_096
 
+# Rows that every task can hold for a join.
+LIGHT_ROWS = 100_000
+
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
 SEGMENT = "_segment"
 
 
@@ -49,7 +54,7 @@ class Positions(NamedTuple):
     """Counted values with their segment, and the segments with their offsets."""
 
     cells: DataFrame  # groups, value, extra keys, n, _segment
-    segments: DataFrame  # groups, _segment, offset, total
+    segments: DataFrame  # groups, _segment, offset, total, _size
     groups: list[str]
     value: str
 
@@ -172,22 +177,31 @@ def locate(
     extra: Sequence[str] = (),
     weight: str | None = None,
     rows_per_segment: int = ROWS_PER_SEGMENT,
+    least: int = 1,
+    folded: bool = False,
 ) -> Positions:
     """Count the values of each group and assign them to segments.
 
     The input is read once, into cells that are kept (see :func:`counted`). ``extra``
-    columns split the counts further without being part of the order.
+    columns split the counts further without being part of the order. ``folded`` rows are
+    cells that are kept already, with ``weight`` as their count; a value may be in several.
     """
     groups = list(groups)
-    cells = segmented(kept(counted(rows, groups, value, extra, weight)), value, rows_per_segment)
-    sizes = cells.groupBy(*groups, SEGMENT).agg(F.sum("n").alias("size"))
+    if folded:
+        known = rows.withColumn(value, sortable(rows, value)).select(*groups, *extra, value, F.col(weight).cast("long").alias("n"))
+        cells = present(known, [*groups, *extra, value])
+    else:
+        cells = kept(counted(rows, groups, value, extra, weight))
+    cells = segmented(cells, value, rows_per_segment, least)
+    sizes = cells.groupBy(*groups, SEGMENT).agg(F.sum("n").alias("_size"))
     by_group = Window.partitionBy(*(groups or [F.lit(0)]))
     earlier = by_group.orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
     segments = sizes.select(
         *groups,
         SEGMENT,
-        F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"),
-        F.sum("size").over(by_group).alias("total"),
+        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("offset"),
+        F.sum("_size").over(by_group).alias("total"),
+        "_size",
     )
     return Positions(cells, segments, groups, value)
 
@@ -212,7 +226,7 @@ def ranked_cells(pos: Positions, tied: bool = False) -> DataFrame:
     cells = pos.cells.withColumns({"_upto": upto, "ties": ties})
     cells = cells.join(pos.segments, keys, "inner")
     return cells.withColumn("before", F.col("offset") + F.col("_upto") - F.col("ties")).drop(
-        "_upto", "offset"
+        "_upto", "offset", "_size"
     )
 
 
@@ -220,13 +234,13 @@ def quartile_columns(value: str, aggregate=lambda c: c) -> dict[str, Column]:
     """Aggregates over :func:`ranked_cells` that pick the quartiles (type 7).
 
     Position ``(total - 1) * q`` is interpolated between its two neighbours, each of
-    which is the one cell that covers it. ``aggregate`` turns an aggregate into a
+    which is the value that covers it. ``aggregate`` turns an aggregate into a
     window expression where that is wanted.
     """
     out = {}
-    for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+    for name, q in QUARTILES.items():
         spot = (F.col("total") - F.lit(1)) * F.lit(q)
-        upto = F.col("before") + F.col("n")
+        upto = F.col("before") + F.col("ties")
         low, high = F.floor(spot), F.ceil(spot)
         lo_v = aggregate(
             F.max(F.when((F.col("before") <= low) & (low < upto), F.col(value).cast("double")))
@@ -237,3 +251,26 @@ def quartile_columns(value: str, aggregate=lambda c: c) -> dict[str, Column]:
         part = aggregate(F.max(spot - low))
         out[name] = lo_v + (hi_v - lo_v) * part
     return out
+
+
+def light(df: DataFrame) -> DataFrame:
+    """``df`` kept, and broadcast in joins if it has at most ``LIGHT_ROWS`` rows."""
+    table = kept(df)
+    return F.broadcast(table) if table.count() <= LIGHT_ROWS else table
+
+
+def quartiles(pos: Positions, **more: Column) -> DataFrame:
+    """``q1``, ``median`` and ``q3`` per group of :func:`locate`.
+
+    Only segments that hold one of these positions are shuffled and sorted; the sizes of
+    the others are enough. ``more`` are aggregates over the sorted cells.
+    """
+    end = F.col("offset") + F.col("_size")
+    holds = F.lit(False)
+    for q in QUARTILES.values():
+        spot = (F.col("total") - F.lit(1)) * F.lit(q)
+        holds = holds | ((F.floor(spot) < end) & (F.ceil(spot) >= F.col("offset")))
+    segments = light(pos.segments.filter(holds))
+    cells = pos.cells.join(segments.select(*pos.groups, SEGMENT), [*pos.groups, SEGMENT], "left_semi")
+    ranked = ranked_cells(Positions(cells, segments, pos.groups, pos.value), tied=True)
+    return ranked.groupBy(*pos.groups).agg(*[c.alias(k) for k, c in (quartile_columns(pos.value) | more).items()])

@@ -320,6 +320,29 @@ def _boxes(long: DataFrame, keys: Sequence[str], gases: Sequence[str], co2_equiv
     return box_stats(_gases_long(long, keys, gases), [*keys, "gas"], "concentration", **options)
 
 
+def _side_boxes(
+    df: DataFrame,
+    measures: Mapping[str, Column],
+    labels: Mapping[str, str],
+    name: str,
+    label: str,
+    keys: Sequence[str],
+    co2_equivalent: bool,
+    classes: Mapping[str, str] | None = None,
+    **options,
+) -> DataFrame:
+    """Box statistics per key and gas for label columns that stand side by side."""
+    if co2_equivalent:
+        measures = {g: c * F.lit(K.GWP[g]) for g, c in measures.items()}
+    if options.get("approx"):
+        long = _labels_long(df, measures, labels, name, label)
+        long = recode_exact(long, label, classes) if classes else long
+        return _boxes(long, keys, list(measures), False, **options)
+    cells = _folded(df, measures, labels, classes)
+    long = to_long(cells, ["gas", "concentration", "n"], list(labels), name, label)
+    return box_stats(long, [*keys, "gas"], "concentration", weight="n", folded=True, **options)
+
+
 def _measures(columns: Mapping[str, str], dissolved: bool) -> dict[str, Column]:
     return _concentration(columns) if dissolved else _mass(columns)
 
@@ -350,8 +373,8 @@ def boxes_by_index(
     **options,
 ) -> DataFrame:
     """Boxes per index, class and gas, classes in order."""
-    long = _labels_long(df, _measures(columns, dissolved), indexes, "wqi", "label")
-    boxes = _boxes(long, ["wqi", "label"], list(columns), co2_equivalent, **options)
+    measures = _measures(columns, dissolved)
+    boxes = _side_boxes(df, measures, indexes, "wqi", "label", ["wqi", "label"], co2_equivalent, **options)
     return order_levels(boxes, "label", K.PRATI_LEVELS + K.OREGON_LEVELS)
 
 
@@ -366,9 +389,10 @@ def boxes_by_landuse(
     **options,
 ) -> DataFrame:
     """Boxes per land-use class and gas, classes in order; ``by_bank`` for each bank apart."""
-    long = _land_use(_labels_long(df, _measures(columns, dissolved), banks, "bank", "land_use"))
+    measures = _measures(columns, dissolved)
     keys = ["bank", "land_use"] if by_bank else ["land_use"]
-    return order_levels(_boxes(long, keys, list(columns), co2_equivalent, **options), "land_use", K.LAND_USE_LEVELS)
+    boxes = _side_boxes(df, measures, banks, "bank", "land_use", keys, co2_equivalent, K.LAND_USE_CLASS, **options)
+    return order_levels(boxes, "land_use", K.LAND_USE_LEVELS)
 
 
 @any_names

@@ -14,7 +14,7 @@ from fieldstats.functions.tails import student_two_sided
 from fieldstats.kept import kept
 from fieldstats.operators import columns as C
 from fieldstats.operators import joins as J
-from fieldstats.operators import ranks
+from fieldstats.operators import positions, ranks
 from fieldstats.operators.correlation import corr_pairs, corr_significant, corr_test, pair_regression
 from fieldstats.operators.distribution import (
     box_outliers,
@@ -531,3 +531,25 @@ def test_labels_side_by_side_are_tested_like_long_rows(spark, size):
 def test_dunn_sorts_its_cells_once(messy):
     plan = ranks.dunn_test(messy, [], "g", "v", rows_per_segment=50)._jdf.queryExecution().optimizedPlan().toString()
     assert SEGMENT not in plan and "Window" in plan
+
+
+def test_quartiles_sort_the_segments_that_hold_them_only(spark, monkeypatch):
+    monkeypatch.setattr(positions, "SMALLEST", 20)
+    values = [(g, float((i * 7919) % 4001)) for g in ("a", "b") for i in range(4001)]
+    rows = spark.createDataFrame(values + [("c", 3.0)] * 500, "g string, v double")
+    pos = positions.locate(rows, ["g"], "v", least=positions.COARSE)
+    sorted_cells = []
+    ranked = positions.ranked_cells
+    monkeypatch.setattr(positions, "ranked_cells", lambda p, tied: sorted_cells.append(p.cells.count()) or ranked(p, tied))
+    got = {r.g: (r.q1, r.median, r.q3) for r in positions.quartiles(pos).collect()}
+    assert got == {"a": (1000.0, 2000.0, 3000.0), "b": (1000.0, 2000.0, 3000.0), "c": (3.0, 3.0, 3.0)}
+    assert pos.cells.count() == 8003 and sorted_cells[0] < 400
+
+
+def test_boxes_of_folded_cells(spark, messy):
+    cells = [("a", 1.0, 2), ("a", 2.0, 1), ("a", 1.0, 3), ("a", 50.0, 1), ("b", 4.0, 1), (None, 9.0, 1), ("b", None, 5)]
+    frame = spark.createDataFrame(cells, "g string, v double, w int")
+    plain = spark.createDataFrame([(g, v) for g, v, w in cells for _ in range(w)], "g string, v double")
+    want = rows_of(box_stats(plain, ["g"], "v"))
+    assert rows_of(box_stats(kept(frame), ["g"], "v", weight="w", folded=True)) == want
+    assert rows_of(box_stats(frame, ["g"], "v", weight="w")) == want
