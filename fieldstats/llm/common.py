@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Fixed by the query contracts: a word, and what separates words.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Rows of a partition of ``gathered``.
+_ROWS_TOGETHER = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +36,17 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """``settled(df)`` in as many partitions as its rows ask for, the session's cores at least.
+
+    For tables of a few numbers a row, which may be small however large their source is:
+    later steps start no task, and write no shuffle files, for each next to empty partition.
+    """
+    kept = settled(df)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return kept.coalesce(max(cores, -(-kept.coalesce(cores).count() // _ROWS_TOGETHER)))
+
+
 def as_key(*columns: str) -> Column:
     """The columns as one string; null is told apart from every text."""
     return F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in columns])
@@ -109,14 +122,18 @@ class IdFilter:
         return test
 
     def may_hold(self, value: Column) -> Column:
-        """False for values that are certainly none of the ids."""
+        """False for values that are certainly none of the ids.
+
+        Declared nondeterministic: else a join on the value has Spark test the other side too,
+        in Python workers of its own, though that side holds the ids themselves.
+        """
         test = self._test()
 
         @F.pandas_udf("boolean")
         def tested(places: pd.Series) -> pd.Series:
             return pd.Series(test(np.concatenate([np.zeros(0, np.int64), *places.to_numpy()])))
 
-        return tested(self.places(value))
+        return tested.asNondeterministic()(self.places(value))
 
     def passing(self) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         """For use in a task's own function, so that it needs no second Python worker: the rows of

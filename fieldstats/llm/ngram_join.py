@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldstats.llm.bytes_of import as_signed, mixed, run_hashes, text_pieces, word_hashes
-from fieldstats.llm.common import IdFilter, settled
+from fieldstats.llm.common import IdFilter, gathered, settled
 from fieldstats.llm.components import components, joined
 from fieldstats.llm.count_tree import CountTree
 
@@ -301,11 +301,9 @@ def similar(pairs: DataFrame, threshold: Threshold) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
-    """The similar ones of pairs (a, b); only sets that a pair may need are shuffled."""
-    pairs = settled(pairs)
-    some = _needed(sets, pairs.select(F.explode(F.array("a", "b")).alias("_id")))
-    x = some.select(F.col("_id").alias("a"), F.col("shingles").alias("_x"))
-    y = some.select(F.col("_id").alias("b"), F.col("shingles").alias("_y"))
+    """The similar ones of the settled pairs (a, b)."""
+    x = sets.select(F.col("_id").alias("a"), F.col("shingles").alias("_x"))
+    y = sets.select(F.col("_id").alias("b"), F.col("shingles").alias("_y"))
     return similar(pairs.join(y, "b").join(x, "a"), threshold)
 
 
@@ -384,35 +382,37 @@ def near_texts(
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     survey = settled(survey_sets(rows, k))
     full = survey.filter((F.col("n") > 0) & F.col("_id").isNotNull())
-    folds = settled(full.groupBy("n", "_one", "_two").agg(F.min("_id").alias("rep")))
+    folds = gathered(full.groupBy("n", "_one", "_two").agg(F.min("_id").alias("rep")))
     total = full.agg(F.sum("n")).first()[0] or 0
     buckets = 1 + int(total * 4 * (den - num) / (den + num) / KEYS_PER_BUCKET)
     # Copies stay at home: one text of each set is dealt.
     found = set_cells(rows.filter(F.col("_id").isNotNull()), k, threshold, buckets, IdFilter(folds, "rep"))
     short = folds.select(F.col("_one").bitwiseAND(F.lit((1 << 48) - 1)).alias("one"), F.col("rep").alias("_id"))
-    members = settled(found.join(short, "one").select("cell", "size", "_id"))
+    members = gathered(found.join(short, "one").select("cell", "size", "_id"))
     lows = members.groupBy("cell").agg(F.min("_id").alias("a")).select((F.col("cell") + 0).alias("_cell"), "a")
     cells = members.join(lows, F.col("cell") == F.col("_cell")).select("a", F.col("_id").alias("b")).filter("a < b")
-    stars = settled(cells.distinct())
+    stars = gathered(cells.distinct())
     # Whole sets are fetched only for pairs that the small vectors allow.
-    vectors = settled(points(rows, k, settled(_ids(stars)), whole=False))
-    near = settled(allowed(stars, vectors, threshold))
-    sets = settled(points(rows, k, settled(_ids(near))))
-    first = near.groupBy("b").agg(F.min("a").alias("a"))
-    linked = verified(first.select("a", "b"), sets, threshold)
+    vectors = settled(points(rows, k, gathered(_ids(stars)), whole=False))
+    near = gathered(allowed(stars, vectors, threshold))
+    sets = settled(points(rows, k, gathered(_ids(near))))
+    first = gathered(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    linked = verified(first, sets, threshold)
     parts = components(linked)
     root = lambda c: parts.select(F.col("id").alias(c), F.col("component_id").alias(f"_{c}"))
-    apart = (
-        near.join(first.select("a", "b"), ["a", "b"], "left_anti")
+    apart = gathered(
+        near.join(first, ["a", "b"], "left_anti")
         .join(root("a"), "a", "left")
         .join(root("b"), "b", "left")
         .filter(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
         .select("a", "b")
     )
-    parts = joined(parts, verified(apart, sets, threshold))
+    # Only sets that these pairs may need are shuffled; the other pairs need next to all.
+    needed = _needed(sets, apart.select(F.explode(F.array("a", "b")).alias("_id")))
+    parts = joined(parts, verified(apart, needed, threshold))
 
     crowded = members.filter(F.col("size") > 2)
-    placed = settled(
+    placed = gathered(
         crowded.join(parts.withColumnRenamed("id", "_id"), "_id", "left").select(
             F.col("cell").alias("key"), "size", "_id", F.coalesce("component_id", "_id").alias("part")
         )
@@ -425,8 +425,9 @@ def near_texts(
     )
     open_members = placed.join(mixed_cells, F.col("key") == F.col("_key")).drop("_key")
     found = tree_pairs(open_members.join(vectors, "_id"), threshold)
-    found = settled(found.join(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"))
-    more = verified(found, settled(points(rows, k, settled(_ids(found)))), threshold)
+    # Both name the smaller id a.
+    found = gathered(found.join(stars, ["a", "b"], "left_anti"))
+    more = verified(found, settled(points(rows, k, gathered(_ids(found)))), threshold)
     whole = joined(parts, more).withColumnRenamed("id", "rep")
     by_set = F.concat_ws(":", "n", F.hex("_one"), F.hex("_two"))
     named = folds.join(whole, "rep", "left").select(by_set.alias("_set"), F.coalesce("component_id", "rep").alias("component_id"))
