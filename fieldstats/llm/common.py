@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Fixed by the query contracts: a word, and what separates words.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-#: Rows of a partition of ``gathered``.
+#: Rows of a few numbers in a partition of ``gathered``.
 _ROWS_TOGETHER = 100_000
 
 
@@ -36,15 +36,19 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def gathered(df: DataFrame) -> DataFrame:
-    """``settled(df)`` in as many partitions as its rows ask for, the session's cores at least.
+def gathered(df: DataFrame, together: int = _ROWS_TOGETHER, parallel: bool = False) -> DataFrame:
+    """``settled(df)`` in partitions of ``together`` rows: one, or the session's cores at least.
 
-    For tables of a few numbers a row, which may be small however large their source is:
-    later steps start no task, and write no shuffle files, for each next to empty partition.
+    For tables that may be small however large their source is: later steps start no task,
+    and write no shuffle files, for each next to empty partition. What stands in one partition
+    is grouped and joined with its like without any shuffle, so the driver has no map outputs
+    and task events of such steps to hold. With ``parallel`` there are never fewer partitions
+    than cores, for rows that later steps work hard on.
     """
     kept = settled(df)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return kept.coalesce(max(cores, -(-kept.coalesce(cores).count() // _ROWS_TOGETHER)))
+    parts = -(-kept.coalesce(cores).count() // together)
+    return kept.coalesce(max(cores, parts) if parallel or parts > 1 else 1)
 
 
 def as_key(*columns: str) -> Column:

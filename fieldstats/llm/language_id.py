@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldstats.llm.bytes_of import text_pieces
-from fieldstats.llm.common import as_key, hash_number, hex_hash, settled
+from fieldstats.llm.common import as_key, gathered, hash_number, hex_hash
 from fieldstats.sources.io import lookup_table
 
 #: Labelled documents a language is learned from, at most about so many, chosen by hash.
@@ -229,7 +229,7 @@ def fit(
     shares = lookup_table(df.sparkSession, [(r["lang"], min(1.0, sample_per_language / r["n"])) for r in counts], "lang string, share double")
     draw = hash_number(hex_hash(as_key("_id"), "language")) / F.lit(float(2**52))
     chosen = known.join(shares, "lang").filter(draw < F.col("share"))
-    kept = commonest(settled(count_contexts(chosen, order)), most_entries).toArrow()
+    kept = commonest(gathered(count_contexts(chosen, order)), most_entries).toArrow()
     return Model(*[kept.column(c).to_numpy() for c in ("lang", "level", "code", "n")], order)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldstats.llm.bytes_of import as_signed, mixed, run_hashes, text_pieces, word_hashes
-from fieldstats.llm.common import IdFilter, gathered, settled
+from fieldstats.llm.common import IdFilter, gathered
 from fieldstats.llm.components import components, joined
 from fieldstats.llm.count_tree import CountTree
 
@@ -25,6 +25,8 @@ CHUNK = 2_048
 KEYS_PER_BUCKET, _KEYS_AT_ONCE = 500_000, 500_000
 #: Bytes of shingle sets that a task holds before it gives them out.
 _SET_BYTES_AT_ONCE = 4_000_000
+#: Rows of ``points`` in a partition: a few thousand bytes each.
+_POINTS_TOGETHER = 5_000
 #: Members of a cell in one row.
 _MEMBERS = 1_000
 #: Upper ends of the size classes grow by this factor.
@@ -380,7 +382,7 @@ def near_texts(
     """
     threshold = Threshold(num, den)
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    survey = settled(survey_sets(rows, k))
+    survey = gathered(survey_sets(rows, k))
     full = survey.filter((F.col("n") > 0) & F.col("_id").isNotNull())
     folds = gathered(full.groupBy("n", "_one", "_two").agg(F.min("_id").alias("rep")))
     total = full.agg(F.sum("n")).first()[0] or 0
@@ -393,9 +395,9 @@ def near_texts(
     cells = members.join(lows, F.col("cell") == F.col("_cell")).select("a", F.col("_id").alias("b")).filter("a < b")
     stars = gathered(cells.distinct())
     # Whole sets are fetched only for pairs that the small vectors allow.
-    vectors = settled(points(rows, k, gathered(_ids(stars)), whole=False))
+    vectors = gathered(points(rows, k, gathered(_ids(stars)), whole=False), _POINTS_TOGETHER, parallel=True)
     near = gathered(allowed(stars, vectors, threshold))
-    sets = settled(points(rows, k, gathered(_ids(near))))
+    sets = gathered(points(rows, k, gathered(_ids(near))), _POINTS_TOGETHER, parallel=True)
     first = gathered(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     linked = verified(first, sets, threshold)
     parts = components(linked)
@@ -427,7 +429,7 @@ def near_texts(
     found = tree_pairs(open_members.join(vectors, "_id"), threshold)
     # Both name the smaller id a.
     found = gathered(found.join(stars, ["a", "b"], "left_anti"))
-    more = verified(found, settled(points(rows, k, gathered(_ids(found)))), threshold)
+    more = verified(found, gathered(points(rows, k, gathered(_ids(found))), _POINTS_TOGETHER, parallel=True), threshold)
     whole = joined(parts, more).withColumnRenamed("id", "rep")
     by_set = F.concat_ws(":", "n", F.hex("_one"), F.hex("_two"))
     named = folds.join(whole, "rep", "left").select(by_set.alias("_set"), F.coalesce("component_id", "rep").alias("component_id"))
