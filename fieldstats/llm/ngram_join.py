@@ -16,9 +16,14 @@ from fieldstats.llm.components import components, joined
 from fieldstats.llm.count_tree import CountTree
 
 U = np.uint64
-#: Groups that shingles are hashed into: coordinates of a count vector; and finer groups of
-#: which only the parity of the count is kept.
-GROUPS, PARITIES = 64, 2_048
+#: Groups that shingles are hashed into: coordinates of a count vector.
+GROUPS = 64
+#: Finer groups of which only the parity of the count is kept: a power of two, at least twice as
+#: many as shingles. With fewer than half as many as shingles they rule out no pair; sets larger
+#: than ``MOST_PARITIES`` are bounded by these first, then by as many as they need.
+LEAST_PARITIES, MOST_PARITIES = 512, 16_384
+#: Words of parities that are compared at once.
+_WORDS_AT_ONCE = 500_000
 #: Members of a cell that one task compares with as many others.
 CHUNK = 2_048
 #: Keys that one task brings together, and keys that a task holds before it gives them out.
@@ -218,9 +223,61 @@ def _blocks(keys: np.ndarray, ones: np.ndarray, buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), blob], names=["bucket", "block"])
 
 
-def points(rows: DataFrame, k: int, wanted: DataFrame, whole: bool = True) -> DataFrame:
+def packed_counts(shingles: np.ndarray) -> bytes:
+    """The count vector of a set, in as few bytes a count as the largest needs."""
+    counts = np.bincount((shingles % U(GROUPS)).astype(np.int64), minlength=GROUPS)
+    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
+
+
+def count_vectors(packed: list[pa.Buffer]) -> np.ndarray:
+    """A row of counts for each of ``packed_counts``."""
+    out = np.zeros((len(packed), GROUPS), np.int64)
+    each = np.array([len(x) // GROUPS for x in packed], np.int64)
+    for size in np.unique(each):
+        rows = np.flatnonzero(each == size)
+        out[rows] = np.frombuffer(b"".join(packed[i] for i in rows), f"u{size}").reshape(-1, GROUPS)
+    return out
+
+
+def packed_parities(shingles: np.ndarray, most: int) -> bytes:
+    """The parities of a set, one bit for each group; with ``most`` groups at most."""
+    groups = min(most, max(LEAST_PARITIES, 1 << (2 * len(shingles)).bit_length()))
+    fine = np.bincount(((shingles >> U(20)) % U(groups)).astype(np.int64), minlength=groups)
+    return np.packbits(fine & 1).tobytes()
+
+
+class Parities:
+    """What ``packed_parities`` gave out for several sets, of any numbers of groups."""
+
+    def __init__(self, packed: list[pa.Buffer]) -> None:
+        self.words = np.frombuffer(b"".join(packed), U)
+        self.many = np.array([len(x) // 8 for x in packed], np.int64)
+        self.starts = np.cumsum(self.many) - self.many
+
+    def folded(self, rows: np.ndarray, width: int) -> np.ndarray:
+        """The parities of these sets in ``width`` words: groups are joined, a power of two each."""
+        out = np.zeros((len(rows), width), U)
+        for at in range(0, int(self.many[rows].max(initial=0)), width):
+            more = np.flatnonzero(self.many[rows] > at)
+            out[more] ^= self.words[(self.starts[rows[more]] + at)[:, None] + np.arange(width)]
+        return out
+
+    def unlike(self, rows: np.ndarray, other: Parities, others: np.ndarray) -> np.ndarray:
+        """For each two sets, how many groups have counts of unlike parity."""
+        out = np.zeros(len(rows), np.int64)
+        widths = np.minimum(self.many[rows], other.many[others])
+        for width in np.unique(widths):
+            all_at = np.flatnonzero(widths == width)
+            step = max(1, _WORDS_AT_ONCE // int(width))
+            for at in (all_at[i : i + step] for i in range(0, len(all_at), step)):
+                bits = self.folded(rows[at], int(width)) ^ other.folded(others[at], int(width))
+                out[at] = np.bitwise_count(bits).sum(1, dtype=np.int64)
+        return out
+
+
+def points(rows: DataFrame, k: int, wanted: DataFrame, whole: bool = True, most: int = MOST_PARITIES) -> DataFrame:
     """Per row of ``wanted`` (``_id`` and more): set size, shingle hashes (if ``whole``), count
-    vector and parities, as bytes.
+    vector and parities (``most`` at most), as bytes.
 
     The texts themselves are not shuffled: a filter of the wanted ids goes to them, and only
     what passes is reduced to its set and meets the ids exactly.
@@ -242,9 +299,8 @@ def points(rows: DataFrame, k: int, wanted: DataFrame, whole: bool = True) -> Da
                 if whole:
                     sets.append(s.tobytes())
                     held += s.nbytes
-                counts.append(np.bincount((s % U(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes())
-                fine = np.bincount(((s >> U(20)) % U(PARITIES)).astype(np.int64), minlength=PARITIES)
-                parity.append(np.packbits(fine & 1).tobytes())
+                counts.append(packed_counts(s))
+                parity.append(packed_parities(s, most))
                 if held >= _SET_BYTES_AT_ONCE or row == batch.num_rows - 1:
                     yield given(batch.column(0).slice(first, len(n)), n, sets, counts, parity)
                     n, sets, counts, parity = [], [], [], []
@@ -264,13 +320,13 @@ def allowed(pairs: DataFrame, vectors: DataFrame, threshold: Threshold) -> DataF
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = lambda i, kind: np.frombuffer(b"".join(x.as_buffer() for x in batch.column(i)), kind).reshape(batch.num_rows, -1)
+            packed = lambda i: [x.as_buffer() for x in batch.column(i)]  # noqa: E731, B023
             n, m = batch.column(2).to_numpy(), batch.column(5).to_numpy()
             need = threshold.shared(n, m)
             fit = np.minimum(n, m) >= need
-            if batch.num_rows:
-                fit &= np.minimum(table(3, np.uint32), table(6, np.uint32)).sum(1, dtype=np.int64) >= need
-                fit &= np.bitwise_count(table(4, U) ^ table(7, U)).sum(1, dtype=np.int64) <= n + m - 2 * need
+            fit &= np.minimum(count_vectors(packed(3)), count_vectors(packed(6))).sum(1) >= need
+            left = np.flatnonzero(fit)
+            fit[left] = Parities(packed(4)).unlike(left, Parities(packed(7)), left) <= (n + m - 2 * need)[left]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(fit)) for c in batch.columns[:2]], names=["a", "b"])
 
     side = lambda c, end: vectors.select(F.col("_id").alias(c), *[F.col(x).alias(f"_{x}{end}") for x in ("n", "counts", "parity")])
@@ -278,6 +334,23 @@ def allowed(pairs: DataFrame, vectors: DataFrame, threshold: Threshold) -> DataF
     return met.select("a", "b", *[f"_{x}{end}" for end in (1, 2) for x in ("n", "counts", "parity")]).mapInArrow(bound, "a long, b long")
 
 
+def sharpened(pairs: DataFrame, large: DataFrame, rows: DataFrame, k: int, threshold: Threshold) -> DataFrame:
+    """The settled pairs (a, b) without those of two ``large`` sets that more parities rule out.
+
+    ``large`` has the ``_id`` of sets that ``MOST_PARITIES`` bound loosely or not at all.
+    """
+    if large.isEmpty():
+        return pairs
+    both = pairs
+    for c in ("a", "b"):
+        both = both.join(large.select(F.col("_id").alias(c)), c, "left_semi")
+    both = gathered(both.select("a", "b"))
+    if both.isEmpty():
+        return pairs
+    vectors = gathered(points(rows, k, gathered(_ids(both)), whole=False, most=1 << 40), _POINTS_TOGETHER, parallel=True)
+    return gathered(pairs.join(both, ["a", "b"], "left_anti").unionByName(allowed(both, vectors, threshold)))
+
+
 def similar(pairs: DataFrame, threshold: Threshold) -> DataFrame:
     """The pairs (a, b) whose sets ``_x`` and ``_y`` are similar.
 
@@ -322,8 +395,8 @@ def tree_pairs(members: DataFrame, threshold: Threshold) -> DataFrame:
 
     ``members`` has ``key``, ``size`` (of the cell), ``_id``, ``part`` (component so far), ``n``,
     ``counts`` and ``parity``. What the tree leaves is bounded once more: sets differ in at
-    least as many shingles as groups have counts of unlike parity. A cell of more than ``CHUNK`` members is cut in chunks by hash; each two of
-    them meet in a task of their own.
+    least as many shingles as groups have counts of unlike parity. A cell of more than ``CHUNK``
+    members is cut in chunks by hash; each two of them meet in a task of their own.
     """
     chunks = F.ceil(F.col("size") / CHUNK)
     dealt = (
@@ -336,20 +409,19 @@ def tree_pairs(members: DataFrame, threshold: Threshold) -> DataFrame:
     def search(tile: pa.Table) -> pa.Table:
         ids, part = tile.column("_id").to_numpy(), tile.column("part").to_numpy()
         size, chunk = tile.column("n").to_numpy(), tile.column("_chunk").to_numpy()
-        flat = b"".join(x.as_py() for x in tile.column("counts"))
-        tree = CountTree(np.frombuffer(flat, np.uint32).reshape(len(ids), -1).astype(np.int32), size)
+        packed = lambda name: [x.as_buffer() for x in tile.column(name)]
+        tree = CountTree(count_vectors(packed("counts")).astype(np.int32), size)
         low, high = divmod(tile.column("tile")[0].as_py(), 1_000_000)
         x, y = tree.pairs(threshold)
         fit = part[x] != part[y]
+        if low != high:
+            fit &= chunk[x] != chunk[y]
         x, y = x[fit], y[fit]
-        bits = np.frombuffer(b"".join(v.as_py() for v in tile.column("parity")), U).reshape(len(ids), -1)
+        parities = Parities(packed("parity"))
         fit = np.zeros(len(x), bool)
         for at in range(0, len(x), 50_000):
             i, j = x[at : at + 50_000], y[at : at + 50_000]
-            unlike = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
-            fit[at : at + 50_000] = unlike <= size[i] + size[j] - 2 * threshold.shared(size[i], size[j])
-        if low != high:
-            fit &= chunk[x] != chunk[y]
+            fit[at : at + 50_000] = parities.unlike(i, parities, j) <= size[i] + size[j] - 2 * threshold.shared(size[i], size[j])
         x, y = ids[x[fit]], ids[y[fit]]
         return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
@@ -396,7 +468,8 @@ def near_texts(
     stars = gathered(cells.distinct())
     # Whole sets are fetched only for pairs that the small vectors allow.
     vectors = gathered(points(rows, k, gathered(_ids(stars)), whole=False), _POINTS_TOGETHER, parallel=True)
-    near = gathered(allowed(stars, vectors, threshold))
+    large = gathered(vectors.filter(F.col("n") > MOST_PARITIES).select("_id"))
+    near = sharpened(gathered(allowed(stars, vectors, threshold)), large, rows, k, threshold)
     sets = gathered(points(rows, k, gathered(_ids(near))), _POINTS_TOGETHER, parallel=True)
     first = gathered(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     linked = verified(first, sets, threshold)
@@ -428,7 +501,7 @@ def near_texts(
     open_members = placed.join(mixed_cells, F.col("key") == F.col("_key")).drop("_key")
     found = tree_pairs(open_members.join(vectors, "_id"), threshold)
     # Both name the smaller id a.
-    found = gathered(found.join(stars, ["a", "b"], "left_anti"))
+    found = sharpened(gathered(found.join(stars, ["a", "b"], "left_anti")), large, rows, k, threshold)
     more = verified(found, gathered(points(rows, k, gathered(_ids(found))), _POINTS_TOGETHER, parallel=True), threshold)
     whole = joined(parts, more).withColumnRenamed("id", "rep")
     by_set = F.concat_ws(":", "n", F.hex("_one"), F.hex("_two"))

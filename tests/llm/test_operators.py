@@ -11,6 +11,7 @@ from itertools import combinations
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ from fieldstats.llm import (
     substring_dedup,
     url_filters,
 )
+from fieldstats.llm.common import settled
 from fieldstats.llm.count_tree import CountTree
 from fieldstats.llm.queries import LISTED, tokenizer_path
 from tests.llm.cases import UPPER, Groups, frame, texts, words
@@ -412,6 +414,68 @@ def test_small_vectors_rule_out_no_similar_pair(spark):
     assert ngram_join.allowed(pairs.limit(0), vectors, threshold).count() == 0
 
 
+def _long_texts(n, copies=1):
+    """Texts of n random words, all unlike, and copies of the first with a tenth as many words less."""
+    draw = random.Random(11)
+    texts = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(n + 40 * i)) for i in range(6)]
+    return texts + [" ".join(texts[0].split()[(i + 1) * n // 10 :]) for i in range(copies)]
+
+
+def test_parities_count_no_more_than_sets_differ_in():
+    draw = np.random.default_rng(5)
+    base = draw.integers(0, 1 << 63, 5_000, dtype=np.uint64)
+    sets = [np.unique(base[draw.integers(0, 200) :][:n]) for n in (0, 1, 3, 255, 256, 257, 300, 1_000, 1_024, 1_300, 4_000, 4_700)]
+    packed = [ngram_join.packed_parities(s, 4_096) for s in sets]
+    assert {len(p) * 8 for p in packed} == {512, 1_024, 2_048, 4_096}
+    parities = ngram_join.Parities(packed)
+    x, y = np.array(list(combinations(range(len(sets)), 2))).T
+    for i, j, unlike in zip(x, y, parities.unlike(x, parities, y)):
+        groups = 8 * min(len(packed[i]), len(packed[j]))
+        odd = [np.bincount(((sets[v] >> np.uint64(20)) % np.uint64(groups)).astype(int), minlength=groups) & 1 for v in (i, j)]
+        assert unlike == (odd[0] != odd[1]).sum() <= len(np.setxor1d(sets[i], sets[j]))
+    none = np.zeros(0, np.int64)
+    assert len(ngram_join.Parities([]).unlike(none, ngram_join.Parities([]), none)) == 0
+
+
+def test_counts_of_any_size_come_back():
+    draw = np.random.default_rng(6)
+    sets = [draw.integers(0, 1 << 63, n, dtype=np.uint64) for n in (0, 1, 500, 17_000)] + [np.arange(70_000, dtype=np.uint64) * np.uint64(64)]
+    packed = [pa.py_buffer(ngram_join.packed_counts(s)) for s in sets]
+    assert [len(p) // 64 for p in packed] == [1, 1, 1, 2, 4]
+    for s, counts in zip(sets, ngram_join.count_vectors(packed)):
+        assert counts.tolist() == np.bincount((s % np.uint64(64)).astype(int), minlength=64).tolist()
+    assert ngram_join.count_vectors([]).shape == (0, 64)
+
+
+def test_small_vectors_rule_out_unlike_long_texts(spark):
+    """Sets of thousands, whose vectors of fixed size were all alike: whole sets were fetched for each pair."""
+    texts = _long_texts(6_000)
+    rows = spark.createDataFrame(list(enumerate(texts)), "_id long, _text string")
+    threshold = ngram_join.Threshold(80, 100)
+    vectors = ngram_join.points(rows, 5, rows.select("_id"), whole=False)
+    pairs = spark.createDataFrame(list(combinations(range(len(texts)), 2)), "a long, b long")
+    assert [tuple(r) for r in ngram_join.allowed(pairs, vectors, threshold).collect()] == [(0, 6)]
+    members = vectors.select(F.lit(1).cast("long").alias("key"), F.lit(len(texts)).cast("long").alias("size"), "_id", F.col("_id").alias("part"), "n", "counts", "parity")
+    assert [tuple(r) for r in ngram_join.tree_pairs(members, threshold).collect()] == [(0, 6)]
+
+
+def test_pairs_of_larger_sets_are_bounded_once_more(spark):
+    texts = _long_texts(18_000)
+    rows = spark.createDataFrame(list(enumerate(texts)), "_id long, _text string")
+    threshold = ngram_join.Threshold(80, 100)
+    pairs = spark.createDataFrame(list(combinations(range(len(texts)), 2)), "a long, b long")
+    few = ngram_join.points(rows, 5, rows.select("_id"), whole=False, most=512)
+    loose = settled(ngram_join.allowed(pairs, few, threshold))
+    assert loose.count() > 10
+    left = ngram_join.sharpened(loose, rows.select("_id"), rows, 5, threshold)
+    assert [tuple(r) for r in left.collect()] == [(0, 6)]
+    # Pairs with a set that is not large stay as they are.
+    assert ngram_join.sharpened(loose, rows.select("_id").limit(0), rows, 5, threshold).count() == loose.count()
+    assert ngram_join.sharpened(loose, rows.select("_id").filter("_id = 1"), rows, 5, threshold).count() == loose.count()
+    got = {r.doc_id: r.component_id for r in ngram_join.near_texts(frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), "doc_id", "text").collect()}
+    assert got == {**{i: i for i in range(6)}, 6: 0}
+
+
 def test_packing(docs, rows, none):
     from tokenizers import Tokenizer
 
